@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions import markup
 from docloom.functions.links import resolve_href
@@ -375,17 +376,17 @@ def release_entries(pages: DataFrame, heading: str, anchor_mark: str = "", key:
 # -- columns backed by the tree ------------------------------------------------
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_html(html: pd.Series) -> pd.Series:
     return html.map(lambda page: None if page is None else markup.canonical(markup.parse(page)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_text(html: pd.Series) -> pd.Series:
     return html.map(lambda page: None if page is None else text_of(markup.parse(page)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def exact_code_to_backticks(html: pd.Series) -> pd.Series:
     return html.map(lambda page: None if page is None else text_of(markup.parse(page), code=lambda t: f"`{t}`"))
 

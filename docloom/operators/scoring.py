@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.costs import BATCH_SIZE, MAX_ATTEMPTS, MAX_IN_FLIGHT
 from docloom.functions.text import truncate_marked
@@ -216,7 +217,7 @@ def name_components(title: str) -> list[str] | None:
         at = len(text) - len(rest[2:].lstrip(" "))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_qualified(titles: pd.Series) -> pd.Series:
     return titles.map(lambda title: None if title is None else name_components(title))
 
