@@ -47,6 +47,7 @@ def round_up_cents(x: Column) -> Column:
 
 
 def about_usd(x: Column) -> Column:
+    """A rounded amount to show; a decimal tie rounds up."""
     small = F.concat(F.lit("about $"), F.format_string("%.3f", x))
     large = F.concat(F.lit("about $"), F.format_string("%.2f", x))
     return F.when(x < 0.001, F.lit("under $0.001")).when(x < 0.1, small).otherwise(large)

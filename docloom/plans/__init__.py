@@ -1 +1,11 @@
 """Registered queries: an operator applied to the given tables, with its SQL oracle."""
+
+from importlib import import_module
+
+AREAS = ("scalars", "changelog", "storage")
+
+
+def load_all() -> None:
+    """Import every area, which registers its queries."""
+    for area in AREAS:
+        import_module(f"docloom.plans.{area}")
