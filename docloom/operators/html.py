@@ -229,7 +229,7 @@ def page_blocks(html: str) -> list[dict]:
 
 
 def _per_page(pages: DataFrame, key: str, rows_of, schema: str) -> DataFrame:
-    names = [part.split()[0] for part in re.sub(r"<[^()]*>", "", schema).split(",")]
+    names = T.StructType.fromDDL(schema).fieldNames()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scalars", "changelog", "storage")
+AREAS = ("scalars", "changelog", "storage", "corpus")
 
 
 def load_all() -> None:

@@ -65,7 +65,12 @@ def normalize_ws_ascii(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_ws_ascii(spaced).alias("flat"))
 
 
-@query("h1_5_first_sentence")
+_SENTENCE_END = r"""'^(.*?[.!?])(?:\s+[A-Z(\"''`]|\s*$)'"""
+
+
+@query("h1_5_first_sentence", rf"""
+SELECT doc_id, CASE WHEN regexp_matches(flat, {_SENTENCE_END}) THEN regexp_extract(flat, {_SENTENCE_END}, 1) ELSE flat END AS first_sentence
+FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents)""")
 def first_sentence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("first_sentence"))
 
@@ -79,7 +84,13 @@ def truncate_marked(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate_marked(F.col("text")).alias("sent"))
 
 
-@query("h1_7_sanitize_name")
+@query("h1_7_sanitize_name", "WITH " + fixtures.BLOCKS + r"""
+, spaced AS (SELECT page_id, block_no, replace(replace(replace(
+    regexp_replace(regexp_replace(replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '::', '.'),
+      '([\p{L}\p{N}_]) ([\p{L}\p{N}_])', '\1_\2', 'g'), '([\p{L}\p{N}_]) ([\p{L}\p{N}_])', '\1_\2', 'g'), ' ', ''), ',', '+'), '%', '%25') AS s FROM blocks)
+SELECT page_id, block_no, array_to_string(list_transform(string_split(s, ''), lambda c:
+    CASE WHEN unicode(c) > 126 OR unicode(c) < 32 OR c = '/' OR c = chr(92) THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') ELSE c END), '') AS name
+FROM spaced""")
 def sanitize_name(spark, sf_dir):
     return fixtures.blocks(spark, sf_dir).select(
         "page_id", "block_no", names.sanitize_name(F.col("text")).alias("name")
@@ -141,7 +152,10 @@ def quantity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.quantity(count, "entry", "entries").alias("label"))
 
 
-@query("h1_14_normalize_code")
+@query("h1_14_normalize_code", r"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, '.' || chr(10), '.  ' || repeat(chr(10), 4)),
+       '(?m)[ \t\r\f]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS code
+FROM documents""")
 def normalize_code(spark, sf_dir):
     spaced = F.replace(F.col("text"), F.lit(".\n"), F.lit(".  \n\n\n\n"))
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_code(spaced).alias("code"))
