@@ -50,7 +50,7 @@ def reading_order(pages: DataFrame, starts: DataFrame, node: str = "node", succ:
         fresh = cut(merged.join(ranks.select("start", "n"), ["start", "n"], "left_anti"))
         if fresh.isEmpty():
             return ranks.withColumnRenamed("n", node)
-        ranks = cut(ranks.unionByName(fresh))
+        ranks = ranks.unionByName(fresh)  # one written piece per round, few rounds
         second = jump.select(F.col("n").alias("to"), F.col("to").alias("far"))
         jump = cut(jump.join(second, "to").select("n", F.col("far").alias("to")))
         span *= 2

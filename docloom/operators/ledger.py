@@ -176,15 +176,15 @@ def first_failure(attempts: DataFrame, by: str = "run_id", order: str = "ts") ->
 
 
 def requests_in_flight(intervals: DataFrame, by: str = "run_id", width: int = 1 << 26) -> DataFrame:
-    """Running number of open intervals after every change, ``(by, at, in_flight)``.
+    """Running number of open intervals after every change, ``(by, at_us, in_flight)``.
 
     Intervals are (start_us, end_us), half-open. Changes at one instant are summed first.
     """
     deltas = intervals.select(by, F.explode(F.array(
-        F.struct(F.col("start_us").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("at"), F.lit(-1).alias("d"))
-    )).alias("e")).select(by, "e.at", "e.d")
-    net = deltas.groupBy(by, "at").agg(F.sum("d").alias("d"))
-    return running_totals(net, [by], "at", {"in_flight": F.col("d")}, width).drop("d")
+        F.struct(F.col("start_us").alias("at_us"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("at_us"), F.lit(-1).alias("d"))
+    )).alias("e")).select(by, "e.at_us", "e.d")
+    net = deltas.groupBy(by, "at_us").agg(F.sum("d").alias("d"))
+    return running_totals(net, [by], "at_us", {"in_flight": F.col("d")}, width).drop("d")
 
 
 def peak_in_flight(intervals: DataFrame, by: str = "run_id") -> DataFrame:

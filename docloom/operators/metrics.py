@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.costs import ideal_throughput
+from docloom.functions.costs import cost_usd, ideal_throughput
 from docloom.functions.text import short_error
 from docloom.operators.ordered import match_keys, quantiles
 from docloom.operators.sets import position_in
@@ -19,6 +19,19 @@ POOLED_MODES = ("threads", "asyncio", "asyncio-uvloop")
 SUMMARY_PROBS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
+def column_quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact quantiles of several columns in one pass: ``{output: (column, probability)}``."""
+    columns = sorted({column for column, _ in wanted.values()})
+    probs = {f"q{i}": p for i, p in enumerate(sorted({p for _, p in wanted.values()}))}
+    names = {p: name for name, p in probs.items()}
+    pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*by, F.explode(pairs).alias("_m")).select(*by, "_m.metric", "_m.v")
+    found = quantiles(long, [*by, "metric"], F.col("v"), probs)
+    return found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("metric") == column, F.col(names[p]))).alias(out) for out, (column, p) in wanted.items()]
+    )
+
+
 def summary(df: DataFrame, by: Sequence[str], value: Column, probs: dict[str, float] | None = None) -> DataFrame:
     """Count, exact percentiles, maximum and mean per group."""
     probs = probs or SUMMARY_PROBS
@@ -101,11 +114,9 @@ def sweep_table(cells: DataFrame, samples: DataFrame, cell: Sequence[str]) -> Da
     rate = median_range(measured, group, F.col("throughput")).select(
         *group, F.col("mid").alias("rate_med"), F.col("low").alias("rate_min"), F.col("high").alias("rate_max")
     )
-    over = summary(path_times(samples), cell, F.col("overhead_ms"))
+    over = quantiles(path_times(samples), cell, F.col("overhead_ms"), SUMMARY_PROBS)
     table = grid.join(rate, group, "left")
-    for name in SUMMARY_PROBS:
-        mids = quantiles(over, group, F.col(name), {f"overhead_{name}": 0.5}).drop("n")
-        table = table.join(mids, group, "left")
+    table = table.join(column_quantiles(over, group, {f"overhead_{n}": (n, 0.5) for n in SUMMARY_PROBS}), group, "left")
     ideal = ideal_throughput(
         F.col("planned"), F.col("concurrency"), F.col("latency_s"), F.col("jitter"), F.col("mode").isin(*POOLED_MODES)
     )
@@ -117,14 +128,9 @@ def sweep_table(cells: DataFrame, samples: DataFrame, cell: Sequence[str]) -> Da
 def overhead_split(samples: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Medians over cells of p50 and p99 of the request path and the response path."""
     group = ["concurrency", "mode"]
-    times = path_times(samples)
-    table = None
-    for path in ("pre", "post"):
-        per = quantiles(times, cell, F.col(f"{path}_ms"), {"p50": 0.5, "p99": 0.99})
-        for name in ("p50", "p99"):
-            mids = quantiles(per, group, F.col(name), {f"{path}_{name}": 0.5}).drop("n")
-            table = mids if table is None else table.join(mids, group)
-    return table
+    ends = {f"{path}_{name}": (f"{path}_ms", p) for path in ("pre", "post") for name, p in (("p50", 0.5), ("p99", 0.99))}
+    per_cell = column_quantiles(path_times(samples), cell, ends)
+    return column_quantiles(per_cell, group, {name: (name, 0.5) for name in ends})
 
 
 def size_table(cells: DataFrame, overhead: DataFrame) -> DataFrame:
@@ -134,10 +140,8 @@ def size_table(cells: DataFrame, overhead: DataFrame) -> DataFrame:
         *group, F.col("mid").alias("rate_med"), F.col("low").alias("rate_min"), F.col("high").alias("rate_max")
     )
     errors = cells.groupBy(*group).agg(F.sum("errors").alias("errors"))
-    table = rate.join(errors, group)
-    for name in ("p50", "p99"):
-        table = table.join(quantiles(overhead, group, F.col(name), {f"overhead_{name}": 0.5}).drop("n"), group)
-    return table.withColumn("size_rank", position_in(F.col("size"), SIZE_ORDER))
+    middle = column_quantiles(overhead, group, {"overhead_p50": ("p50", 0.5), "overhead_p99": ("p99", 0.5)})
+    return rate.join(errors, group).join(middle, group).withColumn("size_rank", position_in(F.col("size"), SIZE_ORDER))
 
 
 def worst_health(cells: DataFrame, by: str, values: list[str]) -> DataFrame:
@@ -218,3 +222,34 @@ def stall_outliers(cells: DataFrame, by: Sequence[str], value: str, share: float
     """Cells whose value is below ``share`` of their group's median."""
     mids = quantiles(cells, by, F.col(value), {"group_median": 0.5}).drop("n")
     return match_keys(cells, mids, list(by)).filter(F.col(value) < F.lit(share) * F.col("group_median"))
+
+
+def run_tables(samples: DataFrame, by: Sequence[str], headers: Column) -> DataFrame:
+    """One line per run: wall time, rate, latency, rejections, headroom, tokens, replies.
+
+    ``samples``: (…by, t0, t1, outcome, stop_reason, input_tokens, output_tokens, valid_reply).
+    """
+    good = F.col("outcome") == "ok"
+    sums = samples.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("requests"),
+        (F.max("t1") - F.min("t0")).alias("wall_s"),
+        F.count_if(good).alias("ok"),
+        F.count_if(F.col("outcome") == "http_429").alias("rejected"),
+        F.count_if(~good).alias("not_ok"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.count_if(good & F.col("valid_reply")).alias("valid_replies"),
+    ).withColumn("rate", F.col("ok") / F.col("wall_s")).withColumn(
+        "cost_usd", cost_usd(F.col("input_tokens"), F.col("output_tokens"))
+    )
+    latency = summary(samples.filter(good), by, F.col("t1") - F.col("t0"), {"p50": 0.5, "p95": 0.95}).select(
+        *by, "p50", "p95", "max"
+    )
+    # Limit kinds are few per run: their lowest share becomes one text.
+    room = min_headroom(samples, by, headers).groupBy(*by).agg(F.min("headroom").alias("lowest_headroom"))
+    # Stop reasons are a short fixed vocabulary.
+    reasons = samples.filter(good).groupBy(*by, "stop_reason").agg(F.count(F.lit(1)).alias("_n"))
+    listed = reasons.groupBy(*by).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat("stop_reason", F.lit(": "), F.col("_n").cast("string")))), ", ").alias("stop_reasons")
+    )
+    return sums.join(latency, list(by), "left").join(room, list(by), "left").join(listed, list(by), "left")

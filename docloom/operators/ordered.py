@@ -9,16 +9,27 @@ pre-aggregated table) supplies what all earlier chunks contribute.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.session import cut
+
 WIDTH = 1 << 16
+# Distinct values of one group that one task may hold (about 16 bytes each).
+GROUP_LIMIT = 1_000_000
 _CHUNK = "_chunk"
 
 
+def require_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Refuse null group keys, which the joins below would lose without a word."""
+    if not by:
+        return df
+    filled = " AND ".join(f"`{name}` IS NOT NULL" for name in by)
+    return df.filter(f"assert_true({filled}, 'group keys must not be null') IS NULL")
+
+
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also works for an empty key list (one-row right side)."""
     if keys:
@@ -62,7 +73,7 @@ def running_totals(
     ``order`` is a whole number, unique within the group. Null summands count as zero.
     """
     names = list(totals)
-    parts = df.select(
+    parts = require_keys(df, by).select(
         "*",
         F.floor(F.col(order) / width).alias(_CHUNK),
         *[F.coalesce(expr, F.lit(0)).alias(f"_in_{n}") for n, expr in totals.items()],
@@ -89,7 +100,7 @@ def neighbour_values(
     df: DataFrame, by: Sequence[str], order: str, value: str, before: str, after: str, width: int = WIDTH
 ) -> DataFrame:
     """Previous and next ``value`` of each row by a unique whole-number ``order`` column."""
-    parts = df.withColumn(_CHUNK, F.floor(F.col(order) / width))
+    parts = require_keys(df, by).withColumn(_CHUNK, F.floor(F.col(order) / width))
     frame = W.partitionBy(*by, _CHUNK).orderBy(order)
     ends = parts.groupBy(*by, _CHUNK).agg(
         F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last")
@@ -116,13 +127,13 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out
 def sorted_ordinal(df: DataFrame, order: Sequence[Column], out: str = "seq") -> DataFrame:
     """Number all rows from 1 in a global sort order of any type.
 
-    Range-partitioned sort, fixed in the shared scratch folder so that partition numbers stay
-    the same, then per-partition counts give each partition its offset.
+    Range-partitioned sort, written with its partition numbers to the shared scratch folder;
+    per-partition counts then give each partition its offset.
     """
-    from docloom.session import cut
-
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).select(
-        "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid")
+    ranged = cut(
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_mid"))
     )
     # One row per partition; the first identifier of a partition is its smallest.
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
@@ -141,58 +152,62 @@ def quantiles(
     by: Sequence[str],
     value: Column,
     probs: dict[str, float],
-    slices: int = 64,
     weight: Column | None = None,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per group, plus ``n``.
 
-    Equal values are counted first (map-side). A quantile sketch of bounded size cuts each
-    group's values into slices; slice totals say which few slices hold the wanted ranks, and
-    only those are sorted, one slice per task. NaN and null are left out.
+    Equal values are counted first (map-side). A group with at most ``limit`` distinct values
+    is finished by the built-in weighted percentile, whose state is that count table; a larger
+    one is cut into slices of its value range. NaN and null values are left out.
     """
-    by = list(by)
-    clean = df.select(*by, value.cast("double").alias("_v"), (weight if weight is not None else F.lit(1)).alias("_w"))
-    clean = clean.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = clean.groupBy(*by, "_v").agg(F.sum("_w").cast("bigint").alias("_c"))
-    cuts = [i / slices for i in range(1, slices)]
+    keys = list(by) or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    rows = require_keys(rows, keys).select(
+        *keys, value.cast("double").alias("_v"), (weight if weight is not None else F.lit(1)).alias("_w")
+    )
+    counts = cut(rows.filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*keys, "_v").agg(F.expr("sum(_w) AS _c")))
+    large = counts.groupBy(*keys).agg(F.expr("count(*) AS _d")).filter(f"_d > {limit}").select(*keys)
+    any_large = not large.isEmpty()
+    small = counts.join(large, keys, "left_anti") if any_large else counts
+    wanted = ", ".join(f"{p}D" for p in probs.values())
+    ready = small.groupBy(*keys).agg(F.expr("sum(_c) AS n"), F.expr(f"percentile(_v, array({wanted}), _c) AS _q"))
+    found = ready.selectExpr(*keys, "n", *[f"_q[{i}] AS {name}" for i, name in enumerate(probs)])
+    if any_large:
+        found = found.unionByName(_sliced_quantiles(counts.join(large, keys, "left_semi"), keys, probs))
+    return found.drop("_all")
+
+
+def _sliced_quantiles(counts: DataFrame, by: list[str], probs: dict[str, float], slices: int = 64) -> DataFrame:
+    """Quantiles of (…by, _v, _c) rows for groups too large for one task.
+
+    A quantile sketch of bounded size cuts each group's values into slices; slice totals say
+    which few slices hold the wanted ranks, and only those are sorted, one slice per task.
+    """
+    cuts = ", ".join(f"{i / slices}D" for i in range(1, slices))
     shape = counts.groupBy(*by).agg(
-        F.sum("_c").alias("_n"), F.percentile_approx("_v", cuts, 16 * slices).alias("_cuts")
-    )
-    sliced = match_keys(counts, shape, by).select(
-        *by, "_v", "_c", "_n", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias(_CHUNK)
+        F.expr("sum(_c) AS _n"), F.expr(f"percentile_approx(_v, array({cuts}), {16 * slices}) AS _cuts")
     )
-    weights = sliced.groupBy(*by, _CHUNK).agg(F.sum("_c").alias("_t"), F.max("_n").alias("_n"))
+    sliced = counts.join(shape, by).selectExpr(*by, "_v", "_c", "_n", f"size(filter(_cuts, c -> c < _v)) AS {_CHUNK}")
+    weights = sliced.groupBy(*by, _CHUNK).agg(F.expr("sum(_c) AS _t"), F.expr("max(_n) AS _n"))
     # At most ``slices`` rows per group.
     run = W.partitionBy(*by).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     placed = weights.withColumn("_off", F.coalesce(F.sum("_t").over(run), F.lit(0)))
-
-    def rank(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("_n") - 1)
-
-    def touches(p: float) -> Column:
-        low, high = F.floor(rank(p)), F.ceil(rank(p))
-        return ((low >= F.col("_off")) & (low < F.col("_off") + F.col("_t"))) | (
-            (high >= F.col("_off")) & (high < F.col("_off") + F.col("_t"))
-        )
-
-    wanted = placed.filter(reduce(lambda a, b: a | b, [touches(p) for p in probs.values()])).select(
-        *by, _CHUNK, "_off"
-    )
+    rank = {name: f"({p}D * (_n - 1))" for name, p in probs.items()}
+    ends = [f"{end}({r})" for r in rank.values() for end in ("floor", "ceil")]
+    needed = placed.filter(" OR ".join(f"({e} >= _off AND {e} < _off + _t)" for e in ends)).select(*by, _CHUNK, "_off")
     inside = W.partitionBy(*by, _CHUNK).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sliced.join(wanted, [*by, _CHUNK]).withColumn("_cum", F.sum("_c").over(inside) + F.col("_off"))
-    aggregates = []
-    for name, p in probs.items():
-        aggregates.append(F.min(F.when(F.col("_cum") > F.floor(rank(p)), F.col("_v"))).alias(f"_lo_{name}"))
-        aggregates.append(F.min(F.when(F.col("_cum") > F.ceil(rank(p)), F.col("_v"))).alias(f"_hi_{name}"))
-    found = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *aggregates)
-    return found.select(
-        *by,
-        F.col("_n").alias("n"),
+    ranked = sliced.join(needed, [*by, _CHUNK]).withColumn("_cum", F.sum("_c").over(inside) + F.col("_off"))
+    found = ranked.groupBy(*by).agg(
+        F.expr("max(_n) AS _n"),
         *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (rank(p) - F.floor(rank(p)))
-            ).alias(name)
-            for name, p in probs.items()
+            F.expr(f"min(CASE WHEN _cum > {end}({r}) THEN _v END) AS _{end}_{name}")
+            for name, r in rank.items()
+            for end in ("floor", "ceil")
         ],
     )
+    return found.selectExpr(
+        *by,
+        "_n AS n",
+        *[f"_floor_{n} + (_ceil_{n} - _floor_{n}) * ({r} - floor({r})) AS {n}" for n, r in rank.items()],
+    )

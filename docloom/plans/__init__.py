@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("scalars", "changelog", "storage", "corpus")
+AREAS = ("scalars", "changelog", "storage", "corpus", "ledgers", "latency", "streams")
 
 
 def load_all() -> None:

@@ -250,7 +250,7 @@ def declaration_blocks(spark, sf_dir):
 decl AS (SELECT page_id, block_no FROM (SELECT page_id, min(block_no) AS block_no, arg_min(kind, block_no) AS kind
          FROM sectioned WHERE section_no = 0 AND kind <> 'para' GROUP BY page_id) WHERE kind = 'code'),
 body AS (SELECT l.page_id, CASE WHEN d.block_no IS NOT NULL THEN 1 WHEN section_no = 0 THEN 2 WHEN section_no > 0 THEN 3 ELSE 4 END AS part,
-    l.block_no AS ord, CASE WHEN kind = 'heading' AND level <= top THEN replace(upper(text), 'ß', 'SS') WHEN kind = 'heading' THEN '  ' || text ELSE '    ' || text END AS line
+    l.block_no AS ord, CASE WHEN kind = 'heading' AND level <= top THEN upper(replace(text, 'ß', 'ss')) WHEN kind = 'heading' THEN '  ' || text ELSE '    ' || text END AS line
   FROM leveled l LEFT JOIN decl d ON l.page_id = d.page_id AND l.block_no = d.block_no),
 rows AS (SELECT page_id, part, ord, line FROM body
   UNION ALL SELECT DISTINCT page_id, part, -1, CASE part WHEN 1 THEN 'SYNOPSIS' WHEN 2 THEN 'DESCRIPTION' ELSE 'NOTES' END FROM body WHERE part IN (1, 2, 4)

@@ -165,8 +165,12 @@ ATTEMPTS = """attempts AS (
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts_from(table(spark, sf_dir, "events"))
+
+
+def attempts_from(events: DataFrame) -> DataFrame:
     number, kind = F.col("event_id"), F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("run_id"),
         number.alias("serial"),
         "ts",

@@ -24,7 +24,7 @@ def check_required(spark, sf_dir):
     return sets.missing_keys(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-def _store_rows(spark, sf_dir):
+def store_rows(spark, sf_dir):
     """Full store rows for labelled entries, one per distinct text."""
     labelled = fixtures.entries(spark, sf_dir).join(fixtures.entry_store(spark, sf_dir), "page_ord")
     first = labelled.groupBy("key").agg(
@@ -47,7 +47,7 @@ def _written_lines(spark, sf_dir):
     """Store rows written as JSON lines, every seventh damaged in one of several ways."""
     stamp = F.get_json_object("value", "$.classified_at").cast("double").cast("bigint")
     kind = F.col("_n") % 35
-    damaged = files.store_lines(_store_rows(spark, sf_dir)).withColumn("_n", stamp).select(
+    damaged = files.store_lines(store_rows(spark, sf_dir)).withColumn("_n", stamp).select(
         F.when(kind == 0, F.lit('{"key": "torn'))
         .when(kind == 7, F.lit('{"key": "k"}'))
         .when(kind == 14, F.regexp_replace("value", '"breaking":(true|false)', '"breaking":"yes"'))
@@ -80,7 +80,7 @@ SELECT f.key, s.category, s.breaking, CASE WHEN s.breaking THEN 'names a removed
 FROM first f JOIN entries e USING (page_ord) JOIN entry_store s USING (page_ord)""")
 def write_jsonl(spark, sf_dir):
     path = scratch_path(spark, "jsonl")
-    files.write_jsonl(_store_rows(spark, sf_dir), path)
+    files.write_jsonl(store_rows(spark, sf_dir), path)
     good, _ = files.read_strict_jsonl(spark, path)
     return good.select(
         "key", "category", "breaking", "breaking_reason", "release", "text", F.unix_seconds("classified_at").alias("at")
@@ -145,7 +145,7 @@ def read_store(spark, sf_dir):
 def stored_keys(spark, sf_dir):
     """Keys of a store committed in two snapshots (the second replaces some rows)."""
     root = scratch_path(spark, "store")
-    rows = _store_rows(spark, sf_dir)
+    rows = store_rows(spark, sf_dir)
     store.commit_snapshot(rows.filter("substr(key, 1, 1) < '8'"), root)
     current = store.read_snapshot(spark, root)
     store.commit_snapshot(store.upsert(current, rows.filter("substr(key, 1, 1) > '4'")), root)

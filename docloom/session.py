@@ -48,6 +48,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage (for iterated joins)."""
-    scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and go on from there.
+
+    It drops the lineage of iterated or much-used tables: a lost executor costs a re-read, not
+    a recomputation, and the plans on top stay small.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -188,11 +188,15 @@ def read_manifest_strict(spark: SparkSession, path: str, path_pattern: str) -> t
 # -- benchmark cells -----------------------------------------------------------
 
 
-def scan_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark cell files, one row per sample; a run without results keeps one flagged row."""
-    cells = spark.read.schema(CELL_SCHEMA).json(path, multiLine=True)
+def cells_from(cells: DataFrame) -> DataFrame:
+    """One row per sample; a run without results keeps one flagged row."""
     samples = F.col("worker.samples")
     zipped = F.arrays_zip(*[samples[n].alias(n) for n in ("t0", "t1", "server_recv", "server_send", "delay", "error")])
     return cells.select(
         "cell.*", F.col("worker").isNotNull().alias("completed"), F.col("worker.wall_s").alias("wall_s"), F.inline_outer(zipped)
     )
+
+
+def scan_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Benchmark cell files, one JSON object per file."""
+    return cells_from(spark.read.schema(CELL_SCHEMA).json(path, multiLine=True))

@@ -55,9 +55,11 @@ class StateTable:
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a table as a stream."""
+    """Parquet files of a table (a folder, or one file) as a stream."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    # A pattern that matches only this path: the file source refuses the plain name of one file.
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 # -- store ingestion -----------------------------------------------------------
