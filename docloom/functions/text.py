@@ -100,7 +100,9 @@ def main_content(html: Column) -> Column:
 
 def result_key(version: Column, model: Column, effort: Column, text: Column) -> Column:
     """Content key of a scored text: SHA-256 over the settings and the stripped text."""
-    return F.sha2(F.concat_ws("\n", version, model, effort, strip(text)), 256)
+    digest = F.sha2(F.concat_ws("\n", version, model, effort, strip(text)), 256)
+    # Declared non-null: else every join on the key hashes the text once more to test for null.
+    return F.coalesce(digest, F.lit(""))
 
 
 def quantity(n: Column, one: str, many: str | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import quantity
 from docloom.functions.versions import format_version, version_literal
-from docloom.operators.ordered import neighbour_values, with_ordinal
+from docloom.operators.ordered import chunk_of, neighbour_values, with_ordinal
 
 # Groups of a diff, in display order, with their headings.
 GROUPS = (
@@ -23,7 +23,8 @@ UNCLASSIFIED = "pending"
 
 
 def group_dimension(spark) -> DataFrame:
-    return spark.createDataFrame(list(GROUPS), "grp string, grp_rank int, heading string")
+    rows = ", ".join(f"('{grp}', {rank}, '{heading}')" for grp, rank, heading in GROUPS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS groups(grp, grp_rank, heading)")
 
 
 def version_range(df: DataFrame, first: str, second: str, column: str = "version") -> DataFrame:
@@ -42,8 +43,8 @@ def nearest_known(probes: DataFrame, known: DataFrame, key: str = "vnum") -> Dat
     and, past its ends, at the nearest non-empty ranges: equi-joins only.
     """
     width = 1 << 16
-    known = known.select(F.col(key).alias("_k")).distinct().withColumn("_r", F.floor(F.col("_k") / width))
-    mine = probes.select(key).distinct().withColumn("_r", F.floor(F.col(key) / width))
+    known = known.select(F.col(key).alias("_k")).distinct().withColumn("_r", chunk_of("_k", width))
+    mine = probes.select(key).distinct().withColumn("_r", chunk_of(key, width))
     # Both sides in one ordered stream, per range; unique because of the kind flag.
     both = known.select("_r", F.col("_k").alias("_x"), F.lit(1).alias("_known")).unionByName(
         mine.select("_r", F.col(key).alias("_x"), F.lit(0).alias("_known"))

@@ -34,26 +34,40 @@ def reachable(edges: DataFrame, seeds: DataFrame, fold_every: int = 8) -> DataFr
     return seen
 
 
+def _hop(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Jump tables (n, to) one after the other."""
+    return first.join(second.select(F.col("n").alias("to"), F.col("to").alias("_far")), "to").select(
+        "n", F.col("_far").alias("to")
+    )
+
+
 def reading_order(pages: DataFrame, starts: DataFrame, node: str = "node", succ: str = "next") -> DataFrame:
-    """Rank of every page along the ``next`` chain from each start (by pointer doubling).
+    """Rank of every page along the ``next`` chain from each start (by pointer jumping).
 
     ``pages`` holds (node, next), ``starts`` (start); a chain ends at null, at a page that is
     not in the table (which still gets its rank) or at a page already ranked. Every round
-    doubles the covered length.
+    covers four times the length of the one before.
     """
-    jump = cut(pages.filter(F.col(succ).isNotNull()).select(F.col(node).alias("n"), F.col(succ).alias("to")))
+    one = cut(pages.filter(F.col(succ).isNotNull()).select(F.col(node).alias("n"), F.col(succ).alias("to")))
     ranks = cut(starts.select(F.col("start"), F.col("start").alias("n"), F.lit(0).cast("bigint").alias("rank")))
-    span = 1
+    ranked, span = ranks.count(), 1
+
+    def ahead(jump: DataFrame, steps: int) -> DataFrame:
+        return ranks.join(jump, "n").select("start", F.col("to").alias("n"), (F.col("rank") + steps).alias("rank"))
+
     while True:
-        ahead = ranks.join(jump, "n").select("start", F.col("to").alias("n"), (F.col("rank") + span).alias("rank"))
-        merged = ahead.groupBy("start", "n").agg(F.min("rank").alias("rank"))
-        fresh = cut(merged.join(ranks.select("start", "n"), ["start", "n"], "left_anti"))
-        if fresh.isEmpty():
+        two = cut(_hop(one, one))
+        three = _hop(two, one)
+        reached = ranks
+        for times, jump in ((1, one), (2, two), (3, three)):
+            reached = reached.unionByName(ahead(jump, times * span))
+        # A page met again keeps its first rank.
+        ranks = cut(reached.groupBy("start", "n").agg(F.min("rank").alias("rank")))
+        total = ranks.count()
+        if total == ranked:
             return ranks.withColumnRenamed("n", node)
-        ranks = ranks.unionByName(fresh)  # one written piece per round, few rounds
-        second = jump.select(F.col("n").alias("to"), F.col("to").alias("far"))
-        jump = cut(jump.join(second, "to").select("n", F.col("far").alias("to")))
-        span *= 2
+        ranked, span = total, span * 4
+        one = cut(_hop(two, two))
 
 
 def inherit_up(pages: DataFrame, node: str = "node", up: str = "up", attr: str = "attr", max_rounds: int = 64) -> DataFrame:

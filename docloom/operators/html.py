@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from docloom.functions import markup
 from docloom.functions.links import resolve_href
 from docloom.functions.markup import HEADINGS, Node, text_of
+from docloom.session import spread
 
 # Main containers, admonition classes, containers left out.
 MAIN = ("div.section", "div.chapter", "article")
@@ -236,7 +237,7 @@ def _per_page(pages: DataFrame, key: str, rows_of, schema: str) -> DataFrame:
             rows = [{"page_id": i, **row} for i, html in zip(frame[key], frame["html"]) for row in rows_of(html)]
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select(key, "html").mapInPandas(run, schema)
+    return spread(pages.select(key, "html")).mapInPandas(run, schema)
 
 
 def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:

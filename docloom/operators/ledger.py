@@ -17,7 +17,7 @@ from docloom.functions.costs import (
     input_bound,
     max_tokens_for,
 )
-from docloom.operators.ordered import running_totals, with_ordinal
+from docloom.operators.ordered import chunk_of, running_totals, with_ordinal
 
 # How a failed attempt is accounted.
 FAILURES = (
@@ -96,8 +96,8 @@ def number_batches(pending: DataFrame, order: str, size: int = BATCH_SIZE) -> Da
     numbered = with_ordinal(pending, [], order, "_seq")
     return numbered.select(
         *pending.columns,
-        F.floor((F.col("_seq") - 1) / size).alias("batch_id"),
-        ((F.col("_seq") - 1) % size).alias("place"),
+        F.expr(f"(_seq - 1) div {size}").alias("batch_id"),
+        F.expr(f"(_seq - 1) % {size}").alias("place"),
     )
 
 
@@ -276,12 +276,12 @@ def unfinished_claims(claims: DataFrame, finishes: DataFrame, by: str, within_us
     the limit. A claim is met by the last finish of its own bucket or the first of the next,
     so two equi-joins replace the interval join, without a row pair being formed.
     """
-    spans = finishes.groupBy(by, F.floor(F.col("ts_us") / within_us).alias("_b")).agg(
+    spans = finishes.groupBy(by, chunk_of("ts_us", within_us).alias("_b")).agg(
         F.min("ts_us").alias("_min"), F.max("ts_us").alias("_max")
     )
     own = spans.select(by, "_b", F.col("_max").alias("_own"))
     following = spans.select(by, (F.col("_b") - 1).alias("_b"), F.col("_min").alias("_following"))
-    placed = claims.withColumn("_b", F.floor(F.col("ts_us") / within_us))
+    placed = claims.withColumn("_b", chunk_of("ts_us", within_us))
     matched = placed.join(own, [by, "_b"], "left").join(following, [by, "_b"], "left")
     met = (F.col("_own") >= F.col("ts_us")) | (F.col("_following") <= F.col("ts_us") + within_us)
     return matched.filter(~F.coalesce(met, F.lit(False))).select(*claims.columns)

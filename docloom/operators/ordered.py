@@ -30,6 +30,11 @@ def require_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.filter(f"assert_true({filled}, 'group keys must not be null') IS NULL")
 
 
+def chunk_of(order: str, width: int) -> Column:
+    """Number of the chunk an order key falls into (whole-number division keeps all digits)."""
+    return F.expr(f"`{order}` div {width}")
+
+
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also works for an empty key list (one-row right side)."""
     if keys:
@@ -44,8 +49,7 @@ def _before(totals: DataFrame, by: Sequence[str], columns: dict[str, str]) -> Da
     The chunk totals of one group are themselves cut into spans of ``WIDTH`` chunks, so this
     small table is not gathered into one task either when a group has very many chunks.
     """
-    span = F.floor(F.col(_CHUNK) / WIDTH)
-    spanned = totals.withColumn("_span", span)
+    spanned = totals.withColumn("_span", chunk_of(_CHUNK, WIDTH))
     inner = W.partitionBy(*by, "_span").orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     outer = W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
     spans = spanned.groupBy(*by, "_span").agg(*[F.sum(c).alias(f"{c}_span") for c in columns])
@@ -75,7 +79,7 @@ def running_totals(
     names = list(totals)
     parts = require_keys(df, by).select(
         "*",
-        F.floor(F.col(order) / width).alias(_CHUNK),
+        chunk_of(order, width).alias(_CHUNK),
         *[F.coalesce(expr, F.lit(0)).alias(f"_in_{n}") for n, expr in totals.items()],
     )
     sums = parts.groupBy(*by, _CHUNK).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in names])
@@ -100,7 +104,7 @@ def neighbour_values(
     df: DataFrame, by: Sequence[str], order: str, value: str, before: str, after: str, width: int = WIDTH
 ) -> DataFrame:
     """Previous and next ``value`` of each row by a unique whole-number ``order`` column."""
-    parts = require_keys(df, by).withColumn(_CHUNK, F.floor(F.col(order) / width))
+    parts = require_keys(df, by).withColumn(_CHUNK, chunk_of(order, width))
     frame = W.partitionBy(*by, _CHUNK).orderBy(order)
     ends = parts.groupBy(*by, _CHUNK).agg(
         F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last")

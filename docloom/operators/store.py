@@ -74,7 +74,8 @@ def freshest_snapshot(
 
 
 def fingerprint(parser_version: str, key: Column, payload: Column) -> Column:
-    return F.sha2(F.concat_ws("\n", F.lit(parser_version), key.cast("string"), payload), 256)
+    digest = F.sha2(F.concat_ws("\n", F.lit(parser_version), key.cast("string"), payload), 256)
+    return F.coalesce(digest, F.lit(""))  # declared non-null, see ``text.result_key``
 
 
 def cache_split(df: DataFrame, cached: DataFrame, key: str) -> DataFrame:
