@@ -78,7 +78,8 @@ def cell_metrics(samples: DataFrame, by: Sequence[str]) -> DataFrame:
         (F.max("t1") - F.min("t0")).alias("wall_s"),
         F.avg(F.when(ok, F.col("delay"))).alias("mean_delay_s"),
     )
-    return sums.join(kinds, list(by), "left").withColumn("error_kinds", F.coalesce("error_kinds", F.lit(""))).withColumn(
+    found = match_keys(sums, kinds, list(by), "left")
+    return found.withColumn("error_kinds", F.coalesce("error_kinds", F.lit(""))).withColumn(
         "throughput", (F.col("requests") - F.col("errors")) / F.col("wall_s")
     )
 
@@ -100,7 +101,7 @@ def sweep_table(cells: DataFrame, samples: DataFrame, cell: Sequence[str]) -> Da
     without samples count as failed, and a group with only failed cells is kept.
     """
     group = ["concurrency", "mode"]
-    measured = cells.join(cell_metrics(samples, cell), list(cell), "left").withColumn(
+    measured = match_keys(cells, cell_metrics(samples, cell), list(cell), "left").withColumn(
         "completed", F.col("wall_s").isNotNull()
     )
     grid = measured.groupBy(*group).agg(
@@ -115,8 +116,9 @@ def sweep_table(cells: DataFrame, samples: DataFrame, cell: Sequence[str]) -> Da
         *group, F.col("mid").alias("rate_med"), F.col("low").alias("rate_min"), F.col("high").alias("rate_max")
     )
     over = quantiles(path_times(samples), cell, F.col("overhead_ms"), SUMMARY_PROBS)
-    table = grid.join(rate, group, "left")
-    table = table.join(column_quantiles(over, group, {f"overhead_{n}": (n, 0.5) for n in SUMMARY_PROBS}), group, "left")
+    table = match_keys(grid, rate, group, "left")
+    middle = column_quantiles(over, group, {f"overhead_{n}": (n, 0.5) for n in SUMMARY_PROBS})
+    table = match_keys(table, middle, group, "left")
     ideal = ideal_throughput(
         F.col("planned"), F.col("concurrency"), F.col("latency_s"), F.col("jitter"), F.col("mode").isin(*POOLED_MODES)
     )
@@ -141,7 +143,7 @@ def size_table(cells: DataFrame, overhead: DataFrame) -> DataFrame:
     )
     errors = cells.groupBy(*group).agg(F.sum("errors").alias("errors"))
     middle = column_quantiles(overhead, group, {"overhead_p50": ("p50", 0.5), "overhead_p99": ("p99", 0.5)})
-    return rate.join(errors, group).join(middle, group).withColumn("size_rank", position_in(F.col("size"), SIZE_ORDER))
+    return match_keys(match_keys(rate, errors, group), middle, group).withColumn("size_rank", position_in(F.col("size"), SIZE_ORDER))
 
 
 def worst_health(cells: DataFrame, by: str, values: list[str]) -> DataFrame:
@@ -188,7 +190,7 @@ def error_kinds(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     kinds = samples.filter(F.col("error").isNotNull()).select(*by, short_error(F.col("error")).alias("_k")).distinct()
     lists = kinds.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("_k")), ", ").alias("_kinds"))
     text = F.concat(F.col("errors").cast("string"), F.lit(" "), F.col("_kinds"))
-    return totals.join(lists, list(by), "left").select(
+    return match_keys(totals, lists, list(by), "left").select(
         *by, "errors", F.when(F.col("errors") > 0, text).otherwise(F.lit("0")).alias("kinds")
     )
 
@@ -252,4 +254,6 @@ def run_tables(samples: DataFrame, by: Sequence[str], headers: Column) -> DataFr
     listed = reasons.groupBy(*by).agg(
         F.array_join(F.array_sort(F.collect_list(F.concat("stop_reason", F.lit(": "), F.col("_n").cast("string")))), ", ").alias("stop_reasons")
     )
-    return sums.join(latency, list(by), "left").join(room, list(by), "left").join(listed, list(by), "left")
+    for part in (latency, room, listed):
+        sums = match_keys(sums, part, list(by), "left")
+    return sums

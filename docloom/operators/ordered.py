@@ -20,14 +20,13 @@ WIDTH = 1 << 16
 # Distinct values of one group that one task may hold (about 16 bytes each).
 GROUP_LIMIT = 1_000_000
 _CHUNK = "_chunk"
+_GROUP = "_group"
 
 
-def require_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Refuse null group keys, which the joins below would lose without a word."""
-    if not by:
-        return df
-    filled = " AND ".join(f"`{name}` IS NOT NULL" for name in by)
-    return df.filter(f"assert_true({filled}, 'group keys must not be null') IS NULL")
+def group_key(by: Sequence[str]) -> Column:
+    """The group columns as one struct, which is never null and compares null fields as equal,
+    so joins on it lose no group. Without columns all rows are one group."""
+    return F.struct(*by) if by else F.lit(0)
 
 
 def chunk_of(order: str, width: int) -> Column:
@@ -36,31 +35,32 @@ def chunk_of(order: str, width: int) -> Column:
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` that also works for an empty key list (one-row right side)."""
-    if keys:
-        return left.join(right, list(keys), how)
-    # The right side is the result of a global aggregate: exactly one row.
-    return left.join(F.broadcast(right))
+    """Join per-group results: null group keys match, and no keys means a one-row right side."""
+    if not keys:
+        return left.join(F.broadcast(right))
+    rest = [name for name in right.columns if name not in keys]
+    keyed = right.select(group_key(keys).alias(_GROUP), *rest)
+    return left.withColumn(_GROUP, group_key(keys)).join(keyed, _GROUP, how).drop(_GROUP)
 
 
-def _before(totals: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+def _before(totals: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Per chunk, the sum of ``columns`` over all earlier chunks of the same group.
 
     The chunk totals of one group are themselves cut into spans of ``WIDTH`` chunks, so this
     small table is not gathered into one task either when a group has very many chunks.
     """
     spanned = totals.withColumn("_span", chunk_of(_CHUNK, WIDTH))
-    inner = W.partitionBy(*by, "_span").orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    outer = W.partitionBy(*by).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    spans = spanned.groupBy(*by, "_span").agg(*[F.sum(c).alias(f"{c}_span") for c in columns])
+    inner = W.partitionBy(_GROUP, "_span").orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    outer = W.partitionBy(_GROUP).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    spans = spanned.groupBy(_GROUP, "_span").agg(*[F.sum(c).alias(f"{c}_span") for c in columns])
     spans = spans.select(
-        *by, "_span", *[F.coalesce(F.sum(f"{c}_span").over(outer), F.lit(0)).alias(f"{c}_span") for c in columns]
+        _GROUP, "_span", *[F.coalesce(F.sum(f"{c}_span").over(outer), F.lit(0)).alias(f"{c}_span") for c in columns]
     )
     within = spanned.select(
-        *by, _CHUNK, "_span", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c) for c in columns]
+        _GROUP, _CHUNK, "_span", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c) for c in columns]
     )
-    return within.join(spans, [*by, "_span"]).select(
-        *by, _CHUNK, *[(F.col(c) + F.col(f"{c}_span")).alias(out) for c, out in columns.items()]
+    return within.join(spans, [_GROUP, "_span"]).select(
+        _GROUP, _CHUNK, *[(F.col(c) + F.col(f"{c}_span")).alias(out) for c, out in columns.items()]
     )
 
 
@@ -77,19 +77,20 @@ def running_totals(
     ``order`` is a whole number, unique within the group. Null summands count as zero.
     """
     names = list(totals)
-    parts = require_keys(df, by).select(
+    parts = df.select(
         "*",
+        group_key(by).alias(_GROUP),
         chunk_of(order, width).alias(_CHUNK),
         *[F.coalesce(expr, F.lit(0)).alias(f"_in_{n}") for n, expr in totals.items()],
     )
-    sums = parts.groupBy(*by, _CHUNK).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in names])
-    earlier = _before(sums, by, {f"_t_{n}": f"_b_{n}" for n in names})
+    keys = [_GROUP, _CHUNK]
+    sums = parts.groupBy(*keys).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in names])
+    earlier = _before(sums, {f"_t_{n}": f"_b_{n}" for n in names})
     last = 0 if inclusive else -1
-    frame = W.partitionBy(*by, _CHUNK).orderBy(order).rowsBetween(W.unboundedPreceding, last)
+    frame = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, last)
     local = parts.select(
-        *df.columns, _CHUNK, *[F.coalesce(F.sum(f"_in_{n}").over(frame), F.lit(0)).alias(f"_l_{n}") for n in names]
+        *df.columns, *keys, *[F.coalesce(F.sum(f"_in_{n}").over(frame), F.lit(0)).alias(f"_l_{n}") for n in names]
     )
-    keys = [*by, _CHUNK]
     return local.join(earlier, keys).select(
         *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in names]
     )
@@ -104,17 +105,16 @@ def neighbour_values(
     df: DataFrame, by: Sequence[str], order: str, value: str, before: str, after: str, width: int = WIDTH
 ) -> DataFrame:
     """Previous and next ``value`` of each row by a unique whole-number ``order`` column."""
-    parts = require_keys(df, by).withColumn(_CHUNK, chunk_of(order, width))
-    frame = W.partitionBy(*by, _CHUNK).orderBy(order)
-    ends = parts.groupBy(*by, _CHUNK).agg(
-        F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last")
-    )
-    across = W.partitionBy(*by).orderBy(_CHUNK)
+    parts = df.select("*", group_key(by).alias(_GROUP), chunk_of(order, width).alias(_CHUNK))
+    keys = [_GROUP, _CHUNK]
+    frame = W.partitionBy(*keys).orderBy(order)
+    ends = parts.groupBy(*keys).agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    across = W.partitionBy(_GROUP).orderBy(_CHUNK)
     ends = ends.select(
-        *by, _CHUNK, F.lag("_last").over(across).alias("_from_before"), F.lead("_first").over(across).alias("_from_after")
+        *keys, F.lag("_last").over(across).alias("_from_before"), F.lead("_first").over(across).alias("_from_after")
     )
     local = parts.withColumn("_lag", F.lag(value).over(frame)).withColumn("_lead", F.lead(value).over(frame))
-    return local.join(ends, [*by, _CHUNK]).select(
+    return local.join(ends, keys).select(
         *df.columns,
         F.coalesce("_lag", "_from_before").alias(before),
         F.coalesce("_lead", "_from_after").alias(after),
@@ -165,44 +165,42 @@ def quantiles(
     is finished by the built-in weighted percentile, whose state is that count table; a larger
     one is cut into slices of its value range. NaN and null values are left out.
     """
-    keys = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(0))
-    rows = require_keys(rows, keys).select(
-        *keys, value.cast("double").alias("_v"), (weight if weight is not None else F.lit(1)).alias("_w")
+    rows = df.select(
+        group_key(by).alias(_GROUP), value.cast("double").alias("_v"), (weight if weight is not None else F.lit(1)).alias("_w")
     )
-    counts = cut(rows.filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*keys, "_v").agg(F.expr("sum(_w) AS _c")))
-    large = counts.groupBy(*keys).agg(F.expr("count(*) AS _d")).filter(f"_d > {limit}").select(*keys)
+    counts = cut(rows.filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(_GROUP, "_v").agg(F.expr("sum(_w) AS _c")))
+    large = counts.groupBy(_GROUP).agg(F.expr("count(*) AS _d")).filter(f"_d > {limit}").select(_GROUP)
     any_large = not large.isEmpty()
-    small = counts.join(large, keys, "left_anti") if any_large else counts
+    small = counts.join(large, _GROUP, "left_anti") if any_large else counts
     wanted = ", ".join(f"{p}D" for p in probs.values())
-    ready = small.groupBy(*keys).agg(F.expr("sum(_c) AS n"), F.expr(f"percentile(_v, array({wanted}), _c) AS _q"))
-    found = ready.selectExpr(*keys, "n", *[f"_q[{i}] AS {name}" for i, name in enumerate(probs)])
+    ready = small.groupBy(_GROUP).agg(F.expr("sum(_c) AS n"), F.expr(f"percentile(_v, array({wanted}), _c) AS _q"))
+    found = ready.selectExpr(_GROUP, "n", *[f"_q[{i}] AS {name}" for i, name in enumerate(probs)])
     if any_large:
-        found = found.unionByName(_sliced_quantiles(counts.join(large, keys, "left_semi"), keys, probs))
-    return found.drop("_all")
+        found = found.unionByName(_sliced_quantiles(counts.join(large, _GROUP, "left_semi"), probs))
+    return found.select(*[F.col(_GROUP)[name].alias(name) for name in by], "n", *probs)
 
 
-def _sliced_quantiles(counts: DataFrame, by: list[str], probs: dict[str, float], slices: int = 64) -> DataFrame:
-    """Quantiles of (…by, _v, _c) rows for groups too large for one task.
+def _sliced_quantiles(counts: DataFrame, probs: dict[str, float], slices: int = 64) -> DataFrame:
+    """Quantiles of (_group, _v, _c) rows for groups too large for one task.
 
     A quantile sketch of bounded size cuts each group's values into slices; slice totals say
     which few slices hold the wanted ranks, and only those are sorted, one slice per task.
     """
     cuts = ", ".join(f"{i / slices}D" for i in range(1, slices))
-    shape = counts.groupBy(*by).agg(
+    shape = counts.groupBy(_GROUP).agg(
         F.expr("sum(_c) AS _n"), F.expr(f"percentile_approx(_v, array({cuts}), {16 * slices}) AS _cuts")
     )
-    sliced = counts.join(shape, by).selectExpr(*by, "_v", "_c", "_n", f"size(filter(_cuts, c -> c < _v)) AS {_CHUNK}")
-    weights = sliced.groupBy(*by, _CHUNK).agg(F.expr("sum(_c) AS _t"), F.expr("max(_n) AS _n"))
+    sliced = counts.join(shape, _GROUP).selectExpr(_GROUP, "_v", "_c", "_n", f"size(filter(_cuts, c -> c < _v)) AS {_CHUNK}")
+    weights = sliced.groupBy(_GROUP, _CHUNK).agg(F.expr("sum(_c) AS _t"), F.expr("max(_n) AS _n"))
     # At most ``slices`` rows per group.
-    run = W.partitionBy(*by).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    run = W.partitionBy(_GROUP).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     placed = weights.withColumn("_off", F.coalesce(F.sum("_t").over(run), F.lit(0)))
     rank = {name: f"({p}D * (_n - 1))" for name, p in probs.items()}
     ends = [f"{end}({r})" for r in rank.values() for end in ("floor", "ceil")]
-    needed = placed.filter(" OR ".join(f"({e} >= _off AND {e} < _off + _t)" for e in ends)).select(*by, _CHUNK, "_off")
-    inside = W.partitionBy(*by, _CHUNK).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sliced.join(needed, [*by, _CHUNK]).withColumn("_cum", F.sum("_c").over(inside) + F.col("_off"))
-    found = ranked.groupBy(*by).agg(
+    needed = placed.filter(" OR ".join(f"({e} >= _off AND {e} < _off + _t)" for e in ends)).select(_GROUP, _CHUNK, "_off")
+    inside = W.partitionBy(_GROUP, _CHUNK).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = sliced.join(needed, [_GROUP, _CHUNK]).withColumn("_cum", F.sum("_c").over(inside) + F.col("_off"))
+    found = ranked.groupBy(_GROUP).agg(
         F.expr("max(_n) AS _n"),
         *[
             F.expr(f"min(CASE WHEN _cum > {end}({r}) THEN _v END) AS _{end}_{name}")
@@ -211,7 +209,7 @@ def _sliced_quantiles(counts: DataFrame, by: list[str], probs: dict[str, float],
         ],
     )
     return found.selectExpr(
-        *by,
+        _GROUP,
         "_n AS n",
         *[f"_floor_{n} + (_ceil_{n} - _floor_{n}) * ({r} - floor({r})) AS {n}" for n, r in rank.items()],
     )

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from docloom.operators import ordered
@@ -95,10 +94,15 @@ def test_quantiles_weighted_and_nan(spark, limit):
     assert row.n == 100 and row.q == pytest.approx(np.quantile(values, 0.03)) and row.m == 9.0
 
 
-def test_null_group_keys_are_refused(spark):
-    df = spark.createDataFrame([(None, 1), ("a", 2)], "grp string, ord bigint")
-    with pytest.raises(PySparkException, match="must not be null"):
-        ordered.with_ordinal(df, ["grp"], "ord").collect()
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_null_group_keys_are_a_group(spark, limit):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "grp string, ord bigint")
+    placed = ordered.with_ordinal(df, ["grp"], "ord", width=1).collect()
+    assert {(r.grp, r.ord, r.seq) for r in placed} == {(None, 1, 1), ("a", 2, 1), (None, 3, 2)}
+    beside = ordered.neighbour_values(df, ["grp"], "ord", "ord", "b", "a", width=1).collect()
+    assert {(r.grp, r.ord, r.b, r.a) for r in beside} == {(None, 1, None, 3), ("a", 2, None, None), (None, 3, 1, None)}
+    middle = ordered.quantiles(df, ["grp"], F.col("ord"), {"q": 0.5}, limit=limit).collect()
+    assert {(r.grp, r.n, r.q) for r in middle} == {(None, 2, 2.0), ("a", 1, 2.0)}
 
 
 def test_large_order_keys_keep_all_digits(spark):
