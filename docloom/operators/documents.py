@@ -242,25 +242,24 @@ def records_from_table(cells: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def index_by_category(headers: DataFrame, groups: DataFrame) -> DataFrame:
+def index_by_category(headers: DataFrame, groups: DataFrame, widths: DataFrame) -> DataFrame:
     """Grid index: header columns spanning several body columns; entries per category and group.
 
     ``headers``: (page_id, table_no, header_no, title, span); ``groups``: (page_id, table_no,
-    column_no, group_no, group_title, entry). A table whose spans do not add up raises when
-    the result is read.
+    column_no, group_no, group_title, entry); ``widths``: (page_id, table_no, n_cols). A table
+    whose spans do not add up to its columns raises when the result is read.
     """
     ends = W.partitionBy("page_id", "table_no").orderBy("header_no")
     placed = headers.withColumn("_end", F.sum("span").over(ends)).withColumn("_start", F.col("_end") - F.col("span"))
     columns = placed.select(
         "page_id", "table_no", "header_no", "title", F.explode(F.sequence(F.col("_start"), F.col("_end") - 1)).alias("column_no")
     )
-    widths = groups.groupBy("page_id", "table_no").agg((F.max("column_no") + 1).alias("_cols"))
     spans = headers.groupBy("page_id", "table_no").agg(F.sum("span").alias("_spans"))
     checked = widths.join(spans, ["page_id", "table_no"]).withColumn(
         "_ok",
-        F.when(F.col("_cols") == F.col("_spans"), F.lit(True)).otherwise(
+        F.when(F.col("n_cols") == F.col("_spans"), F.lit(True)).otherwise(
             F.raise_error(F.format_string("index table %s has %s columns but its headers span %s",
-                                          F.col("table_no").cast("string"), F.col("_cols").cast("string"), F.col("_spans").cast("string")))
+                                          F.col("table_no").cast("string"), F.col("n_cols").cast("string"), F.col("_spans").cast("string")))
         ),
     )
     return (

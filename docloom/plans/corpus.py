@@ -379,7 +379,8 @@ def index_by_category(spark, sf_dir):
     headers = groups.select("page_id", "table_no").distinct().select("page_id", "table_no", F.posexplode(spans).alias("header_no", "h")).select(
         "page_id", "table_no", "header_no", "h.title", "h.span"
     )
-    indexed = documents.index_by_category(headers, groups)
+    widths = groups.select("page_id", "table_no", F.lit(6).alias("n_cols")).distinct()
+    indexed = documents.index_by_category(headers, groups, widths)
     return indexed.groupBy("page_id", "category", "group_title").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,5 +1,9 @@
 """Graph operators: crawl closure, chains with cycles, inheritance, names."""
 
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
 from docloom.operators import documents, graph
 
 
@@ -85,3 +89,14 @@ def test_table_layouts(spark):
     assert {r.tbl: r.layout for r in found.collect()} == {
         "fits": "table", "wide": "rows", "wrap": "wrap", "narrow": "rows", "ragged": "rows", "single": "rows"
     }
+
+
+def test_index_spans_must_add_up(spark):
+    headers = pairs(spark, [(0, 0, 0, "Core", 1), (0, 0, 1, "More", 2)], "page_id int, table_no int, header_no int, title string, span bigint")
+    groups = pairs(spark, [(0, 0, 0, 0, "Classes", "a"), (0, 0, 1, 0, "Classes", "b"), (0, 0, 2, 0, "Types", "c")],
+                   "page_id int, table_no int, column_no int, group_no int, group_title string, entry string")
+    widths = pairs(spark, [(0, 0, 3)], "page_id int, table_no int, n_cols int")
+    found = documents.index_by_category(headers, groups, widths).collect()
+    assert {(r.category, r.group_title, r.entry) for r in found} == {("Core", "Classes", "a"), ("More", "Classes", "b"), ("More", "Types", "c")}
+    with pytest.raises(PySparkException, match="has 4 columns"):
+        documents.index_by_category(headers, groups, widths.withColumn("n_cols", F.lit(4))).collect()
