@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from docloom.functions.names import ancestors
 from docloom.operators.ordered import top_k, with_ordinal
@@ -16,22 +15,24 @@ from docloom.session import cut
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, fold_every: int = 8) -> DataFrame:
-    """Nodes reached from ``seeds`` (node) along ``edges`` (src, dst) with their level."""
-    by_source = edges.select("src", "dst").distinct().repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    """Nodes reached from ``seeds`` (node) along ``edges`` (src, dst) with their level.
+
+    The distinct edges are written once and not partitioned by source: a hub with a third of
+    them would be one partition. Each level's join is planned by the size of its frontier.
+    """
+    distinct = cut(edges.select("src", "dst").distinct())
     seen = cut(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     frontier, level = seen, 0
     while True:
         level += 1
-        step = frontier.join(by_source, frontier["node"] == by_source["src"]).select(F.col("dst").alias("node")).distinct()
+        step = frontier.join(distinct, frontier["node"] == distinct["src"]).select(F.col("dst").alias("node")).distinct()
         found = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("level", F.lit(level)))
         if found.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(found)
         if level % fold_every == 0:
             seen = cut(seen)
         frontier = found
-    by_source.unpersist()
-    return seen
 
 
 def _hop(first: DataFrame, second: DataFrame) -> DataFrame:

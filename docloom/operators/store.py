@@ -1,4 +1,4 @@
-"""Keyed result store kept as immutable Parquet snapshots, and lookups against it."""
+"""Keyed result store kept as immutable Parquet files (full snapshots and changes), and lookups."""
 
 from __future__ import annotations
 
@@ -18,17 +18,18 @@ SCHEMA_VERSION = 1
 # -- set logic -----------------------------------------------------------------
 
 
+def latest_rows(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """The row with the highest ``order`` per key."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_row")).select("_row.*")
+
+
 def upsert(store: DataFrame, new: DataFrame, key: str = "key", order: str | None = None) -> DataFrame:
     """Insert or replace by key: a new row replaces all columns of the stored one.
 
     With ``order`` the highest value wins inside ``new``; the column is then left out.
     """
     columns = store.columns
-    latest = new
-    if order is not None:
-        latest = (
-            new.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_row")).select("_row.*")
-        )
+    latest = new if order is None else latest_rows(new, key, order, columns)
     kept = store.join(latest.select(key), key, "left_anti")
     return kept.select(*columns).unionByName(latest.select(*columns))
 
@@ -105,45 +106,67 @@ def validate_rows(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())
 
 
-# -- snapshots -----------------------------------------------------------------
+# -- stored files --------------------------------------------------------------
+# A store is a folder of numbered writes. A write is a full snapshot or only the changed rows;
+# a row in ``commits`` makes it visible. Reading starts at the newest full snapshot and lets
+# the newest row of each key win, so an upsert costs as much as its rows, not as the store.
 
+_COMMITS = "version bigint, schema_version int, is_full boolean"
+COMPACT_AFTER = 16
 
-def _commits(spark: SparkSession, root: str) -> DataFrame | None:
+
+def _visible(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the writes a reader needs, oldest first (at most ``COMPACT_AFTER`` + 1)."""
     try:
-        return spark.read.schema("version bigint, schema_version int").parquet(f"{root}/commits")
+        log = spark.read.schema(_COMMITS).parquet(f"{root}/commits")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            return None
+            return []
         raise
+    ends = log.agg(F.max("schema_version").alias("layout"), F.max(F.when(F.col("is_full"), F.col("version"))).alias("full")).first()
+    if ends.layout is not None and ends.layout > SCHEMA_VERSION:
+        raise ValueError(f"{root} was written with layout {ends.layout}, newer than {SCHEMA_VERSION}")
+    return sorted(row.version for row in log.filter(F.col("version") >= (ends.full or 0)).select("version").distinct().collect())
 
 
 def latest_version(spark: SparkSession, root: str) -> int:
-    """Newest committed snapshot number, 0 when there is none; refuses a newer layout."""
-    log = _commits(spark, root)
-    if log is None:
-        return 0
-    row = log.agg(F.max("version").alias("v"), F.max("schema_version").alias("s")).first()
-    if row.s is not None and row.s > SCHEMA_VERSION:
-        raise ValueError(f"{root} was written with layout {row.s}, newer than {SCHEMA_VERSION}")
-    return row.v or 0
-
-
-def read_snapshot(spark: SparkSession, root: str, schema: str = STORE_SCHEMA) -> DataFrame:
-    version = latest_version(spark, root)
-    if version == 0:
+    """Newest committed write, 0 when there is none; refuses a newer layout."""
+    return max(_visible(spark, root), default=0)
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: str = STORE_SCHEMA, key: str = "key") -> DataFrame:
+    versions = _visible(spark, root)
+    if not versions:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/data/version={version}")
+    paths = [f"{root}/data/version={v}" for v in versions]
+    rows = spark.read.schema(f"{schema}, version bigint").option("basePath", f"{root}/data").parquet(*paths)
+    columns = [name for name in rows.columns if name != "version"]
+    return rows.select(*columns) if len(versions) == 1 else latest_rows(rows, key, "version", columns)
 
 
-def commit_snapshot(df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next snapshot. Readers see it once its commit row is there."""
+def _commit(df: DataFrame, root: str, is_full: bool) -> int:
     spark = df.sparkSession
     version = latest_version(spark, root) + 1
     df.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-    row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(SCHEMA_VERSION).alias("schema_version"))
+    row = spark.range(1).select(
+        F.lit(version).cast("bigint").alias("version"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(is_full).alias("is_full")
+    )
     row.write.mode("append").parquet(f"{root}/commits")
     return version
 
 
+def commit_snapshot(df: DataFrame, root: str) -> int:
+    """Write ``df`` as the whole store."""
+    return _commit(df, root, is_full=True)
+
+
+def commit_changes(df: DataFrame, root: str, schema: str = STORE_SCHEMA, key: str = "key") -> int:
+    """Write inserted and replaced rows (one per key); now and then the store is compacted."""
+    spark = df.sparkSession
+    if len(_visible(spark, root)) > COMPACT_AFTER:
+        commit_snapshot(read_snapshot(spark, root, schema, key), root)
+    return _commit(df, root, is_full=False)
+
+
 def stored_keys(spark: SparkSession, root: str) -> DataFrame:
     return read_snapshot(spark, root).select("key").distinct()

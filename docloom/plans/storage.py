@@ -143,12 +143,11 @@ def read_store(spark, sf_dir):
 
 @query("a8_stored_keys", "WITH " + fixtures.STORE + " SELECT key FROM store")
 def stored_keys(spark, sf_dir):
-    """Keys of a store committed in two snapshots (the second replaces some rows)."""
+    """Keys of a store written as a snapshot and a change that replaces some of its rows."""
     root = scratch_path(spark, "store")
     rows = store_rows(spark, sf_dir)
     store.commit_snapshot(rows.filter("substr(key, 1, 1) < '8'"), root)
-    current = store.read_snapshot(spark, root)
-    store.commit_snapshot(store.upsert(current, rows.filter("substr(key, 1, 1) > '4'")), root)
+    store.commit_changes(rows.filter("substr(key, 1, 1) > '4'"), root)
     return store.stored_keys(spark, root)
 
 

@@ -89,8 +89,7 @@ def orphan_timeout(spark, sf_dir):
 def stop_reason(spark, sf_dir):
     out, checkpoint = jobs.stream_paths(spark, "reasons")
     jobs.stop_reasons(fixtures.attempts_from(jobs.table_stream(spark, f"{sf_dir}/events.parquet")), out, checkpoint)
-    state = jobs.StateTable(spark, out, "run_id bigint, ts_us bigint, reason string").last()
-    return state.select("run_id", F.col("reason").alias("stop_reason"), F.col("ts_us").alias("stopped_at"))
+    return jobs.read_stop_reasons(spark, out).select("run_id", F.col("reason").alias("stop_reason"), F.col("ts_us").alias("stopped_at"))
 
 
 @query("j7_ttl_snapshot", """
@@ -105,6 +104,6 @@ def ttl_snapshot(spark, sf_dir):
         F.col("event_id").cast("string").alias("body"), (F.col("event_type") != "error").alias("ok"),
     )
     jobs.latest_fetches(stream, out, checkpoint)
-    latest = jobs.StateTable(spark, out, "url bigint, fetched_us bigint, body string").last()
+    latest = jobs.read_fetches(spark, out)
     newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_now"))
     return jobs.with_expiry(latest.join(F.broadcast(newest)), F.col("_now"), 12 * ledgers.HOUR_US).drop("_now")

@@ -44,15 +44,6 @@ class StateTable:
     def write(self, df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/epoch={epoch}")
 
-    def last(self) -> DataFrame:
-        """The newest snapshot."""
-        table = self.spark.read.schema(f"{self.schema}, epoch int").parquet(self.root)
-        newest = table.agg(F.max("epoch")).first()[0]
-        if newest is None:
-            # Every snapshot written so far is empty.
-            return self.spark.createDataFrame([], self.schema)
-        return table.filter(F.col("epoch") == newest).drop("epoch")
-
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Parquet files of a table (a folder, or one file) as a stream."""
@@ -77,8 +68,7 @@ def ingest_drop_folder(spark: SparkSession, folder: str, root: str, checkpoint:
 
     def take(batch: DataFrame, epoch: int) -> None:
         good, bad = parse_lines(number_lines(batch))
-        current = store.read_snapshot(spark, root)
-        store.commit_snapshot(store.upsert(current, good, order="classified_at"), root)
+        store.commit_changes(store.latest_rows(good, "key", "classified_at", good.columns), root)
         bad.write.mode("overwrite").parquet(f"{root}/rejected/epoch={epoch}")
 
     run_available(lines, take, checkpoint)
@@ -91,14 +81,13 @@ def score_once(stream: DataFrame, root: str, checkpoint: str, settings: tuple[st
     def take(batch: DataFrame, epoch: int) -> None:
         version, model, effort = settings
         keyed = batch.withColumn("key", result_key(F.lit(version), F.lit(model), F.lit(effort), F.col("text")))
-        current = store.read_snapshot(spark, root)
         first = keyed.groupBy("key").agg(F.min_by("text", "ord").alias("text"), F.min_by("release", "ord").alias("release"))
-        fresh = scoring.rule_scores(first.join(current.select("key"), "key", "left_anti"))
+        fresh = scoring.rule_scores(first.join(store.stored_keys(spark, root), "key", "left_anti"))
         rows = fresh.select(
             "key", "category", "breaking", "breaking_reason", F.lit(model).alias("model"), F.lit(effort).alias("effort"),
             F.lit(version).alias("prompt_version"), "release", "text", F.timestamp_seconds(F.lit(0)).alias("classified_at"),
         )
-        store.commit_snapshot(current.unionByName(rows), root)
+        store.commit_changes(rows, root)
 
     run_available(stream, take, checkpoint)
 
@@ -163,30 +152,37 @@ def orphan_timeout(stream: DataFrame, out: str, checkpoint: str, within_us: int)
 
 
 def stop_reasons(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """First error of each run: a streaming aggregate whose changed rows replace stored ones."""
-    schema = "run_id bigint, ts_us bigint, reason string"
-    state = StateTable(stream.sparkSession, out, schema)
+    """First error of each run: a streaming aggregate whose changed rows are logged per batch."""
     firsts = stream.filter(F.col("reason").isNotNull()).groupBy("run_id").agg(
         F.min("ts_us").alias("ts_us"), F.min_by("reason", "ts_us").alias("reason")
     )
+    run_available(firsts, _log_batch(out), checkpoint, mode="update")
 
-    def take(batch: DataFrame, epoch: int) -> None:
-        state.write(store.upsert(state.before(epoch), batch, "run_id"), epoch)
 
-    run_available(firsts, take, checkpoint, mode="update")
+def read_stop_reasons(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("run_id").agg(
+        F.min("ts_us").alias("ts_us"), F.min_by("reason", "ts_us").alias("reason")
+    )
 
 
 def latest_fetches(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Newest successful fetch per URL; whether it has expired is decided on reading."""
-    schema = "url bigint, fetched_us bigint, body string"
-    state = StateTable(stream.sparkSession, out, schema)
+    """Newest successful fetch per URL, changed rows logged per batch; whether it has expired is
+    decided on reading."""
+    newest = stream.filter("ok").groupBy("url").agg(
+        F.max("fetched_us").alias("fetched_us"), F.max_by("body", "fetched_us").alias("body")
+    )
+    run_available(newest, _log_batch(out), checkpoint, mode="update")
 
-    def take(batch: DataFrame, epoch: int) -> None:
-        both = state.before(epoch).unionByName(batch.filter("ok").select("url", "fetched_us", "body"))
-        newest = both.groupBy("url").agg(F.max_by(F.struct("url", "fetched_us", "body"), "fetched_us").alias("r"))
-        state.write(newest.select("r.*"), epoch)
 
-    run_available(stream, take, checkpoint)
+def read_fetches(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).groupBy("url").agg(
+        F.max("fetched_us").alias("fetched_us"), F.max_by("body", "fetched_us").alias("body")
+    )
+
+
+def _log_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """Write a batch under its number: a replay replaces it, and nothing else is rewritten."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
 
 def with_expiry(latest: DataFrame, now_us: Column, ttl_us: int) -> DataFrame:

@@ -138,9 +138,13 @@ def test_snapshots(spark, tmp_path):
     )
     store.commit_snapshot(rows, root)
     changed = rows.filter("text = 'a'").withColumn("category", F.lit("added"))
-    store.commit_snapshot(store.upsert(store.read_snapshot(spark, root), changed), root)
+    store.commit_changes(changed, root)
     assert {(r.text, r.category) for r in store.read_snapshot(spark, root).collect()} == {("a", "added"), ("b", "fixed")}
     assert store.stored_keys(spark, root).count() == 2
-    spark.range(1).select(F.lit(9).cast("bigint").alias("version"), F.lit(2).alias("schema_version")).write.mode("append").parquet(f"{root}/commits")
+    for i in range(store.COMPACT_AFTER + 3):
+        store.commit_changes(changed.withColumn("release", F.lit(f"1.{i}.0")), root)
+    assert len(store._visible(spark, root)) < store.COMPACT_AFTER
+    assert {(r.text, r.release) for r in store.read_snapshot(spark, root).collect()} == {("a", f"1.{i}.0"), ("b", "")}
+    spark.range(1).select(F.lit(99).cast("bigint").alias("version"), F.lit(2).alias("schema_version"), F.lit(False).alias("is_full")).write.mode("append").parquet(f"{root}/commits")
     with pytest.raises(ValueError, match="newer"):
         store.read_snapshot(spark, root)

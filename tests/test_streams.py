@@ -57,7 +57,7 @@ def test_orphans(spark, sf, events, tmp_path):
 def test_stop_reasons(spark, sf, events, tmp_path):
     out = str(tmp_path / "out")
     jobs.stop_reasons(fixtures.attempts_from(stream(spark, events)), out, str(tmp_path / "c"))
-    last = jobs.StateTable(spark, out, "run_id bigint, ts_us bigint, reason string").last()
+    last = jobs.read_stop_reasons(spark, out)
     batch = ledger.first_failure(fixtures.attempts(spark, sf), order="ts_us").filter("stop_reason IS NOT NULL")
     same(last.select("run_id", "ts_us", "reason"), batch.selectExpr("run_id", "stopped_at AS ts_us", "stop_reason AS reason"))
 
@@ -69,7 +69,7 @@ def test_fetches(spark, sf, events, tmp_path):
         (F.col("event_type") != "error").alias("ok"),
     )
     jobs.latest_fetches(shaped(stream(spark, events)), out, str(tmp_path / "c"))
-    last = jobs.StateTable(spark, out, "url bigint, fetched_us bigint, body string").last()
+    last = jobs.read_fetches(spark, out)
     batch = shaped(table(spark, sf, "events")).filter("ok").groupBy("url").agg(
         F.max("fetched_us").alias("fetched_us"), F.max_by("body", "fetched_us").alias("body")
     )
