@@ -91,13 +91,15 @@ def group_entries(diff: DataFrame, order: str = "entry_no") -> DataFrame:
     """One row per entry with its group, the group's rank and the place inside the group.
 
     ``order`` is a whole number, unique and rising with (release, page order). Groups without
-    entries come back as one row with ``seq`` 0.
+    entries come back as one row with ``seq`` 0; entries without a result form a last group.
     """
     dims = group_dimension(diff.sparkSession)
     grouped = diff.withColumn("grp", diff_group(F.col("category"), F.col("breaking")))
     placed = with_ordinal(grouped, ["grp"], order)
     # Six fixed rows: the dimension is the broadcast side.
-    ranked = placed.join(F.broadcast(dims), "grp")
+    ranked = placed.join(F.broadcast(dims), "grp", "left").withColumn("grp_rank", F.coalesce("grp_rank", F.lit(7))).withColumn(
+        "heading", F.coalesce("heading", F.initcap("grp"))
+    )
     present = grouped.select("grp").distinct()
     empty = dims.join(present, "grp", "left_anti").withColumn("seq", F.lit(0).cast("bigint"))
     return ranked.unionByName(empty, allowMissingColumns=True)
@@ -122,6 +124,19 @@ def group_counts(diff: DataFrame) -> DataFrame:
     return listed.unionByName(total)
 
 
+def diff_header(diff: DataFrame, first: str, second: str) -> DataFrame:
+    """One row on top of a diff: versions, releases, entries, and the non-empty groups' counts."""
+    older, newer = sorted((first, second), key=lambda v: tuple(int(part) for part in v.split(".")))
+    counts = group_counts(diff)
+    name = F.initcap("grp")  # at most eight rows
+    shown = F.when((F.col("grp_rank") > 0) & (F.col("n_entries") > 0), F.struct("grp_rank", F.concat(name, F.lit(" "), F.col("n_entries").cast("string")).alias("t")))
+    total = lambda c: F.max(F.when(F.col("grp") == "total", F.col(c)))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["t"]), ", ")
+    return counts.agg(total("n_releases").alias("n_releases"), total("n_entries").alias("n_entries"), listed.alias("counts")).select(
+        F.lit(older).alias("from_version"), F.lit(newer).alias("to_version"), "n_releases", "n_entries", "counts"
+    )
+
+
 def release_coverage(entries: DataFrame, store: DataFrame, by: str = "version", key: str = "key") -> DataFrame:
     """Per release: its entries and how many already have a stored result."""
     known = store.select(key).distinct().withColumn("_has", F.lit(1))
@@ -173,8 +188,9 @@ def nest_children(nodes: DataFrame, by: str = "page_ord") -> DataFrame:
 def diff_json_lines(diff: DataFrame, order: str = "entry_no") -> DataFrame:
     """JSON lines of a grouped diff: one object per entry, to be sorted by (grp_rank, seq)."""
     body = F.to_json(F.struct(
-        F.col("version_text").alias("release"), "category", "breaking", "breaking_reason", "text", "children"
-    ))
+        F.col("version_text").alias("release"), "category", "breaking",
+        F.coalesce("breaking_reason", F.lit("")).alias("breaking_reason"), "text", "children",
+    ), {"ignoreNullFields": "false"})
     return group_entries(diff, order).filter("seq > 0").select("grp_rank", "seq", body.alias("line"))
 
 

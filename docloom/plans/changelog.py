@@ -54,10 +54,9 @@ def nearest_known(spark, sf_dir):
 @query("d1_group_entries", "WITH " + fixtures.DIFF + """
 , dims(grp, grp_rank, heading) AS (VALUES ('breaking', 1, 'Breaking'), ('deprecated', 2, 'Deprecated'), ('added', 3, 'Added'),
   ('changed', 4, 'Changed'), ('fixed', 5, 'Fixed'), ('other', 6, 'Other')),
-ranked AS (SELECT grp, page_ord, version_text, row_number() OVER (PARTITION BY grp ORDER BY vnum, page_ord) AS seq
-           FROM diff WHERE grp <> 'pending')
-SELECT d.grp, d.grp_rank, d.heading, coalesce(r.seq, 0) AS seq, r.page_ord, r.version_text
-FROM dims d LEFT JOIN ranked r USING (grp)""")
+ranked AS (SELECT grp, page_ord, version_text, row_number() OVER (PARTITION BY grp ORDER BY vnum, page_ord) AS seq FROM diff)
+SELECT grp, coalesce(d.grp_rank, 7) AS grp_rank, coalesce(d.heading, 'Pending') AS heading, coalesce(r.seq, 0) AS seq, r.page_ord, r.version_text
+FROM dims d FULL JOIN ranked r USING (grp)""")
 def group_entries(spark, sf_dir):
     diff = _classified(spark, sf_dir).select("page_ord", "version_text", "entry_no", "category", "breaking")
     grouped = changelog.group_entries(diff)
@@ -74,6 +73,15 @@ def group_counts(spark, sf_dir):
     return changelog.group_counts(_classified(spark, sf_dir))
 
 
+@query("d2_header_line", "WITH " + fixtures.DIFF + """
+, per AS (SELECT CASE grp WHEN 'breaking' THEN 1 WHEN 'added' THEN 3 WHEN 'fixed' THEN 5 ELSE 7 END AS r, upper(substr(grp, 1, 1)) || substr(grp, 2) || ' ' || count(*) AS t
+         FROM diff GROUP BY grp)
+SELECT '1.2.0' AS from_version, '1.11.0' AS to_version, (SELECT count(DISTINCT vnum) FROM diff) AS n_releases, (SELECT count(*) FROM diff) AS n_entries,
+       (SELECT string_agg(t, ', ' ORDER BY r) FROM per) AS counts""")
+def header_line(spark, sf_dir):
+    return changelog.diff_header(_classified(spark, sf_dir), HIGH, LOW)
+
+
 @query("d3_release_coverage", "WITH " + fixtures.STORE + """
 SELECT vnum, count(*) AS n_entries, count(s.key) AS n_classified
 FROM entries e LEFT JOIN store s USING (key) GROUP BY vnum""")
@@ -218,10 +226,10 @@ def _rendered_input(spark, sf_dir):
 _LINES = "WITH " + fixtures.DIFF + """
 , shown AS (SELECT d.*, string_split(text, chr(10)) AS ls,
     row_number() OVER (PARTITION BY grp ORDER BY vnum, page_ord) AS seq,
-    CASE grp WHEN 'breaking' THEN 1 WHEN 'added' THEN 3 WHEN 'fixed' THEN 5 END AS grp_rank,
-    CASE grp WHEN 'breaking' THEN 'Breaking' WHEN 'added' THEN 'Added' WHEN 'fixed' THEN 'Fixed' END AS heading,
+    CASE grp WHEN 'breaking' THEN 1 WHEN 'added' THEN 3 WHEN 'fixed' THEN 5 ELSE 7 END AS grp_rank,
+    CASE grp WHEN 'breaking' THEN 'Breaking' WHEN 'added' THEN 'Added' WHEN 'fixed' THEN 'Fixed' ELSE 'Pending' END AS heading,
     CASE WHEN breaking AND page_ord % 2 = 0 THEN ['  - why: release ' || version_text] ELSE [] END AS why
-  FROM diff d WHERE grp <> 'pending'),
+  FROM diff d),
 bullets AS (SELECT grp_rank, seq, [HEAD] || why || list_transform(ls[2:], lambda x: '  - ' || x) AS parts FROM shown)
 SELECT CAST(grp_rank AS INTEGER) AS grp_rank, seq, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line_no, unnest(parts) AS line FROM bullets
 UNION ALL SELECT CAST(grp_rank AS INTEGER), 0, 0, TITLE || ' (' || count(*) || ')' FROM shown GROUP BY grp_rank, heading"""
@@ -238,7 +246,10 @@ def diff_to_markdown(spark, sf_dir):
     return changelog.diff_markdown_lines(_rendered_input(spark, sf_dir))
 
 
-@query("a12_diff_to_json")
+@query("a12_diff_to_json", _LINES[: _LINES.index("bullets AS")].rstrip().rstrip(",") + """
+SELECT CAST(grp_rank AS INTEGER) AS grp_rank, seq, CAST(to_json(struct_pack(release := version_text, category := category, breaking := breaking,
+  breaking_reason := CASE WHEN breaking AND page_ord % 2 = 0 THEN 'release ' || version_text ELSE '' END, text := ls[1], children := ls[2:])) AS VARCHAR) AS line
+FROM shown""")
 def diff_to_json(spark, sf_dir):
     return changelog.diff_json_lines(_rendered_input(spark, sf_dir))
 

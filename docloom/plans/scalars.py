@@ -390,12 +390,15 @@ for _name, _char in text.ENTITIES:
     _STRIPPED = f"replace({_STRIPPED}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
 
 
-@query("h6_6_html_to_text", rf"SELECT page_id, trim(regexp_replace({_STRIPPED}, '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM pages")
+_PAGE_TEXT = rf"SELECT page_id, trim(regexp_replace({_STRIPPED}, '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM pages"
+
+
+@query("h6_6_html_to_text", _PAGE_TEXT)
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
 
-@query("h6_6_html_to_text_exact")
+@query("h6_6_html_to_text_exact", _PAGE_TEXT)
 def html_to_text_exact(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.exact_text(F.col("html")).alias("text"))
 
@@ -411,7 +414,11 @@ def page_title(spark, sf_dir):
     )
 
 
-@query("h6_7_page_metadata")
+@query("h6_7_page_metadata", r"""
+SELECT page_id, replace(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')),
+       '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, CAST(NULL AS VARCHAR) AS up, CAST(NULL AS VARCHAR) AS next,
+       '' AS header, '' AS convenience_header, '' AS declaration
+FROM pages""")
 def page_metadata(spark, sf_dir):
     return html.page_metadata(table(spark, sf_dir, "pages"))
 

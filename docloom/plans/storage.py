@@ -213,7 +213,10 @@ def through_cache(spark, sf_dir):
     return full.select("doc_id", "n")
 
 
-@query("a13_read_manifest_strict")
+@query("a13_read_manifest_strict", """
+WITH m AS (SELECT CASE WHEN doc_id % 17 = 0 THEN 'man/' ELSE '/man/' END || lang AS dir,
+  CASE WHEN doc_id % 17 = 0 THEN 'folder is not absolute' WHEN doc_id % 11 = 0 THEN 'invalid version' WHEN doc_id % 13 = 0 THEN 'unexpected path' END AS reason, doc_id FROM documents)
+SELECT dir, CASE WHEN reason IS NULL THEN 'man3/doc.' || doc_id || '.3.gz' END AS path, reason FROM m""")
 def read_manifest_strict(spark, sf_dir):
     """One manifest per document, some damaged; exploded records and rejected ones."""
     docs = table(spark, sf_dir, "documents")
