@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters that count as whitespace at the ends of a text.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # Longest text sent to a scorer, and how a cut text is marked.
 TEXT_CAP = 9160
 # A sentence ends at . ! or ? before a capital or the end, but not after
@@ -31,8 +36,8 @@ ENTITIES = (
 
 
 def strip(s: Column) -> Column:
-    """Leading and trailing Unicode whitespace removed (SQL ``trim`` drops only blanks)."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    """Leading and trailing Unicode whitespace removed (plain ``trim`` drops only blanks)."""
+    return F.btrim(s, F.lit(WHITESPACE))
 
 
 def normalize_ws(s: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.text import strip
+
 VERSION_TYPE = "struct<major:int,minor:int,patch:int>"
 
 
@@ -23,7 +25,7 @@ def parse_version(s: Column, prefix: str = "") -> Column:
     """``1.38.2``, ``v1-38-2`` or ``<prefix>-1.38.2`` as a struct; null when malformed."""
     head = rf"(?:{prefix}[-_])?" if prefix else ""
     pattern = rf"(?i)^{head}v?(\d+)[.\-_](\d+)[.\-_](\d+)$"
-    text = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    text = strip(s)
     parts = [F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2, 3)]
     return F.when(text.rlike(pattern) & parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull(),
                   make_version(*parts))

@@ -1,9 +1,11 @@
-"""Order-dependent building blocks that never put one whole group into one task.
-
-A group may hold a third of the table, so ``Window.partitionBy(group)`` is not used on it.
-Rows are cut into chunks by a unique whole-number order key: one chunk holds at most
-``width`` rows of a group. A window runs inside each chunk, and a per-chunk total (a small,
-pre-aggregated table) supplies what all earlier chunks contribute.
+"""Order-dependent building blocks that never put one large group into one task.
+
+A group may hold a third of the table, so ``Window.partitionBy(group)`` is only used on groups
+of at most ``GROUP_ROWS`` rows (counted, not assumed). Larger groups are cut into chunks by a
+unique whole-number order key: one chunk holds at most ``width`` rows of a group. A window runs
+inside each chunk, and per-chunk totals supply what all earlier chunks contribute. The totals
+are combined in further levels of the same kind, each bounded by ``WIDTH``, so that sparse
+order keys do not gather them either.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 from docloom.session import cut
 
 WIDTH = 1 << 16
+# Levels above the chunks: 16 bits of a 64-bit order key each.
+LEVELS = 2
+# Rows of one group that one task may hold.
+GROUP_ROWS = 1 << 17
 # Distinct values of one group that one task may hold (about 16 bytes each).
 GROUP_LIMIT = 1_000_000
 _CHUNK = "_chunk"
@@ -43,24 +49,29 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.withColumn(_GROUP, group_key(keys)).join(keyed, _GROUP, how).drop(_GROUP)
 
 
-def _before(totals: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Per chunk, the sum of ``columns`` over all earlier chunks of the same group.
+def _marked(df: DataFrame, by: Sequence[str], order: str, width: int, *more: Column) -> DataFrame:
+    """Rows with their group and, in large groups only, their chunk (null elsewhere)."""
+    grouped = df.select("*", group_key(by).alias(_GROUP), *more)
+    sizes = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > GROUP_ROWS)
+    # At most one group per GROUP_ROWS rows of the table: a thousand million rows give 7,629.
+    large = F.broadcast(sizes.select(_GROUP, F.lit(True).alias("_large")))
+    return grouped.join(large, _GROUP, "left").withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
 
-    The chunk totals of one group are themselves cut into spans of ``WIDTH`` chunks, so this
-    small table is not gathered into one task either when a group has very many chunks.
-    """
-    spanned = totals.withColumn("_span", chunk_of(_CHUNK, WIDTH))
-    inner = W.partitionBy(_GROUP, "_span").orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-    outer = W.partitionBy(_GROUP).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    spans = spanned.groupBy(_GROUP, "_span").agg(*[F.sum(c).alias(f"{c}_span") for c in columns])
-    spans = spans.select(
-        _GROUP, "_span", *[F.coalesce(F.sum(f"{c}_span").over(outer), F.lit(0)).alias(f"{c}_span") for c in columns]
-    )
-    within = spanned.select(
-        _GROUP, _CHUNK, "_span", *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(c) for c in columns]
+
+def _before(totals: DataFrame, columns: dict[str, str], level: int) -> DataFrame:
+    """Per chunk, the sum of ``columns`` over all earlier chunks of the same group."""
+    below = [_GROUP] if level == 0 else [_GROUP, "_above"]
+    frame = W.partitionBy(*below).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    placed = totals if level == 0 else totals.withColumn("_above", chunk_of(_CHUNK, WIDTH))
+    within = placed.select(
+        *below, _CHUNK, *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(out) for c, out in columns.items()]
     )
-    return within.join(spans, [_GROUP, "_span"]).select(
-        _GROUP, _CHUNK, *[(F.col(c) + F.col(f"{c}_span")).alias(out) for c, out in columns.items()]
+    if level == 0:
+        return within
+    sums = placed.groupBy(*below).agg(*[F.sum(c).alias(c) for c in columns]).withColumnRenamed("_above", _CHUNK)
+    earlier = _before(sums, {c: f"{out}_above" for c, out in columns.items()}, level - 1)
+    return within.join(earlier.withColumnRenamed(_CHUNK, "_above"), below).select(
+        _GROUP, _CHUNK, *[(F.col(out) + F.col(f"{out}_above")).alias(out) for out in columns.values()]
     )
 
 
@@ -76,23 +87,19 @@ def running_totals(
 
     ``order`` is a whole number, unique within the group. Null summands count as zero.
     """
-    names = list(totals)
-    parts = df.select(
-        "*",
-        group_key(by).alias(_GROUP),
-        chunk_of(order, width).alias(_CHUNK),
-        *[F.coalesce(expr, F.lit(0)).alias(f"_in_{n}") for n, expr in totals.items()],
-    )
-    keys = [_GROUP, _CHUNK]
-    sums = parts.groupBy(*keys).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in names])
-    earlier = _before(sums, {f"_t_{n}": f"_b_{n}" for n in names})
+    names, keys = list(totals), [_GROUP, _CHUNK]
+    inputs = [F.coalesce(expr, F.lit(0)).alias(f"_in_{n}") for n, expr in totals.items()]
+    parts = _marked(df, by, order, width, *inputs)
+    sums = parts.filter("_large").groupBy(*keys).agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in names])
+    earlier = _before(sums, {f"_t_{n}": f"_b_{n}" for n in names}, LEVELS)
     last = 0 if inclusive else -1
     frame = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, last)
     local = parts.select(
         *df.columns, *keys, *[F.coalesce(F.sum(f"_in_{n}").over(frame), F.lit(0)).alias(f"_l_{n}") for n in names]
     )
-    return local.join(earlier, keys).select(
-        *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_b_{n}")).alias(n) for n in names]
+    # Rows of small groups have no chunk and meet nothing here.
+    return local.join(earlier, keys, "left").select(
+        *df.columns, *[(F.col(f"_l_{n}") + F.coalesce(f"_b_{n}", F.lit(0))).alias(n) for n in names]
     )
 
 
@@ -101,20 +108,37 @@ def with_ordinal(df: DataFrame, by: Sequence[str], order: str, out: str = "seq",
     return running_totals(df, by, order, {out: F.lit(1)}, width)
 
 
+def _across(ends: DataFrame, level: int) -> DataFrame:
+    """Per chunk, the last value of the chunk before it and the first of the one after it."""
+    below = [_GROUP] if level == 0 else [_GROUP, "_above"]
+    frame = W.partitionBy(*below).orderBy(_CHUNK)
+    placed = ends if level == 0 else ends.withColumn("_above", chunk_of(_CHUNK, WIDTH))
+    within = placed.select(
+        *below, _CHUNK, F.lag("_last").over(frame).alias("_from_before"), F.lead("_first").over(frame).alias("_from_after")
+    )
+    if level == 0:
+        return within
+    outer = placed.groupBy(*below).agg(F.min_by("_first", _CHUNK).alias("_first"), F.max_by("_last", _CHUNK).alias("_last"))
+    beyond = _across(outer.withColumnRenamed("_above", _CHUNK), level - 1).select(
+        _GROUP, F.col(_CHUNK).alias("_above"), F.col("_from_before").alias("_b"), F.col("_from_after").alias("_a")
+    )
+    return within.join(beyond, below).select(
+        _GROUP, _CHUNK, F.coalesce("_from_before", "_b").alias("_from_before"), F.coalesce("_from_after", "_a").alias("_from_after")
+    )
+
+
 def neighbour_values(
     df: DataFrame, by: Sequence[str], order: str, value: str, before: str, after: str, width: int = WIDTH
 ) -> DataFrame:
-    """Previous and next ``value`` of each row by a unique whole-number ``order`` column."""
-    parts = df.select("*", group_key(by).alias(_GROUP), chunk_of(order, width).alias(_CHUNK))
+    """Previous and next ``value`` (never null) of each row by a unique whole-number ``order``."""
     keys = [_GROUP, _CHUNK]
+    parts = _marked(df, by, order, width)
     frame = W.partitionBy(*keys).orderBy(order)
-    ends = parts.groupBy(*keys).agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
-    across = W.partitionBy(_GROUP).orderBy(_CHUNK)
-    ends = ends.select(
-        *keys, F.lag("_last").over(across).alias("_from_before"), F.lead("_first").over(across).alias("_from_after")
+    ends = parts.filter("_large").groupBy(*keys).agg(
+        F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last")
     )
     local = parts.withColumn("_lag", F.lag(value).over(frame)).withColumn("_lead", F.lead(value).over(frame))
-    return local.join(ends, keys).select(
+    return local.join(_across(ends, LEVELS), keys, "left").select(
         *df.columns,
         F.coalesce("_lag", "_from_before").alias(before),
         F.coalesce("_lead", "_from_after").alias(after),
