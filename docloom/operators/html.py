@@ -10,9 +10,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
 from docloom.functions import markup
 from docloom.functions.links import resolve_href
@@ -245,6 +246,19 @@ def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return _per_page(pages, key, page_blocks, BLOCK_SCHEMA)
 
 
+def register_sql(spark: SparkSession) -> None:
+    """Make ``html_blocks(html)`` a SQL table function for ``LATERAL`` joins."""
+    columns = ("block_no", "parent_path", "kind", "level", "label", "text", "row_no", "col_no", "is_header", "spans")
+
+    class HtmlBlocks:
+        def eval(self, html: str):
+            for row in page_blocks(html or ""):
+                yield tuple(row[name] for name in columns)
+
+    schema = BLOCK_SCHEMA.removeprefix("page_id bigint, ")
+    spark.udtf.register("html_blocks", udtf(HtmlBlocks, returnType=schema))
+
+
 def block_spans(blocks: DataFrame, bases: DataFrame) -> DataFrame:
     """Spans of each block, link targets resolved against the page path (page_id, path)."""
     spans = blocks.select("page_id", "block_no", F.explode("spans").alias("s")).select("page_id", "block_no", "s.*")

@@ -591,13 +591,16 @@ for _name, _char in text.ENTITIES:
     _DECODED = f"replace({_DECODED}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
 
 
-@query("k1_html_blocks", rf"""
+_BLOCKS_SQL = rf"""
 WITH cut AS (SELECT page_id, [regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)] || string_split(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<p>') AS ps FROM pages),
 pieces AS (SELECT page_id, generate_subscripts(ps, 1) AS i, regexp_replace(replace(unnest(ps), '<br>', ' '), '<[^>]*>', '', 'g') AS piece FROM cut),
 texts AS (SELECT page_id, i, trim(regexp_replace({_DECODED}, '[\s\x{{00A0}}]+', ' ', 'g')) AS text FROM pieces)
 SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS block_no, '' AS parent_path,
        CASE WHEN i = 1 THEN 'heading' ELSE 'para' END AS kind, CASE WHEN i = 1 THEN 1 END AS level, CAST(NULL AS VARCHAR) AS label, text
-FROM texts WHERE text <> ''""")
+FROM texts WHERE text <> ''"""
+
+
+@query("k1_html_blocks", _BLOCKS_SQL)
 def html_blocks(spark, sf_dir):
     return html.html_blocks(table(spark, sf_dir, "pages")).select(
         "page_id", "block_no", F.array_join(F.transform("parent_path", lambda x: x.cast("string")), ".").alias("parent_path"),
@@ -605,6 +608,16 @@ def html_blocks(spark, sf_dir):
     )
 
 
+@query("k1_html_blocks_sql", _BLOCKS_SQL.replace(" AS block_no, '' AS parent_path,", " AS block_no,").replace(" CAST(NULL AS VARCHAR) AS label,", ""))
+def html_blocks_sql(spark, sf_dir):
+    """The same table function called from SQL."""
+    html.register_sql(spark)
+    return spark.sql(
+        "SELECT p.page_id, b.block_no, b.kind, b.level, b.text FROM {pages} p, LATERAL html_blocks(p.html) b",
+        pages=table(spark, sf_dir, "pages"),
+    )
+
+
 @query("k1_html_links", "WITH " + fixtures.LINKS + " SELECT page_id, count(*) AS n_links FROM links GROUP BY page_id")
 def html_links(spark, sf_dir):
     """Links found by the parser in the navigation list, against the pattern form."""

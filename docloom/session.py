@@ -30,7 +30,11 @@ def scratch_root(spark: SparkSession) -> str:
     remembered as the checkpoint folder.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
+    )
     if named:
         if not context.getCheckpointDir():
             context.setCheckpointDir(named)
