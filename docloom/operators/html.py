@@ -7,10 +7,10 @@ Spark spreads the pages; each task turns one page at a time into rows. Everythin
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
@@ -391,19 +391,27 @@ def release_entries(pages: DataFrame, heading: str, anchor_mark: str = "", key:
 # -- columns backed by the tree ------------------------------------------------
 
 
-@F.pandas_udf(T.StringType())
-def canonical_html(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: None if page is None else markup.canonical(markup.parse(page)))
+def _by_page(html: Column, of_page: Callable[[str], str]) -> Column:
+    @F.pandas_udf(T.StringType())
+    def convert(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: None if page is None else of_page(page))
 
+    return convert(html)
 
-@F.pandas_udf(T.StringType())
-def exact_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: None if page is None else text_of(markup.parse(page)))
 
+def canonical_html(html: Column) -> Column:
+    """Canonical markup of a page."""
+    return _by_page(html, lambda page: markup.canonical(markup.parse(page)))
 
-@F.pandas_udf(T.StringType())
-def exact_code_to_backticks(html: pd.Series) -> pd.Series:
-    return html.map(lambda page: None if page is None else text_of(markup.parse(page), code=lambda t: f"`{t}`"))
+
+def exact_text(html: Column) -> Column:
+    """Text of a page by the parser."""
+    return _by_page(html, lambda page: text_of(markup.parse(page)))
+
+
+def exact_code_to_backticks(html: Column) -> Column:
+    """Text of a page by the parser, with each outermost ``<code>`` in backticks."""
+    return _by_page(html, lambda page: text_of(markup.parse(page), code=lambda t: f"`{t}`"))
 
 
 def markup_duplicates(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -217,9 +217,14 @@ def name_components(title: str) -> list[str] | None:
         at = len(text) - len(rest[2:].lstrip(" "))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_qualified(titles: pd.Series) -> pd.Series:
-    return titles.map(lambda title: None if title is None else name_components(title))
+def split_qualified(title: Column) -> Column:
+    """:func:`name_components` of a column, in Arrow batches."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda one: None if one is None else name_components(one))
+
+    return split(title)
 
 
 def name_index(titles: DataFrame, title: str = "title") -> DataFrame:

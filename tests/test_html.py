@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from docloom.functions import markup
 from docloom.operators import html
 
@@ -91,3 +93,12 @@ def test_metadata(spark):
     <p>Header: a/b.hpp</p><p>Convenience header: None</p></div></body></html>"""
     row = html.page_metadata(spark.createDataFrame([(1, page)], "page_id bigint, html string")).first()
     assert (row.title, row.up, row.next, row.header, row.convenience_header, row.declaration) == ("a::b", "../up.html", "n.html", "a/b.hpp", "", "class b;")
+
+
+def test_parser_columns(spark):
+    page = "<p>Use <code>a<code>b</code></code> &amp;  c</p>"
+    row = spark.createDataFrame([(page,), (None,)], "html string").select(
+        html.exact_text(F.col("html")).alias("text"), html.exact_code_to_backticks(F.col("html")).alias("marked"), html.canonical_html(F.col("html")).alias("canonical")
+    ).collect()
+    assert tuple(row[0]) == ("Use ab & c", "Use `ab` & c", "<p>Use <code>a<code>b</code></code> &amp;  c</p>")
+    assert tuple(row[1]) == (None, None, None)
