@@ -149,8 +149,7 @@ def orphan_parts(parts: DataFrame, wholes: DataFrame, key: str, k: int = 5) -> D
     first = orphans.orderBy(key).limit(k).agg(F.array_sort(F.collect_list(key)).alias("_first"))
     count = orphans.agg(F.count(F.lit(1)).alias("n_orphans"))
     text = F.array_join(F.transform("_first", lambda x: x.cast("string")), ", ")
-    # Two one-row results.
-    return count.join(F.broadcast(first)).select(
+    return count.withColumn("_first", first.scalar()).select(
         "n_orphans", F.when(F.col("n_orphans") > k, F.concat(text, F.lit(" ..."))).otherwise(text).alias("first_keys")
     )
 

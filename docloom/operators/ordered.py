@@ -43,7 +43,7 @@ def chunk_of(order: str, width: int) -> Column:
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-group results: null group keys match, and no keys means a one-row right side."""
     if not keys:
-        return left.join(F.broadcast(right))
+        return left.select("*", *[right.select(name).scalar().alias(name) for name in right.columns])
     rest = [name for name in right.columns if name not in keys]
     keyed = right.select(group_key(keys).alias(_GROUP), *rest)
     return left.withColumn(_GROUP, group_key(keys)).join(keyed, _GROUP, how).drop(_GROUP)
@@ -52,6 +52,9 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def _marked(df: DataFrame, by: Sequence[str], order: str, width: int, *more: Column) -> DataFrame:
     """Rows with their group and, in large groups only, their chunk (null elsewhere)."""
     grouped = df.select("*", group_key(by).alias(_GROUP), *more)
+    if not by:
+        large = grouped.agg(F.count(F.lit(1))).scalar() > GROUP_ROWS
+        return grouped.withColumn("_large", large).withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
     sizes = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > GROUP_ROWS)
     # At most one group per GROUP_ROWS rows of the table: a thousand million rows give 7,629.
     large = F.broadcast(sizes.select(_GROUP, F.lit(True).alias("_large")))

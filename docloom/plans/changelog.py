@@ -156,9 +156,9 @@ FROM (SELECT DISTINCT vnum, version_text FROM entries)""")
 def order_releases(spark, sf_dir):
     releases = fixtures.entries(spark, sf_dir).select("version", "version_text").distinct()
     placed = ordered.sorted_ordinal(releases, [F.col("version")], "oldest_first")
-    total = releases.agg(F.count(F.lit(1)).alias("_n"))
-    return placed.join(F.broadcast(total)).select(
-        "version_text", "oldest_first", (F.col("_n") - F.col("oldest_first") + 1).alias("newest_first")
+    total = releases.agg(F.count(F.lit(1))).scalar()
+    return placed.select(
+        "version_text", "oldest_first", (total - F.col("oldest_first") + 1).alias("newest_first")
     )
 
 

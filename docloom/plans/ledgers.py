@@ -297,11 +297,10 @@ FROM e WHERE event_type = 'view' AND user_id <> 7 AND (user_id NOT IN (SELECT us
 def orphaned(spark, sf_dir):
     """Owners count as alive when they were active in the last ten hours."""
     timed = _timed(spark, sf_dir)
-    now = timed.agg(F.max("ts_us").alias("now"))
-    dated = timed.join(F.broadcast(now))  # one row
-    live = dated.filter(F.col("now") - F.col("ts_us") <= 10 * HOUR_US).select("user_id")
-    claims = dated.filter("event_type = 'view'")
-    taken = ledger.orphaned(claims, live, F.col("now"), "user_id", 7, HOUR_US)
+    now = timed.agg(F.max("ts_us")).scalar()
+    live = timed.filter(now - F.col("ts_us") <= 10 * HOUR_US).select("user_id")
+    claims = timed.filter("event_type = 'view'")
+    taken = ledger.orphaned(claims, live, now, "user_id", 7, HOUR_US)
     return taken.select("user_id", "event_id", "ts_us", "why")
 
 
@@ -314,7 +313,7 @@ SELECT user_id, event_id, ts_us FROM e c WHERE event_type = 'view' AND ts_us + 8
 @query("b13_unfinished_claims", UNFINISHED)
 def unfinished_claims(spark, sf_dir):
     timed = _timed(spark, sf_dir)
-    now = timed.agg(F.max("ts_us").alias("now"))
-    due = timed.filter("event_type = 'view'").join(F.broadcast(now)).filter(F.col("ts_us") + 24 * HOUR_US < F.col("now"))
+    now = timed.agg(F.max("ts_us")).scalar()
+    due = timed.filter("event_type = 'view'").filter(F.col("ts_us") + 24 * HOUR_US < now)
     finishes = timed.filter("event_type = 'purchase'")
     return ledger.unfinished_claims(due, finishes, "user_id", 24 * HOUR_US).select("user_id", "event_id", "ts_us")

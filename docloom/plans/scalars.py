@@ -273,8 +273,8 @@ def about_usd(spark, sf_dir):
 SELECT event_id, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts)) / 1e6::DOUBLE AS age FROM events""")
 def age_seconds(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))
-    return events.join(F.broadcast(now)).select("event_id", costs.age_seconds(F.col("now"), F.col("ts")).alias("age"))
+    now = events.agg(F.max("ts")).scalar()
+    return events.select("event_id", costs.age_seconds(now, F.col("ts")).alias("age"))
 
 
 @query("h4_3_join_terms", "WITH " + fixtures.LINKS + """

@@ -164,16 +164,16 @@ FROM (SELECT *, CASE WHEN old_us IS NOT NULL AND (SELECT any_value(now) FROM e)
       FROM old FULL JOIN new USING (url))""")
 def freshest_snapshot(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))
-    timed = events.join(F.broadcast(now)).select(  # one row
+    now = events.agg(F.max("ts")).scalar()
+    timed = events.select(
         F.col("user_id").alias("url"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("body"),
-        (F.col("event_type") != "error").alias("ok"), "now",
+        (F.col("event_type") != "error").alias("ok"),
+        (F.col("ts") > now - F.expr("INTERVAL 6 HOURS")).alias("recent"),
     )
-    recent = F.col("fetched_at") > F.col("now") - F.expr("INTERVAL 6 HOURS")
+    recent = F.col("recent")
     cached = timed.filter(~recent & F.col("ok") & (F.col("url") % 10 != 3)).select("url", "fetched_at", "body")
     refetched = timed.filter(recent)
-    latest = events.agg(F.max("ts")).first()[0]
-    chosen = store.freshest_snapshot(cached, refetched, F.lit(latest), 12 * 3600.0)
+    chosen = store.freshest_snapshot(cached, refetched, now, 12 * 3600.0)
     return chosen.select("url", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us"), "body", "how")
 
 

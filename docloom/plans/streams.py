@@ -105,5 +105,5 @@ def ttl_snapshot(spark, sf_dir):
     )
     jobs.latest_fetches(stream, out, checkpoint)
     latest = jobs.read_fetches(spark, out)
-    newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_now"))
-    return jobs.with_expiry(latest.join(F.broadcast(newest)), F.col("_now"), 12 * ledgers.HOUR_US).drop("_now")
+    newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))))
+    return jobs.with_expiry(latest, newest.scalar(), 12 * ledgers.HOUR_US)

@@ -136,11 +136,9 @@ def orphan_timeout(stream: DataFrame, out: str, checkpoint: str, within_us: int)
 
     def take(batch: DataFrame, epoch: int) -> None:
         rows = state.before(epoch).unionByName(batch.select("user_id", "event_id", "ts_us", "kind"))
-        newest = rows.agg(F.max("ts_us").alias("_now"))
-        timed = rows.join(F.broadcast(newest))  # one row
-        due = F.col("ts_us") + within_us < F.col("_now")
-        claims = timed.filter("kind = 'claim'")
-        finishes = timed.filter("kind = 'finish'")
+        due = F.col("ts_us") + within_us < rows.agg(F.max("ts_us")).scalar()
+        claims = rows.filter("kind = 'claim'")
+        finishes = rows.filter("kind = 'finish'")
         orphans = ledger.unfinished_claims(claims.filter(due), finishes, "user_id", within_us)
         orphans.select("user_id", "event_id", "ts_us").write.mode("overwrite").parquet(f"{out}/orphans/epoch={epoch}")
         waiting = claims.filter(~due)
