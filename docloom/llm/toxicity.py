@@ -1,21 +1,21 @@
-"""Toxicity from class-conditional Kneser-Ney word models.
+"""Toxicity from class-conditional Kneser-Ney models of character n-grams.
 
-Two bigram models, of toxic and of ordinary learning documents, score every text; the score is a
-calibrated difference of their log-likelihoods per word. Both models back off to one continuation
-distribution counted over both classes, so an expression that is rare in either says little.
+One model of toxic and one of ordinary learning documents give each n-gram of a text a likelihood;
+the score is their calibrated difference per n-gram, over the whole text and over its most toxic
+stretch. As in Kneser-Ney smoothing an n-gram counts by the number of different documents it occurs
+in, every count is discounted, and the discounted mass backs off to counts shared by both classes:
+an expression that is rare in either says little.
 
-Words are lower-cased, without ASCII punctuation. The vocabulary holds the ``WORDS`` words found in
-most learning documents; all others are one unknown word, which is counted and scored like any other.
-Bigrams are counted over all learning documents in Spark. Of the bigrams, the ``BIGRAMS`` most
-frequent carry their own discounted counts; the mass of the others goes to the backoff of their
-context, as in any pruned Kneser-Ney model, so probabilities still sum to one. Both bounds are
-parameters and bound the broadcast.
+    P(g | class) = max(n_class(g) - D, 0) / N_class + D * kinds_class / N_class * P(g)
+
+All learning documents are counted, in Spark. The ``GRAMS`` n-grams found in most documents are
+sent to the tasks (a bounded broadcast); any other takes the difference of the two backoff weights.
 
 A quarter of the learning rows (by id hash) is not counted but calibrates the score.
 
 Defined cases: a null or empty text has difference 0; labels that are null or without a document are
 not learned from; several labels of a document count as toxic if one is; without learning rows of
-both classes every score is the share of toxic rows (0 without any); repeated rows each get their row.
+both classes every score is near 0 (near 1 if all rows are toxic); repeated rows each get their row.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,163 +32,94 @@ from docloom.llm.common import crc_mod, cut, hash60
 from docloom.llm.decontaminate import normalised
 from docloom.llm.members import only
 
-WORD_BITS = 16
-WORDS = (1 << WORD_BITS) - 1
-BIGRAMS = 1 << 19
+SIZE = 5
+GRAMS = 1 << 20
 DISCOUNT = 0.75
 THRESHOLD = 0.7
-# Words a Python worker remembers, and pairs it counts before it hands them on.
-REMEMBERED = 1 << 19
-PENDING = 1 << 20
-# Width of the stretch whose likelihood is looked at beside the whole text's.
-STRETCH = 40
+# N-grams a task counts before it hands them on.
+PENDING = 1 << 21
+# Width of the stretch whose likelihood is looked at beside the whole text's, in n-grams.
+STRETCH = 12
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Model:
-    """Arrays indexed by word number (0: unknown), and by sorted bigram key."""
+    """Sorted n-gram keys, their log-likelihood differences, that of all others, and the calibration."""
 
-    words: np.ndarray  # sorted word hashes; the number of a word is its place + 1
-    low: np.ndarray  # log P(word) by class, when the bigram is not kept: (2, words + 1)
-    back: np.ndarray  # log backoff weight of a context by class
-    keys: np.ndarray  # kept bigrams, first << WORD_BITS | second
-    high: np.ndarray  # log P(second | first) of kept bigrams by class
+    keys: np.ndarray
+    differences: np.ndarray
+    other: float
     fit: tuple[float, ...] = (0.0, 0.0, 0.0)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return normalised(text).split()
-
+def grams(text: str | None, size: int = SIZE) -> np.ndarray:
+    """Hashed character n-grams of a text in lower case without punctuation, words between spaces."""
+    data = normalised(text)
+    points = np.frombuffer(f" {data.decode()} ".encode("utf-32-le"), "<u4").astype(np.uint64) if data else ()
+    total = np.zeros(max(0, len(points) - size + 1), np.uint64)
+    for k in range(size if len(total) else 0):
+        total = (total ^ points[k : k + len(total)]) * _FACTOR
+        total ^= total >> np.uint64(29)
+    return total.view(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, n0, n1``: ordinary and toxic documents of this task that hold an n-gram."""
+    held: list[list[np.ndarray]] = [[], []]
+    n = 0
+
+    def made() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate([*held[0], *held[1]]))
+        out = [keys]
+        for own in held:
+            count = np.zeros(len(keys), np.int64)
+            if own:
+                found, times = np.unique(np.concatenate(own), return_counts=True)
+                count[np.searchsorted(keys, found)] = times
+            out.append(count)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "n0", "n1"])
 
-def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, int] = {}
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for word in set(tokens(text)):
-                key = xxhash.xxh3_64_intdigest(word) - (1 << 63)
-                held[key] = held.get(key, 0) + 1
-            if len(held) > PENDING:
-                yield _pairs(held)
-                held = {}
-    yield _pairs(held)
-
-
-def _pairs(held: dict[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], ["key", "n"]
-    )
-
-
-def _numbers(words: np.ndarray):
-    """A function from tokens to word numbers, remembering what it looked up."""
-    known: dict[bytes, int] = {}
-
-    def number(given: list[bytes]) -> np.ndarray:
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in set(given) if w not in known]
-        if new:
-            h = np.array([xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in new], np.int64)
-            at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-            found = np.where(words[at] == h, at + 1, 0) if len(words) else np.zeros(len(h), np.int64)
-            known.update(zip(new, found.tolist(), strict=True))
-        return np.fromiter((known[w] for w in given), np.int64, len(given))
-
-    return number
-
-
-def _bigram_counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _numbers(shared.value)
-        held: list[np.ndarray] = []
-        n = 0
-
-        def made() -> pa.RecordBatch:
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            toxic = key & 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key >> 1), pa.array(count * (1 - toxic)), pa.array(count * toxic)], ["key", "n0", "n1"]
-            )
-
-        for batch in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = number(tokens(text))
-                if len(ids) > 1:
-                    held.append((ids[:-1] << WORD_BITS | ids[1:]) << 1 | toxic)
-                    n += len(ids)
-                if n > PENDING:
-                    yield made()
-                    held, n = [], 0
-        if held:
-            yield made()
-
-    return run
-
-
-def _array(rows, column: str, size: int, key: str = "w") -> np.ndarray:
-    out = np.zeros(size)
-    out[rows[key].to_numpy(np.int64)] = rows[column].to_numpy(np.float64)
-    return out
-
-
-def count(learn: DataFrame) -> Model:
+        for text, toxic in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            own = np.unique(grams(text))
+            held[toxic].append(own)
+            n += len(own)
+            if n > PENDING:
+                yield made()
+                held, n = [[], []], 0
+    if n:
+        yield made()
+
+
+def count(learn: DataFrame, most: int = GRAMS) -> Model:
     """The model of rows ``text, toxic`` (0 or 1), without its calibration."""
-    spark = learn.sparkSession
-    words = learn.select("text").mapInArrow(_counted_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = words.where("n > 1").orderBy(F.desc("n"), "key").limit(WORDS).toPandas()
-    vocabulary = np.sort(top["key"].to_numpy(np.int64))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    pairs = learn.select("text", "toxic").mapInArrow(_bigram_counts(shared), "key long, n0 long, n1 long")
-    pairs = cut(pairs.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    size = len(vocabulary) + 1
-    first, second = F.shiftright("key", WORD_BITS), F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    # sums per word: at most WORDS + 1 rows each
-    after = pairs.groupBy(second.alias("w")).agg(
-        F.count(F.when(F.col("n0") > 0, 1)).alias("k0"), F.count(F.when(F.col("n1") > 0, 1)).alias("k1"), F.count("*").alias("k")
-    )
-    before = pairs.groupBy(first.alias("w")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
-    after, before = after.toPandas(), before.toPandas()
-    kept = pairs.where("n0 + n1 > 1").orderBy(F.desc(F.col("n0") + F.col("n1")), "key").limit(BIGRAMS).toPandas()
-    kept = kept.sort_values("key")
-    keys = kept["key"].to_numpy(np.int64)
-    every = _array(after, "k", size)
-    base = (every + 0.5) / (every.sum() + 0.5 * size)
-    low, back, high = np.zeros((2, size)), np.zeros((2, size)), np.zeros((2, len(keys)))
-    for side in (0, 1):
-        follows, context = _array(after, f"k{side}", size), _array(before, f"c{side}", size)
-        total = max(follows.sum(), 1.0)
-        cut_off = np.maximum(follows - DISCOUNT, 0)
-        p_low = cut_off / total + (1 - cut_off.sum() / total) * base
-        own = np.maximum(kept[f"n{side}"].to_numpy(np.float64) - DISCOUNT, 0)
-        at = keys >> WORD_BITS
-        used = np.bincount(at, own, size) if len(keys) else np.zeros(size)
-        weight = np.where(context > 0, 1 - used / np.maximum(context, 1), 1.0)
-        low[side], back[side] = np.log(p_low), np.log(np.maximum(weight, 1e-9))
-        if len(keys):
-            p = own / np.maximum(context[at], 1) + weight[at] * p_low[keys & ((1 << WORD_BITS) - 1)]
-            high[side] = np.log(p)
-    return Model(vocabulary, low, back, keys, high)
-
-
-def differences(model: Model, ids: np.ndarray) -> np.ndarray:
-    """Toxic minus ordinary log-likelihood of each word, the first one without context."""
-    low = model.low[1] - model.low[0]
-    out = low[ids]
-    if len(ids) > 1:
-        out[1:] += (model.back[1] - model.back[0])[ids[:-1]]
-        if len(model.keys):
-            key = ids[:-1] << WORD_BITS | ids[1:]
-            at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1)
-            hit = np.flatnonzero(model.keys[at] == key)
-            out[hit + 1] = (model.high[1] - model.high[0])[at[hit]]
-    return out
-
-
-def measures(model: Model, ids: np.ndarray) -> tuple[float, float]:
-    """Difference per word of the whole text, and of its most toxic stretch."""
-    if not len(ids):
+    counted = learn.select("text", "toxic").mapInArrow(_counted, "key long, n0 long, n1 long")
+    counted = cut(counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    whole = counted.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n0", "n1")),
+        *(F.count(F.when(F.col(c) > 0, 1)).cast("double").alias(f"k{c}") for c in ("n0", "n1")),
+        F.count("*").cast("double").alias("k"),
+    ).first()
+    both = F.col("n0") + F.col("n1")
+    kept = counted.orderBy(both.desc(), "key").limit(most).toPandas().sort_values("key")
+    n = [kept[c].to_numpy(np.float64) for c in ("n0", "n1")]
+    back = [DISCOUNT * max(whole[f"kn{side}"], 1) / max(whole[f"n{side}"], 1) for side in (0, 1)]
+    total = whole["n0"] + whole["n1"] + 0.5 * whole["k"] + 1
+    shared = (n[0] + n[1] + 0.5) / total
+    p = [np.maximum(n[side] - DISCOUNT, 0) / max(whole[f"n{side}"], 1) + back[side] * shared for side in (0, 1)]
+    return Model(kept["key"].to_numpy(np.int64), np.log(p[1] / p[0]), float(np.log(back[1] / back[0])))
+
+
+def measures(model: Model, text: str | None) -> tuple[float, float]:
+    """Difference per n-gram of the whole text, and of its most toxic stretch."""
+    keys = grams(text)
+    if not len(keys):
         return 0.0, 0.0
-    d = differences(model, ids)
+    d = np.full(len(keys), model.other)
+    if len(model.keys):
+        at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
+        d = np.where(model.keys[at] == keys, model.differences[at], model.other)
     total = np.concatenate([[0.0], np.cumsum(d)])
     width = min(STRETCH, len(d))
     return float(total[-1] / len(d)), float((total[width:] - total[:-width]).max() / width)
@@ -198,9 +128,8 @@ def measures(model: Model, ids: np.ndarray) -> tuple[float, float]:
 def _measured(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        number = _numbers(model.words)
         for batch in batches:
-            found = [measures(model, number(tokens(text))) for text in batch.column(1).to_pylist()]
+            found = [measures(model, text) for text in batch.column(1).to_pylist()]
             mean, stretch = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(mean, pa.float64()), pa.array(stretch, pa.float64())], ["key", "mean", "stretch"]
@@ -253,7 +182,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     a, b, c = model.fit
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(_measured(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, mean double, stretch double")
+    found = rows.mapInArrow(
+        _measured(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, mean double, stretch double"
+    )
     logit = F.lit(a) * F.col("mean") + F.lit(b) * F.col("stretch") + F.lit(c)
     p = 1 / (1 + F.exp(-logit))
     return found.select(
