@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, jaccard, language, licenses, mixing, quality, rules, tokens, toxicity
+from docloom.llm import decontaminate, jaccard, language, licenses, mixing, quality, repeats, rules, tokens, toxicity
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip(table(spark, sf_dir, "documents")).drop("kept")
