@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import quantity
 from docloom.functions.versions import format_version, version_literal
-from docloom.operators.ordered import chunk_of, neighbour_values, with_ordinal
+from docloom.operators.ordered import chunk_of, neighbour_values, sorted_ordinal, with_ordinal
 
 # Groups of a diff, in display order, with their headings.
 GROUPS = (
@@ -56,10 +56,7 @@ def nearest_known(probes: DataFrame, known: DataFrame, key: str = "vnum") -> Dat
         "_r", "_x", "_known", F.max(hit).over(lows).alias("_lo"), F.min(hit).over(highs).alias("_hi")
     ).filter(F.col("_known") == 0)
     # One row per range that holds anything; ranges are 65,536 versions wide.
-    ends = both.groupBy("_r").agg(F.min(hit).alias("_min"), F.max(hit).alias("_max"))
-    before = W.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
-    after = W.orderBy("_r").rowsBetween(1, W.unboundedFollowing)
-    ends = ends.select("_r", F.max("_max").over(before).alias("_prev"), F.min("_min").over(after).alias("_next"))
+    ends = _beyond(both.groupBy("_r").agg(F.min(hit).alias("_min"), F.max(hit).alias("_max")), 2)
     return local.join(ends, "_r").select(
         F.col("_x").alias(key),
         F.coalesce("_lo", "_prev").alias("nearest_lower"),
@@ -67,6 +64,53 @@ def nearest_known(probes: DataFrame, known: DataFrame, key: str = "vnum") -> Dat
     )
 
 
+def _beyond(ends: DataFrame, level: int) -> DataFrame:
+    """Per range, the largest known key before it and the smallest after it (``_prev``, ``_next``).
+
+    Ranges are looked at 65,536 at a time, and the rest through wider ranges of the same kind.
+    """
+    above = chunk_of("_r", 1 << 16) if level else F.lit(0).cast("bigint")
+    placed = ends.withColumn("_above", above)
+    order = W.partitionBy("_above").orderBy("_r")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    near = placed.select("_r", "_above", F.max("_max").over(before).alias("_prev"), F.min("_min").over(after).alias("_next"))
+    if not level:
+        return near.drop("_above")
+    wider = placed.groupBy(F.col("_above").alias("_r")).agg(F.min("_min").alias("_min"), F.max("_max").alias("_max"))
+    far = _beyond(wider, level - 1).select(F.col("_r").alias("_above"), F.col("_prev").alias("_p"), F.col("_next").alias("_n"))
+    return near.join(far, "_above").select(
+        "_r", F.coalesce("_prev", "_p").alias("_prev"), F.coalesce("_next", "_n").alias("_next")
+    )
+
+
+def unknown_versions(wanted: DataFrame, entries: DataFrame, key: str = "vnum") -> DataFrame:
+    """The wanted versions that no entry has, with the nearest lower and higher one that exist."""
+    known = entries.select(key).distinct()
+    return nearest_known(wanted.join(known, key, "left_anti"), known, key)
+
+
+def checked_range(df: DataFrame, first: str, second: str, column: str = "version") -> tuple[DataFrame, bool]:
+    """``version_range`` of versions that must exist, and whether the ends came newest first.
+
+    An unknown end is an error that names its nearest neighbours. One aggregation checks both.
+    """
+    sums = []
+    for place, text in enumerate((first, second)):
+        at, own = version_literal(text), F.col(column)
+        sums += [
+            F.coalesce(F.bool_or(own == at), F.lit(False)).alias(f"known{place}"),
+            format_version(F.max(F.when(own < at, own))).alias(f"below{place}"),
+            format_version(F.min(F.when(own > at, own))).alias(f"above{place}"),
+        ]
+    found = df.agg(*sums).first()
+    for place, text in enumerate((first, second)):
+        if not found[f"known{place}"]:
+            near = [found[f"{side}{place}"] or "none" for side in ("below", "above")]
+            raise ValueError(f"no entries for version {text}; nearest below: {near[0]}, nearest above: {near[1]}")
+    older, newer = ([int(part) for part in text.split(".")] for text in (first, second))
+    return version_range(df, first, second, column), older > newer
+
+
 def attach_classification(items: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
     """Every item with its stored result (nulls when there is none)."""
     return items.join(store, key, "left")
@@ -151,9 +195,8 @@ def release_coverage(entries: DataFrame, store: DataFrame, by: str = "version",
 def release_index(entries: DataFrame, by: str = "version") -> DataFrame:
     """Releases newest first, each with its entry count as a label."""
     per = entries.groupBy(by).agg(F.count(F.lit(1)).alias("n_entries"))
-    newest = W.orderBy(F.col(by).desc())  # one row per release: the distinct versions only
-    return per.select(
-        F.row_number().over(newest).cast("bigint").alias("position"),
+    return sorted_ordinal(per, [F.col(by).desc()], "position").select(
+        "position",
         format_version(F.col(by)).alias("version"),
         quantity(F.col("n_entries"), "entry", "entries").alias("label"),
     )

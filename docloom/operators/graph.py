@@ -71,7 +71,7 @@ def reading_order(pages: DataFrame, starts: DataFrame, node: str = "node", succ:
         one = cut(_hop(two, two))
 
 
-def inherit_up(pages: DataFrame, node: str = "node", up: str = "up", attr: str = "attr", max_rounds: int = 64) -> DataFrame:
+def inherit_up(pages: DataFrame, node: str = "node", up: str = "up", attr: str = "attr") -> DataFrame:
     """Own attribute, else the nearest ancestor's along ``up`` (pointer jumping).
 
     After ``k`` rounds 2^k ancestors are covered. It ends when no open page has a further
@@ -80,7 +80,7 @@ def inherit_up(pages: DataFrame, node: str = "node", up: str = "up", attr: str =
     """
     state = cut(pages.select(F.col(node).alias("n"), F.col(up).alias("up"), F.col(attr).alias("attr")))
     total, covered = state.count(), 1
-    for _ in range(max_rounds):
+    while True:
         open_rows = state.filter(F.col("attr").isNull() & F.col("up").isNotNull())
         if covered > total or open_rows.isEmpty():
             break

@@ -17,7 +17,7 @@ from docloom.functions.costs import (
     input_bound,
     max_tokens_for,
 )
-from docloom.operators.ordered import chunk_of, running_totals, with_ordinal
+from docloom.operators.ordered import WIDTH, chunk_of, running_totals, sorted_ordinal, with_ordinal
 
 # How a failed attempt is accounted.
 FAILURES = (
@@ -170,21 +170,23 @@ def first_failure(attempts: DataFrame, by: str = "run_id", order: str = "ts") ->
     """First error of each run (null when none); later ones are ignored."""
     failed = F.col("reason").isNotNull()
     return attempts.groupBy(by).agg(
-        F.min_by("reason", F.when(failed, F.col(order))).alias("stop_reason"),
+        F.min(F.when(failed, F.struct(order, "reason")))["reason"].alias("stop_reason"),
         F.min(F.when(failed, F.col(order))).alias("stopped_at"),
     )
 
 
-def requests_in_flight(intervals: DataFrame, by: str = "run_id", width: int = 1 << 26) -> DataFrame:
+def requests_in_flight(intervals: DataFrame, by: str = "run_id", width: int = WIDTH) -> DataFrame:
     """Running number of open intervals after every change, ``(by, at_us, in_flight)``.
 
-    Intervals are (start_us, end_us), half-open. Changes at one instant are summed first.
+    Intervals are (start_us, end_us), half-open. Changes at one instant are summed first. They are
+    numbered without gaps, so a task holds at most ``width`` changes of a run, however dense.
     """
     deltas = intervals.select(by, F.explode(F.array(
         F.struct(F.col("start_us").alias("at_us"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("at_us"), F.lit(-1).alias("d"))
     )).alias("e")).select(by, "e.at_us", "e.d")
     net = deltas.groupBy(by, "at_us").agg(F.sum("d").alias("d"))
-    return running_totals(net, [by], "at_us", {"in_flight": F.col("d")}, width).drop("d")
+    numbered = sorted_ordinal(net, [F.col(by), F.col("at_us")], "_place")
+    return running_totals(numbered, [by], "_place", {"in_flight": F.col("d")}, width).drop("d", "_place")
 
 
 def peak_in_flight(intervals: DataFrame, by: str = "run_id") -> DataFrame:

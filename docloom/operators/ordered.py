@@ -56,8 +56,8 @@ def _marked(df: DataFrame, by: Sequence[str], order: str, width: int, *more: Col
         large = grouped.agg(F.count(F.lit(1))).scalar() > GROUP_ROWS
         return grouped.withColumn("_large", large).withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
     sizes = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > GROUP_ROWS)
-    # At most one group per GROUP_ROWS rows of the table: a thousand million rows give 7,629.
-    large = F.broadcast(sizes.select(_GROUP, F.lit(True).alias("_large")))
+    # At most one group per GROUP_ROWS rows of the table; Spark broadcasts them if they are few.
+    large = sizes.select(_GROUP, F.lit(True).alias("_large"))
     return grouped.join(large, _GROUP, "left").withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
 
 

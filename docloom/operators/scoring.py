@@ -73,17 +73,17 @@ def _read_reply(reply: dict, ids: list[str]) -> dict | None:
     found = {}
     for item in items:
         good = isinstance(item, dict) and {"id", "category", "breaking", "breaking_reason"} <= item.keys()
-        if not good or item["category"] not in CATEGORIES:
+        if not good or item["category"] not in CATEGORIES or not isinstance(item["breaking"], bool):
             return None
         found[item["id"]] = item
     return found if found.keys() == set(ids) else None
 
 
 class _Batch:
-    """Outcome of one batch: rows so far, calls made, and the first failure."""
+    """Outcome of one batch: rows so far, calls made, keys sent, and the first failure."""
 
     def __init__(self, scorer: Scorer) -> None:
-        self.scorer, self.calls, self.failure, self.rows = scorer, 0, None, {}
+        self.scorer, self.calls, self.failure, self.rows, self.sent = scorer, 0, None, {}, set()
 
     def call(self, items: list[dict]) -> dict | None:
         for attempt in range(MAX_ATTEMPTS):
@@ -93,6 +93,9 @@ class _Batch:
             except Retryable as error:
                 if attempt + 1 == MAX_ATTEMPTS:
                     self.failure = f"{error} (after {MAX_ATTEMPTS} attempts)"
+            except Exception as error:  # what is already paid for must not be lost with the task
+                self.failure = f"{type(error).__name__}: {error}"
+                return None
         return None
 
     def score(self, keyed: list[tuple[str, str]], may_split: bool = True) -> None:
@@ -100,6 +103,7 @@ class _Batch:
             return
         items = [{"id": f"e{i}", "text": text} for i, (_, text) in enumerate(keyed)]
         ids = [item["id"] for item in items]
+        self.sent.update(key for key, _ in keyed)
         for resend in (False, True):
             reply = self.call(items)
             if reply is None:
@@ -110,6 +114,7 @@ class _Batch:
                     self.failure = "output limit hit"
                     return
                 half = len(keyed) // 2
+                self.sent.difference_update(key for key, _ in keyed)  # each half is sent anew
                 self.score(keyed[:half], may_split=False)
                 self.score(keyed[half:], may_split=False)
                 return
@@ -124,40 +129,71 @@ class _Batch:
 
 
 def score_entries(
-    pending: DataFrame, scorer: Scorer, order: str = "ord", size: int = BATCH_SIZE, max_parallel: int = MAX_IN_FLIGHT
+    pending: DataFrame,
+    scorer: Scorer | None = None,
+    order: str = "ord",
+    size: int = BATCH_SIZE,
+    max_parallel: int | None = MAX_IN_FLIGHT,
+    max_requests: int | None = None,
+    stop_on_failure: bool = False,
+    shorten: bool = False,
 ) -> DataFrame:
     """Score distinct (key, text) rows in batches; rows say ``ok``, ``failed`` or ``skipped``.
 
-    One batch is one row (at most ``size`` texts), so a failed batch never loses another's
-    results and a rerun scores only what is still missing.
+    Without a scorer the keyword rules are applied as column expressions. Otherwise one batch is
+    one row (at most ``size`` texts), so a failed batch never loses another's results and a rerun
+    scores only what is still missing. A key that was sent and has no result is ``failed``; one
+    that was never sent is ``skipped``.
+
+    ``max_requests`` is a cap for the run: batches past it are skipped before anything is sent.
+    ``stop_on_failure`` skips the batches that a task holds after a failed one. ``max_parallel``
+    bounds the tasks that call a rate-limited scorer. ``shorten`` sends long texts cut and marked.
     """
+    if scorer is None:
+        done = rule_scores(pending.select("key", "text"))
+        return done.select(
+            "key", "category", "breaking", "breaking_reason", F.lit("ok").alias("status"),
+            F.lit(None).cast("string").alias("reason"), F.lit(0).alias("attempts"),
+        )
     batched = number_batches(pending.select("key", "text", order), order, size)
-    item = F.struct("place", "key", truncate_marked(F.col("text")).alias("text"))
-    rows = batched.groupBy("batch_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    text = truncate_marked(F.col("text")) if shorten else F.col("text")
+    rows = batched.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("place", "key", text.alias("text")))).alias("items"))
+    over = F.lit(False) if max_requests is None else F.col("batch_id") >= max_requests
+    rows = rows.withColumn("over", over)
+    if max_parallel is not None:
+        rows = rows.repartition(max_parallel, "batch_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped = None
         for frame in frames:
             out = []
-            for items in frame["items"]:
+            for items, over in zip(frame["items"], frame["over"]):
                 keyed = [(item["key"], item["text"]) for item in items]
                 batch = _Batch(scorer)
-                batch.score(keyed)
+                if over:
+                    batch.failure = "request cap reached"
+                elif stopped:
+                    batch.failure = f"stopped after: {stopped}"
+                else:
+                    batch.score(keyed)
+                    if stop_on_failure:
+                        stopped = batch.failure
                 for key, _ in keyed:
                     row = batch.rows.get(key)
                     if row is not None:
-                        out.append((key, row["category"], bool(row["breaking"]), str(row["breaking_reason"]), "ok", None, batch.calls))
+                        out.append((key, row["category"], row["breaking"], str(row["breaking_reason"]), "ok", None, batch.calls))
                     else:
-                        status = "failed" if not batch.rows else "skipped"
+                        status = "failed" if key in batch.sent else "skipped"
                         out.append((key, None, None, None, status, batch.failure, batch.calls))
             yield pd.DataFrame(
                 out, columns=["key", "category", "breaking", "breaking_reason", "status", "reason", "attempts"]
             )
 
-    return rows.repartition(max_parallel, "batch_id").select("items").mapInPandas(run, SCORED_SCHEMA)
+    return rows.select("items", "over").mapInPandas(run, SCORED_SCHEMA)
 
 
 def keyword_scorer(items: list[dict]) -> dict:
-    """The keyword rules as a batch scorer, for pipelines and tests of the protocol."""
+    """The keyword rules as a batch scorer, for tests of the protocol."""
     scored = []
     for item in items:
         category = next((name for name, pattern in RULES if re.search(pattern, item["text"])), "other")

@@ -25,6 +25,16 @@ def version_range(spark, sf_dir):
     return ranged.select("page_ord", "version_text", "vnum")
 
 
+@query("b1_unknown_version", "WITH " + fixtures.ENTRIES + """
+, wanted AS (SELECT DISTINCT 1000000 + 500 * (o_custkey % 60) AS vnum FROM orders)
+SELECT w.vnum, (SELECT max(vnum) FROM entries e WHERE e.vnum < w.vnum) AS nearest_lower,
+       (SELECT min(vnum) FROM entries e WHERE e.vnum > w.vnum) AS nearest_higher
+FROM wanted w WHERE w.vnum NOT IN (SELECT vnum FROM entries)""")
+def unknown_version(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select((F.lit(1_000_000) + 500 * (F.col("o_custkey") % 60)).alias("vnum"))
+    return changelog.unknown_versions(wanted.distinct(), fixtures.entries(spark, sf_dir), "vnum")
+
+
 @query("c1_attach_classification", "WITH " + fixtures.STORE + """
 SELECT page_ord, key, category, breaking FROM entries LEFT JOIN store USING (key)""")
 def attach_classification(spark, sf_dir):
@@ -285,12 +295,12 @@ def rule_scorer(spark, sf_dir):
 , pending AS (SELECT key, min(page_ord) AS page_ord, arg_min(text, page_ord) AS text FROM phrases
               WHERE key NOT IN (SELECT key FROM store) GROUP BY key)
 SELECT key, {_RULE_CASE} AS category, regexp_matches(text, '{scoring.BREAKING}') AS breaking, 'ok' AS status
-FROM pending WHERE length(text) <= 9160""")
+FROM pending""")
 def score_entries(spark, sf_dir):
-    """Pending texts that are sent whole, scored in batches by the keyword scorer."""
+    """All pending texts, whole, scored by the keyword rules."""
     fresh = changelog.pending_items(_phrases(spark, sf_dir), fixtures.keyed_store(spark, sf_dir))
-    first = changelog.dedupe_first(fresh, "key", "page_ord", "text").filter(F.length("text") <= 9160)
-    scored = scoring.score_entries(first, scoring.keyword_scorer, order="page_ord")
+    first = changelog.dedupe_first(fresh, "key", "page_ord", "text")
+    scored = scoring.score_entries(first, order="page_ord")
     return scored.select("key", "category", "breaking", "status")
 
 

@@ -63,9 +63,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has cores; else leave it.
+    """Repartition rows that come from fewer files than the cluster has cores; else leave them.
 
-    Meant before slow per-row work on few large files. A table of many files is not shuffled.
+    Meant before slow per-row work on few files. A table of many files is not shuffled. Files are
+    listed from the plan: no job runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

@@ -115,3 +115,37 @@ def test_large_order_keys_keep_all_digits(spark):
     df = spark.range(300).select((F.col("id") + base).alias("ord"))
     placed = ordered.with_ordinal(df, [], "ord", width=7).collect()
     assert {r.ord - base + 1 == r.seq for r in placed} == {True}
+
+
+def test_unknown_versions_are_named(spark):
+    from docloom.operators import changelog
+
+    rows = spark.range(1, 5).selectExpr("named_struct('major', 1, 'minor', cast(id as int) * 2, 'patch', 0) AS version")
+    ranged, swapped = changelog.checked_range(rows, "1.8.0", "1.2.0")
+    assert (ranged.count(), swapped) == (3, True)
+    assert changelog.checked_range(rows, "1.2.0", "1.4.0")[1] is False
+    with pytest.raises(ValueError, match=r"1\.5\.0; nearest below: 1\.4\.0, nearest above: 1\.6\.0"):
+        changelog.checked_range(rows, "1.5.0", "1.8.0")
+    with pytest.raises(ValueError, match="nearest above: none"):
+        changelog.checked_range(rows, "1.2.0", "2.0.0")
+
+
+def test_neighbours_over_sparse_ranges(spark):
+    from docloom.operators import changelog
+
+    known = [3, 1 << 20, (1 << 40) + 7, (1 << 50) + 1, (1 << 50) + 2]
+    probes = [-(1 << 45), 3, 4, 1 << 19, 1 << 33, (1 << 40) + 7, 1 << 45, (1 << 50) + 1, 1 << 55]
+    found = changelog.nearest_known(
+        spark.createDataFrame([(k,) for k in probes], "vnum long"), spark.createDataFrame([(k,) for k in known], "vnum long")
+    )
+    expected = {p: (max((k for k in known if k < p), default=None), min((k for k in known if k > p), default=None)) for p in probes}
+    assert {r.vnum: (r.nearest_lower, r.nearest_higher) for r in found.collect()} == expected
+
+
+def test_dense_intervals_stay_within_the_width(spark):
+    from docloom.operators import ledger
+
+    spans = spark.range(500).selectExpr("id % 2 AS run_id", "1000 + id AS start_us", "1000 + id + 1 + id % 7 AS end_us")
+    found = {(r.run_id, r.at_us): r.in_flight for r in ledger.requests_in_flight(spans, width=16).collect()}
+    rows = [(i % 2, 1000 + i, 1001 + i + i % 7) for i in range(500)]
+    assert found and all(n == sum(r == run and a <= at < b for r, a, b in rows) for (run, at), n in found.items())

@@ -37,7 +37,8 @@ def test_overflow_splits_once(spark):
 
 def test_overflow_of_a_half_fails(spark):
     found = run(spark, 4, lambda items: {"stop_reason": "max_tokens"})
-    assert {r.status for r in found.values()} == {"failed"} and {r.attempts for r in found.values()} == {2}
+    assert [found[f"k{i}"].status for i in range(4)] == ["failed", "failed", "skipped", "skipped"]
+    assert {r.attempts for r in found.values()} == {2}
 
 
 def test_failed_second_half_keeps_the_first(spark):
@@ -47,10 +48,63 @@ def test_failed_second_half_keeps_the_first(spark):
         return answer(items) if "text 0" in [i["text"] for i in items] else {"stop_reason": "refusal"}
 
     found = run(spark, 4, scorer)
-    assert [found[f"k{i}"].status for i in range(4)] == ["ok", "ok", "skipped", "skipped"]
+    assert [found[f"k{i}"].status for i in range(4)] == ["ok", "ok", "failed", "failed"]
     assert found["k2"].reason == "refused"
 
 
+def test_refused_first_half_leaves_the_second_unsent(spark):
+    def scorer(items):
+        return {"stop_reason": "max_tokens"} if len(items) > 2 else {"stop_reason": "refusal"}
+
+    found = run(spark, 4, scorer)
+    assert [found[f"k{i}"].status for i in range(4)] == ["failed", "failed", "skipped", "skipped"]
+    assert {r.attempts for r in found.values()} == {2}
+
+
+def test_unexpected_exception_keeps_other_batches(spark):
+    def scorer(items):
+        if "text 0" in [i["text"] for i in items]:
+            raise KeyError("bug")
+        return answer(items)
+
+    found = run(spark, 8, scorer)
+    assert [found[f"k{i}"].status for i in range(8)] == ["failed"] * 4 + ["ok"] * 4
+    assert found["k0"].attempts == 1 and found["k0"].reason.startswith("KeyError")
+
+
+def test_request_cap_is_applied_before_sending(spark):
+    rows = spark.range(10).select(F.col("id").alias("ord"), F.concat(F.lit("k"), "id").alias("key"), F.lit("x").alias("text"))
+    found = scoring.score_entries(rows, answer, size=4, max_requests=2, max_parallel=None).collect()
+    assert {r.key for r in found if r.status == "ok"} == {f"k{i}" for i in range(8)}
+    assert {(r.status, r.reason, r.attempts) for r in found if r.key in ("k8", "k9")} == {("skipped", "request cap reached", 0)}
+
+
+def test_failure_stops_the_task(spark):
+    rows = spark.range(8).select(F.col("id").alias("ord"), F.concat(F.lit("k"), "id").alias("key"), F.lit("x").alias("text"))
+    found = scoring.score_entries(rows, lambda items: {"stop_reason": "refusal"}, size=4, max_parallel=1, stop_on_failure=True).collect()
+    assert sorted(r.status for r in found) == ["failed"] * 4 + ["skipped"] * 4
+
+
+def test_long_texts_are_whole_unless_shortened(spark):
+    def scorer(items):
+        reply = answer(items)
+        reply["items"][0]["breaking_reason"] = str(len(items[0]["text"]))
+        return reply
+
+    rows = spark.createDataFrame([(1, "k", "x" * 20_000)], "ord long, key string, text string")
+    assert scoring.score_entries(rows, scorer).first().breaking_reason == "20000"
+    assert int(scoring.score_entries(rows, scorer, shorten=True).first().breaking_reason) < 10_000
+
+
+def test_breaking_must_be_a_boolean(spark):
+    def scorer(items):
+        reply = answer(items)
+        reply["items"][0]["breaking"] = "no"
+        return reply
+
+    assert {r.reason for r in run(spark, 2, scorer).values()} == {"invalid reply twice"}
+
+
 @pytest.mark.parametrize("bad", ["missing", "unknown", "double", "category", "none"])
 def test_invalid_reply_is_sent_again_then_fails(spark, bad):
     def scorer(items):
