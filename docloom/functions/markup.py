@@ -116,55 +116,80 @@ def parse(html: str) -> Node:
     return builder.root
 
 
-def raw_text(node: Node, skip: frozenset[int] = frozenset(), code=None) -> str:
-    """Text pieces joined without a separator; scripts, comments and ``skip`` left out."""
-    pieces = []
-    for kid in node.kids:
-        if isinstance(kid, str):
-            pieces.append(kid)
-        elif kid.tag != "#comment" and kid.tag not in NON_TEXT and id(kid) not in skip:
-            if code and kid.tag == "code":
-                pieces.append(code(text_of(kid)))
-            else:
-                pieces.append(raw_text(kid, skip, code))
-    return "".join(pieces)
-
-
-def text_of(node: Node, skip: frozenset[int] = frozenset(), code=None) -> str:
-    return " ".join(raw_text(node, skip, code).split())
+def events(top: Node, hidden=lambda node: False):
+    """The tree below ``top`` in page order: (opening, node), (closing, node) and (text, piece)."""
+    waiting = [iter(top.kids)]
+    inside = [top]
+    while waiting:
+        kid = next(waiting[-1], None)
+        if kid is None:
+            waiting.pop()
+            ended = inside.pop()
+            if inside:
+                yield "close", ended
+        elif isinstance(kid, str):
+            yield "text", kid
+        elif not hidden(kid):
+            yield "open", kid
+            waiting.append(iter(kid.kids))
+            inside.append(kid)
+
+
+def _unread(node: Node) -> bool:
+    return node.tag == "#comment" or node.tag in NON_TEXT
+
+
+def text_of(node: Node, code: str = "") -> str:
+    """Text of a node with white space collapsed; outermost ``<code>`` between ``code`` marks."""
+    pieces, depth, begun = [], 0, 0
+    for what, of in events(node, _unread):
+        if what == "text":
+            pieces.append(of)
+        elif code and of.tag == "code":
+            depth += 1 if what == "open" else -1
+            if what == "open" and depth == 1:
+                begun = len(pieces)
+            elif what == "close" and not depth:
+                pieces[begun:] = [code + " ".join("".join(pieces[begun:]).split()) + code]
+    return " ".join("".join(pieces).split())
 
 
 # -- canonical markup ----------------------------------------------------------
 
-
-def _escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-
-
-def _piece(text: str, keep: bool, raw: bool) -> str:
-    if not keep and not text.strip(ASCII_SPACE):
-        text = "\n" if "\n" in text else " "
-    return text if raw else _escape(text)
-
-
-def _attribute(tag: str, name: str, value: str) -> str:
-    if name in LIST_ATTRIBUTES or name in LIST_ATTRIBUTES_BY_TAG.get(tag, ()):
-        value = " ".join(value.split())
-    value = _escape(value)
-    quote = "'" if '"' in value and "'" not in value else '"'
-    return f" {name}={quote}{value.replace(chr(34), '&quot;') if quote == chr(34) else value}{quote}"
-
-
-def canonical(node: Node, keep: bool = False) -> str:
-    """One normal form: sorted attributes, escaped text, collapsed blank text."""
-    if node.tag == "#comment":
-        return f"<!--{_piece(node.kids[0], keep, raw=True)}-->"
-    if node.tag == "#root":
-        return "".join(canonical(k, keep) if isinstance(k, Node) else _piece(k, keep, raw=False) for k in node.kids)
-    opening = node.tag + "".join(_attribute(node.tag, n, v) for n, v in sorted(node.attrs.items()))
-    if node.tag in VOID and not node.kids:
-        return f"<{opening}/>"
-    keep = keep or node.tag in KEEP_SPACE
-    raw = node.tag in RAW_TEXT
-    inner = "".join(canonical(k, keep) if isinstance(k, Node) else _piece(k, keep, raw) for k in node.kids)
-    return f"<{opening}>{inner}</{node.tag}>"
+_ENTITIES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})
+
+
+def _opening(node: Node, end: str) -> str:
+    words = [node.tag]
+    for name, value in sorted(node.attrs.items()):
+        if name in LIST_ATTRIBUTES or name in LIST_ATTRIBUTES_BY_TAG.get(node.tag, ()):
+            value = " ".join(value.split())
+        value = value.translate(_ENTITIES)
+        mark = "'" if '"' in value and "'" not in value else '"'
+        words.append(f"{name}={mark}{value.replace(mark, '&quot;')}{mark}")
+    return f"<{' '.join(words)}{end}"
+
+
+def canonical(root: Node) -> str:
+    """One normal form of a page: sorted attributes, escaped text, blank text as one character."""
+    out: list[str] = []
+    raw = spaced = comment = 0  # open elements whose text is written as it is, keeps its blanks, is a comment
+    for what, of in events(root):
+        if what == "text":
+            blank = not spaced and not of.strip(ASCII_SPACE)
+            piece = ("\n" if "\n" in of else " ") if blank else of
+            out.append(piece if raw or comment else piece.translate(_ENTITIES))
+            continue
+        step = 1 if what == "open" else -1
+        if of.tag == "#comment":
+            comment += step
+            out.append("<!--" if step > 0 else "-->")
+            continue
+        raw += step * (of.tag in RAW_TEXT)
+        spaced += step * (of.tag in KEEP_SPACE)
+        empty = of.tag in VOID and not of.kids
+        if step > 0:
+            out.append(_opening(of, "/>" if empty else ">"))
+        elif not empty:
+            out.append(f"</{of.tag}>")
+    return "".join(out)

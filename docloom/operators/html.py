@@ -1,16 +1,19 @@
 """HTML pages to typed rows: blocks, spans, cells, metadata, release entries.
 
-Spark spreads the pages; each task turns one page at a time into rows. Everything after that
-(sections, links, layouts, documents) is DataFrame work in ``operators.documents``.
+A task only tokenises: it turns pages into block rows by one table of rules (tag, class, how the
+element is laid out). What rows mean together (sections, links, entries of a change log, documents)
+is DataFrame work, here and in ``operators.documents``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
@@ -22,228 +25,278 @@ from docloom.session import spread
 
 # Main containers, admonition classes, containers left out.
 MAIN = ("div.section", "div.chapter", "article")
-ADMONITIONS = frozenset({"note", "tip", "warning", "important", "caution"})
-DROPPED = frozenset({"titlepage", "spirit-nav", "copyright-footer"})
-DROPPED_TAGS = frozenset({"nav", "footer", "hr"})
+ADMONITIONS = ("caution", "important", "note", "tip", "warning")
+DROPPED = ("titlepage", "spirit-nav", "copyright-footer")
+DROPPED_TAGS = ("nav", "footer", "hr")
 SEPARATOR = re.compile(r"^[\s—–-]*$")
-HEADER_LINE = re.compile(r"^(Convenience header|Header):\s*(\S+)$")
+# Result rows that leave a task together, at most.
+SLICE_ROWS = 2048
 
 SPAN = "struct<span_no:int,kind:string,style:string,text:string,href:string>"
 BLOCK_SCHEMA = (
     "page_id bigint, block_no int, parent_path array<int>, kind string, level int, label string, text string, "
     f"row_no int, col_no int, is_header boolean, spans array<{SPAN}>"
 )
-META_SCHEMA = (
-    "page_id bigint, title string, up string, next string, header string, convenience_header string, declaration string"
-)
-ENTRY_SCHEMA = (
-    "page_id bigint, release_no int, version string, anchor string, path array<int>, depth int, text string, "
-    "marked_text string, html string"
-)
 _STYLES = {"code": "code", "em": "italic", "i": "italic", "strong": "bold", "b": "bold"}
 
 
+def _is(node: Node, selector: str) -> bool:
+    tag, _, name = selector.partition(".")
+    return tag in ("", node.tag) and (not name or name in node.classes)
+
+
+def _find(node: Node, *selectors: str) -> Node | None:
+    return next((n for n in node.walk() if any(_is(n, s) for s in selectors)), None)
+
+
 def main_container(root: Node, selectors=MAIN) -> Node | None:
-    for node in root.walk():
-        for selector in selectors:
-            tag, _, name = selector.partition(".")
-            if node.tag == tag and (not name or name in node.classes):
-                return node
-    return None
+    return root if "" in selectors else _find(root, *selectors)
 
 
-class _Page:
-    """Collects the block rows of one page."""
+# -- inline content --------------------------------------------------------------
 
-    def __init__(self) -> None:
-        self.rows: list[dict] = []
 
-    def add(self, path: list[int], kind: str, text: str = "", level=None, label=None, spans=(), cell=(None, None, None)) -> int:
-        number = len(self.rows)
-        self.rows.append({
-            "block_no": number, "parent_path": list(path), "kind": kind, "level": level, "label": label, "text": text,
-            "row_no": cell[0], "col_no": cell[1], "is_header": cell[2], "spans": list(spans),
-        })
-        return number
+def _left_out(node: Node) -> bool:
+    return (
+        node.tag == "#comment"
+        or node.tag in markup.NON_TEXT
+        or _is(node, "a.indexterm")
+        or _is(node, "a.para")
+        or (_is(node, "span.silver") and SEPARATOR.match(text_of(node)) is not None)
+    )
 
-    # inline content -------------------------------------------------------
 
-    def spans(self, kids: list, style: str = "", href: str | None = None) -> list[dict]:
-        out: list[dict] = []
+def _alt(node: Node) -> str:
+    image = node if node.tag == "img" else _find(node, "img")
+    return text_of(node) if image is None else (image.attrs.get("alt") or "").strip()
 
-        def put(kind: str, text: str, target: str | None = None) -> None:
-            out.append({"span_no": len(out), "kind": kind, "style": style, "text": text, "href": target})
 
-        for kid in kids:
-            if isinstance(kid, str):
-                put("link" if href is not None else ("span" if style else "text"), kid, href)
-                continue
-            names = kid.classes
-            if kid.tag == "#comment" or kid.tag in markup.NON_TEXT:
-                continue
-            if kid.tag == "br":
-                put("break", "\n")
-            elif kid.tag == "img":
-                put("image", (kid.attrs.get("alt") or "").strip(), kid.attrs.get("src", ""))
-            elif kid.tag == "a" and names & {"indexterm", "para"}:
-                continue
-            elif kid.tag == "a" and "co" in names:
-                image = next((n for n in kid.walk() if n.tag == "img"), None)
-                put("callout", (image.attrs.get("alt") or "").strip() if image else text_of(kid))
-            elif kid.tag == "a" and "footnote" in names:
-                put("text", text_of(kid))
-            elif kid.tag == "span" and "silver" in names and SEPARATOR.match(text_of(kid)):
-                continue
-            else:
-                inner_href = kid.attrs.get("href", href) if kid.tag == "a" else href
-                for span in self.spans(kid.kids, _STYLES.get(kid.tag, style), inner_href):
-                    out.append({**span, "span_no": len(out)})
-        return out
-
-    def paragraph(self, kids: list, path: list[int]) -> None:
-        spans = self.spans(kids)
-        text = " ".join("".join(s["text"] for s in spans if s["kind"] not in ("image", "callout")).split())
-        marks = [s for s in spans if s["kind"] in ("image", "callout")]
-        if not text and len(marks) == 1 and marks[0]["kind"] == "image":
-            self.add(path, "figure", marks[0]["href"], label=marks[0]["text"])
-        elif text or marks:
-            self.add(path, "para", text, spans=spans)
-
-    # blocks ---------------------------------------------------------------
-
-    def flow(self, node: Node, path: list[int], skip: Node | None = None) -> None:
-        """Children as blocks; loose inline content becomes paragraphs."""
-        loose: list = []
-        for kid in node.kids:
-            if kid is skip:
+# Elements that are one span of their own: selector, kind, text, target.
+_ATOMS = (
+    ("br", "break", lambda n: "\n", lambda n: None),
+    ("img", "image", _alt, lambda n: n.attrs.get("src", "")),
+    ("a.co", "callout", _alt, lambda n: None),
+    ("a.footnote", "text", text_of, lambda n: None),
+)
+
+
+def _spans(kids: list, style: str = "") -> list[dict]:
+    """Pieces of inline content; each takes the innermost style and link that are open around it."""
+    holder = Node("#run")
+    holder.kids = kids
+    out: list[dict] = []
+    styles, targets, skip = [style], [None], None
+    for what, of in markup.events(holder, _left_out):
+        if skip is not None:
+            skip = None if what == "close" and of is skip else skip
+            continue
+        if what == "text":
+            kind = "link" if targets[-1] is not None else "span" if styles[-1] else "text"
+            made = (kind, of, targets[-1])
+        elif what == "open":
+            atom = next((a for a in _ATOMS if _is(of, a[0])), None)
+            if atom is None:
+                styles.append(_STYLES.get(of.tag, styles[-1]))
+                targets.append(of.attrs.get("href", targets[-1]) if of.tag == "a" else targets[-1])
                 continue
-            if isinstance(kid, Node) and kid.tag in markup.BLOCKS:
-                self.paragraph(loose, path)
-                loose = []
-                self.block(kid, path)
-            else:
-                loose.append(kid)
-        self.paragraph(loose, path)
-
-    def nested(self, node: Node | None, path: list[int], kind: str, label=None, **more) -> None:
-        number = self.add(path, kind, label=label, **more)
-        if node is not None:
-            self.flow(node, [*path, number])
-
-    def items(self, path: list[int], labelled: list[tuple[str, Node]], kind: str) -> None:
-        number = self.add(path, kind)
-        for label, node in labelled:
-            self.nested(node, [*path, number], "item", label)
-
-    def block(self, node: Node, path: list[int]) -> None:
-        tag, names = node.tag, node.classes
-        if tag in DROPPED_TAGS or (tag == "div" and names & DROPPED):
-            return
-        if tag in HEADINGS:
-            self.add(path, "heading", text_of(node), level=int(tag[1]), spans=self.spans(node.kids))
-        elif tag == "pre":
-            spans = self.spans(node.kids, "code")
-            self.add(path, "code", "".join(s["text"] for s in spans).expandtabs(8), spans=spans)
-        elif tag in ("ul", "ol"):
-            start = (node.attrs.get("start") or "").strip()
-            first = int(start) if start.isdigit() else 1
-            lis = [n for n in node.elements() if n.tag == "li"]
-            self.items(path, [(f"{first + i}." if tag == "ol" else "", li) for i, li in enumerate(lis)], "list")
-        elif tag == "dl":
-            self.definitions(node, path)
-        elif tag == "table":
-            self.table(node, path, "")
-        elif tag == "blockquote":
-            self.nested(node, path, "quote")
-        elif tag == "div":
-            self.division(node, path, names)
+            skip = of
+            made = (atom[1], atom[2](of), atom[3](of))
         else:
-            self.flow(node, path)
-
-    def division(self, node: Node, path: list[int], names: set[str]) -> None:
-        rows = [n for n in node.walk() if n.tag == "tr"]
-        if names & ADMONITIONS:
-            head = next((n for n in node.walk() if n.tag == "th"), None)
-            label = (text_of(head) if head else "") or min(names & ADMONITIONS).capitalize()
-            last = (_cells(rows[-1]) or [None])[-1] if rows else node
-            self.nested(last, path, "admonition", label)
-        elif "calloutlist" in names:
-            pairs = [_cells(row) for row in rows]
-            labelled = []
-            for marker, body in (p for p in pairs if len(p) == 2):
-                image = next((n for n in marker.walk() if n.tag == "img"), None)
-                labelled.append((f"({(image.attrs.get('alt') or '').strip() if image else text_of(marker)})", body))
-            self.items(path, labelled, "list")
-        elif "footnotes" in names:
-            notes = [n for n in node.walk() if n.tag == "div" and "footnote" in n.classes]
-            labelled = []
-            for note in notes:
-                marker = next((a for a in note.walk() if a.tag == "a" and "para" in a.classes), None)
-                labelled.append((text_of(marker) if marker else "*", note))
-            self.items(path, labelled, "footnotes")
-        elif "table" in names:
-            title = next((n for n in node.elements() if n.tag == "p" and "title" in n.classes), None)
-            inner = next((n for n in node.walk() if n.tag == "table"), None)
-            if inner is not None:
-                self.table(inner, path, text_of(title) if title else "")
-        elif "mediaobject" in names:
-            for image in (n for n in node.walk() if n.tag == "img"):
-                self.add(path, "figure", image.attrs.get("src", ""), label=(image.attrs.get("alt") or "").strip())
+            styles.pop()
+            targets.pop()
+            continue
+        out.append({"span_no": len(out), "kind": made[0], "style": styles[-1], "text": made[1], "href": made[2]})
+    return out
+
+
+# -- layouts: an element's own row, and the rows that hold its parts ---------------
+
+Row = dict
+Layout = tuple[Row | None, list[tuple[Row, Node | None]]]
+
+
+def _listed(kind: str, labelled: list[tuple[str, Node | None]], item: str = "item") -> Layout:
+    return {"kind": kind}, [({"kind": item, "label": label}, node) for label, node in labelled]
+
+
+def _list(node: Node) -> Layout:
+    entries = [n for n in node.elements() if n.tag == "li"]
+    if node.tag == "ul":
+        return _listed("list", [("", n) for n in entries])
+    begin = (node.attrs.get("start") or "").strip()
+    return _listed("list", [(f"{k}.", n) for k, n in enumerate(entries, int(begin) if begin.isdigit() else 1)])
+
+
+def _definitions(node: Node) -> Layout:
+    labelled: list[tuple[str, Node | None]] = []
+    named = ""
+    for tag, run in groupby((n for n in node.elements() if n.tag in ("dt", "dd")), key=lambda n: n.tag):
+        if tag == "dt":
+            named = ", ".join(text_of(n) for n in run)
+            labelled.append((named, None))
         else:
-            self.flow(node, path)
-
-    def definitions(self, node: Node, path: list[int]) -> None:
-        number = self.add(path, "deflist")
-        terms: list[str] = []
-        for kid in node.elements():
-            if kid.tag == "dt":
-                terms.append(text_of(kid))
-            elif kid.tag == "dd":
-                self.nested(kid, [*path, number], "definition", ", ".join(terms))
-                terms = []
-        if terms:
-            self.nested(None, [*path, number], "definition", ", ".join(terms))
-
-    def table(self, node: Node, path: list[int], title: str) -> None:
-        number = self.add(path, "table", title)
-        parts = [(part, row) for part in node.elements() for row in part.elements() if row.tag == "tr"]
-        head = [row for part, row in parts if part.tag == "thead"][:1]
-        body = [row for part, row in parts if part.tag in ("tbody", "tfoot")]
-        body += [row for row in node.elements() if row.tag == "tr"]
-        if not head and body and _cells(body[0]) and all(c.tag == "th" for c in _cells(body[0])):
-            head, body = body[:1], body[1:]
-        for row_no, row in enumerate(head + body, start=0 if head else 1):
-            for col_no, cell in enumerate(_cells(row)):
-                self.nested(cell, [*path, number], "cell", cell=(row_no, col_no, row_no == 0), text=text_of(cell))
+            bodies = list(run)
+            if named and labelled and labelled[-1][1] is None:
+                labelled.pop()
+            labelled += zip(chain([named], ("" for _ in bodies)), bodies)
+            named = ""
+    return _listed("deflist", labelled, "definition")
 
 
 def _cells(row: Node) -> list[Node]:
     return [n for n in row.elements() if n.tag in ("td", "th")]
 
 
-def page_blocks(html: str) -> list[dict]:
+def _grid(node: Node, title: str = "") -> Layout:
+    """Rows by section: one head row is number 0, all others count from 1."""
+    sections = [(n.tag, [r for r in n.elements() if r.tag == "tr"]) for n in node.elements() if n.tag != "tr"]
+    heads = [r for tag, rows in sections if tag == "thead" for r in rows]
+    rest = [r for tag, rows in sections if tag in ("tbody", "tfoot") for r in rows] + [n for n in node.elements() if n.tag == "tr"]
+    first = rest[0] if rest else None
+    if not heads and first is not None and {c.tag for c in _cells(first)} == {"th"}:
+        heads, rest = [first], rest[1:]
+    numbered = chain(zip((0,), heads), enumerate(rest, 1))
+    parts = [
+        ({"kind": "cell", "text": text_of(cell), "row_no": r, "col_no": c, "is_header": r == 0}, cell)
+        for r, row in numbered
+        for c, cell in enumerate(_cells(row))
+    ]
+    return {"kind": "table", "text": title}, parts
+
+
+def _titled_grid(node: Node) -> Layout:
+    grid = _find(node, "table")
+    title = next((text_of(n) for n in node.elements() if _is(n, "p.title")), "")
+    return (None, []) if grid is None else _grid(grid, title)
+
+
+def _admonition(node: Node) -> Layout:
+    head = _find(node, "th")
+    label = (head is not None and text_of(head)) or next(n for n in ADMONITIONS if n in node.classes).capitalize()
+    lines = [n for n in node.walk() if n.tag == "tr"]
+    body = node if not lines else (_cells(lines[-1]) or [None])[-1]
+    return None, [({"kind": "admonition", "label": label}, body)]
+
+
+def _callouts(node: Node) -> Layout:
+    pairs = [_cells(n) for n in node.walk() if n.tag == "tr"]
+    return _listed("list", [(f"({_alt(pair[0])})", pair[1]) for pair in pairs if len(pair) == 2])
+
+
+def _footnotes(node: Node) -> Layout:
+    notes = [(n, _find(n, "a.para")) for n in node.walk() if _is(n, "div.footnote")]
+    return _listed("footnotes", [("*" if mark is None else text_of(mark), n) for n, mark in notes])
+
+
+def _figures(node: Node) -> Layout:
+    found = [n for n in node.walk() if n.tag == "img"]
+    return None, [({"kind": "figure", "text": n.attrs.get("src", ""), "label": _alt(n)}, None) for n in found]
+
+
+def _heading(node: Node) -> Layout:
+    return {"kind": "heading", "text": text_of(node), "level": int(node.tag[1]), "spans": _spans(node.kids)}, []
+
+
+def _code(node: Node) -> Layout:
+    spans = _spans(node.kids, "code")
+    return {"kind": "code", "text": "".join(s["text"] for s in spans).expandtabs(8), "spans": spans}, []
+
+
+def _nothing(node: Node) -> Layout:
+    return None, []
+
+
+# The first rule whose selector fits lays an element out; any other block only passes its content on.
+_RULES: tuple[tuple[str, Callable[[Node], Layout]], ...] = (
+    *((tag, _nothing) for tag in DROPPED_TAGS),
+    *((f"div.{name}", _nothing) for name in DROPPED),
+    *((tag, _heading) for tag in sorted(HEADINGS)),
+    ("pre", _code),
+    ("ul", _list),
+    ("ol", _list),
+    ("dl", _definitions),
+    ("table", _grid),
+    ("blockquote", lambda node: (None, [({"kind": "quote"}, node)])),
+    *((f"div.{name}", _admonition) for name in ADMONITIONS),
+    ("div.calloutlist", _callouts),
+    ("div.footnotes", _footnotes),
+    ("div.table", _titled_grid),
+    ("div.mediaobject", _figures),
+)
+
+
+def _paragraph(kids: list) -> Row | None:
+    spans = _spans(kids)
+    marks = [s for s in spans if s["kind"] in ("image", "callout")]
+    text = " ".join("".join(s["text"] for s in spans if s not in marks).split())
+    if not text and [s["kind"] for s in marks] == ["image"]:
+        return {"kind": "figure", "text": marks[0]["href"], "label": marks[0]["text"]}
+    return {"kind": "para", "text": text, "spans": spans} if text or marks else None
+
+
+def _is_block(kid) -> bool:
+    return isinstance(kid, Node) and kid.tag in markup.BLOCKS
+
+
+def page_blocks(html: str, selectors=MAIN) -> list[dict]:
     """Block rows of one page (no rows when it has no main container)."""
-    main = main_container(markup.parse(html))
-    page = _Page()
+    rows: list[dict] = []
+
+    def put(path: list[int], row: Row) -> list[int]:
+        number = len(rows)
+        empty = {"level": None, "label": None, "text": "", "row_no": None, "col_no": None, "is_header": None, "spans": []}
+        rows.append({"block_no": number, "parent_path": list(path), **empty, **row})
+        return [*path, number]
+
+    def lay(node: Node, path: list[int]) -> None:
+        for block, run in groupby(node.kids, key=_is_block):
+            if not block:
+                row = _paragraph(list(run))
+                if row is not None:
+                    put(path, row)
+                continue
+            for kid in run:
+                layout = next((make for selector, make in _RULES if _is(kid, selector)), None)
+                if layout is None:
+                    lay(kid, path)
+                    continue
+                own, parts = layout(kid)
+                below = path if own is None else put(path, own)
+                for row, part in parts:
+                    inner = put(below, row)
+                    if part is not None:
+                        lay(part, inner)
+
+    main = main_container(markup.parse(html), selectors)
     if main is not None:
-        page.flow(main, [])
-    return page.rows
+        lay(main, [])
+    return rows
 
 
 def _per_page(pages: DataFrame, key: str, rows_of, schema: str) -> DataFrame:
     names = T.StructType.fromDDL(schema).fieldNames()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
         for frame in frames:
-            rows = [{"page_id": i, **row} for i, html in zip(frame[key], frame["html"]) for row in rows_of(html)]
-            yield pd.DataFrame(rows, columns=names)
+            for page, html in zip(frame[key], frame["html"]):
+                for row in rows_of(html or ""):
+                    held.append({"page_id": page, **row})
+                    if len(held) >= SLICE_ROWS:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     return spread(pages.select(key, "html")).mapInPandas(run, schema)
 
 
-def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Pages (page_id, html) to block rows. Filter pages first: nothing is pushed below this."""
-    return _per_page(pages, key, page_blocks, BLOCK_SCHEMA)
+def html_blocks(pages: DataFrame, key: str = "page_id", selectors=MAIN) -> DataFrame:
+    """Pages (page_id, html) to block rows of the first element that a selector fits.
+
+    Filter pages first: nothing is pushed below this.
+    """
+    return _per_page(pages, key, lambda html: page_blocks(html, selectors), BLOCK_SCHEMA)
 
 
 def register_sql(spark: SparkSession) -> None:
@@ -268,124 +321,106 @@ def block_spans(blocks: DataFrame, bases: DataFrame) -> DataFrame:
     )
 
 
-def table_cells(blocks: DataFrame) -> DataFrame:
-    """Cells in long form; the table number is the block number of the table."""
-    return blocks.filter("kind = 'cell'").select(
-        "page_id", F.try_element_at("parent_path", F.lit(-1)).alias("table_no"), "row_no", "col_no", "is_header", "text"
-    )
+# The lines of a requirements section that name headers.
+HEADER_LINE = r"^(Convenience header|Header):\s*(\S+)$"
 
 
 def page_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Title, up and next links, requirement headers and first declaration of each page."""
+    """Title, up and next links, requirement headers and first declaration of each page.
+
+    Titles and relations are attributes and come from the parser; the rest is read off the block rows.
+    """
 
     def rows_of(html: str) -> list[dict]:
         root = markup.parse(html)
         main = main_container(root)
-        nodes = [] if main is None else list(main.walk())
-        head = next((n for n in nodes if n.tag in HEADINGS), None)
-        titled = None if head is None else next((a for a in head.walk() if a.tag == "a" and a.attrs.get("title")), None)
-        title = "" if head is None else (" ".join(titled.attrs["title"].split()) if titled else text_of(head))
-        rel = {}
-        for node in root.walk():
-            if node.tag == "link" and node.attrs.get("href"):
-                rel.setdefault(node.attrs.get("rel"), node.attrs["href"])
-        found, inside = {}, False
-        for node in [] if main is None else main.elements():
-            if node.tag in HEADINGS:
-                inside = text_of(node) == "Requirements"
-            line = HEADER_LINE.match(text_of(node)) if inside and node.tag == "p" else None
-            if line and not (line.group(1) != "Header" and line.group(2) == "None"):
-                found[line.group(1)] = line.group(2)
-        code = next((n for n in ([] if main is None else main.elements()) if n.tag == "pre"), None)
-        return [{
-            "title": title, "up": rel.get("up"), "next": rel.get("next"), "header": found.get("Header", ""),
-            "convenience_header": found.get("Convenience header", ""), "declaration": text_of(code) if code else "",
-        }]
-
-    return _per_page(pages, key, rows_of, META_SCHEMA)
-
-
-# -- change-log pages ----------------------------------------------------------
-
-
-def _entry_rows(li: Node, path: list[int]) -> list[dict]:
-    """A list item and, below it, the items of the lists nested in it."""
-    lists: list[tuple[Node, Node]] = []
-
-    def find(node: Node) -> None:
-        for kid in node.elements():
-            if kid.tag in ("ul", "ol"):
-                lists.append((node, kid))
-                for item in kid.elements():
-                    if item.tag != "li":
-                        find(item)
-            elif kid.tag != "li":
-                find(kid)
-
-    find(li)
-    skip = frozenset(id(parent) if parent.tag == "div" else id(nested) for parent, nested in lists)
-    inner = "".join(
-        (kid if isinstance(kid, str) else markup.canonical(kid))
-        for kid in li.kids
-        if not (isinstance(kid, Node) and id(kid) in skip)
-    ).strip()
-    rows = [_entry(text_of(li, skip), text_of(li, skip, lambda t: f"`{t}`"), inner, path)]
-    items = [item for _, nested in lists for item in nested.elements() if item.tag == "li"]
-    for number, item in enumerate(items):
-        rows.extend(_entry_rows(item, [*path, number]))
-    return rows
+        head = None if main is None else _find(main, *HEADINGS)
+        named = None if head is None else next((a for a in head.walk() if a.tag == "a" and a.attrs.get("title")), None)
+        title = "" if head is None else text_of(head) if named is None else " ".join(named.attrs["title"].split())
+        links = [n for n in root.walk() if n.tag == "link" and n.attrs.get("href")]
+        rel = {name: next((n.attrs["href"] for n in links if n.attrs.get("rel") == name), None) for name in ("up", "next")}
+        return [{"title": title, **rel}]
+
+    own = _per_page(pages, key, rows_of, "page_id bigint, title string, up string, next string")
+    top = html_blocks(pages, key).filter(F.size("parent_path") == 0)
+    # a page's blocks are bounded by the page, which one task has parsed
+    before = W.partitionBy("page_id").orderBy("block_no").rowsBetween(W.unboundedPreceding, -1)
+    section = F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(before)
+    name, value = (F.regexp_extract("text", HEADER_LINE, k) for k in (1, 2))
+    lines = top.withColumn("section", section).select(
+        "page_id", "block_no", "kind", "text", name.alias("name"), value.alias("value"),
+        ((F.col("kind") == "para") & (F.col("section") == "Requirements") & (name != "")
+         & ((name == "Header") | (value != "None"))).alias("line"),
+    )
 
+    def last(name: str) -> Column:
+        return F.coalesce(F.max_by("value", F.when(F.col("line") & (F.col("name") == name), F.col("block_no"))), F.lit(""))
 
-def _entry(text: str, marked: str, html: str, path: list[int]) -> dict:
-    return {"path": path, "depth": len(path) - 1, "text": text, "marked_text": marked, "html": html}
+    code = F.min_by("text", F.when(F.col("kind") == "code", F.col("block_no")))
+    found = lines.groupBy("page_id").agg(
+        last("Header").alias("header"), last("Convenience header").alias("convenience_header"),
+        F.coalesce(F.trim(F.regexp_replace(code, r"\s+", " ")), F.lit("")).alias("declaration"),
+    )
+    empty = {c: "" for c in ("header", "convenience_header", "declaration")}
+    return own.join(found, "page_id", "left").fillna(empty)
 
 
-def _outer_lists(block: Node) -> list[Node]:
-    if block.tag in ("ul", "ol"):
-        return [block]
-    direct = [n for n in block.elements() if n.tag in ("ul", "ol")]
-    if direct or block.tag != "div":
-        return direct
-    return [found for kid in block.elements() for found in _outer_lists(kid)]
+# -- change-log pages ----------------------------------------------------------
 
 
-def history_entries(html: str, heading: re.Pattern, anchor_mark: str) -> list[dict]:
-    """Entry rows of one change-log page, releases in page order."""
-    root = markup.parse(html)
-    rows: list[dict] = []
-    release = 0
-
-    def visit(parent: Node) -> None:
-        nonlocal release
-        current, level, count = None, None, 0
-        for node in parent.elements():
-            found = heading.match(text_of(node)) if node.tag in ("h2", "h3", "h4", "h5") else None
-            if found:
-                anchors = [a.attrs.get("name", "") for a in node.walk() if a.tag == "a" and anchor_mark in a.attrs.get("name", "")]
-                current = {"release_no": release, "version": found.group(1), "anchor": anchors[0] if anchors else ""}
-                release, level, count = release + 1, node.tag, 0
-            elif node.tag == level:
-                current = None
-            elif current:
-                lists = _outer_lists(node)
-                items = [li for one in lists for li in one.elements() if li.tag == "li"]
-                found_rows = [row for i, li in enumerate(items) for row in _entry_rows(li, [count + i])]
-                if not lists and text_of(node):
-                    marked = text_of(node, code=lambda t: f"`{t}`")
-                    items, found_rows = [node], [_entry(text_of(node), marked, markup.canonical(node), [count])]
-                count += len(items)
-                rows.extend({**current, **row} for row in found_rows)
-            if not current:
-                visit(node)
-
-    visit(root)
-    return rows
+def release_entries(pages: DataFrame, heading: str, key: str = "page_id") -> DataFrame:
+    """Change-log pages to entry rows; ``heading`` has one group, the version.
+
+    Entries are read off the block rows. A release reaches from its heading to the next heading of
+    a level that releases have on that page. Its entries are the list items, numbered within the
+    item that holds them, and paragraphs outside lists. Windows run over one page's rows.
+    """
+    blocks = _per_page(pages, key, lambda html: page_blocks(html, ("",)), BLOCK_SCHEMA)
+    version = F.when(F.col("kind") == "heading", F.regexp_extract("text", heading, 1))
+    blocks = blocks.withColumn("version", F.when(version != "", version))
+    page = W.partitionBy("page_id")
+    levels = F.collect_set(F.when(F.col("version").isNotNull(), F.col("level"))).over(page)
+    blocks = blocks.withColumn("starts", (F.col("kind") == "heading") & F.array_contains(levels, F.col("level")))
+    so_far = page.orderBy("block_no").rowsBetween(W.unboundedPreceding, 0)
+    blocks = blocks.select(
+        "page_id", "block_no", "kind", "text", "spans", "starts",
+        F.last(F.when(F.col("starts"), F.struct("version")), ignorenulls=True).over(so_far)["version"].alias("version"),
+        F.sum(F.when(F.col("starts") & F.col("version").isNotNull(), 1).otherwise(0)).over(so_far).alias("release_no"),
+        F.col("parent_path").alias("above"),
+    ).filter("version is not null and not starts")
+    lists = blocks.filter("kind = 'item'").select("page_id", F.col("block_no").alias("item"))
+    # the items around each row, outermost first
+    around = blocks.select("page_id", "block_no", F.explode("above").alias("item")).join(lists, ["page_id", "item"])
+    around = around.groupBy("page_id", "block_no").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    rows = blocks.join(around, ["page_id", "block_no"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<int>")))
+    alone = (F.col("kind") == "para") & (F.size("above") == 0)
+    entries = rows.filter((F.col("kind") == "item") | alone).withColumn("holder", F.try_element_at("items", F.lit(-1)))
+    within = W.partitionBy("page_id", "release_no", "holder").orderBy("block_no")
+    entries = entries.withColumn("place", (F.row_number().over(within) - 1).cast("int"))
+    places = entries.select("page_id", F.col("block_no").alias("item"), "place")
+    steps = entries.select("page_id", "block_no", F.explode(F.concat("items", F.array("block_no"))).alias("item"))
+    paths = steps.join(places, ["page_id", "item"]).groupBy("page_id", "block_no").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("item", "place"))), lambda x: x["place"]).alias("path")
+    )
+    said = F.filter("spans", lambda s: ~s["kind"].isin("image", "callout"))
+    texts = rows.filter("kind = 'para'").withColumn(
+        "owner", F.coalesce(F.try_element_at("items", F.lit(-1)), F.when(alone, F.col("block_no")))
+    ).filter("owner is not null")
+    marked = F.array_join(F.transform(said, lambda s: F.when(s["style"] == "code", F.concat(F.lit("`"), F.trim(s["text"]), F.lit("`"))).otherwise(s["text"])), "")
+    texts = texts.select("page_id", "owner", "block_no", "text", F.regexp_replace(marked, "``", "").alias("marked"))
+    joined = texts.groupBy("page_id", F.col("owner").alias("block_no")).agg(
+        *(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", c))), lambda x: x[c]), " ").alias(c) for c in ("text", "marked"))
+    )
 
+    def tidy(c: str) -> Column:
+        return F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
 
-def release_entries(pages: DataFrame, heading: str, anchor_mark: str = "", key: str = "page_id") -> DataFrame:
-    """Change-log pages to entry rows; ``heading`` has one group, the version."""
-    compiled = re.compile(heading)
-    return _per_page(pages, key, lambda html: history_entries(html, compiled, anchor_mark), ENTRY_SCHEMA)
+    return entries.select("page_id", "block_no", "release_no", "version").join(paths, ["page_id", "block_no"]).join(
+        joined, ["page_id", "block_no"], "left"
+    ).select(
+        "page_id", (F.col("release_no") - 1).cast("int").alias("release_no"), "version", "path",
+        (F.size("path") - 1).alias("depth"), tidy("text").alias("text"), tidy("marked").alias("marked_text"),
+    )
 
 
 # -- columns backed by the tree ------------------------------------------------
@@ -411,7 +446,7 @@ def exact_text(html: Column) -> Column:
 
 def exact_code_to_backticks(html: Column) -> Column:
     """Text of a page by the parser, with each outermost ``<code>`` in backticks."""
-    return _by_page(html, lambda page: text_of(markup.parse(page), code=lambda t: f"`{t}`"))
+    return _by_page(html, lambda page: text_of(markup.parse(page), "`"))
 
 
 def markup_duplicates(pages: DataFrame, key: str = "page_id") -> DataFrame:

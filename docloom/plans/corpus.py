@@ -620,12 +620,9 @@ def html_blocks_sql(spark, sf_dir):
 
 @query("k1_html_links", "WITH " + fixtures.LINKS + " SELECT page_id, count(*) AS n_links FROM links GROUP BY page_id")
 def html_links(spark, sf_dir):
-    """Links found by the parser in the navigation list, against the pattern form."""
-    navs = table(spark, sf_dir, "pages").select(
-        "page_id", F.concat(F.lit("<article>"), F.regexp_extract("html", r"(?s)<nav>(.*?)</nav>", 1), F.lit("</article>")).alias("html")
-    )
+    """Links found by the parser in the navigation list of whole pages, against the pattern form."""
     bases = fixtures.page_meta(spark, sf_dir).select("page_id", "path")
-    spans = html.block_spans(html.html_blocks(navs), bases)
+    spans = html.block_spans(html.html_blocks(table(spark, sf_dir, "pages"), selectors=("nav",)), bases)
     return spans.filter("kind = 'link'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
 
 
