@@ -23,8 +23,8 @@ WIDTH = 1 << 16
 LEVELS = 2
 # Rows of one group that one task may hold.
 GROUP_ROWS = 1 << 17
-# Distinct values of one group that one task may hold (about 16 bytes each).
-GROUP_LIMIT = 1_000_000
+# Slices of a group's values, of which a quantile sorts only those that hold a wanted rank.
+SLICES = 128
 _CHUNK = "_chunk"
 _GROUP = "_group"
 
@@ -184,49 +184,38 @@ def quantiles(
     value: Column,
     probs: dict[str, float],
     weight: Column | None = None,
-    limit: int = GROUP_LIMIT,
+    slices: int = SLICES,
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group, plus ``n``.
+    """Exact, linearly interpolated quantiles per group, plus ``n``. NaN and null values are left out.
 
-    Equal values are counted first (map-side). A group with at most ``limit`` distinct values
-    is finished by the built-in weighted percentile, whose state is that count table; a larger
-    one is cut into slices of its value range. NaN and null values are left out.
+    Equal values are counted first (map-side). A sketch of bounded size cuts every group's values
+    into at most ``slices`` slices; slice totals say which few of them hold the wanted ranks, and
+    only those are sorted: a task holds about 1/``slices`` of a group's distinct values. No job runs
+    while the plan is built, and groups of all sizes take the same way.
     """
     rows = df.select(
         group_key(by).alias(_GROUP), value.cast("double").alias("_v"), (weight if weight is not None else F.lit(1)).alias("_w")
     )
-    counts = cut(rows.filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(_GROUP, "_v").agg(F.expr("sum(_w) AS _c")))
-    large = counts.groupBy(_GROUP).agg(F.expr("count(*) AS _d")).filter(f"_d > {limit}").select(_GROUP)
-    any_large = not large.isEmpty()
-    small = counts.join(large, _GROUP, "left_anti") if any_large else counts
-    wanted = ", ".join(f"{p}D" for p in probs.values())
-    ready = small.groupBy(_GROUP).agg(F.expr("sum(_c) AS n"), F.expr(f"percentile(_v, array({wanted}), _c) AS _q"))
-    found = ready.selectExpr(_GROUP, "n", *[f"_q[{i}] AS {name}" for i, name in enumerate(probs)])
-    if any_large:
-        found = found.unionByName(_sliced_quantiles(counts.join(large, _GROUP, "left_semi"), probs))
-    return found.select(*[F.col(_GROUP)[name].alias(name) for name in by], "n", *probs)
-
-
-def _sliced_quantiles(counts: DataFrame, probs: dict[str, float], slices: int = 64) -> DataFrame:
-    """Quantiles of (_group, _v, _c) rows for groups too large for one task.
-
-    A quantile sketch of bounded size cuts each group's values into slices; slice totals say
-    which few slices hold the wanted ranks, and only those are sorted, one slice per task.
-    """
+    counts = rows.filter("_v IS NOT NULL AND NOT isnan(_v)").groupBy(_GROUP, "_v").agg(F.expr("sum(_w) AS _c"))
     cuts = ", ".join(f"{i / slices}D" for i in range(1, slices))
     shape = counts.groupBy(_GROUP).agg(
         F.expr("sum(_c) AS _n"), F.expr(f"percentile_approx(_v, array({cuts}), {16 * slices}) AS _cuts")
     )
-    sliced = counts.join(shape, _GROUP).selectExpr(_GROUP, "_v", "_c", "_n", f"size(filter(_cuts, c -> c < _v)) AS {_CHUNK}")
-    weights = sliced.groupBy(_GROUP, _CHUNK).agg(F.expr("sum(_c) AS _t"), F.expr("max(_n) AS _n"))
+    sliced = counts.join(shape, _GROUP).selectExpr("*", f"size(filter(_cuts, c -> c < _v)) AS {_CHUNK}")
+    # The sketch is looked at once: from here on a slice is known by its bounds.
+    weights = sliced.groupBy(_GROUP, _CHUNK).agg(
+        F.expr("sum(_c) AS _t"), F.expr("max(_n) AS _n"), F.expr(f"max(get(_cuts, {_CHUNK} - 1)) AS _lo"), F.expr(f"max(get(_cuts, {_CHUNK})) AS _hi")
+    )
     # At most ``slices`` rows per group.
     run = W.partitionBy(_GROUP).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
     placed = weights.withColumn("_off", F.coalesce(F.sum("_t").over(run), F.lit(0)))
     rank = {name: f"({p}D * (_n - 1))" for name, p in probs.items()}
     ends = [f"{end}({r})" for r in rank.values() for end in ("floor", "ceil")]
-    needed = placed.filter(" OR ".join(f"({e} >= _off AND {e} < _off + _t)" for e in ends)).select(_GROUP, _CHUNK, "_off")
+    needed = placed.filter(" OR ".join(f"({e} >= _off AND {e} < _off + _t)" for e in ends))
+    needed = needed.select(F.col(_GROUP).alias("_g"), _CHUNK, "_off", "_n", "_lo", "_hi")
     inside = W.partitionBy(_GROUP, _CHUNK).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = sliced.join(needed, [_GROUP, _CHUNK]).withColumn("_cum", F.sum("_c").over(inside) + F.col("_off"))
+    held = F.expr(f"{_GROUP} = _g AND (_lo IS NULL OR _v > _lo) AND (_hi IS NULL OR _v <= _hi)")
+    ranked = counts.join(needed, held).withColumn("_cum", F.sum("_c").over(inside) + F.col("_off"))
     found = ranked.groupBy(_GROUP).agg(
         F.expr("max(_n) AS _n"),
         *[
@@ -235,8 +224,8 @@ def _sliced_quantiles(counts: DataFrame, probs: dict[str, float], slices: int =
             for end in ("floor", "ceil")
         ],
     )
-    return found.selectExpr(
-        _GROUP,
-        "_n AS n",
-        *[f"_floor_{n} + (_ceil_{n} - _floor_{n}) * ({r} - floor({r})) AS {n}" for n, r in rank.items()],
+    return found.select(
+        *[F.col(_GROUP)[name].alias(name) for name in by],
+        F.col("_n").alias("n"),
+        *[F.expr(f"_floor_{n} + (_ceil_{n} - _floor_{n}) * ({r} - floor({r}))").alias(n) for n, r in rank.items()],
     )

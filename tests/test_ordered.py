@@ -77,10 +77,10 @@ def test_top_k(table, rows):
     assert {(r.grp, r.ord, r.seq) for r in found} == expected
 
 
-@pytest.mark.parametrize("limit", [0, 30, 1_000_000])
-def test_quantiles_on_both_paths(table, rows, limit):
+@pytest.mark.parametrize("slices", [2, 7, 128])
+def test_quantiles_with_any_slices(table, rows, slices):
     probs = {"a": 0.0, "b": 0.5, "c": 0.95, "d": 1.0}
-    found = {r.grp: r for r in ordered.quantiles(table, ["grp"], F.col("v"), probs, limit=limit).collect()}
+    found = {r.grp: r for r in ordered.quantiles(table, ["grp"], F.col("v"), probs, slices=slices).collect()}
     for group, members in grouped(rows).items():
         values = [m[3] for m in members if m[3] is not None]
         if not values:
@@ -91,22 +91,22 @@ def test_quantiles_on_both_paths(table, rows, limit):
             assert found[group][name] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_quantiles_weighted_and_nan(spark, limit):
+@pytest.mark.parametrize("slices", [2, 128])
+def test_quantiles_weighted_and_nan(spark, slices):
     df = spark.createDataFrame([(1.0, 3), (5.0, 1), (float("nan"), 9), (None, 9), (9.0, 96)], "v double, w bigint")
-    row = ordered.quantiles(df, [], F.col("v"), {"q": 0.03, "m": 0.5}, weight=F.col("w"), limit=limit).first()
+    row = ordered.quantiles(df, [], F.col("v"), {"q": 0.03, "m": 0.5}, weight=F.col("w"), slices=slices).first()
     values = [1.0] * 3 + [5.0] + [9.0] * 96
     assert row.n == 100 and row.q == pytest.approx(np.quantile(values, 0.03)) and row.m == 9.0
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_null_group_keys_are_a_group(spark, limit):
+@pytest.mark.parametrize("slices", [2, 128])
+def test_null_group_keys_are_a_group(spark, slices):
     df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3)], "grp string, ord bigint")
     placed = ordered.with_ordinal(df, ["grp"], "ord", width=1).collect()
     assert {(r.grp, r.ord, r.seq) for r in placed} == {(None, 1, 1), ("a", 2, 1), (None, 3, 2)}
     beside = ordered.neighbour_values(df, ["grp"], "ord", "ord", "b", "a", width=1).collect()
     assert {(r.grp, r.ord, r.b, r.a) for r in beside} == {(None, 1, None, 3), ("a", 2, None, None), (None, 3, 1, None)}
-    middle = ordered.quantiles(df, ["grp"], F.col("ord"), {"q": 0.5}, limit=limit).collect()
+    middle = ordered.quantiles(df, ["grp"], F.col("ord"), {"q": 0.5}, slices=slices).collect()
     assert {(r.grp, r.n, r.q) for r in middle} == {(None, 2, 2.0), ("a", 1, 2.0)}
 
 
@@ -149,3 +149,11 @@ def test_dense_intervals_stay_within_the_width(spark):
     found = {(r.run_id, r.at_us): r.in_flight for r in ledger.requests_in_flight(spans, width=16).collect()}
     rows = [(i % 2, 1000 + i, 1001 + i + i % 7) for i in range(500)]
     assert found and all(n == sum(r == run and a <= at < b for r, a, b in rows) for (run, at), n in found.items())
+
+
+def test_quantiles_have_the_same_bits_with_any_slices(table):
+    def bits(slices):
+        found = ordered.quantiles(table, ["grp"], F.col("v"), {"a": 0.013, "b": 0.5, "c": 0.977}, slices=slices).collect()
+        return {r.grp: (r.n, r.a, r.b, r.c) for r in found}
+
+    assert bits(2) == bits(9) == bits(128)
