@@ -10,11 +10,12 @@ Linking needs no list of all pairs, which a large group of near copies would squ
 1. within each shared prefix shingle, every document is paired with the one before it and with the
    first one (sorted by size), filtered by length, position and suffix, and verified;
 2. what links is labelled with connected components;
-3. shingles whose documents lie in several components are joined again, across components only,
-   with the same filters; these pairs are verified, and the components are joined.
+3. shingles whose documents lie in several components are looked at again: neighbours of different
+   components in a random order are compared and their components joined, a few times over;
+4. what is then still apart is joined across components, all pairs of them, with the same filters.
 
-A pair that links shares a prefix shingle, so it is either within one component after step 2 or
-compared in step 3: no link is lost.
+A pair that links shares a prefix shingle, so it is either within one component before step 4 or
+compared in it: no link is lost.
 
 Shingles are 64-bit hashes of their words; class keys are 128-bit. The order of shingles takes the
 ``HEAVY`` most repeated ones (a bounded broadcast) as frequent; it changes the work, never the result.
@@ -26,6 +27,7 @@ with a null id links with nothing and has component null; an empty table gives n
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,15 +46,19 @@ PERCENT = 85
 HEAVY = 1 << 16
 HEAVY_TASK = 1 << 12
 # Classes of the suffix filter.
-CLASSES = 32
+CLASSES = 128
 # Words and classes a Python worker remembers.
 REMEMBERED = 1 << 19
+# Rounds after the first: all but the last compare neighbours, the last one whatever is still apart.
+STEPS = 4
+NEIGHBOURS = 6
 # One frequent shingle's documents are ordered in parts of about this many.
 PART_ROWS = 1 << 13
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _words: dict[bytes, int] = {}
+_hashes = array("Q")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -68,19 +74,23 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)] if words else [], np.uint64)
     if len(_words) > REMEMBERED:
         _words.clear()
+        _hashes.clear()
     known = _words.get
-    out = []
-    for word in words:
-        h = known(word)
-        if h is None:
-            h = _words[word] = xxhash.xxh3_64_intdigest(word)
-        out.append(h)
-    h = np.array(out, np.uint64)
+    numbers = [known(word, -1) for word in words]
+    if -1 in numbers:
+        for k, number in enumerate(numbers):
+            if number < 0:
+                word = words[k]
+                at = _words.setdefault(word, len(_words))
+                if at == len(_hashes):
+                    _hashes.append(xxhash.xxh3_64_intdigest(word))
+                numbers[k] = at
+    h = np.frombuffer(_hashes, np.uint64)[numbers]
     n = len(h) - size + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total = _mixed(total * _FACTORS[0] + h[k : k + n] * _FACTORS[k % 4])
-    return np.unique(total)
+    total = h[:n] * _FACTORS[0]
+    for k in range(1, size):
+        total += (h[k : k + n] ^ np.uint64(k)) * _FACTORS[k % 4]
+    return np.unique(_mixed(total))
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -121,7 +131,7 @@ class _Frequent:
 
 
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.list_(pa.int32())), ("heavy", pa.bool_())]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.list_(pa.int8())), ("heavy", pa.bool_())]
 )
 
 
@@ -133,7 +143,8 @@ def _set_rows(size: int):
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = shingles(text, size)
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                sig = np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).tolist()
+                sig = np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+                sig = np.minimum(sig, 127).tolist()
                 c1, c2 = ((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63))
                 rows.append((key, len(h), c1, c2, sig, False))
                 if digest not in seen:
@@ -156,7 +167,7 @@ def _set_rows(size: int):
     return run
 
 
-_PREFIX = pa.schema([("shingle", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_PREFIX = pa.schema([("shingle", pa.int64()), ("parts", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
 
 def _prefix_rows(heavy, size: int, percent: int):
@@ -188,12 +199,10 @@ def _prefix_rows(heavy, size: int, percent: int):
                 at = np.minimum(np.searchsorted(values, h), len(values) - 1) if len(values) else None
                 count = np.where(values[at] == h, counts[at], 0) if at is not None else np.zeros(n, np.int64)
                 first = np.lexsort((h, count))[:length] if count.any() else np.arange(length)
-                parts = count[first] // PART_ROWS + 1
-                part = np.where(parts > 1, xxhash.xxh32_intdigest(str(key)) % parts, -1)
                 held.append(
                     (
                         _signed(h[first]),
-                        part.astype(np.int32),
+                        (count[first] // PART_ROWS + 1).astype(np.int32),
                         np.full(length, key, np.int64),
                         np.full(length, n, np.int32),
                         np.arange(length, dtype=np.int32),
@@ -218,7 +227,9 @@ def _fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Colu
 
 def _suffix_fits(na: Column, sa: Column, nb: Column, sb: Column, percent: int) -> Column:
     """Sets that differ too much in the sizes of hash classes cannot overlap enough."""
-    apart = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(
+        F.zip_with(sa, sb, lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
+    )
     return (100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb)
 
 
@@ -247,7 +258,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(docs.mapInArrow(_set_rows(size), "doc_id long, n long, c1 long, c2 long, sig array<int>, heavy boolean"))
+    rows = cut(docs.mapInArrow(_set_rows(size), "doc_id long, n long, c1 long, c2 long, sig array<tinyint>, heavy boolean"))
     sets = rows.where("not heavy")
     top = (
         rows.where("heavy")
@@ -268,18 +279,19 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     first = nodes.groupBy("doc_id").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).where("m <> x")
     same = nodes.join(first, "doc_id").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
 
-    prefix = docs.mapInArrow(_prefix_rows(heavy, size, percent), "shingle long, part int, doc long, n int, pos int")
-    order = W.partitionBy("shingle", "part").orderBy("n", "doc")
+    prefix = docs.mapInArrow(_prefix_rows(heavy, size, percent), "shingle long, parts int, doc long, n int, pos int")
+    order = W.partitionBy("shingle", _part("doc", 0)).orderBy("n", "doc")
     at = F.struct("doc", "n", "pos")
-    # groups of one part hold about PART_ROWS rows, however frequent the shingle is
+    # one part of a shingle holds about PART_ROWS rows, however frequent the shingle is
     groups = prefix.select(
         "*",
         F.lag(at).over(order).alias("prev"),
         F.lead("doc").over(order).alias("next"),
         F.first(at).over(order).alias("head"),
     )
-    groups = cut(groups.where("prev is not null or next is not null or part >= 0").drop("next"))
-    heads = groups.where("prev is null and part >= 0")
+    groups = cut(groups.where("prev is not null or next is not null or parts > 1").drop("next"))
+    # the first rows of the parts are paired along the shingle
+    heads = groups.where("prev is null and parts > 1")
     across = W.partitionBy("shingle").orderBy("n", "doc")
     heads = heads.select("doc", "n", "pos", F.lag(at).over(across).alias("o"))
     near = groups.select("doc", "n", "pos", F.explode(F.array("prev", "head")).alias("o")).union(heads)
@@ -298,38 +310,67 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     tried = cut(candidates(near))
-    links = _verified(docs, tried, size, percent).union(same)
-    named_once = cut(components(links))
-
-    where = nodes.select(F.col("doc_id").alias("doc"), "rep").join(named_once.withColumnRenamed("node", "rep"), "rep", "left")
-    where = where.select("doc", "rep", F.coalesce("component", "rep").alias("comp"))
-    spots = groups.select("shingle", "doc", "n", "pos").join(where, "doc")
-    # ids on both sides are representatives from here on; copies of a class in other tasks fall together
+    label = components(_verified(docs, tried, size, percent).union(same))
+    reps = nodes.select("rep").distinct()
+    place = cut(
+        reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+    )
+    # from here on ids are representatives: copies of a class in several tasks fall together
+    spots = groups.select("shingle", "parts", "doc", "n", "pos").join(
+        nodes.select(F.col("doc_id").alias("doc"), "rep"), "doc"
+    )
     spots = spots.drop("doc").distinct()
-    split = spots.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
-    spots = cut(spots.join(split, "shingle"))
+    for step in range(1, STEPS + 1):
+        rows = spots.join(place, "rep")
+        split = rows.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+        spots = cut(rows.join(split.select("shingle"), "shingle"))
+        found = _across(spots, percent) if step == STEPS else _neighbours(spots, step, percent)
+        pairs = cut(candidates(found).join(tried, ["a", "b"], "left_anti"))
+        place = _joined(place, _verified(docs, pairs, size, percent))
+        tried = tried.union(pairs)
+        spots = spots.drop("comp")
+    best = nodes.join(place, "rep").groupBy("doc_id").agg(F.min("comp").alias("component_id"))
+    return (
+        sets.select("doc_id", F.col("n").alias("n_shingles"))
+        .join(best, "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    )
+
+
+def _part(key: str, step: int) -> Column:
+    """The part of a frequent shingle that a document falls into, another one in each step."""
+    return F.pmod(F.xxhash64(key, F.lit(step)), F.col("parts"))
+
+
+def _neighbours(spots: DataFrame, step: int, percent: int) -> DataFrame:
+    """Pairs of different components that are neighbours in a random order of each shingle's documents."""
+    order = W.partitionBy("shingle", _part("rep", step)).orderBy(F.xxhash64("rep", F.lit(-step)), "rep")
+    before = F.array(*(F.lag(F.struct("rep", "n", "pos", "comp"), k).over(order) for k in range(1, NEIGHBOURS + 1)))
+    near = spots.select("rep", "n", "pos", "comp", before.alias("before"))
+    near = near.withColumn("o", F.explode("before")).where(F.col("comp") != F.col("o.comp"))
+    near = near.where(_fits(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos"), percent))
+    return near.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+
+
+def _across(spots: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a prefix shingle and pass its filters."""
     sides = spots.select("shingle", "comp").distinct()
     cross = sides.withColumnRenamed("comp", "ca").join(sides.withColumnRenamed("comp", "cb"), "shingle").where("ca < cb")
     a = spots.select("shingle", F.col("comp").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = spots.select("shingle", F.col("comp").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     fits = _fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
-    more = cross.join(a, ["shingle", "ca"]).join(b, ["shingle", "cb"]).where(fits)
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(candidates(more).join(tried, ["a", "b"], "left_anti"))
-    late = _verified(docs, more, size, percent)
-    place = named_once.select(F.col("node"), "component")
-    late = late.join(place.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(
-        place.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left"
-    )
-    final = components(late.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-    final = final.select(F.col("node").alias("comp"), F.col("component").alias("joined"))
-    best = where.join(final, "comp", "left").select("doc", F.coalesce("joined", "comp").alias("component_id"))
-    best = best.groupBy("doc").agg(F.min("component_id").alias("component_id"))
-    return (
-        sets.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(best.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = cross.join(a, ["shingle", "ca"]).join(b, ["shingle", "cb"]).where(fits)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _joined(place: DataFrame, links: DataFrame) -> DataFrame:
+    """``rep, comp`` after more links: components of components."""
+    ends = links.join(place.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(
+        place.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b"
     )
+    moved = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    moved = moved.select(F.col("node").alias("comp"), F.col("component").alias("low"))
+    return cut(place.join(moved, "comp", "left").select("rep", F.coalesce("low", "comp").alias("comp")))
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
