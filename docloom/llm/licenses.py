@@ -1,6 +1,6 @@
 """Licence scans: canonical digests of entire texts, hash-joined to known ones.
 
-``canonical`` brings a text to lower case, drops its copyright lines, writes equivalent spellings
+``canonical`` brings a text to lower case, drops its copyright lines and a title line, writes equivalent spellings
 one way and turns everything but letters and digits into single spaces. Two texts with one digest
 are the same licence. ``scan`` looks up every whole document, and every entire line that speaks of
 a licence, among known notices. DataFrame functions only.
@@ -21,6 +21,7 @@ from docloom.llm.common import cut
 REWRITES = (
     (r"(^|\n)[^\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*", "\n"),
     (r"(^|\n)[^\n\p{L}\p{N}]*all rights reserved[^\n\p{L}\p{N}]*(\n|$)", "\n"),
+    (r"^\s*[^\n]{0,50}licen[sc]e[^\n]{0,20}\n", "\n"),
     (r"[^\p{L}\p{N}]+", " "),
     (r"\blicence", "license"),
     (r"\bsub license", "sublicense"),
@@ -124,7 +125,7 @@ def canonical(text: Column) -> Column:
 def plain(text: Column) -> Column:
     """The canonical form of a notice line: as ``canonical``, but no line is dropped."""
     out = F.lower(text)
-    for pattern, new in REWRITES[2:]:
+    for pattern, new in REWRITES[3:]:
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)
 
@@ -210,7 +211,7 @@ d AS (
 l AS (
   SELECT r, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) x
-  JOIN kn ON kn.form = {_sql_form("line", REWRITES[2:])}
+  JOIN kn ON kn.form = {_sql_form("line", REWRITES[3:])}
   WHERE regexp_matches(lower(line), '{SIGNS}') GROUP BY r),
 g AS (SELECT r, doc_id, sha256({_sql_form("text", REWRITES)}) AS digest FROM d)
 SELECT doc_id, g.digest, kt.license, coalesce(notices, '') AS notices
