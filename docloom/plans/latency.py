@@ -51,9 +51,27 @@ def summary_overall(spark, sf_dir):
     return _rounded(metrics.summary(table(spark, sf_dir, "events"), [], F.col("value")), "p50", "p95", "p99", "mean")
 
 
-@query("d13_summary_approx")
+@query("d13_summary_approx", """
+SELECT event_type, count(value) AS n, true AS p50_ok, true AS p95_ok, true AS p99_ok, max(value) AS max, round(avg(value), 9) AS mean
+FROM events GROUP BY event_type""")
 def summary_approx(spark, sf_dir):
-    return metrics.summary_approx(table(spark, sf_dir, "events"), ["event_type"], F.col("value"))
+    """The sketch's values, each checked against the rank error it promises (one row in 10,000, at least one)."""
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    found = metrics.summary_approx(events, ["event_type"], F.col("value"))
+    kept = ("n", "p50", "p95", "p99", "max", "mean")
+    ranks = events.join(found, "event_type").groupBy("event_type", *kept).agg(
+        *(F.count(F.when(F.col("value") < F.col(p), 1)).alias(f"{p}_below") for p in kept[1:4]),
+        *(F.count(F.when(F.col("value") <= F.col(p), 1)).alias(f"{p}_through") for p in kept[1:4]),
+    )
+    slack = F.greatest(F.col("n") / 10_000, F.lit(1.0))
+    return ranks.select(
+        "event_type", "n",
+        *(
+            ((F.col(f"{p}_below") <= q * F.col("n") + slack) & (F.col(f"{p}_through") >= q * F.col("n") - slack)).alias(f"{p}_ok")
+            for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
+        ),
+        "max", F.round("mean", 9).alias("mean"),
+    )
 
 
 _CELLS = "WITH " + fixtures.SAMPLES + """, cells AS (

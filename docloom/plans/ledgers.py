@@ -241,18 +241,18 @@ def admit_under_caps(spark, sf_dir):
 
 @query("e7_admit_with_settlements", "WITH " + fixtures.ATTEMPTS + """
 , log AS (SELECT run_id, serial * 2 AS serial, ts_us, max_tokens AS d, true AS is_attempt FROM attempts
-  UNION ALL SELECT run_id, serial * 2 + 1, ts_us, least(output_tokens, max_tokens) - max_tokens, false FROM attempts WHERE state = 'billed'),
+  UNION ALL SELECT run_id, serial * 2 + 1, ts_us, output_tokens - max_tokens, false FROM attempts WHERE state = 'billed'),
 r AS (SELECT *, coalesce(sum(CAST(is_attempt AS INTEGER)) OVER w, 0) AS before, coalesce(sum(d) OVER w, 0) AS committed FROM log
       WINDOW w AS (PARTITION BY run_id ORDER BY serial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, CASE WHEN is_attempt AND before >= 50 THEN 'max_requests' WHEN is_attempt AND committed + d > 90000 THEN 'max_output' END AS why FROM r),
 g AS (SELECT *, min(serial) FILTER (why IS NOT NULL) OVER (PARTITION BY run_id) AS first FROM f)
 SELECT run_id, serial, CASE WHEN serial = first THEN why WHEN serial > first THEN 'stopped' END AS refusal FROM g WHERE is_attempt""")
 def admit_with_settlements(spark, sf_dir):
-    """Billed attempts give back what they did not use before the next attempt."""
+    """Billed attempts settle what they reported, less or more than reserved, before the next attempt."""
     rows = fixtures.attempts(spark, sf_dir)
     zero = F.lit(0).cast("bigint").alias("in_delta")
     asked = rows.select("run_id", (F.col("serial") * 2).alias("serial"), "ts_us", F.col("max_tokens").alias("out_delta"), zero, F.lit(True).alias("is_attempt"))
-    back = F.least("output_tokens", "max_tokens") - F.col("max_tokens")
+    back = F.col("output_tokens") - F.col("max_tokens")
     settled = rows.filter("state = 'billed'").select(
         "run_id", (F.col("serial") * 2 + 1).alias("serial"), "ts_us", back.alias("out_delta"), zero, F.lit(False).alias("is_attempt")
     )

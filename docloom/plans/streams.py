@@ -76,10 +76,10 @@ def latency_windows(spark, sf_dir):
 @query("j5_orphan_timeout", ledgers.UNFINISHED)
 def orphan_timeout(spark, sf_dir):
     out, checkpoint = jobs.stream_paths(spark, "claims")
-    events = jobs.table_stream(spark, f"{sf_dir}/events.parquet").filter(F.col("event_type").isin("view", "purchase"))
+    events = jobs.table_stream(spark, f"{sf_dir}/events.parquet")  # other events only move the clock
     stream = events.select(
         "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
-        F.when(F.col("event_type") == "view", "claim").otherwise("finish").alias("kind"),
+        F.when(F.col("event_type") == "view", "claim").when(F.col("event_type") == "purchase", "finish").otherwise("other").alias("kind"),
     )
     jobs.orphan_timeout(stream, out, checkpoint, 24 * ledgers.HOUR_US)
     return spark.read.parquet(f"{out}/orphans").select("user_id", "event_id", "ts_us")

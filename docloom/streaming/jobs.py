@@ -129,22 +129,28 @@ _PENDING = "user_id bigint, event_id bigint, ts_us bigint, kind string"
 def orphan_timeout(stream: DataFrame, out: str, checkpoint: str, within_us: int) -> None:
     """Emit claims not finished within the limit, once the newest event is past it.
 
-    ``stream``: (user_id, event_id, ts_us, kind claim/finish). Open claims and the finishes
-    that may still meet one are carried to the next micro-batch.
+    ``stream``: (user_id, event_id, ts_us, kind claim/finish, any other kind only moves the clock).
+    Open claims, the finishes that may still meet one, and the newest time are carried to the next
+    micro-batch. A claim may come up to the limit late and still meet its finish.
     """
     state = StateTable(stream.sparkSession, f"{out}/state", _PENDING)
 
     def take(batch: DataFrame, epoch: int) -> None:
         rows = state.before(epoch).unionByName(batch.select("user_id", "event_id", "ts_us", "kind"))
-        due = F.col("ts_us") + within_us < rows.agg(F.max("ts_us")).scalar()
+        newest = rows.agg(F.max("ts_us")).scalar()
+        due = F.col("ts_us") + within_us < newest
         claims = rows.filter("kind = 'claim'")
         finishes = rows.filter("kind = 'finish'")
         orphans = ledger.unfinished_claims(claims.filter(due), finishes, "user_id", within_us)
         orphans.select("user_id", "event_id", "ts_us").write.mode("overwrite").parquet(f"{out}/orphans/epoch={epoch}")
         waiting = claims.filter(~due)
-        # A later claim can only be met by a finish that is not older than the oldest open claim.
-        recent = finishes.filter(~due)
-        state.write(waiting.unionByName(recent).select("user_id", "event_id", "ts_us", "kind"), epoch)
+        recent = finishes.filter(F.col("ts_us") + 2 * within_us >= newest)
+        nobody = F.lit(None).cast("bigint")
+        clock = rows.agg(F.max("ts_us").alias("ts_us")).select(
+            nobody.alias("user_id"), nobody.alias("event_id"), "ts_us", F.lit("clock").alias("kind")
+        )
+        kept = waiting.unionByName(recent).select("user_id", "event_id", "ts_us", "kind")
+        state.write(kept.unionByName(clock.filter("ts_us is not null")), epoch)
 
     run_available(stream, take, checkpoint)
 
@@ -152,14 +158,14 @@ def orphan_timeout(stream: DataFrame, out: str, checkpoint: str, within_us: int)
 def stop_reasons(stream: DataFrame, out: str, checkpoint: str) -> None:
     """First error of each run: a streaming aggregate whose changed rows are logged per batch."""
     firsts = stream.filter(F.col("reason").isNotNull()).groupBy("run_id").agg(
-        F.min("ts_us").alias("ts_us"), F.min_by("reason", "ts_us").alias("reason")
+        F.min("ts_us").alias("ts_us"), F.min(F.struct("ts_us", "reason"))["reason"].alias("reason")
     )
     run_available(firsts, _log_batch(out), checkpoint, mode="update")
 
 
 def read_stop_reasons(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("run_id").agg(
-        F.min("ts_us").alias("ts_us"), F.min_by("reason", "ts_us").alias("reason")
+        F.min("ts_us").alias("ts_us"), F.min(F.struct("ts_us", "reason"))["reason"].alias("reason")
     )
 
 
