@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.ordered import top_k
 from docloom.session import cut, scratch_path, scratch_root  # noqa: F401
 
 # A word is a run of anything but the six ASCII white-space characters.
@@ -32,6 +33,17 @@ def crc_mod(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts
 
 
+def hashed_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The ``most`` rows of each value of ``by`` with the smallest ``h`` (ties by ``doc_id``).
+
+    Rows whose hash is far above the wanted share of their group go first, where they lie, so that
+    a group sends about ``2 * most`` rows to be ranked, however large it is. ``by`` has few values.
+    """
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    near = rows.join(counts, by).where(F.col("h") / float(1 << 60) * F.col("_n") < 2.0 * most + 20).drop("_n")
+    return top_k(near, [by], [F.col("h"), F.col("doc_id")], most)
+
+
 def by_rows(
     fn: Callable[[tuple], Iterable[tuple]], schema: pa.Schema, weigh: int | None = None, rows: int = 4096
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -20,10 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import crc_mod, cut, hash60
+from docloom.llm.common import crc_mod, hash60, hashed_sample
 from docloom.llm.ftrl import Ftrl, softmax, temperature
 
 FEATURE_BITS = 15
@@ -78,14 +77,8 @@ def fit(learn: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     """Languages, idf, weights and temperature from rows ``doc_id, text, lang`` (lang not null)."""
     spark = learn.sparkSession
     learn = learn.where("text is not null")
-    best = W.partitionBy("lang").orderBy("h", "doc_id")
-    sample = (
-        learn.select("doc_id", "lang", hash60(F.col("doc_id"), "lang:").alias("h"))
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") <= per_language)
-        .select(F.col("doc_id").alias("k"), "h")
-        .distinct()
-    )
+    hashed = learn.select("doc_id", "lang", hash60(F.col("doc_id"), "lang:").alias("h"))
+    sample = hashed_sample(hashed, "lang", per_language).select(F.col("doc_id").alias("k"), "h").distinct()
     languages = [row[0] for row in learn.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
         return [], np.zeros(FEATURES), np.zeros((FEATURES, 0)), 1.0
