@@ -354,8 +354,15 @@ def _neighbours(spots: DataFrame, step: int, percent: int) -> DataFrame:
 
 def _across(spots: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share a prefix shingle and pass its filters."""
-    sides = spots.select("shingle", "comp").distinct()
-    cross = sides.withColumnRenamed("comp", "ca").join(sides.withColumnRenamed("comp", "cb"), "shingle").where("ca < cb")
+    # the filters of any two members, on what is known of their components
+    sides = spots.groupBy("shingle", "comp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("left")
+    )
+    x, y = (sides.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in sides.columns[1:])) for side in "xy")
+    length = (100 * F.col("high_x") >= percent * F.col("low_y")) & (100 * F.col("high_y") >= percent * F.col("low_x"))
+    reach = (100 + percent) * F.least("left_x", "left_y") >= percent * (F.col("low_x") + F.col("low_y"))
+    cross = x.join(y, "shingle").where((F.col("comp_x") < F.col("comp_y")) & length & reach)
+    cross = cross.select("shingle", F.col("comp_x").alias("ca"), F.col("comp_y").alias("cb"))
     a = spots.select("shingle", F.col("comp").alias("ca"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = spots.select("shingle", F.col("comp").alias("cb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     fits = _fits(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
