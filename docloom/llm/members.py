@@ -31,12 +31,13 @@ def _bitmap(ids: DataFrame, key: str) -> DataFrame:
 
 def _split(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose id may be in ``ids``, and those whose id is surely not."""
-    bit = _bit(F.col(key))
+    # rows travel as one struct, so that their columns cannot clash with those of the lookup
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{key}`").alias("key"))
+    bit = _bit(F.col("key"))
     set_ = F.call_function("shiftright", F.col("_bits"), bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    marked = df.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(_bitmap(ids, key)), "_word", "left")
-    marked = marked.withColumn("_may", F.coalesce(set_, F.lit(False)) & F.col(key).isNotNull())
-    extra = ("_word", "_bits", "_may")
-    return marked.where("_may").drop(*extra), marked.where("not _may").drop(*extra)
+    marked = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(_bitmap(ids, key)), "_word", "left")
+    may = F.coalesce(set_, F.lit(False)) & F.col("key").isNotNull()
+    return marked.where(may).select("row.*"), marked.where(~may).select("row.*")
 
 
 def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -159,15 +159,15 @@ def take_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     The limits come from the sizes alone; the texts are then filtered and repeated where they lie.
     """
     sized = cut(sizes(docs))
-    limits = thresholds(sized, targets(sized, weights, share, most)).select(
-        F.col("source").alias("_mix_s"), "times", "below"
-    )
-    rows = docs.withColumn("h", hash60(F.col("doc_id"), "mix:")).join(
-        limits, F.col("source").cast("string").eqNullSafe(F.col("_mix_s"))
-    )
-    return rows.withColumn("_mix", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(
-        F.col("_mix") <= copies()
-    ).select(*(F.col(f"`{name}`") for name in docs.columns))
+    limits = thresholds(sized, targets(sized, weights, share, most)).select(F.col("source").alias("s"), "times", "below")
+    # rows travel as one struct, so that their columns cannot clash with those of the limits
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        hash60(F.col("doc_id"), "mix:").alias("h"),
+        F.col("source").cast("string").alias("source"),
+    ).join(limits, F.col("source").eqNullSafe(F.col("s")))
+    taken = rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(F.col("turn") <= copies())
+    return taken.select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -166,19 +166,22 @@ def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     A row whose ``doc_id`` is null is judged like any other.
     """
     place = [name.lower() for name in docs.columns].index("text")
+    own = "_measures"
+    while own in docs.columns:
+        own += "_"
     kind = pa.struct([(name, pa.int64()) for name in MEASURES])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [dict(zip(MEASURES, measure_text(t), strict=True)) for t in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(found, kind)], [*batch.schema.names, "_measures"]
+                [*batch.columns, pa.array(found, kind)], [*batch.schema.names, own]
             )
 
     measures = T.StructType([T.StructField(name, T.LongType()) for name in MEASURES])
-    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("_measures", measures)]))
-    bits = fail_bits(lambda name: F.col("_measures")[name])
-    return rows.where(bits.bitwiseAND(F.lit(BASE.mask | policy.mask)) == 0).drop("_measures")
+    rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(own, measures)]))
+    bits = fail_bits(lambda name: F.col(own)[name])
+    return rows.where(bits.bitwiseAND(F.lit(BASE.mask | policy.mask)) == 0).drop(own)
 
 
 ORACLE_SQL = r"""

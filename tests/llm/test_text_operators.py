@@ -10,7 +10,7 @@ import pytest
 
 from docloom.llm import decontaminate, jaccard, language, licenses, mixing, quality, repeats, rules, suffixes, tokens, toxicity
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _bits int, key string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _bits int, key string, row string, h string, _measures string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -39,7 +39,7 @@ def odd(spark):
         (10, "é 日本 語 ☃ <|endoftext|> ![] " + prose(3, 4000), "fr", "c"),
         (11, prose(4, 30), None, ""),
     ]
-    return spark.createDataFrame([(k, t, g, s, 1, 2, "x") for k, t, g, s in rows], COLUMNS)
+    return spark.createDataFrame([(k, t, g, s, 1, 2, "x", "y", "z", "m") for k, t, g, s in rows], COLUMNS)
 
 
 @pytest.fixture(scope="module")
