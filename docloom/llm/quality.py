@@ -16,6 +16,7 @@ no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, hash60
+from docloom.llm.common import cut, hash60, hashed_sample
 from docloom.llm.ftrl import Ftrl, softmax
 from docloom.llm.rules import MEASURES, SYMBOLS, measure_text
-from docloom.operators.ordered import top_k
 
 FEATURE_BITS = 16
 FEATURES = 1 << FEATURE_BITS
@@ -42,7 +42,9 @@ SEES = 0.35
 # And it spares at least this share of the good ones.
 SPARES = 0.99
 REMEMBERED = 1 << 19
-_SYMBOLS = frozenset(SYMBOLS.encode())
+_LETTER = re.compile(rb"[a-z\x80-\xff]").search
+_SYMBOL = re.compile(b"[" + re.escape(SYMBOLS.encode()) + b"]").search
+_SHARES = FEATURES + np.arange(4)
 _words: dict[bytes, int] = {}
 
 # Labeller, when it votes bad, when it votes good (bad is looked at first); the
@@ -67,8 +69,9 @@ def _measured(text: str | None) -> tuple[dict, dict[bytes, int]]:
     for word in (text or "").lower().encode().split():
         counted[word] = counted.get(word, 0) + 1
     m["n_distinct"] = len(counted)
-    m["worded"] = sum(n for word, n in counted.items() if any(c >= 128 or 97 <= c <= 122 for c in word))
-    m["marked"] = sum(n for word, n in counted.items() if len(word) > 1 and any(c in _SYMBOLS for c in word))
+    m["worded"] = sum(n for word, n in counted.items() if _LETTER(word))
+    signs = m["n_symbols"] > 0
+    m["marked"] = sum(n for word, n in counted.items() if len(word) > 1 and _SYMBOL(word)) if signs else 0
     m["n_ended"] = sum(line.rstrip()[-1:] in ".!?" for line in (text or "").split("\n") if line.strip())
     m["mean"] = m["word_chars"] / max(1, m["n_words"])
     return m, counted
@@ -125,12 +128,12 @@ def _vector(m: dict, counted: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]
         if at is None:
             at = _words[word] = xxhash.xxh32_intdigest(word) % (FEATURES - 1) + 1
         places.append(at)
-    x = np.bincount(places, 1 + np.log(np.fromiter(counted.values(), float, len(counted))), FEATURES) if places else np.zeros(FEATURES)
-    at = np.flatnonzero(x)
+    at, back = np.unique(np.array(places, np.int64), return_inverse=True)
+    x = np.bincount(back, 1 + np.log(np.fromiter(counted.values(), float, len(counted))), len(at))
     # repetition, signs and shape of words are seen through three whole-text shares
     shares = np.array([1.0, m["n_repeat_words"] / max(1, m["n_words"]), min(2.0, m["n_symbols"] / max(1, m["n_words"])), 1 - m["worded"] / max(1, m["n_words"])])
-    size = max(np.sqrt(x[at] @ x[at]), 1e-12)
-    return np.concatenate([FEATURES + np.arange(4), at]), np.concatenate([shares, x[at] / size])
+    size = max(np.sqrt(x @ x), 1e-12)
+    return np.concatenate([_SHARES, at]), np.concatenate([shares, x / size])
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +158,7 @@ def fit(docs: DataFrame, voted: DataFrame, per_side: int = PER_SIDE) -> tuple[np
     table = spark.createDataFrame([(int(c), float(p[c])) for c in codes], "code long, p double")
     leaning = voted.join(F.broadcast(table), "code").where("doc_id is not null and p <> 0.5")
     ranked = leaning.select("doc_id", "p", (F.col("p") > 0.5).alias("side"), hash60(F.col("doc_id"), "quality:").alias("h"))
-    sample = top_k(ranked, ["side"], [F.col("h"), F.col("doc_id")], per_side).select(F.col("doc_id").alias("k"), "p", "h")
+    sample = hashed_sample(ranked, "side", per_side).select(F.col("doc_id").alias("k"), "p", "h")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
