@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 # A block is closed by the document that fills it.
 BLOCK_IDS = 1 << 16
-# Pieces of text whose ids one Python worker remembers.
+# Characters of text encoded together.
+SLICE = 6 << 20
+# Pre-tokens whose ids one Python worker remembers; those seen first, as frequent ones are.
 REMEMBERED = 1 << 19
 
 BLOCK_SCHEMA = (
@@ -81,43 +84,115 @@ def unpack(payload: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level tokenizers write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_ODD = re.compile(r" \s|\s | $|^ |^\s|\s$")
+
+
 class Encoder:
-    """Ids of a text, remembering those of its pieces.
+    """Ids of texts, encoding each different pre-token of a slice once and remembering it.
 
     Byte-level pre-tokenisation always starts a new token at a single space between two other
-    characters, so the pieces between such spaces can be encoded one by one.
+    characters, so texts are split there and equal pieces are encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # ids of a pre-token that follows a space; of one that does not, under a zero byte and itself
         self.known: dict[str, bytes] = {}
-        self.cut = re.compile(r"(?<=\S)(?= \S)")
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = list(pieces)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        for piece, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(made.ids, "<u4").tobytes()
+        # ids of pieces of several pre-tokens
+        self.joined: dict[str, bytes] = {}
+        self.pattern = regex.compile(pattern)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+
+    def _new(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in made]
+
+    def _token(self, key: str) -> bytes:
+        """Ids of one pre-token, from the tokenizer's model alone."""
+        text = key[1:] if key[0] == "\0" else " " + key
+        made = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return array("I", [x.id for x in made]).tobytes()
+
+    def _keys(self, piece: str) -> tuple[str, ...]:
+        """The pre-tokens of a piece that follows a space."""
+        if piece.isalpha():
+            return (piece,)
+        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+            return piece[:-1], "\0" + piece[-1]
+        first, *rest = self.pattern.findall(" " + piece)
+        return first[1:], *("\0" + token for token in rest)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that follow a space and neither start nor end in white space."""
+        known, joined = self.known, self.joined
+        out = [known.get(piece) for piece in pieces]
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            piece = pieces[k]
+            ids = joined.get(piece)
+            if ids is None:
+                parts = []
+                keys = self._keys(piece)
+                for key in keys:
+                    own = known.get(key)
+                    if own is None:
+                        own = self._token(key)
+                        if len(known) < REMEMBERED:
+                            known[key] = own
+                    parts.append(own)
+                ids = parts[0] if len(parts) == 1 else b"".join(parts)
+                if len(keys) > 1 and len(joined) < REMEMBERED // 2:
+                    joined[piece] = ids
+            out[k] = ids
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.cut.split(text) for text in texts]
-        out = []
-        missing = {piece for pieces in split for piece in pieces if piece not in self.known}
-        if missing:
-            self._learn(missing)
-        for pieces, text in zip(split, texts, strict=True):
-            try:
-                raw = b"".join([self.known[piece] for piece in pieces])
-            except KeyError:  # forgotten to make room
-                self._learn(set(pieces))
-                raw = b"".join([self.known[piece] for piece in pieces])
-            out.append(np.frombuffer(raw, "<u4"))
-        return out
+        if not texts:
+            return []
+        # a space beside other white space, or at an end, belongs to its neighbours' token
+        found = self._split(texts)
+        if found is not None:
+            return found
+        plain = {k for k, text in enumerate(texts) if text and not _ODD.search(text)}
+        quick = iter(self._split([texts[k] for k in sorted(plain)]) if plain else ())
+        whole = iter(self._new([text for k, text in enumerate(texts) if k not in plain]))
+        return [next(quick) if k in plain else np.frombuffer(next(whole), "<u4") for k in range(len(texts))]
+
+    def _split(self, texts: list[str]) -> list[np.ndarray] | None:
+        """Ids by pieces, or nothing if some space is not between two other characters."""
+        import pyarrow.compute as pc
+
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        starts = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        pieces = coded.dictionary.to_pylist()
+        known = self.known
+        if any(p not in known and (not p or p[0].isspace() or p[-1].isspace()) for p in pieces):
+            return None
+        # the first piece of a text follows no space, so it is a piece of its own kind
+        first = [text.partition(" ")[0] for text in texts]
+        place[starts[:-1]] = len(pieces) + np.arange(len(texts))
+        ids = [*self._pieces(pieces), *self._new(first)]
+        size = np.array([len(x) for x in ids], np.int64) // 4
+        pool, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        n = size[place]
+        ends = np.cumsum(n)
+        flat = pool[np.repeat(at[place] - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[starts]
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -131,10 +206,22 @@ def encoder(vocabulary: str) -> Encoder:
         import public_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _ENCODERS[vocabulary] = Encoder(public_tokenizers.path(vocabulary))
+        _ENCODERS[vocabulary] = Encoder(public_tokenizers.path(vocabulary), public_tokenizers.PATTERN)
     return _ENCODERS[vocabulary]
 
 
+def slices(texts: list[str | None], size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` characters together; a longer text is a run of its own."""
+    low = held = 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held >= size:
+            yield low, k + 1
+            low, held = k + 1, 0
+    if low < len(texts):
+        yield low, len(texts)
+
+
 def write_ids(
     docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, block_ids: int = BLOCK_IDS
 ) -> None:
@@ -160,9 +247,9 @@ def write_ids(
 
         for batch in batches:
             keys, texts = (column.to_pylist() for column in batch.columns)
-            for low in range(0, len(keys), 64):
-                ids = encode.encode([t or "" for t in texts[low : low + 64]])
-                for key, own in zip(keys[low : low + 64], ids, strict=True):
+            for low, high in slices(texts):
+                ids = encode.encode([t or "" for t in texts[low:high]])
+                for key, own in zip(keys[low:high], ids, strict=True):
                     index.append({"doc_id": key, "first_id": at + n, "n_ids": len(own) + 1})
                     held += (own, end)
                     n += len(own) + 1
