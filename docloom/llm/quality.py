@@ -192,6 +192,7 @@ def fit(docs: DataFrame, voted: DataFrame, per_side: int = PER_SIDE) -> tuple[np
 
 def score(docs: DataFrame) -> DataFrame:
     """``doc_id, n_votes, posterior, score, kept`` of every row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     voted = cut(vote_patterns(docs))
     weights, p, _, _ = fit(docs, voted)
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), p))
@@ -212,5 +213,4 @@ def score(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_votes", "posterior", "score", "kept"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_votes long, posterior double, score double, kept boolean")
+    return docs.mapInArrow(run, "doc_id long, n_votes long, posterior double, score double, kept boolean")
