@@ -44,6 +44,20 @@ def hashed_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     return top_k(near, [by], [F.col("h"), F.col("doc_id")], most)
 
 
+_forgets: dict[str, Callable[[], object]] = {}
+
+
+def hold_only(name: str, forget: Callable[[], object]) -> None:
+    """Called by a task before it fills its worker's memo: those of other operators are forgotten.
+
+    Python workers outlive tasks, so without it a worker would in time hold the memo of every stage.
+    """
+    _forgets[name] = forget
+    for other, clear in _forgets.items():
+        if other != name:
+            clear()
+
+
 def by_rows(
     fn: Callable[[tuple], Iterable[tuple]], schema: pa.Schema, weigh: int | None = None, rows: int = 4096
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import by_rows
+from docloom.llm.common import by_rows, hold_only
 
 RATE = 0.05
 MIN_BYTES = 24
@@ -136,6 +136,7 @@ _MATCHERS: dict[str, Matcher] = {}
 
 def _matcher(block, rate: float) -> Matcher:
     """This worker's automaton of a broadcast block; the last one is kept."""
+    hold_only("decontaminate", _MATCHERS.clear)
     name, items = block.value
     if name not in _MATCHERS:
         _MATCHERS.clear()

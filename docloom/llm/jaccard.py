@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, hold_only
 from docloom.llm.members import components, only, without
 
 SHINGLE = 4
@@ -48,7 +48,7 @@ HEAVY_TASK = 1 << 12
 # Classes of the suffix filter.
 CLASSES = 128
 # Words and classes a Python worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 # Rounds after the first: all but the last compare neighbours, the last one whatever is still apart.
 STEPS = 4
 NEIGHBOURS = 6
@@ -61,6 +61,11 @@ _words: dict[bytes, int] = {}
 _hashes = array("Q")
 
 
+def _forget() -> None:
+    _words.clear()
+    del _hashes[:]
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -73,8 +78,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), 1)] if words else [], np.uint64)
     if len(_words) > REMEMBERED:
-        _words.clear()
-        _hashes.clear()
+        _forget()
     known = _words.get
     numbers = [known(word, -1) for word in words]
     if -1 in numbers:
@@ -137,6 +141,7 @@ _SETS = pa.schema(
 
 def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only("jaccard", _forget)
         frequent, seen = _Frequent(), set()
         for batch in batches:
             rows = []
@@ -174,6 +179,7 @@ def _prefix_rows(heavy, size: int, percent: int):
     """Prefix shingles of every document, once per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only("jaccard", _forget)
         values, counts = heavy.value
         seen: set[int] = set()
         held: list[tuple] = []
@@ -242,6 +248,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
     )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only("jaccard", _forget)
         last: tuple = (None, None)
         for batch in batches:
             keep = []

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, hash60, hashed_sample
+from docloom.llm.common import cut, hash60, hashed_sample, hold_only
 from docloom.llm.ftrl import Ftrl, softmax
 from docloom.llm.rules import MEASURES, SYMBOLS, measure_text
 
@@ -137,6 +137,7 @@ def _vector(m: dict, counted: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold_only("quality", _words.clear)
     for batch in batches:
         codes = [code(votes(_measured(text)[0])) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], ["doc_id", "code"])
@@ -198,6 +199,7 @@ def score(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only("quality", _words.clear)
         weights, p = shared.value
         for batch in batches:
             rows = []

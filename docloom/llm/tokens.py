@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import as_batch, scratch_path
+from docloom.llm.common import as_batch, hold_only, scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -234,6 +234,7 @@ def write_ids(
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        hold_only("tokens", _ENCODERS.clear)
         part = TaskContext.get().partitionId()
         encode = encoder(vocabulary)
         bits = bits_for(max(encode.size, end_id + 1))
