@@ -63,6 +63,10 @@ LABELLERS = (
 PATTERNS = 3 ** len(LABELLERS)
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def _measured(text: str | None) -> tuple[dict, dict[bytes, int]]:
     m = dict(zip(MEASURES, measure_text(text), strict=True))
     counted: dict[bytes, int] = {}
@@ -137,7 +141,7 @@ def _vector(m: dict, counted: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hold_only("quality", _words.clear)
+    hold_only("quality", _forget)
     for batch in batches:
         codes = [code(votes(_measured(text)[0])) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64())], ["doc_id", "code"])
@@ -199,7 +203,7 @@ def score(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold_only("quality", _words.clear)
+        hold_only("quality", _forget)
         weights, p = shared.value
         for batch in batches:
             rows = []

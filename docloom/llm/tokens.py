@@ -198,6 +198,10 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _forget() -> None:
+    _ENCODERS.clear()
+
+
 def encoder(vocabulary: str) -> Encoder:
     """This worker's encoder; the vocabulary file lies where the tokenizer package is installed."""
     if vocabulary not in _ENCODERS:
@@ -234,7 +238,7 @@ def write_ids(
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hold_only("tokens", _ENCODERS.clear)
+        hold_only("tokens", _forget)
         part = TaskContext.get().partitionId()
         encode = encoder(vocabulary)
         bits = bits_for(max(encode.size, end_id + 1))
