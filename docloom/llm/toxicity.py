@@ -8,8 +8,11 @@ an expression that is rare in either says little.
 
     P(g | class) = max(n_class(g) - D, 0) / N_class + D * kinds_class / N_class * P(g)
 
-All learning documents are counted, in Spark. The ``GRAMS`` n-grams found in most documents are
-sent to the tasks (a bounded broadcast); any other takes the difference of the two backoff weights.
+All learning documents are counted, in Spark, and every counted n-gram keeps its own difference; one
+never counted takes the difference of the two backoff weights. Up to ``GRAMS`` counted n-grams are
+sent to the tasks as a whole. More stay a table: texts are dealt into blocks of about ``BLOCK``
+characters, each block's different n-grams are joined with the table, and a block is scored together
+with its part of it.
 
 A quarter of the learning rows (by id hash) is not counted but calibrates the score.
 
@@ -25,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +37,10 @@ from docloom.llm.decontaminate import normalised
 from docloom.llm.members import only
 
 SIZE = 5
+# Most n-grams of a model that is sent to the tasks; a larger one is joined.
 GRAMS = 1 << 20
+# Characters of the texts that share a part of a joined model; a longer text is a block of its own.
+BLOCK = 4 << 20
 DISCOUNT = 0.75
 THRESHOLD = 0.7
 # N-grams a task counts before it hands them on.
@@ -45,12 +52,16 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass
 class Model:
-    """Sorted n-gram keys, their log-likelihood differences, that of all others, and the calibration."""
+    """Sorted n-gram keys, their log-likelihood differences, that of all others, and the calibration.
+
+    Keys and differences of a model too large to send are in ``table`` (``key, difference``) instead.
+    """
 
     keys: np.ndarray
     differences: np.ndarray
     other: float
     fit: tuple[float, ...] = (0.0, 0.0, 0.0)
+    table: DataFrame | None = None
 
 
 def grams(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -101,14 +112,16 @@ def count(learn: DataFrame, most: int = GRAMS) -> Model:
         *(F.count(F.when(F.col(c) > 0, 1)).cast("double").alias(f"k{c}") for c in ("n0", "n1")),
         F.count("*").cast("double").alias("k"),
     ).first()
-    both = F.col("n0") + F.col("n1")
-    kept = counted.orderBy(both.desc(), "key").limit(most).toPandas().sort_values("key")
-    n = [kept[c].to_numpy(np.float64) for c in ("n0", "n1")]
     back = [DISCOUNT * max(whole[f"kn{side}"], 1) / max(whole[f"n{side}"], 1) for side in (0, 1)]
     total = whole["n0"] + whole["n1"] + 0.5 * whole["k"] + 1
-    shared = (n[0] + n[1] + 0.5) / total
-    p = [np.maximum(n[side] - DISCOUNT, 0) / max(whole[f"n{side}"], 1) + back[side] * shared for side in (0, 1)]
-    return Model(kept["key"].to_numpy(np.int64), np.log(p[1] / p[0]), float(np.log(back[1] / back[0])))
+    shared = (F.col("n0") + F.col("n1") + 0.5) / total
+    p = [F.greatest(F.col(f"n{side}") - DISCOUNT, F.lit(0.0)) / max(whole[f"n{side}"], 1) + back[side] * shared for side in (0, 1)]
+    table = counted.select("key", F.log(p[1] / p[0]).alias("difference"))
+    other = float(np.log(back[1] / back[0]))
+    if whole["k"] > most:
+        return Model(np.empty(0, np.int64), np.empty(0), other, table=table)
+    kept = table.toPandas().sort_values("key")
+    return Model(kept["key"].to_numpy(np.int64), kept["difference"].to_numpy(np.float64), other)
 
 
 def measures(model: Model, text: str | None) -> tuple[float, float]:
@@ -125,19 +138,89 @@ def measures(model: Model, text: str | None) -> tuple[float, float]:
     return float(total[-1] / len(d)), float((total[width:] - total[:-width]).max() / width)
 
 
-def _measured(shared):
+_MEASURES = pa.schema([("key", pa.int64()), ("mean", pa.float64()), ("stretch", pa.float64())])
+
+
+def _measure_rows(model: Model, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    found = [measures(model, text) for text in texts.to_pylist()]
+    mean, stretch = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([keys, pa.array(mean, pa.float64()), pa.array(stretch, pa.float64())], schema=_MEASURES)
+
+
+def _sent(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _measure_rows(shared.value, batch.column(0), batch.column(1))
+
+    return run
+
+
+def _blocks(size: int):
+    """``block, key, text``: runs of a task's rows of about ``size`` characters."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        from pyspark import TaskContext
+
+        block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            found = [measures(model, text) for text in batch.column(1).to_pylist()]
-            mean, stretch = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(mean, pa.float64()), pa.array(stretch, pa.float64())], ["key", "mean", "stretch"]
-            )
+            blocks = []
+            for n in pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist():
+                if held and held + n > size:
+                    block, held = block + 1, 0
+                blocks.append(block)
+                held += n
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *batch.columns], ["block", "key", "text"])
 
     return run
 
 
+def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``block, gram``: the different n-grams of each block, once per run of its rows."""
+
+    def made() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), last, np.int64)), pa.array(keys)], ["block", "gram"])
+
+    held: list[np.ndarray] = []
+    last = None
+    for batch in batches:
+        for block, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if held and block != last:
+                yield made()
+                held = []
+            last = block
+            held.append(np.unique(grams(text)))
+    if held:
+        yield made()
+
+
+def _joined(rows: DataFrame, model: Model) -> DataFrame:
+    """``key, mean, stretch`` of rows ``key, text`` by a model that is a table."""
+    # stored, so that every reading of a text sees the same block
+    dealt = cut(rows.mapInArrow(_blocks(BLOCK), "block long, key long, text string"))
+    wanted = dealt.select("block", "text").mapInArrow(_block_grams, "block long, gram long")
+    parts = wanted.join(model.table.withColumnRenamed("key", "gram"), "gram").select("block", "gram", "difference")
+    other = model.other
+
+    def run(texts: pa.Table, part: pa.Table) -> pa.Table:
+        keys, first = np.unique(part["gram"].to_numpy(), return_index=True)
+        own = Model(keys.astype(np.int64), part["difference"].to_numpy()[first], other)
+        slices = texts.select(["key", "text"]).to_batches()
+        return pa.Table.from_batches([_measure_rows(own, x.column(0), x.column(1)) for x in slices], _MEASURES)
+
+    both = dealt.groupBy("block").cogroup(parts.groupBy("block"))
+    return both.applyInArrow(run, "key long, mean double, stretch double")
+
+
+def measured(rows: DataFrame, model: Model) -> DataFrame:
+    """``key, mean, stretch`` of rows ``key, text``."""
+    rows = rows.toDF("key", "text").select(F.col("key").cast("long"), "text")
+    if model.table is not None:
+        return _joined(rows, model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    return rows.mapInArrow(_sent(shared), "key long, mean double, stretch double")
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, ...]:
     """Logistic regression by Newton steps with a small ridge; ``x`` has a column of ones."""
     w = np.zeros(x.shape[1])
@@ -165,8 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibration_rows: int = 20_000) -> M
     n = apart.count()
     if n > calibration_rows:
         apart = apart.where(F.shiftright(h, 8) % n < calibration_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    found = apart.select("toxic", "text").mapInArrow(_measured(shared), "key int, mean double, stretch double").toPandas()
+    found = measured(apart.select("toxic", "text"), model).toPandas()
     y = found["key"].to_numpy(np.float64)
     x = np.column_stack([found["mean"], found["stretch"], np.ones(len(found))]) if len(found) else np.zeros((0, 3))
     if 0 < y.sum() < len(y):
@@ -182,9 +264,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     a, b, c = model.fit
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(
-        _measured(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, mean double, stretch double"
-    )
+    found = measured(rows, model).withColumnRenamed("key", "doc_id")
     logit = F.lit(a) * F.col("mean") + F.lit(b) * F.col("stretch") + F.lit(c)
     p = 1 / (1 + F.exp(-logit))
     return found.select(
