@@ -108,8 +108,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # ids of a pre-token that follows a space; of one that does not, under a zero byte and itself
+        # ids of pre-tokens that follow a space, and of those that do not: a text may hold any character
         self.known: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
         # ids of pieces of several pre-tokens
         self.joined: dict[str, bytes] = {}
         self.pattern = regex.compile(pattern)
@@ -120,24 +121,23 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in made]
 
-    def _token(self, key: str) -> bytes:
+    def _token(self, text: str) -> bytes:
         """Ids of one pre-token, from the tokenizer's model alone."""
-        text = key[1:] if key[0] == "\0" else " " + key
         made = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
         return array("I", [x.id for x in made]).tobytes()
 
     def _keys(self, piece: str) -> tuple[str, ...]:
-        """The pre-tokens of a piece that follows a space."""
+        """The pre-tokens of a piece that follows a space, the first one without the space."""
         if piece.isalpha():
             return (piece,)
         if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return piece[:-1], "\0" + piece[-1]
+            return piece[:-1], piece[-1]
         first, *rest = self.pattern.findall(" " + piece)
-        return first[1:], *("\0" + token for token in rest)
+        return first[1:], *rest
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that follow a space and neither start nor end in white space."""
-        known, joined = self.known, self.joined
+        known, inner, joined = self.known, self.inner, self.joined
         out = [known.get(piece) for piece in pieces]
         for k in [k for k, ids in enumerate(out) if ids is None]:
             piece = pieces[k]
@@ -145,12 +145,13 @@ class Encoder:
             if ids is None:
                 parts = []
                 keys = self._keys(piece)
-                for key in keys:
-                    own = known.get(key)
+                for n, key in enumerate(keys):
+                    memo = inner if n else known
+                    own = memo.get(key)
                     if own is None:
-                        own = self._token(key)
-                        if len(known) < REMEMBERED:
-                            known[key] = own
+                        own = self._token(key if n else " " + key)
+                        if len(known) + len(inner) < REMEMBERED:
+                            memo[key] = own
                     parts.append(own)
                 ids = parts[0] if len(parts) == 1 else b"".join(parts)
                 if len(keys) > 1 and len(joined) < REMEMBERED // 2:
