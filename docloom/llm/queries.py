@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontaminate, jaccard, language, licenses, mixing, quality, repeats, rules, tokens, toxicity
+from docloom.llm import (
+    decontaminate,
+    jaccard,
+    language,
+    licenses,
+    mixing,
+    periodic,
+    quality,
+    repeats,
+    rules,
+    tokens,
+    toxicity,
+)
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +85,9 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_periodic_runs", periodic.ORACLE_SQL)
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.find_runs(planted))
