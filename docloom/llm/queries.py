@@ -16,6 +16,7 @@ from docloom.llm import (
     quality,
     repeats,
     rules,
+    sharding,
     tokens,
     toxicity,
 )
@@ -91,3 +92,8 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
     return periodic.digests(periodic.find_runs(planted))
+
+
+@query("op12_shards")
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
