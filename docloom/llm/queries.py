@@ -13,6 +13,7 @@ from docloom.llm import (
     licenses,
     mixing,
     periodic,
+    phrases,
     quality,
     repeats,
     rules,
@@ -97,3 +98,8 @@ def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_shards")
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", phrases.ORACLE_SQL)
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
