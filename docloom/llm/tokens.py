@@ -11,15 +11,13 @@ order. ``first_id`` counts from the start of the part; ``part_offsets`` gives wh
 in the whole stream.
 
 Defined cases: a null or empty text has only the end id; rows with equal or null ids are kept as
-separate documents (nulls first); an empty table gives an empty file. Special-token strings in a
-text are ordinary text.
+separate documents (nulls first); an empty table gives an empty file. The content of an added token in a
+text becomes that token's id, as in the library.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +27,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.llm.common import as_batch, hold_only, scratch_path
+from docloom.llm.words import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 # A block is closed by the document that fills it.
 BLOCK_IDS = 1 << 16
-# Characters of text encoded together.
-SLICE = 6 << 20
-# Pre-tokens whose ids one Python worker remembers; those seen first, as frequent ones are.
+# Bytes of text encoded together.
+SLICE_BYTES = 8 << 20
+# Pre-tokens remembered by one Python worker; beyond them it starts anew.
 REMEMBERED = 1 << 19
 
 BLOCK_SCHEMA = (
@@ -91,14 +90,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-_ODD = re.compile(r" \s|\s | $|^ |^\s|\s$")
-
-
 class Encoder:
-    """Ids of texts, encoding each different pre-token of a slice once and remembering it.
+    """Ids of texts; the library's model encodes each different pre-token once and its ids are remembered.
 
-    Byte-level pre-tokenisation always starts a new token at a single space between two other
-    characters, so texts are split there and equal pieces are encoded once.
+    Byte-level pre-tokenisation starts a new token at a space that another character follows, so texts
+    fall into space-separated pieces, and pieces into pre-tokens, whose ids do not depend on their
+    neighbours. Texts with two spaces together, a space at an end or before other white space, or
+    the content of an added token go to the library whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -106,94 +104,125 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # ids of pre-tokens that follow a space, and of those that do not: a text may hold any character
-        self.known: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-        # ids of pieces of several pre-tokens
-        self.joined: dict[str, bytes] = {}
-        self.pattern = regex.compile(pattern)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-
-    def _new(self, texts: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in made]
-
-    def _token(self, text: str) -> bytes:
-        """Ids of one pre-token, from the tokenizer's model alone."""
-        made = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
-        return array("I", [x.id for x in made]).tobytes()
-
-    def _keys(self, piece: str) -> tuple[str, ...]:
-        """The pre-tokens of a piece that follows a space, the first one without the space."""
-        if piece.isalpha():
-            return (piece,)
-        if piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-            return piece[:-1], piece[-1]
-        first, *rest = self.pattern.findall(" " + piece)
-        return first[1:], *rest
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that follow a space and neither start nor end in white space."""
-        known, inner, joined = self.known, self.inner, self.joined
-        out = [known.get(piece) for piece in pieces]
-        for k in [k for k, ids in enumerate(out) if ids is None]:
-            piece = pieces[k]
-            ids = joined.get(piece)
-            if ids is None:
-                parts = []
-                keys = self._keys(piece)
-                for n, key in enumerate(keys):
-                    memo = inner if n else known
-                    own = memo.get(key)
-                    if own is None:
-                        own = self._token(key if n else " " + key)
-                        if len(known) + len(inner) < REMEMBERED:
-                            memo[key] = own
-                    parts.append(own)
-                ids = parts[0] if len(parts) == 1 else b"".join(parts)
-                if len(keys) > 1 and len(joined) < REMEMBERED // 2:
-                    joined[piece] = ids
-            out[k] = ids
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        # a space beside other white space, or at an end, belongs to its neighbours' token
-        found = self._split(texts)
-        if found is not None:
-            return found
-        plain = {k for k, text in enumerate(texts) if text and not _ODD.search(text)}
-        quick = iter(self._split([texts[k] for k in sorted(plain)]) if plain else ())
-        whole = iter(self._new([text for k, text in enumerate(texts) if k not in plain]))
-        return [next(quick) if k in plain else np.frombuffer(next(whole), "<u4") for k in range(len(texts))]
-
-    def _split(self, texts: list[str]) -> list[np.ndarray] | None:
-        """Ids by pieces, or nothing if some space is not between two other characters."""
+        self.found = regex.compile(pattern).findall
+        self._forget()
+
+    def _forget(self) -> None:
+        # pieces that follow a space, and pre-tokens that do not, by number; the ids of all numbers in one row
+        self.known: dict[str, int] = {}
+        self.inner: dict[str, int] = {}
+        self.ids = np.empty(0, "<u4")
+        self.starts = np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        low = len(self.starts) - 1
+        self.ids = np.append(self.ids, ids)
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
+        return range(low, low + len(sizes))
+
+    def _learn(self, tokens: list[str], memo: dict[str, int], space: str) -> None:
+        """Ask the model for the ids of pre-tokens not in ``memo``."""
+        new = [t for t in dict.fromkeys(tokens) if t not in memo]
+        model, letters = self.model.tokenize, self.letters
+        joined = "\0".join([space + t for t in new])
+        if joined.count("\0") == len(new) - 1:
+            spelled = joined.encode().decode("latin-1").translate(letters).split(letters[0])
+        else:  # a text may hold any character
+            spelled = [(space + t).encode().decode("latin-1").translate(letters) for t in new]
+        made = [[x.id for x in model(t)] for t in spelled]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        memo.update(zip(new, self._add(np.array([i for own in made for i in own], "<u4"), sizes), strict=False))
+
+    def _cut_up(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece, which is not only letters, the first without the space before it."""
+        head, last = piece[:-1], piece[-1]
+        if last in ".,;:!?" and head.isalpha():
+            return [head, last]
+        head, feed, tail = piece.partition("\n")
+        if feed and tail.isalpha() and head and not head[-1].isspace():
+            return [*([head] if head.isalpha() else self._cut_up(head)), feed, tail]
+        first, *rest = self.found(" " + piece)
+        return [first[1:], *rest]
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of different pieces that follow a space."""
+        if len(self.known) + len(self.inner) > REMEMBERED:
+            self._forget()
+        known = self.known
+        new = [p for p in pieces if p not in known]
+        plain = [p for p in new if p.isalpha()]
+        others = [p for p in new if not p.isalpha()]
+        cut_up = [self._cut_up(p) for p in others]
+        self._learn([*plain, *(t[0] for t in cut_up)], known, " ")
+        self._learn([t for own in cut_up for t in own[1:]], self.inner, "")
+        several = [k for k, own in enumerate(cut_up) if len(own) > 1]
+        if several:
+            count = np.array([len(cut_up[k]) for k in several])
+            flat = [n for k in several for n in (known[cut_up[k][0]], *map(self.inner.__getitem__, cut_up[k][1:]))]
+            ids, size = _taken(self.ids, self.starts, np.array(flat))
+            known.update(zip([others[k] for k in several], self._add(ids, np.add.reduceat(size, np.cumsum(count) - count)), strict=True))
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         import pyarrow.compute as pc
 
-        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        starts = parts.offsets.to_numpy()
-        coded = parts.flatten().dictionary_encode()
-        place = coded.indices.to_numpy().astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
-        known = self.known
-        if any(p not in known and (not p or p[0].isspace() or p[-1].isspace()) for p in pieces):
-            return None
-        # the first piece of a text follows no space, so it is a piece of its own kind
-        first = [text.partition(" ")[0] for text in texts]
-        place[starts[:-1]] = len(pieces) + np.arange(len(texts))
-        ids = [*self._pieces(pieces), *self._new(first)]
-        size = np.array([len(x) for x in ids], np.int64) // 4
-        pool, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        n = size[place]
-        ends = np.cumsum(n)
-        flat = pool[np.repeat(at[place] - (ends - n), n) + np.arange(ends[-1])]
-        cuts = np.concatenate([[0], ends])[starts]
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        if not len(column):
+            return []
+        column = column.fill_null("")
+        parts = pc.split_pattern(column, " ")
+        cuts, flat = parts.offsets.to_numpy(), parts.flatten()
+        cuts = cuts - cuts[0]
+        coded = flat.dictionary_encode()
+        place = coded.indices.to_numpy()
+        different = coded.dictionary
+        first = cuts[:-1]
+        # the first piece of a text follows no space and is encoded by itself
+        heads = flat.take(pa.array(first)).to_pylist()
+        blank = pc.or_(pc.utf8_is_space(pc.utf8_slice_codeunits(different, 0, 1)), pc.equal(pc.binary_length(different), 0))
+        unlike = blank.to_numpy(zero_copy_only=False)[place]
+        unlike[first] = [not head and n > 1 for head, n in zip(heads, np.diff(cuts).tolist(), strict=True)]
+        whole = np.logical_or.reduceat(unlike, first)
+        for content in self.added:
+            whole |= pc.match_substring(column, content).to_numpy(zero_copy_only=False)
+        later = ~np.repeat(whole, np.diff(cuts))
+        later[first] = False
+        used = np.zeros(len(different), bool)
+        used[place[later]] = True
+        numbers = np.zeros(len(different), np.int64)
+        numbers[used] = self._numbers(different.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        texts = column.filter(pa.array(whole)).to_pylist()
+        alone = self._whole([h for h, full in zip(heads, whole.tolist(), strict=True) if not full])
+        entire = self._whole(texts)
+        # every place's number; what was encoded by itself comes behind the remembered ids
+        entry = numbers[place]
+        entry[first[~whole]] = len(self.starts) - 1 + np.arange(len(alone))
+        entry[first[whole]] = len(self.starts) - 1 + len(alone) + np.arange(len(entire))
+        later[first] = True
+        own = [*alone, *entire]
+        pool = np.concatenate([self.ids, *own])
+        starts = np.append(self.starts, self.starts[-1] + np.cumsum([len(x) for x in own], dtype=np.int64))
+        stream, n = _taken(pool, starts, entry[later])
+        ends = np.concatenate([[0], np.cumsum(n)])
+        bounds = ends[np.concatenate([[0], np.cumsum(later)])[cuts]].tolist()
+        return [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _taken(pool: np.ndarray, starts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of ``entries`` (entry k lies from ``starts[k]`` on) in a row, and how many each has."""
+    size = (starts[1:] - starts[:-1])[entries]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    at = np.repeat(starts[entries] - (ends - size), size)
+    at += np.arange(total)
+    return pool[at], size
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -215,18 +244,6 @@ def encoder(vocabulary: str) -> Encoder:
     return _ENCODERS[vocabulary]
 
 
-def slices(texts: list[str | None], size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``size`` characters together; a longer text is a run of its own."""
-    low = held = 0
-    for k, text in enumerate(texts):
-        held += len(text or "")
-        if held >= size:
-            yield low, k + 1
-            low, held = k + 1, 0
-    if low < len(texts):
-        yield low, len(texts)
-
-
 def write_ids(
     docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, block_ids: int = BLOCK_IDS
 ) -> None:
@@ -252,9 +269,9 @@ def write_ids(
             return as_batch([(part, n_block, at, n, bits, index, pack(np.concatenate(held), bits))], _BLOCKS)
 
         for batch in batches:
-            keys, texts = (column.to_pylist() for column in batch.columns)
-            for low, high in slices(texts):
-                ids = encode.encode([t or "" for t in texts[low:high]])
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
+            for low, high in slices(texts, SLICE_BYTES):
+                ids = encode.encode(texts.slice(low, high - low))
                 for key, own in zip(keys[low:high], ids, strict=True):
                     index.append({"doc_id": key, "first_id": at + n, "n_ids": len(own) + 1})
                     held += (own, end)
