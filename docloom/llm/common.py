@@ -37,9 +37,10 @@ def hashed_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     """The ``most`` rows of each value of ``by`` with the smallest ``h`` (ties by ``doc_id``).
 
     Rows whose hash is far above the wanted share of their group go first, where they lie, so that
-    a group sends about ``2 * most`` rows to be ranked, however large it is. ``by`` has few values.
+    a group sends about ``2 * most`` rows to be ranked, however large it is. ``by`` has few values: their
+    counts, one row each, are sent to all tasks.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = F.broadcast(rows.groupBy(by).agg(F.count("*").alias("_n")))
     near = rows.join(counts, by).where(F.col("h") / float(1 << 60) * F.col("_n") < 2.0 * most + 20).drop("_n")
     return top_k(near, [by], [F.col("h"), F.col("doc_id")], most)
 
