@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import links as link_functions
 from docloom.functions import text
-from docloom.operators import documents, graph, html, ordered
+from docloom.operators import documents, graph, html, markup_rows, ordered
 from docloom.plans import fixtures
 from docloom.plans.registry import query, table
 
@@ -88,46 +88,71 @@ def link_resolver(spark, sf_dir):
 
 # -- fragments of pages: list items and paragraphs ---------------------------------------
 
-_FRAGMENTS = "WITH " + fixtures.PAGE_META + r""", found AS (
-  SELECT page_id, regexp_extract_all(html, '(?s)<(?:li|p)>.*?</(?:li|p)>') AS fs FROM page_meta),
-fragments AS (SELECT page_id, CAST(generate_subscripts(fs, 1) AS BIGINT) AS block_no, unnest(fs) AS frag FROM found),
-kinds AS (SELECT page_id, block_no, frag, CASE WHEN starts_with(frag, '<li') THEN 'item' ELSE 'para' END AS kind,
-  trim(regexp_replace(regexp_replace(regexp_replace(frag, '(?s)<a\b[^>]*\bhref="[^"]*"[^>]*>.*?</a>', '', 'g'), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS outside,
-  regexp_extract_all(frag, '<a\b[^>]*\bhref="([^"]*)"', 1) AS hs FROM fragments)"""
+_BLOCK_TAGS = ", ".join(f"'{tag}'" for tag in markup_rows.BLOCK_TAGS)
+_SQL_TOKEN = markup_rows.TOKEN.replace("'", "''")
+_DECODED_SPAN = "t.piece"
+for _name, _char in text.ENTITIES:
+    _DECODED_SPAN = f"replace({_DECODED_SPAN}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+
+# Every item and paragraph with the places it reaches over; here by comparing intervals. List end tags of
+# the given pages all have their opener.
+_FRAGMENTS = f"""WITH cut AS (SELECT page_id, regexp_extract_all(html, '{_SQL_TOKEN}') AS ts FROM pages),
+tok AS (SELECT page_id, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS pos, unnest(ts) AS piece FROM cut),
+named AS (SELECT *, lower(regexp_extract(piece, '^</?([A-Za-z][^\\s/>]*)', 1)) AS tag, starts_with(piece, '</') AS closing FROM tok),
+deep AS (SELECT *, sum(CASE WHEN tag NOT IN ('ul', 'ol') THEN 0 WHEN closing THEN -1 ELSE 1 END) OVER w
+    + CASE WHEN tag IN ('ul', 'ol') AND closing THEN 1 ELSE 0 END AS level,
+    last_value(CASE WHEN tag = 'a' AND NOT closing AND contains(piece, 'href="') THEN pos WHEN tag IN ('a', 'li', 'p') THEN -1 END IGNORE NULLS) OVER w AS link_at
+  FROM named WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT page_id, coalesce(min(pos) FILTER (closing AND tag IN ('body', 'html')), max(pos) + 1) AS stop FROM named GROUP BY page_id),
+opened AS (
+  SELECT * FROM (SELECT page_id, pos, tag, closing, lead(pos) OVER (PARTITION BY page_id, level ORDER BY pos) AS leave FROM deep
+                 WHERE tag = 'li' OR (tag IN ('ul', 'ol') AND closing)) WHERE tag = 'li' AND NOT closing
+  UNION ALL
+  SELECT * FROM (SELECT page_id, pos, tag, closing, lead(pos) OVER (PARTITION BY page_id ORDER BY pos) AS leave FROM deep
+                 WHERE tag IN ({_BLOCK_TAGS})) WHERE tag = 'p' AND NOT closing),
+found AS (SELECT page_id, pos AS enter, coalesce(leave, stop) AS leave, tag, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS block_no
+          FROM opened JOIN ends USING (page_id)),
+said AS (
+  SELECT f.page_id, f.block_no, t.pos, {_DECODED_SPAN} AS piece,
+         CASE WHEN t.link_at > f.enter THEN t.link_at END AS link_no, regexp_extract(l.piece, 'href="([^"]*)"', 1) AS target
+  FROM found f JOIN deep t ON t.page_id = f.page_id AND t.pos > f.enter AND t.pos < f.leave AND t.tag = '' AND NOT starts_with(t.piece, '<')
+  LEFT JOIN tok l ON l.page_id = t.page_id AND l.pos = t.link_at AND t.link_at > f.enter),
+kinds AS (
+  SELECT f.page_id, f.block_no, f.tag, trim(regexp_replace(coalesce(o.t, ''), '[\\s\\x{{00A0}}]+', ' ', 'g')) AS outside FROM found f LEFT JOIN (
+    SELECT page_id, block_no, string_agg(piece, '' ORDER BY pos) AS t FROM said
+    WHERE link_no IS NULL OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') GROUP BY page_id, block_no) o
+  ON o.page_id = f.page_id AND o.block_no = f.block_no)"""
 
 
 def _fragments(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit(r"(?s)<(?:li|p)>.*?</(?:li|p)>"), F.lit(0))
-    pieces = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "frag"))
-    return pieces.select(
-        "page_id", (F.col("pos") + 1).cast("bigint").alias("block_no"), "frag",
-        F.when(F.startswith("frag", F.lit("<li")), "item").otherwise("para").alias("kind"),
-        documents.outside_links(F.col("frag")).alias("outside"),
-    )
-
-
-def _fragment_links(fragments):
-    return fragments.select("page_id", "block_no", F.explode(link_functions.hrefs(F.col("frag"))).alias("target"))
+    """Items and paragraphs, closed or not, and the spans of text they hold."""
+    rows = markup_rows.tokens(table(spark, sf_dir, "pages"))
+    found = markup_rows.fragments(rows)
+    return found, markup_rows.spans(rows, found)
 
 
 @query("b4_is_link_only", _FRAGMENTS + r"""
 SELECT page_id, block_no, regexp_matches(outside, '(?i)^[\s,.;:()]*(?:(?:and|or|see|also)[\s,.;:()]*)*$') AS link_only FROM kinds""")
 def is_link_only(spark, sf_dir):
-    return _fragments(spark, sf_dir).select("page_id", "block_no", documents.is_link_only(F.col("outside")).alias("link_only"))
+    found = markup_rows.outside_links(*_fragments(spark, sf_dir))
+    return found.select("page_id", "block_no", documents.is_link_only(F.col("outside")).alias("link_only"))
 
 
 @query("b5_is_nav_paragraph", _FRAGMENTS + """
-, shared AS (SELECT target FROM (SELECT page_id, unnest(hs) AS target FROM kinds) GROUP BY target HAVING count(DISTINCT page_id) >= 2)
-SELECT page_id, block_no, kind FROM kinds
-WHERE NOT (len(hs) = 1 AND hs[1] IN (SELECT target FROM shared)
-           AND CASE WHEN outside = '' THEN 0 ELSE len(string_split(outside, ' ')) END <= 4)""")
+, targets AS (SELECT DISTINCT page_id, block_no, link_no, target FROM said WHERE link_no IS NOT NULL),
+shared AS (SELECT target FROM targets GROUP BY target HAVING count(DISTINCT page_id) >= 2),
+single AS (SELECT page_id, block_no, min(target) AS target FROM targets GROUP BY page_id, block_no HAVING count(*) = 1)
+SELECT k.page_id, k.block_no, CASE k.tag WHEN 'li' THEN 'item' ELSE 'para' END AS kind FROM kinds k LEFT JOIN single s USING (page_id, block_no)
+WHERE NOT coalesce(s.target IN (SELECT target FROM shared)
+           AND CASE WHEN outside = '' THEN 0 ELSE len(string_split(outside, ' ')) END <= 4, false)""")
 def drop_nav_paragraphs(spark, sf_dir):
     """Every fragment counts as a paragraph here; navigation targets are those on two pages."""
-    fragments = _fragments(spark, sf_dir)
-    links = _fragment_links(fragments)
+    found, texts = _fragments(spark, sf_dir)
+    links = texts.filter("kind = 'link'").select("page_id", "block_no", "target")
     shared = _shared(links.withColumnRenamed("target", "path"), 2).withColumnRenamed("path", "target")
-    paras = fragments.withColumnRenamed("kind", "_kind").withColumn("kind", F.lit("para"))
-    return documents.drop_nav_paragraphs(paras, links, shared).select("page_id", "block_no", F.col("_kind").alias("kind"))
+    paras = markup_rows.outside_links(found, texts).withColumn("kind", F.lit("para"))
+    kept = documents.drop_nav_paragraphs(paras, links, shared)
+    return kept.select("page_id", "block_no", F.when(F.col("tag") == "li", "item").otherwise("para").alias("kind"))
 
 
 @query("b7_main_content", r"""
@@ -136,29 +161,45 @@ def main_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.main_content(F.col("html")).alias("main"))
 
 
-@query("b10_compact_items", _FRAGMENTS + r"""
-SELECT page_id, bool_and(length(regexp_replace(frag, '<[^>]*>', '', 'g')) <= 8) AS compact FROM kinds WHERE kind = 'item' GROUP BY page_id""")
+@query("b10_compact_items", _FRAGMENTS + """
+, lists AS (SELECT page_id, pos, level, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS list_no FROM deep WHERE tag IN ('ul', 'ol') AND NOT closing),
+own AS (SELECT f.page_id, f.enter, f.block_no, d.level, coalesce(length(trim(regexp_replace(string_agg(s.piece, '' ORDER BY s.pos), '\\s+', ' ', 'g'))), 0) AS n
+        FROM found f JOIN deep d ON d.page_id = f.page_id AND d.pos = f.enter LEFT JOIN said s ON s.page_id = f.page_id AND s.block_no = f.block_no
+        WHERE f.tag = 'li' GROUP BY ALL)
+SELECT l.page_id, l.list_no, count(*) AS n_items, bool_and(n BETWEEN 1 AND 90) AS compact
+FROM lists l JOIN own o ON o.page_id = l.page_id AND o.level = l.level AND o.enter > l.pos
+  AND NOT EXISTS (SELECT 1 FROM lists x WHERE x.page_id = l.page_id AND x.level = l.level AND x.pos > l.pos AND x.pos < o.enter)
+GROUP BY l.page_id, l.list_no""")
 def compact_items(spark, sf_dir):
-    items = _fragments(spark, sf_dir).filter("kind = 'item'").select(
-        "page_id", F.lit(1).alias("n_paras"), F.regexp_replace("frag", "<[^>]*>", "").alias("text")
-    )
-    return documents.compact_items(items, ["page_id"], limit=8)
+    """The lists of the given pages, whose items hold nothing but text."""
+    return markup_rows.compact_lists(markup_rows.tokens(table(spark, sf_dir, "pages")))
+
+
+def _lines_page(heading):
+    """Each document as a page: its first line an item, the other lines items nested in it, none of them closed."""
+    lines = F.split(markup_rows.escape_text(F.col("text")), "\n", -1)
+    nested = F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.concat(F.lit("<li>"), x)), "")
+    return F.concat(heading, F.lit("<ul><li>"), lines[0], F.lit('<div class="itemizedlist"><ul>'), nested, F.lit("</ul></div></ul>"))
+
+
+@query("b10_compact_nested", r"""
+WITH lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+sized AS (SELECT doc_id, i, length(trim(regexp_replace(line, '\s+', ' ', 'g'))) BETWEEN 1 AND 90 AS fits FROM lines)
+SELECT doc_id AS page_id, CAST(1 AS BIGINT) AS list_no, CAST(1 AS BIGINT) AS n_items, bool_and(fits) AS compact FROM sized GROUP BY doc_id
+UNION ALL SELECT doc_id, 2, count(*), bool_and(fits) FROM sized WHERE i > 0 GROUP BY doc_id""")
+def compact_nested(spark, sf_dir):
+    """An outer item is compact only if all items nested in it are."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), _lines_page(F.lit("")).alias("html"))
+    return markup_rows.compact_lists(markup_rows.tokens(pages))
 
 
 @query("b16_leading_link", _FRAGMENTS + r"""
-SELECT page_id, block_no, regexp_extract(frag, '>([^<]*)</a>', 1) AS text, hs[1] AS target FROM kinds
-WHERE len(hs) > 0 AND trim(regexp_replace(split_part(frag, '<a ', 1), '<[^>]*>', '', 'g')) = ''
-  AND trim(regexp_extract(frag, '>([^<]*)</a>', 1)) <> ''""")
+, spans AS (SELECT page_id, block_no, coalesce(link_no, pos) AS span_no, link_no IS NOT NULL AS is_link, any_value(target) AS target,
+            string_agg(piece, '' ORDER BY pos) AS text FROM said GROUP BY ALL),
+first AS (SELECT page_id, block_no, arg_min({'l': is_link, 't': text, 'g': target}, span_no) AS s FROM spans WHERE trim(text) <> '' GROUP BY page_id, block_no)
+SELECT page_id, block_no, s.t AS text, s.g AS target FROM first WHERE s.l AND NOT regexp_matches(s.g, '^[A-Za-z][A-Za-z0-9+.-]*:')""")
 def leading_link(spark, sf_dir):
-    fragments = _fragments(spark, sf_dir)
-    before = F.regexp_replace(F.split_part("frag", F.lit("<a "), F.lit(1)), "<[^>]*>", "")
-    target = F.regexp_extract("frag", link_functions.HREF_PATTERN, 1)
-    pieces = F.array(
-        F.struct(F.lit(0).alias("span_no"), F.lit("text").alias("kind"), before.alias("text"), F.lit("").alias("target")),
-        F.struct(F.lit(1).alias("span_no"), F.lit("link").alias("kind"), F.regexp_extract("frag", ">([^<]*)</a>", 1).alias("text"), target.alias("target")),
-    )
-    spans = fragments.select("page_id", "block_no", F.explode(pieces).alias("s")).select("page_id", "block_no", "s.*")
-    return documents.leading_links(spans)
+    return documents.leading_links(_fragments(spark, sf_dir)[1])
 
 
 # -- blocks and sections: the lines of a document ----------------------------------------
@@ -641,20 +682,14 @@ def canonical_html(spark, sf_dir):
 
 @query("i5_parse_entries", """
 WITH lines AS (SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i
-  FROM (SELECT doc_id, source, string_split(replace(replace(replace(text, '&', ''), '<', ''), '>', ''), chr(10)) AS ls FROM documents))
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents))
 SELECT doc_id AS page_id, '1.' || substr(source, 4) || '.0' AS version,
        CASE WHEN i = 0 THEN '0' ELSE '0.' || (i - 1) END AS path, CAST(least(i, 1) AS INTEGER) AS depth,
        trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text
 FROM lines""")
 def parse_entries(spark, sf_dir):
-    """Each document as a change-log page: first line an item, the other lines nested in it."""
-    plain = F.regexp_replace("text", "[&<>]", "")
-    lines = F.split(plain, "\n", -1)
-    nested = F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.concat(F.lit("<li>"), x, F.lit("</li>"))), "")
-    page = F.concat(
-        F.lit("<h3>Release 1."), F.substring("source", 4, 10), F.lit(".0</h3><ul><li>"), lines[0],
-        F.lit('<div class="itemizedlist"><ul>'), nested, F.lit("</ul></div></li></ul>"),
-    )
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html"))
-    rows = html.release_entries(pages, r"^Release (\d+\.\d+\.\d+)$")
+    """Each document as a change-log page: texts escaped, no item closed; all come back as they were."""
+    heading = F.concat(F.lit("<h3>Release 1."), F.substring("source", 4, 10), F.lit(".0</h3>"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), _lines_page(heading).alias("html"))
+    rows = markup_rows.release_entries(pages, r"^Release (\d+\.\d+\.\d+)$")
     return rows.select("page_id", "version", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "depth", "text")

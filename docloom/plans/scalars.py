@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import costs, links, names, text, versions
-from docloom.operators import html
+from docloom.operators import html, markup_rows
 from docloom.plans import fixtures
 from docloom.plans.registry import query, table
 
@@ -395,12 +395,19 @@ _PAGE_TEXT = rf"SELECT page_id, trim(regexp_replace({_STRIPPED}, '[\s\x{{00A0}}]
 
 @query("h6_6_html_to_text", _PAGE_TEXT)
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
+    return markup_rows.page_texts(table(spark, sf_dir, "pages"))
 
 
-@query("h6_6_html_to_text_exact", _PAGE_TEXT)
+@query("h6_6_html_to_text_exact", r"""
+SELECT doc_id AS page_id, trim(regexp_replace(text, '\s+', ' ', 'g')) || ' base© &x <' AS text FROM documents""")
 def html_to_text_exact(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.exact_text(F.col("html")).alias("text"))
+    """Each document, escaped, between elements whose content is no text."""
+    page = F.concat(
+        F.lit('<script>if (a < b) document.write("<p>no</p>")</script><!-- <p>no --><p title="a > b">'),
+        markup_rows.escape_text(F.col("text")),
+        F.lit("<template>no<template>no</template>no</template> <ruby>base<rp>(<rt>no<rp>)</ruby>&copy &ampx &#60;<style>p{}</style>"),
+    )
+    return markup_rows.page_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html")))
 
 
 @query("h6_7_page_title", r"""
