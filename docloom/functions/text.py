@@ -17,6 +17,8 @@ TEXT_CAP = 9160
 SENTENCE = (
     r"^(?s)(.*?(?<!\be\.g)(?<!\bi\.e)(?<!\betc)(?<!\bvs)[.!?])(?=\s+[A-Z(\"'`]|\s*$)"
 )
+# Columns between tab stops of a listing.
+TAB_WIDTH = 8
 # Elements whose text is never part of a page's text.
 NON_TEXT_TAGS = ("rp", "rt", "script", "style", "template")
 # The named characters the regular-expression text form decodes.
@@ -76,9 +78,27 @@ def code_to_backticks(html: Column) -> Column:
     return normalize_ws(F.regexp_replace(ticked, r"<[^>]*>", ""))
 
 
+def expand_tabs(line: Column, width: int = TAB_WIDTH) -> Column:
+    """A line with its tabs filled to the next multiple of ``width`` columns.
+
+    A fold over the pieces between tabs: what is written so far gives the column, so each piece is
+    filled by what its place asks for. A carriage return starts a new count; the last piece is
+    followed by no tab.
+    """
+    pieces = F.split(line, "\t", -1)
+
+    def fill(done: Column, piece: Column) -> Column:
+        text = F.concat(done, piece)
+        column = F.length(F.substring_index(text, "\r", -1))
+        return F.rpad(text, F.length(text) + F.lit(width) - column % width, " ")
+
+    filled = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(""), fill)
+    return F.when(F.contains(line, F.lit("\t")), F.concat(filled, F.element_at(pieces, -1))).otherwise(line)
+
+
 def normalize_code(text: Column) -> Column:
-    """Code listing: trailing blanks cut, outer empty lines dropped, empty runs collapsed."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(line, r"[ \t\r\f]+$", ""))
+    """Code listing: tabs to columns of eight, trailing blanks cut, outer empty lines dropped, empty runs collapsed."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.regexp_replace(expand_tabs(line), r"[ \r\f]+$", ""))
     joined = F.array_join(lines, "\n")
     return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
 

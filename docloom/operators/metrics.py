@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.costs import cost_usd, ideal_throughput
 from docloom.functions.text import short_error
-from docloom.operators.ordered import match_keys, quantiles
+from docloom.operators.ordered import match_keys, quantiles, sorted_ordinal, top_k
 from docloom.operators.sets import position_in
 
 # Display order of modes and size classes; modes with a pooled client.
@@ -17,6 +17,10 @@ MODE_ORDER = ["threads", "asyncio", "asyncio-uvloop", "raw-asyncio"]
 SIZE_ORDER = ["tiny", "classifier-like", "large"]
 POOLED_MODES = ("threads", "asyncio", "asyncio-uvloop")
 SUMMARY_PROBS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+# Size of a quantile sketch; see rank_error.
+SKETCH_K = 2000
+# Kinds named in one text; beside it stands how many there are.
+KINDS_SHOWN = 20
 
 
 def column_quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -41,12 +45,42 @@ def summary(df: DataFrame, by: Sequence[str], value: Column, probs: dict[str, fl
     return match_keys(ranks, plain, list(by))
 
 
-def summary_approx(df: DataFrame, by: Sequence[str], value: Column, accuracy: int = 10000) -> DataFrame:
-    """As :func:`summary` from a mergeable sketch; rank error at most ``n / accuracy``."""
-    found = F.percentile_approx(value, [0.5, 0.95, 0.99], accuracy)
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), found.alias("_p"), F.max(value).alias("max"), F.avg(value).alias("mean")
-    ).select(*by, "n", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"), "max", "mean")
+def rank_error(k: int = SKETCH_K) -> float:
+    """Share of the rows by which a sketch's quantile may be off in rank, in 99 of 100 cases."""
+    return 2.296 / k**0.9021
+
+
+def stored_sketches(df: DataFrame, by: Sequence[str], value: Column, k: int = SKETCH_K) -> DataFrame:
+    """Per group: count, sketch, maximum and sum of the finite values; a table to be kept and merged.
+
+    A group's sketch has a bounded size (some ``3 * k`` values), however many rows the group has.
+    """
+    plain = df.where(value.isNotNull() & ~F.isnan(value)).select(*by, value.cast("double").alias("_v"))
+    return plain.groupBy(*by).agg(
+        F.count("_v").alias("n"), F.kll_sketch_agg_double("_v", k).alias("sketch"), F.max("_v").alias("max"), F.sum("_v").alias("total")
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stored sketches of finer groups merged to those of ``by``; no sample is read again."""
+    return sketches.groupBy(*by).agg(
+        F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"), F.max("max").alias("max"), F.sum("total").alias("total")
+    )
+
+
+def sketch_quantile(sketch: Column | str, prob: float) -> Column:
+    return F.kll_sketch_get_quantile_double(sketch, F.lit(prob))
+
+
+def sketched_summary(sketches: DataFrame, by: Sequence[str], probs: dict[str, float] | None = None) -> DataFrame:
+    """As :func:`summary` from stored sketches; quantiles within :func:`rank_error`."""
+    found = [sketch_quantile("sketch", p).alias(name) for name, p in (probs or SUMMARY_PROBS).items()]
+    return sketches.select(*by, "n", *found, "max", (F.col("total") / F.col("n")).alias("mean"))
+
+
+def summary_approx(df: DataFrame, by: Sequence[str], value: Column, k: int = SKETCH_K) -> DataFrame:
+    """As :func:`summary`, from sketches."""
+    return sketched_summary(stored_sketches(df, by, value, k), by)
 
 
 def median_range(cells: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
@@ -68,10 +102,7 @@ def range_text(n: Column, mid: Column, low: Column, high: Column, digits: int =
 def cell_metrics(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per cell: requests, errors and their kinds, wall time, throughput, mean delay."""
     ok = F.col("error").isNull()
-    # Error kinds are a short fixed vocabulary; distinct first keeps each list small.
-    kinds = samples.filter(~ok).select(*by, "error").distinct().groupBy(*by).agg(
-        F.array_join(F.array_sort(F.collect_set("error")), ", ").alias("error_kinds")
-    )
+    kinds = kinds_text(samples.filter(~ok), by, F.col("error"), "error_kinds", "n_error_kinds")
     sums = samples.groupBy(*by).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(~ok).alias("errors"),
@@ -79,11 +110,32 @@ def cell_metrics(samples: DataFrame, by: Sequence[str]) -> DataFrame:
         F.avg(F.when(ok, F.col("delay"))).alias("mean_delay_s"),
     )
     found = match_keys(sums, kinds, list(by), "left")
-    return found.withColumn("error_kinds", F.coalesce("error_kinds", F.lit(""))).withColumn(
+    return found.fillna({"error_kinds": "", "n_error_kinds": 0}).withColumn(
         "throughput", (F.col("requests") - F.col("errors")) / F.col("wall_s")
     )
 
 
+def counted_kinds(samples: DataFrame, by: Sequence[str], kind: Column) -> DataFrame:
+    """``(…by, kind, n, place)``: every kind of each group, the most frequent first; groups of any size."""
+    counts = samples.groupBy(*by, kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    placed = sorted_ordinal(counts, [*(F.col(c) for c in by), F.col("n").desc(), F.col("kind")], "_seq")
+    first = placed.groupBy(*by).agg(F.min("_seq").alias("_first"))
+    return match_keys(placed, first, list(by)).select(*by, "kind", "n", (F.col("_seq") - F.col("_first") + 1).alias("place"))
+
+
+def kinds_text(
+    samples: DataFrame, by: Sequence[str], kind: Column, text: str, total: str, counts: bool = False, shown: int = KINDS_SHOWN
+) -> DataFrame:
+    """Per group one text of its ``shown`` most frequent kinds in alphabetical order, and the exact number of kinds."""
+    kinds = samples.groupBy(*by, kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    number = kinds.groupBy(*by).agg(F.count(F.lit(1)).alias(total))
+    first = top_k(kinds, by, [F.col("n").desc(), F.col("kind")], shown, "_place")
+    named = F.concat("kind", F.lit(": "), F.col("n").cast("string")) if counts else F.col("kind")
+    # at most ``shown`` rows of a group
+    listed = first.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(named)), ", ").alias(text))
+    return match_keys(number, listed, list(by))
+
+
 def path_times(samples: DataFrame) -> DataFrame:
     """Successful samples with client overhead, request path and response path in ms."""
     return samples.filter(F.col("error").isNull()).select(
@@ -185,13 +237,14 @@ def keep_headers(headers: Column, prefixes: list[str], names: list[str]) -> Colu
 
 
 def error_kinds(samples: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Total errors and the distinct shortened kinds, ``0`` when there is none."""
+    """Total errors, how many kinds, and the most frequent shortened ones, ``0`` when there is none."""
     totals = samples.groupBy(*by).agg(F.count("error").alias("errors"))
-    kinds = samples.filter(F.col("error").isNotNull()).select(*by, short_error(F.col("error")).alias("_k")).distinct()
-    lists = kinds.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set("_k")), ", ").alias("_kinds"))
+    failed = samples.filter(F.col("error").isNotNull())
+    lists = kinds_text(failed, by, short_error(F.col("error")), "_kinds", "n_kinds")
     text = F.concat(F.col("errors").cast("string"), F.lit(" "), F.col("_kinds"))
     return match_keys(totals, lists, list(by), "left").select(
-        *by, "errors", F.when(F.col("errors") > 0, text).otherwise(F.lit("0")).alias("kinds")
+        *by, "errors", F.coalesce("n_kinds", F.lit(0)).cast("bigint").alias("n_kinds"),
+        F.when(F.col("errors") > 0, text).otherwise(F.lit("0")).alias("kinds"),
     )
 
 
@@ -249,11 +302,7 @@ def run_tables(samples: DataFrame, by: Sequence[str], headers: Column) -> DataFr
     )
     # Limit kinds are few per run: their lowest share becomes one text.
     room = min_headroom(samples, by, headers).groupBy(*by).agg(F.min("headroom").alias("lowest_headroom"))
-    # Stop reasons are a short fixed vocabulary.
-    reasons = samples.filter(good).groupBy(*by, "stop_reason").agg(F.count(F.lit(1)).alias("_n"))
-    listed = reasons.groupBy(*by).agg(
-        F.array_join(F.array_sort(F.collect_list(F.concat("stop_reason", F.lit(": "), F.col("_n").cast("string")))), ", ").alias("stop_reasons")
-    )
+    listed = kinds_text(samples.filter(good), by, F.col("stop_reason"), "stop_reasons", "n_stop_reasons", counts=True)
     for part in (latency, room, listed):
         sums = match_keys(sums, part, list(by), "left")
     return sums

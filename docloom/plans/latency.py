@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.operators import metrics
 from docloom.plans import fixtures
 from docloom.plans.registry import query, table
-from docloom.session import scratch_path
+from docloom.session import cut, scratch_path
 from docloom.sources import files
 
 CELL = ["mode", "concurrency", "repeat"]
@@ -51,34 +51,48 @@ def summary_overall(spark, sf_dir):
     return _rounded(metrics.summary(table(spark, sf_dir, "events"), [], F.col("value")), "p50", "p95", "p99", "mean")
 
 
+_LEVELS = (["event_type", "concurrency", "repeat"], ["event_type", "concurrency"], ["event_type"])
+
+
 @query("d13_summary_approx", """
-SELECT event_type, count(value) AS n, true AS p50_ok, true AS p95_ok, true AS p99_ok, max(value) AS max, round(avg(value), 9) AS mean
-FROM events GROUP BY event_type""")
+WITH e AS (SELECT event_type, user_id % 4 AS concurrency, event_id % 3 AS repeat, value FROM events)
+SELECT event_type, concurrency, repeat, count(value) AS n, true AS p50_ok, true AS p95_ok, true AS p99_ok, max(value) AS max, round(avg(value), 9) AS mean
+FROM e GROUP BY GROUPING SETS ((event_type, concurrency, repeat), (event_type, concurrency), (event_type))""")
 def summary_approx(spark, sf_dir):
-    """The sketch's values, each checked against the rank error it promises (one row in 10,000, at least one)."""
-    events = table(spark, sf_dir, "events").select("event_type", "value")
-    found = metrics.summary_approx(events, ["event_type"], F.col("value"))
-    kept = ("n", "p50", "p95", "p99", "max", "mean")
-    ranks = events.join(found, "event_type").groupBy("event_type", *kept).agg(
-        *(F.count(F.when(F.col("value") < F.col(p), 1)).alias(f"{p}_below") for p in kept[1:4]),
-        *(F.count(F.when(F.col("value") <= F.col(p), 1)).alias(f"{p}_through") for p in kept[1:4]),
-    )
-    slack = F.greatest(F.col("n") / 10_000, F.lit(1.0))
-    return ranks.select(
-        "event_type", "n",
-        *(
-            ((F.col(f"{p}_below") <= q * F.col("n") + slack) & (F.col(f"{p}_through") >= q * F.col("n") - slack)).alias(f"{p}_ok")
-            for p, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))
-        ),
-        "max", F.round("mean", 9).alias("mean"),
-    )
+    """Sketches stored per repeat, merged to cells and to modes; every quantile is held against its rank error.
+
+    The error is promised for 99 of 100 quantiles, so four times as much is allowed, and one row.
+    """
+    events = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 4).alias("concurrency"), (F.col("event_id") % 3).alias("repeat"), "value")
+    finest, cell, mode = _LEVELS
+    stored = cut(metrics.stored_sketches(events, finest, F.col("value")))
+    cells = cut(metrics.merged_sketches(stored, cell))
+    levels = zip(_LEVELS, (stored, cells, metrics.merged_sketches(cells, mode)))
+    every = None
+    for by, sketches in levels:
+        found = cut(metrics.sketched_summary(sketches, by))
+        counts = [
+            F.count_if(F.col("value") < F.col(p)).alias(f"{p}_below") for p in metrics.SUMMARY_PROBS
+        ] + [F.count_if(F.col("value") <= F.col(p)).alias(f"{p}_through") for p in metrics.SUMMARY_PROBS]
+        ranks = events.join(found, by).groupBy(*by, "n", "max", "mean").agg(*counts)
+        slack = 4 * metrics.rank_error() * F.col("n") + 1
+        checked = ranks.select(
+            *(F.col(c) if c in by else F.lit(None).cast("bigint").alias(c) for c in finest), "n",
+            *(((F.col(f"{p}_below") <= q * F.col("n") + slack) & (F.col(f"{p}_through") >= q * F.col("n") - slack)).alias(f"{p}_ok")
+              for p, q in metrics.SUMMARY_PROBS.items()),
+            "max", F.round("mean", 9).alias("mean"),
+        )
+        every = checked if every is None else every.unionByName(checked)
+    return every
 
 
 _CELLS = "WITH " + fixtures.SAMPLES + """, cells AS (
   SELECT mode, concurrency, repeat, count(*) AS requests, count(error) AS errors, max(t1) - min(t0) AS wall_s,
          (count(*) - count(error)) / (max(t1) - min(t0)) AS throughput, avg(CASE WHEN error IS NULL THEN delay END) AS mean_delay_s,
-         coalesce(array_to_string(list_sort(list_distinct(list(error) FILTER (error IS NOT NULL))), ', '), '') AS error_kinds
-  FROM samples GROUP BY ALL),
+         count(DISTINCT error) AS n_error_kinds FROM samples GROUP BY ALL),
+kinds AS (SELECT mode, concurrency, repeat, string_agg(error, ', ' ORDER BY error) AS error_kinds FROM (
+    SELECT mode, concurrency, repeat, error, row_number() OVER (PARTITION BY mode, concurrency, repeat ORDER BY count(*) DESC, error) AS place
+    FROM samples WHERE error IS NOT NULL GROUP BY mode, concurrency, repeat, error) WHERE place <= 20 GROUP BY mode, concurrency, repeat),
 times AS (SELECT *, (t1 - t0 - (server_send - server_recv)) * 1000 AS overhead_ms, (server_recv - t0) * 1000 AS pre_ms, (t1 - server_send) * 1000 AS post_ms
           FROM samples WHERE error IS NULL)"""
 
@@ -94,8 +108,9 @@ def median_range(spark, sf_dir):
 @query("d15_cell_metrics", _CELLS + """
 , o AS (SELECT mode, concurrency, repeat, round(quantile_cont(overhead_ms, 0.5), 11) AS overhead_p50, round(quantile_cont(pre_ms, 0.99), 11) AS pre_p99,
         round(quantile_cont(post_ms, 0.99), 11) AS post_p99 FROM times GROUP BY ALL)
-SELECT mode, concurrency, repeat, requests, errors, error_kinds, wall_s, round(throughput, 11) AS throughput, mean_delay_s, overhead_p50, pre_p99, post_p99
-FROM cells JOIN o USING (mode, concurrency, repeat)""")
+SELECT mode, concurrency, repeat, requests, errors, n_error_kinds, coalesce(error_kinds, '') AS error_kinds, wall_s, round(throughput, 11) AS throughput,
+       mean_delay_s, overhead_p50, pre_p99, post_p99
+FROM cells JOIN o USING (mode, concurrency, repeat) LEFT JOIN kinds USING (mode, concurrency, repeat)""")
 def cell_metrics(spark, sf_dir):
     samples = fixtures.samples(spark, sf_dir)
     cells = _rounded(metrics.cell_metrics(samples, CELL), "throughput")
@@ -220,9 +235,9 @@ r AS (SELECT user_id, count(*) AS requests, max(t1) - min(t0) AS wall_s, count(*
   count(*) FILTER (outcome = 'ok' AND valid) AS valid_replies, round(quantile_cont(t1 - t0, 0.5) FILTER (outcome = 'ok'), 13) AS p50,
   round(quantile_cont(t1 - t0, 0.95) FILTER (outcome = 'ok'), 13) AS p95, max(t1 - t0) FILTER (outcome = 'ok') AS max FROM s GROUP BY user_id),
 h AS (SELECT user_id, round(min(room), 9) AS lowest_headroom FROM (SELECT user_id, kind, min(remaining) / max(lim) AS room FROM heads GROUP BY ALL) GROUP BY user_id),
-t AS (SELECT user_id, string_agg(stop || ': ' || n, ', ' ORDER BY stop) AS stop_reasons FROM (SELECT user_id, stop, count(*) AS n FROM s WHERE outcome = 'ok' GROUP BY ALL) GROUP BY user_id)
+t AS (SELECT user_id, count(*) AS n_stop_reasons, string_agg(stop || ': ' || n, ', ' ORDER BY stop) AS stop_reasons FROM (SELECT user_id, stop, count(*) AS n FROM s WHERE outcome = 'ok' GROUP BY ALL) GROUP BY user_id)
 SELECT user_id, requests, wall_s, ok, rejected, not_ok, input_tokens, output_tokens, valid_replies, round(ok / wall_s, 11) AS rate,
-  round((input_tokens * 2.0::DOUBLE + output_tokens * 10.0::DOUBLE) / 1e6::DOUBLE, 11) AS cost_usd, p50, p95, max, lowest_headroom, stop_reasons
+  round((input_tokens * 2.0::DOUBLE + output_tokens * 10.0::DOUBLE) / 1e6::DOUBLE, 11) AS cost_usd, p50, p95, max, lowest_headroom, n_stop_reasons, stop_reasons
 FROM r LEFT JOIN h USING (user_id) LEFT JOIN t USING (user_id)""")
 def run_tables(spark, sf_dir):
     number = F.col("event_id")
@@ -240,13 +255,23 @@ def run_tables(spark, sf_dir):
 
 
 @query("d33_error_kinds", "WITH " + fixtures.SAMPLES + r"""
-, k AS (SELECT mode, concurrency, count(error) AS errors,
-   array_to_string(list_sort(list_distinct(list(regexp_replace(error, '[\w.]+\.(\w+)', '\1', 'g')) FILTER (error IS NOT NULL))), ', ') AS kinds FROM samples GROUP BY ALL)
-SELECT mode, concurrency, errors, CASE WHEN errors > 0 THEN errors || ' ' || kinds ELSE '0' END AS kinds FROM k""")
+, k AS (SELECT mode, concurrency, regexp_replace(error, '[\w.]+\.(\w+)', '\1', 'g') AS kind, count(*) AS n FROM samples WHERE error IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY mode, concurrency ORDER BY n DESC, kind) AS place FROM k),
+t AS (SELECT mode, concurrency, count(*) AS n_kinds, string_agg(kind, ', ' ORDER BY kind) FILTER (place <= 20) AS kinds FROM p GROUP BY ALL)
+SELECT mode, concurrency, count(error) AS errors, coalesce(any_value(n_kinds), 0) AS n_kinds,
+       CASE WHEN count(error) > 0 THEN count(error) || ' ' || any_value(kinds) ELSE '0' END AS kinds
+FROM samples LEFT JOIN t USING (mode, concurrency) GROUP BY mode, concurrency""")
 def error_kinds(spark, sf_dir):
     return metrics.error_kinds(fixtures.samples(spark, sf_dir), ["mode", "concurrency"])
 
 
+@query("d33_counted_kinds", "WITH " + fixtures.SAMPLES + """
+SELECT mode, user_id AS kind, count(*) AS n, row_number() OVER (PARTITION BY mode ORDER BY count(*) DESC, user_id) AS place FROM samples GROUP BY mode, user_id""")
+def counted_kinds(spark, sf_dir):
+    """All kinds of a group as rows; here a mode's users."""
+    return metrics.counted_kinds(fixtures.samples(spark, sf_dir), ["mode"], F.col("user_id"))
+
+
 @query("e11_stall_outliers", "WITH " + fixtures.SAMPLES + """
 , c AS (SELECT mode, user_id, count(*) / (max(t1) - min(t0)) AS rate FROM samples GROUP BY ALL),
 m AS (SELECT mode, quantile_cont(rate, 0.5) AS group_median FROM c GROUP BY mode)

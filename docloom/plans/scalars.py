@@ -153,11 +153,14 @@ def quantity(spark, sf_dir):
 
 
 @query("h1_14_normalize_code", r"""
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, '.' || chr(10), '.  ' || repeat(chr(10), 4)),
-       '(?m)[ \t\r\f]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS code
-FROM documents""")
+WITH spaced AS (SELECT doc_id, replace(replace(text, '.' || chr(10), '.  ' || repeat(chr(10), 4)), 'on', chr(9)) AS text FROM documents),
+filled AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda line: list_reduce(string_split(line, chr(9)),
+             lambda done, piece: rpad(done, CAST((length(done) // 8 + 1) * 8 AS INTEGER), ' ') || piece)), chr(10)) AS text FROM spaced)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?m)[ \r\f]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS code
+FROM filled""")
 def normalize_code(spark, sf_dir):
-    spaced = F.replace(F.col("text"), F.lit(".\n"), F.lit(".  \n\n\n\n"))
+    """Each document as a listing with empty lines, trailing blanks and tabs put in."""
+    spaced = F.replace(F.replace(F.col("text"), F.lit(".\n"), F.lit(".  \n\n\n\n")), F.lit("on"), F.lit("\t"))
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_code(spaced).alias("code"))
 
 

@@ -7,6 +7,7 @@ micro-batch is recognised by its number and changes nothing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import result_key
 from docloom.operators import ledger, scoring, store
+from docloom.operators.metrics import SKETCH_K, sketch_quantile
 from docloom.session import scratch_path
 from docloom.sources.files import number_lines, parse_lines
 
@@ -196,20 +198,20 @@ def with_expiry(latest: DataFrame, now_us: Column, ttl_us: int) -> DataFrame:
 # -- latency windows -----------------------------------------------------------
 
 
-def latency_histogram(stream: DataFrame, out: str, checkpoint: str, window: str, delay: str) -> None:
-    """Counts of each value per time window and type, late rows dropped, appended once final.
+def latency_sketches(stream: DataFrame, out: str, checkpoint: str, window: str, delay: str, k: int = SKETCH_K) -> list[dict]:
+    """Count and quantile sketch per time window and type, late rows dropped, appended once final.
 
-    The state is one counter per distinct value, so a busy window stays a sum of partial
-    counts; exact percentiles are read from the written histogram.
+    The state is one row of bounded size per open window and type, however many rows arrive. Returns
+    the progress of each micro-batch.
     """
-    counts = (
+    sketches = (
         stream.withWatermark("ts", delay)
-        .groupBy(F.window("ts", window).alias("w"), "event_type", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.col("w.start").alias("window_start"), "event_type", "value", "n")
+        .groupBy(F.window("ts", window).alias("w"), "event_type")
+        .agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col("value").cast("double"), k).alias("sketch"))
+        .select(F.col("w.start").alias("window_start"), "event_type", "n", "sketch")
     )
     query = (
-        counts.writeStream.outputMode("append")
+        sketches.writeStream.outputMode("append")
         .trigger(availableNow=True)
         .option("checkpointLocation", checkpoint)
         .format("parquet")
@@ -217,6 +219,15 @@ def latency_histogram(stream: DataFrame, out: str, checkpoint: str, window: str,
         .start()
     )
     query.awaitTermination()
+    return [json.loads(progress.json) for progress in query.recentProgress]
+
+
+def read_latency_windows(spark: SparkSession, out: str, failed: str, prob: float = 0.95) -> DataFrame:
+    """``window_start, requests, errors, p95`` of the final windows: the sketches of all types merged."""
+    errors = F.coalesce(F.sum(F.when(F.col("event_type") == failed, F.col("n"))), F.lit(0))
+    return spark.read.parquet(out).groupBy("window_start").agg(
+        F.sum("n").alias("requests"), errors.alias("errors"), sketch_quantile(F.kll_merge_agg_double("sketch"), prob).alias("p95")
+    )
 
 
 def stream_paths(spark: SparkSession, label: str) -> tuple[str, str]:

@@ -132,6 +132,9 @@ def test_short_error_and_labels(spark):
 
 def test_code(spark):
     assert apply(spark, ["\n\n a \n\n\n\nb\t\n\n"], text.normalize_code) == [" a\n\nb"]
+    lines = ["\t", "a\tb", "1234567\tx", "12345678\tx", "\t\ta", "é日\t\tz", "no tabs", "a\rbc\td", "", "ab\t\tc\td"]
+    assert apply(spark, lines, text.expand_tabs) == [line.expandtabs(8) for line in lines]
+    assert apply(spark, ["int a;\t// x\n\tb\t \n"], text.normalize_code) == ["int a;  // x\n        b"]
     assert apply(spark, ["Use <code>a</code> and <i>b</i>"], text.code_to_backticks) == ["Use `a` and b"]
 
 

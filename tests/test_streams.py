@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import ledger, store
+from docloom.operators import ledger, metrics, store
 from docloom.plans import fixtures, ledgers, storage
 from docloom.plans.registry import table
 from docloom.sources import files
@@ -88,3 +88,54 @@ def test_ingestion_is_exactly_once_and_repeatable(spark, sf, tmp_path):
     jobs.ingest_drop_folder(spark, f"{drop}/*", root, str(tmp_path / "c"))
     same(store.read_snapshot(spark, root).select("key", "category", "text"), rows.select("key", "category", "text"))
     assert [r.reason for r in spark.read.parquet(f"{root}/rejected").collect()] == ["not valid JSON"]
+
+
+def test_latency_windows_keep_one_sketch_each(spark, tmp_path):
+    """State has a row per open window and type; late rows change nothing; percentiles are near."""
+    folder = str(tmp_path / "in")
+    schema = "ts timestamp, event_type string, value double"
+    first = "timestamp'2024-01-01 00:00:00'"
+    on_time = spark.range(20_000).selectExpr(
+        f"timestampadd(SECOND, CAST(id % 7200 AS INT), {first}) AS ts", "CASE WHEN id % 10 = 0 THEN 'error' ELSE 'view' END AS event_type",
+        "CAST((id * 7919) % 20000 AS DOUBLE) AS value",
+    )
+    on_time.coalesce(1).write.mode("append").parquet(folder)
+    spark.sql(f"SELECT timestampadd(HOUR, 4, {first}) AS ts, 'view' AS event_type, 1D AS value").write.mode("append").parquet(folder)
+    late = spark.sql(f"SELECT {first} AS ts, 'error' AS event_type, 1e9D AS value")
+    late.write.mode("append").parquet(folder)
+    spark.sql(f"SELECT timestampadd(HOUR, 6, {first}) AS ts, 'view' AS event_type, 1D AS value").write.mode("append").parquet(folder)
+    out, checkpoint = jobs.stream_paths(spark, "sketches")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    progress = jobs.latency_sketches(rows, out, checkpoint, "1 hour", "10 minutes")
+    held = [state["numRowsTotal"] for p in progress for state in p["stateOperators"]]
+    assert max(held) <= 2 * 2 + 1  # two types in two windows, and the newest window
+    dropped = sum(state["numRowsDroppedByWatermark"] for p in progress for state in p["stateOperators"])
+    assert dropped == 1
+    found = jobs.read_latency_windows(spark, out, "error").orderBy("window_start").collect()
+    # the two hours of on-time rows and the fourth hour are final, the sixth is still open
+    assert [(r.requests, r.errors) for r in found] == [(n, e) for n, e in _hourly(20_000)] + [(1, 0)]
+    values = [[(i * 7919) % 20000 for i in range(20_000) if i % 7200 // 3600 == hour] for hour in (0, 1)]
+    for r, own in zip(found, values):
+        below, through = sum(v < r.p95 for v in own), sum(v <= r.p95 for v in own)
+        slack = 4 * metrics.rank_error() * len(own) + 1
+        assert below <= 0.95 * len(own) + slack and through >= 0.95 * len(own) - slack
+
+
+def _hourly(n):
+    for hour in (0, 1):
+        rows = [i for i in range(n) if i % 7200 // 3600 == hour]
+        yield len(rows), sum(i % 10 == 0 for i in rows)
+
+
+def test_sketches_merge_upwards(spark):
+    """Sketches of small groups, merged twice, stay within the rank error of all rows together."""
+    rows = spark.range(30_000).selectExpr("id % 30 AS cell", "id % 3 AS mode", "CAST((id * 48271) % 30011 AS DOUBLE) AS v")
+    odd = spark.createDataFrame([(0, 0, None), (0, 0, float("nan"))], "cell long, mode long, v double")
+    stored = metrics.stored_sketches(rows.unionByName(odd), ["mode", "cell"], F.col("v"))
+    merged = metrics.merged_sketches(metrics.merged_sketches(stored, ["mode"]), [])
+    found = metrics.sketched_summary(merged, []).first()
+    values = sorted((i * 48271) % 30011 for i in range(30_000))
+    assert found.n == 30_000 and found["max"] == values[-1] and abs(found["mean"] - sum(values) / 30_000) < 1e-6
+    for name, p in metrics.SUMMARY_PROBS.items():
+        rank = sum(v <= found[name] for v in values)
+        assert abs(rank - p * 30_000) <= 4 * metrics.rank_error() * 30_000 + 1
