@@ -8,10 +8,9 @@ other inside a piece (a stretch without ``STOPS``). Counting goes by phrase leng
    every task gets; numpy moves the states of all places of a block of texts through it together, a
    level at a time, and counts the states reached; Spark sums those counts over tasks;
 3. in the same pass a task notes which frequent phrases overlap in all but one word: only such pairs can be
-   frequent (Apriori). It passes on those that reach its share of the least count; a pair that no
-   task passes on cannot reach the least count in all of them together, and what the silent tasks may
-   hold is added before a pair is refused. So the next candidates miss no frequent phrase, and
-   step 2 gives their exact counts.
+   frequent (Apriori). While tasks are few, it keeps to itself pairs that it met once: a pair that all
+   tasks keep cannot reach the least count, and what silent tasks may hold is added before a pair is
+   refused. So the next candidates miss no frequent phrase, and step 2 gives their exact counts.
 
 The trie and the word numbers are sent to tasks while they have at most ``MOST_WORDS`` words and
 ``MOST_PHRASES`` phrases (some 150 MB together). Beyond that ``count_shuffled`` counts all phrases by
@@ -44,8 +43,12 @@ LONGEST = 5
 TOP = 2000
 MOST_WORDS = 1 << 20
 MOST_PHRASES = 1 << 21
+# Bytes of text taken together.
+BLOCK_BYTES = 4 << 20
 # Overlapping pairs that a task holds before it passes on what it has.
-HELD_PAIRS = 1 << 21
+HELD_PAIRS = 1 << 20
+# A task passes on pairs that it met so often, where that is safe.
+MOST_SHARE = 2
 
 _COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 _CODED = pa.schema([("lang", pa.string()), ("m", pa.int64()), ("ids", pa.binary())])
@@ -64,7 +67,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple]:
     """Per slice of a batch: languages, each word's language and piece, word places and different words."""
-    for low, high in slices(batch.column(1)):
+    for low, high in slices(batch.column(1), BLOCK_BYTES):
         langs = batch.column(0).slice(low, high - low).dictionary_encode()
         parts = split(batch.column(1).slice(low, high - low), SPACES, STOPS, lower=True)
         coded = parts.words.dictionary_encode()
@@ -142,6 +145,7 @@ class _Pairs:
         self.held: dict[str, tuple[list, list]] = {}
         self.words: dict[str, int] = {}
         self.kept = 0
+        self.full = False
 
     def add(self, lang: str, codes: np.ndarray, words: int) -> None:
         own = self.held.setdefault(lang, ([], []))
@@ -154,17 +158,16 @@ class _Pairs:
             for lists in self.held.values():
                 lists[0][:], lists[1][:] = map(list, zip(_summed(*lists)))
             self.kept = sum(len(lists[0][0]) for lists in self.held.values())
-
-    def full(self) -> bool:
-        return self.kept > HELD_PAIRS // 2
+            self.full = self.kept > HELD_PAIRS // 2
 
     def passed_on(self) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
         """Per language: the least count passed on, pair codes and counts; forgets them."""
         for lang, lists in self.held.items():
-            share = max(1, -(-self.least * self.words[lang] // self.totals[lang]))
+            # in some task a frequent pair is met at least its share of the least count often
+            share = max(1, min(MOST_SHARE, -(-self.least * self.words[lang] // self.totals[lang])))
             codes, counts = _summed(*lists)
             yield lang, share, codes[counts >= share], counts[counts >= share]
-        self.held, self.words, self.kept = {}, {}, 0
+        self.held, self.words, self.kept, self.full = {}, {}, 0, False
 
 
 def walk(blocks: DataFrame, trie: Trie, roots: dict[str, int], depth: int, totals: dict[str, int], least: int, pairs: bool) -> DataFrame:
@@ -200,7 +203,7 @@ def walk(blocks: DataFrame, trie: Trie, roots: dict[str, int], depth: int, total
                 if pairs:
                     both = np.flatnonzero((states[:-1] > 0) & (states[1:] > 0))
                     seen.add(lang, own.node[states[both]].astype(np.int64) * wide + own.node[states[both + 1]], words)
-                    if seen.full():
+                    if seen.full:
                         yield from passed_on()
         yield from passed_on()
         reached[0] = 0
