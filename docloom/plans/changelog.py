@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from docloom.functions.versions import format_version, parse_version
@@ -304,6 +306,24 @@ def score_entries(spark, sf_dir):
     return scored.select("key", "category", "breaking", "status")
 
 
+@query("k4_score_in_waves", "WITH " + fixtures.STORE + ", " + _PHRASE + f"""
+, pending AS (SELECT key, min(page_ord) AS page_ord, arg_min(text, page_ord) AS text FROM phrases
+              WHERE key NOT IN (SELECT key FROM store) GROUP BY key),
+numbered AS (SELECT *, (row_number() OVER (ORDER BY page_ord) - 1) // 40 AS batch, count(*) OVER () AS n FROM pending),
+judged AS (SELECT *, batch < ((n + 39) // 40 + 1) // 2 AS sent FROM numbered)
+SELECT key, CASE WHEN sent THEN {_RULE_CASE} END AS category, CASE WHEN sent THEN 'ok' ELSE 'skipped' END AS status,
+       CASE WHEN NOT sent THEN 'run stopped: max_requests' END AS reason FROM judged""")
+def score_in_waves(spark, sf_dir):
+    """A run that may send half of its batches, a quarter of them at a time: the rest is skipped."""
+    fresh = changelog.pending_items(_phrases(spark, sf_dir), fixtures.keyed_store(spark, sf_dir))
+    first = changelog.dedupe_first(fresh, "key", "page_ord", "text")
+    plan = scoring.planned_caps(first, "page_ord")
+    batches = (plan.max_requests - 4) // 2
+    caps = replace(plan, max_requests=(batches + 1) // 2)
+    found = scoring.score_in_waves(first, scoring.keyword_scorer, caps, order="page_ord", wave=max(1, batches // 4))
+    return found.select("key", "category", "status", "reason")
+
+
 @query("k6_validate_hook", "WITH " + fixtures.ENTRIES + """
 SELECT page_ord, CASE WHEN length(text) < 40 THEN 'too short' WHEN contains(text, '###') THEN 'marked' END AS reason
 FROM entries WHERE length(text) < 40 OR contains(text, '###')""")

@@ -180,3 +180,78 @@ def test_name_components():
 def test_name_index(spark):
     titles = spark.createDataFrame([("a::b::c",), ("a::b::c",), ("a::d",), ("not a name",)], "title string")
     assert {r.prefix: r.n_titles for r in scoring.name_index(titles).collect()} == {"a": 2, "a::b": 1, "a::b::c": 1, "a::d": 1}
+
+
+# -- runs under caps
+
+
+def waves(spark, n, scorer, caps, **options):
+    rows = spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit("k"), "id").alias("key"), F.concat(F.lit("text "), "id").alias("text"))
+    found = scoring.score_in_waves(rows, scorer, caps, size=4, max_parallel=2, **options).collect()
+    assert len(found) == n
+    return {int(r.key[1:]): r for r in found}
+
+
+ENOUGH = scoring.Caps(max_requests=1000, max_output=10**9, max_input=10**9)
+
+
+def test_all_waves_are_sent_while_caps_allow(spark):
+    found = waves(spark, 18, answer, ENOUGH, wave=2)
+    assert {r.status for r in found.values()} == {"ok"} and {r.attempts for r in found.values()} == {1}
+
+
+def test_an_overrun_stops_the_rest(spark):
+    """Two waves of two batches; the third batch reports more than it reserved: its rows count, later ones are skipped."""
+
+    def scorer(items):
+        over = any(i["text"] == "text 9" for i in items)
+        return answer(items, usage={"input_tokens": 10, "output_tokens": 10**7 if over else 5})
+
+    found = waves(spark, 24, scorer, ENOUGH, wave=2)
+    assert {k for k, r in found.items() if r.status == "ok"} == set(range(16))
+    assert {(r.status, r.reason, r.attempts) for k, r in found.items() if k >= 16} == {("skipped", "run stopped: usage above its reservation", 0)}
+
+
+def test_caps_hold_whatever_is_reported(spark):
+    for caps, reason, sent in (
+        (scoring.Caps(3, 10**9, 10**9), "max_requests", 12),
+        (scoring.Caps(1000, 6000, 10**9), "max_output", None),
+        (scoring.Caps(1000, 10**9, 11000), "max_input", None),
+        (scoring.Caps(1000, 10**9, 10**9, time_limit_s=0), "time limit", 0),
+    ):
+        found = waves(spark, 20, answer, caps, wave=2)  # no usage reported: all reservations stay used
+        skipped = [r for r in found.values() if r.status == "skipped"]
+        assert skipped and {r.reason for r in skipped} == {f"run stopped: {reason}"}
+        assert sent is None or len(found) - len(skipped) == sent
+
+
+def test_reported_usage_makes_room(spark):
+    """Each call reserves far more than it uses; settled, one batch's room serves them all."""
+    caps = scoring.Caps(1000, 9000, 10**9)
+    found = waves(spark, 20, lambda items: answer(items, usage={"input_tokens": 1, "output_tokens": 1}), caps, wave=2)
+    assert {r.status for r in found.values()} == {"ok"}
+    assert {r.status for r in waves(spark, 20, answer, caps, wave=2).values()} == {"ok", "skipped"}
+
+
+def test_a_batch_short_of_calls_goes_again(spark):
+    """Nine calls for four batches: two each. One batch needs three and gets them in the next wave."""
+
+    def scorer(items):
+        return {"stop_reason": "max_tokens"} if len(items) == 4 and items[0]["text"] == "text 0" else answer(items)
+
+    found = waves(spark, 16, scorer, scoring.Caps(9, 10**9, 10**9), wave=4)
+    assert {r.status for r in found.values()} == {"ok"} and found[0].attempts == 3
+    # too few calls for it: the others are kept, it is not sent by halves
+    found = waves(spark, 8, scorer, scoring.Caps(2, 10**9, 10**9), wave=2)
+    assert {k for k, r in found.items() if r.status == "ok"} == set(range(4, 8))
+    assert {(found[k].status, found[k].reason) for k in range(4)} == {("skipped", "run stopped: max_requests")}
+
+
+def test_a_failure_can_stop_the_run(spark):
+    def scorer(items):
+        return {"stop_reason": "refusal"} if items[0]["text"] == "text 4" else answer(items)
+
+    found = waves(spark, 20, scorer, ENOUGH, wave=2, stop_on_failure=True)
+    assert [found[k].status for k in (0, 4, 8, 16)] == ["ok", "failed", "skipped", "skipped"]
+    assert {found[k].status for k in (8, 16)} == {waves(spark, 20, scorer, ENOUGH, wave=2)[4].status.replace("failed", "skipped")}
+    assert waves(spark, 0, answer, ENOUGH) == {}
