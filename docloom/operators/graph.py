@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.names import ancestors
+from docloom.functions.qualified import split_qualified
 from docloom.operators.ordered import top_k, with_ordinal
 from docloom.session import cut
 
@@ -175,6 +176,24 @@ def repair_titles(titles: DataFrame, repairs: DataFrame, title: str = "title", s
     return titles.join(fixed, title, "left").withColumn("repaired", F.coalesce("repaired", F.col(title)))
 
 
+# What a page of a specialisation declares last.
+DECLARED = r"(?s)(?:struct|class)\s+([A-Za-z_]\w*\s*<.*>)\s*$"
+
+
+def title_repairs(pages: DataFrame, order: str) -> DataFrame:
+    """Repairs read off the pages themselves: ``priority, broken, fixed``.
+
+    ``pages``: (title, declaration, top_level, and a unique ``order``). A top-level page whose title is
+    no qualified name, but which declares a specialisation, gives its title that name. Of several
+    pages with one title the last says what it becomes, the first how early it is tried.
+    """
+    declared = F.regexp_extract("declaration", DECLARED, 1)
+    broken = pages.where(F.col("top_level") & split_qualified(F.col("title")).isNull() & split_qualified(declared).isNotNull())
+    return broken.groupBy(F.col("title").alias("broken")).agg(
+        F.min(order).alias("priority"), F.max_by(declared, F.col(order)).alias("fixed")
+    )
+
+
 def with_parent(pages: DataFrame, parents: DataFrame, up: str, node: str, value: str, out: str) -> DataFrame:
     """Every page with a value of its parent page."""
     return pages.join(parents.select(F.col(node).alias(up), F.col(value).alias(out)), up, "left")

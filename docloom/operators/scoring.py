@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.functions.costs import BATCH_SIZE, MAX_ATTEMPTS, MAX_IN_FLIGHT, input_bound, max_tokens_for
+from docloom.functions.qualified import split_qualified
 from docloom.functions.text import truncate_marked
 from docloom.operators.ledger import batch_payload_sizes, number_batches, plan_caps
 from docloom.session import cut, scratch_path
@@ -367,62 +367,6 @@ def keyword_scorer(items: list[dict]) -> dict:
 
 # -- names ---------------------------------------------------------------------
 
-# Operator symbols that may follow the word "operator" in a name.
-OPERATORS = (
-    "()", "[]", "->*", "->", "<<=", ">>=", "<=>", "<<", ">>", "<=", ">=", "==", "!=", "&&", "||",
-    "++", "--", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=",
-    "+", "-", "*", "/", "%", "^", "&", "|", "~", "!", "=", "<", ">", ",",
-)
-_SYMBOLS = "|".join(re.escape(s) for s in sorted(OPERATORS, key=len, reverse=True))
-_HEAD = re.compile(
-    rf"operator(?:\"\" *[A-Za-z_]\w*|(?P<symbol>{_SYMBOLS})| +[A-Za-z_]\w*(?P<conversion>))(?!\w)"
-    r"|~?(?!operator\b)[A-Za-z_]\w*(?P<plain> *)"
-)
-_OPEN_CLOSE = re.compile(r"[<>()]")
-
-
-def _after_brackets(text: str, at: int) -> int | None:
-    """Position after the bracket group that opens at ``at``; None when it never closes."""
-    depth = 0
-    for found in _OPEN_CLOSE.finditer(text, at):
-        depth += 1 if found.group() in "<(" else -1
-        if depth == 0:
-            return found.end()
-    return None
-
-
-def name_components(title: str) -> list[str] | None:
-    """The ``::``-separated parts of a qualified name; None when the title is not one."""
-    text, at, parts = " ".join(title.split()), 0, []
-    while True:
-        head = _HEAD.match(text, at)
-        if head is None:
-            return None
-        end = head.end()
-        takes_arguments = head.group("plain") is not None or head.group("conversion") is not None
-        if takes_arguments and text[end : end + 1] == "<":
-            end = _after_brackets(text, end)
-            if end is None:
-                return None
-        parts.append(text[at:end].strip())
-        rest = text[end:].lstrip(" ")
-        if not rest:
-            return parts
-        if not rest.startswith("::"):
-            return None
-        at = len(text) - len(rest[2:].lstrip(" "))
-
-
-def split_qualified(title: Column) -> Column:
-    """:func:`name_components` of a column, in Arrow batches."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda one: None if one is None else name_components(one))
-
-    return split(title)
-
-
 def name_index(titles: DataFrame, title: str = "title") -> DataFrame:
     """Number of distinct titles below every leading part of a qualified name."""
     distinct = titles.select(title).distinct().withColumn("parts", split_qualified(F.col(title)))

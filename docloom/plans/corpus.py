@@ -498,17 +498,29 @@ def fold_parts(spark, sf_dir):
     return graph.fold_parts(parts, wholes, "whole", "number").select("whole", "part", "seq")
 
 
+# Parts as reference pages: small ones are specialisations whose title lost its beginning, the others members.
+
+
 @query("c7_repair_prefix", """
-SELECT p_partkey, title, CASE WHEN title = 'red::widget' THEN 'crimson::widget'
-       WHEN title = 'small' OR starts_with(title, 'small::') THEN 'tiny' || substr(title, 6)
-       WHEN starts_with(title, 'hot::') THEN 'warm' || substr(title, 4) ELSE title END AS repaired
-FROM (SELECT p_partkey, replace(p_name, ' ', '::') AS title FROM part)""")
+WITH pages AS (SELECT p_partkey, replace(p_name, ' ', '::') || CASE WHEN p_size <= 5 THEN ' >' WHEN p_size <= 25 THEN ' >::' || replace(p_type, ' ', '_') ELSE '' END AS title,
+    CASE WHEN p_size <= 4 THEN 'template <> class hash< ' || replace(p_name, ' ', '::') || ' >' WHEN p_size = 5 THEN 'void f()'
+         WHEN p_size > 45 THEN 'struct hash< x >' ELSE '' END AS declaration, p_size % 2 = 0 OR p_size <= 3 AS top_level FROM part),
+repairs AS (SELECT title AS broken, regexp_extract(arg_max(declaration, p_partkey), 'class (.*)$', 1) AS fixed, min(p_partkey) AS priority
+            FROM pages WHERE top_level AND ends_with(title, '>') AND starts_with(declaration, 'template <> class') GROUP BY title),
+hits AS (SELECT p_partkey, title, arg_min(fixed || substr(title, length(broken) + 1), priority) AS repaired
+         FROM pages JOIN repairs ON title = broken OR starts_with(title, broken || '::') GROUP BY ALL)
+SELECT p_partkey, title, coalesce(repaired, title) AS repaired FROM pages LEFT JOIN hits USING (p_partkey, title)""")
 def repair_prefix(spark, sf_dir):
-    titles = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit(" "), F.lit("::")).alias("title"))
-    repairs = spark.createDataFrame(
-        [(1, "red::widget", "crimson::widget"), (2, "small", "tiny"), (3, "hot", "warm")], "priority int, broken string, fixed string"
+    """The repairs come from the pages' own declarations; titles that are names, and pages below others, give none."""
+    name, size = F.replace(F.col("p_name"), F.lit(" "), F.lit("::")), F.col("p_size")
+    member = F.concat(F.lit(" >::"), F.replace(F.col("p_type"), F.lit(" "), F.lit("_")))
+    special = F.concat(F.lit("template <> class hash< "), name, F.lit(" >"))
+    pages = table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(name, F.when(size <= 5, " >").when(size <= 25, member).otherwise("")).alias("title"),
+        F.when(size <= 4, special).when(size == 5, "void f()").when(size > 45, "struct hash< x >").otherwise("").alias("declaration"),
+        ((size % 2 == 0) | (size <= 3)).alias("top_level"),
     )
-    return graph.repair_titles(titles, repairs).select("p_partkey", "title", "repaired")
+    return graph.repair_titles(pages.select("p_partkey", "title"), graph.title_repairs(pages, "p_partkey"))
 
 
 @query("c12_up_link", """

@@ -54,6 +54,21 @@ def test_repair_titles(spark):
     }
 
 
+def test_title_repairs_come_from_the_pages(spark):
+    pages = pairs(spark, [
+        (1, "ip::address >", "template <>\nstruct hash< ip::address >", True),
+        (2, "std::list >", "class wrap< std::list >  ", False),  # below another page
+        (3, "good::name", "struct hash< other >", True),  # its title is a name
+        (4, "x >", "struct plain", True),  # no specialisation
+        (5, "y >", "struct bad< y", True),
+        (6, "z >", "struct first< z >", True),
+        (7, "z >", "struct last< z >", True),
+        (8, None, None, True),
+    ], "ord int, title string, declaration string, top_level boolean")
+    found = {(r.broken, r.priority, r.fixed) for r in graph.title_repairs(pages, "ord").collect()}
+    assert found == {("ip::address >", 1, "hash< ip::address >"), ("z >", 6, "last< z >")}
+
+
 def test_merge_members(spark):
     members = [("q", "r/q__static.html"), ("q", "r/q.html"), ("c", "r/a.html"), ("c", "r/b.html"), ("s", "r/s__static.html")]
     found = {(r.name, r.rel): (r.seq, r.collides) for r in graph.merge_members(pairs(spark, members, "name string, rel string")).collect()}

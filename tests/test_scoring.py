@@ -1,11 +1,14 @@
 """Batch protocol, default rules and qualified names."""
 
+import random
+import re
 import sys
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from docloom.functions import qualified
 from docloom.operators import scoring
 
 # The scorers below run inside tasks, which cannot import a test module.
@@ -173,8 +176,65 @@ NAMES = {
 }
 
 
+# A plain scanner, to compare the fold with.
+_SYMBOLS = "|".join(re.escape(s) for s in sorted(qualified.OPERATORS, key=len, reverse=True))
+_HEAD = re.compile(
+    rf"operator(?:\"\" *[A-Za-z_]\w*|(?P<symbol>{_SYMBOLS})| +[A-Za-z_]\w*(?P<conversion>))(?!\w)"
+    r"|~?(?!operator\b)[A-Za-z_]\w*(?P<plain> *)"
+)
+_OPEN_CLOSE = re.compile(r"[<>()]")
+
+
+def _after_brackets(text: str, at: int) -> int | None:
+    """Position after the bracket group that opens at ``at``; None when it never closes."""
+    depth = 0
+    for found in _OPEN_CLOSE.finditer(text, at):
+        depth += 1 if found.group() in "<(" else -1
+        if depth == 0:
+            return found.end()
+    return None
+
+
+def name_components(title: str) -> list[str] | None:
+    """The ``::``-separated parts of a qualified name; None when the title is not one."""
+    text, at, parts = " ".join(title.split()), 0, []
+    while True:
+        head = _HEAD.match(text, at)
+        if head is None:
+            return None
+        end = head.end()
+        takes_arguments = head.group("plain") is not None or head.group("conversion") is not None
+        if takes_arguments and text[end : end + 1] == "<":
+            end = _after_brackets(text, end)
+            if end is None:
+                return None
+        parts.append(text[at:end].strip())
+        rest = text[end:].lstrip(" ")
+        if not rest:
+            return parts
+        if not rest.startswith("::"):
+            return None
+        at = len(text) - len(rest[2:].lstrip(" "))
+
+
 def test_name_components():
-    assert {title: scoring.name_components(title) for title in NAMES} == NAMES
+    assert {title: name_components(title) for title in NAMES} == NAMES
+
+
+def test_names_by_the_fold(spark):
+    """Golden names, and random ones against the plain scanner."""
+    rng = random.Random(7)
+    bits = ["a", "b1", "_c", "9", "operator", "::", "<", ">", "(", ")", " ", "~", '""', "->", "==", "[]", "()", "&&", ",", "é", "bool", "<<"]
+    titles = [*NAMES, "", " a ", "a ::b", "operator new", "operator bool<int>::x", "operator bool <int>", 'operator"" _x::y', "a<b<c>>::operator<<", "a<operator>>"]
+    titles += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(4000)]
+    found = spark.createDataFrame([(t,) for t in titles], "title string").select("title", qualified.split_qualified(F.col("title")).alias("parts")).collect()
+    assert [(r.title, r.parts) for r in found] == [(t, name_components(t)) for t in titles]
+    assert sum(r.parts is not None for r in found) > 200
+
+
+def test_names_need_no_python(spark, sf, capsys):
+    scoring.name_index(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("title"))).explain()
+    assert not any(x in capsys.readouterr().out for x in ("EvalPython", "InPandas", "InArrow"))
 
 
 def test_name_index(spark):
