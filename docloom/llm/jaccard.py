@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import cut, hold_only
 from docloom.llm.members import components, only, without
+from docloom.llm.words import slices, split
 
 SHINGLE = 4
 PERCENT = 85
@@ -97,6 +98,28 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """``shingles`` of every text of a column, from arrays of words of many texts."""
+    column = column.fill_null("")
+    for low, high in slices(column):
+        parts = split(column.slice(low, high - low), lower=True)
+        coded = parts.words.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        h = own[coded.indices.to_numpy(zero_copy_only=False)]
+        n = max(0, len(h) - size + 1)
+        total = h[:n] * _FACTORS[0]
+        for k in range(1, size):
+            total += (h[k : k + n] ^ np.uint64(k)) * _FACTORS[k % 4]
+        total = _mixed(total)
+        for a, b in zip(parts.first.tolist(), parts.first[1:].tolist(), strict=False):
+            if b - a >= size:
+                yield np.unique(total[a : b - size + 1])
+            else:
+                few = parts.words.slice(a, b - a).to_pylist()
+                yield np.array([xxhash.xxh3_64_intdigest(b" ".join(few), 1)] if few else [], np.uint64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
@@ -135,23 +158,37 @@ class _Frequent:
 
 
 _SETS = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.list_(pa.int8())), ("heavy", pa.bool_())]
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sig", pa.list_(pa.int8())), ("heavy", pa.bool_()), ("least", pa.binary())]
 )
+_SETS_SQL = "doc_id long, n long, c1 long, c2 long, sig array<tinyint>, heavy boolean, least binary"
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """Shingles of a set of ``n``, of which linked sets share one."""
+    return n - (percent * n + 99) // 100 + 1
+
 
+def _set_rows(size: int, percent: int):
+    """Sets with their smallest hashes, once per class and task: twice what a prefix needs, since frequent
+    shingles, not known yet, do not belong in it."""
 
-def _set_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_only("jaccard", _forget)
-        frequent, seen = _Frequent(), set()
+        frequent, seen, given = _Frequent(), set(), set()
         for batch in batches:
             rows = []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = shingles(text, size)
+            for key, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
                 sig = np.bincount((h & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
                 sig = np.minimum(sig, 127).tolist()
                 c1, c2 = ((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63))
-                rows.append((key, len(h), c1, c2, sig, False))
+                least = None
+                if key is not None and len(h) and digest not in given:
+                    if len(given) >= REMEMBERED:
+                        given.clear()
+                    given.add(digest)
+                    least = h[: 2 * prefix_length(len(h), percent) + 16].tobytes()
+                rows.append((key, len(h), c1, c2, sig, False, least))
                 if digest not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
@@ -165,7 +202,7 @@ def _set_rows(size: int):
         top = sorted(frequent.counts.items(), key=lambda x: -x[1])[:HEAVY_TASK]
         if top:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*((k, n, 0, 0, None, True) for k, n in top), strict=True), _SETS, strict=True)],
+                [pa.array(c, f.type) for c, f in zip(zip(*((k, n, 0, 0, None, True, None) for k, n in top), strict=True), _SETS, strict=True)],
                 schema=_SETS,
             )
 
@@ -173,15 +210,18 @@ def _set_rows(size: int):
 
 
 _PREFIX = pa.schema([("shingle", pa.int64()), ("parts", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_PREFIX_SQL = "shingle long, parts int, doc long, n int, pos int"
 
 
-def _prefix_rows(heavy, size: int, percent: int):
-    """Prefix shingles of every document, once per class and task."""
+def _prefix_rows(heavy, size: int, percent: int, stored: bool):
+    """Prefix shingles of every set: (doc, n, least) if ``stored``, else (doc, text).
+
+    A stored set whose least hashes hold too many frequent shingles gives a row without a shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_only("jaccard", _forget)
         values, counts = heavy.value
-        seen: set[int] = set()
         held: list[tuple] = []
         n_held = 0
 
@@ -190,20 +230,20 @@ def _prefix_rows(heavy, size: int, percent: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PREFIX, strict=True)], schema=_PREFIX)
 
         for batch in batches:
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = shingles(text, size)
-                n = len(h)
-                if key is None or not n:
+            if stored:
+                keys, sizes, least = (c.to_pylist() for c in batch.columns)
+                given = zip(keys, sizes, (np.frombuffer(x, np.uint64) for x in least), strict=True)
+            else:
+                given = ((key, len(h), h) for key, h in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True))
+            for key, n, h in given:
+                if not n:
                     continue
-                digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                if digest in seen:
-                    continue
-                if len(seen) >= REMEMBERED:
-                    seen.clear()
-                seen.add(digest)
-                length = n - (percent * n + 99) // 100 + 1
+                length = prefix_length(n, percent)
                 at = np.minimum(np.searchsorted(values, h), len(values) - 1) if len(values) else None
-                count = np.where(values[at] == h, counts[at], 0) if at is not None else np.zeros(n, np.int64)
+                count = np.where(values[at] == h, counts[at], 0) if at is not None else np.zeros(len(h), np.int64)
+                if len(h) < n and np.count_nonzero(count == 0) < length:
+                    held.append((np.zeros(1, np.int64), np.zeros(1, np.int32), np.array([key]), np.array([n], np.int32), np.full(1, -1, np.int32)))
+                    continue
                 first = np.lexsort((h, count))[:length] if count.any() else np.arange(length)
                 held.append(
                     (
@@ -265,7 +305,7 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(docs.mapInArrow(_set_rows(size), "doc_id long, n long, c1 long, c2 long, sig array<tinyint>, heavy boolean"))
+    rows = cut(docs.mapInArrow(_set_rows(size, percent), _SETS_SQL))
     sets = rows.where("not heavy")
     top = (
         rows.where("heavy")
@@ -286,7 +326,12 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     first = nodes.groupBy("doc_id").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).where("m <> x")
     same = nodes.join(first, "doc_id").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
 
-    prefix = docs.mapInArrow(_prefix_rows(heavy, size, percent), "shingle long, parts int, doc long, n int, pos int")
+    least = sets.where("least is not null").select("doc_id", "n", "least")
+    stored = cut(least.mapInArrow(_prefix_rows(heavy, size, percent, True), _PREFIX_SQL))
+    # sets with many frequent shingles are read from their texts again; rows that share an id all are
+    again = only(docs, cut(stored.where("pos < 0").select(F.col("doc").alias("doc_id")).distinct()), "doc_id")
+    again = again.select("doc_id", "text").mapInArrow(_prefix_rows(heavy, size, percent, False), _PREFIX_SQL)
+    prefix = stored.where("pos >= 0").union(again)
     order = W.partitionBy("shingle", _part("doc", 0)).orderBy("n", "doc")
     at = F.struct("doc", "n", "pos")
     # one part of a shingle holds about PART_ROWS rows, however frequent the shingle is

@@ -1,6 +1,20 @@
 """The pipeline's near-duplicate stage against brute force over all pairs."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
+from docloom.llm import jaccard
+
+
+@pytest.mark.parametrize("size", [1, 4, 5])
+def test_sets_of_a_column_are_those_of_its_texts(size):
+    rng = np.random.default_rng(size)
+    texts = [None, "", " \n", "a", "A b", "é É ß", "\x00 a \x1c b", *(" ".join(rng.choice(list("abCD"), n)) for n in range(30))]
+    for column in (pa.array(texts), pa.array(["x y", *texts, "z"])[1:-1]):
+        found = list(jaccard.shingle_sets(column, size))
+        assert [x.tolist() for x in found] == [jaccard.shingles(t, size).tolist() for t in texts]
 
 
 def shingles(text, size=5):
