@@ -109,14 +109,6 @@ def decode_entities(s: Column) -> Column:
     return s
 
 
-def html_to_text(html: Column) -> Column:
-    """Text of a page: no comments or scripts, tags dropped without a separator."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in NON_TEXT_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    return normalize_ws(decode_entities(F.regexp_replace(text, r"<[^>]*>", "")))
-
-
 def main_content(html: Column) -> Column:
     """What the main container holds; null when the page has none (or is cut inside it)."""
     found = F.regexp_extract(html, r"(?s)<article>(.*)</article>", 1)

@@ -17,12 +17,11 @@ LINK_ONLY = r"(?i)^[\s,.;:()]*(?:(?:and|or|see|also)[\s,.;:()]*)*$"
 # Header lines of a requirements section, inherited notes.
 REQUIREMENT_LINE = r"^(?:Convenience header|Header):\s*\S+$"
 INHERITED = r"^Inherited from \S+\.?$"
-# Layout limits of tables, short items, navigation and summaries.
+# Layout limits of tables, navigation and summaries.
 TABLE_GAP = 2
 TABLE_MAX_WIDTH = 70
 TABLE_NARROW = 20
 TABLE_MIN_WRAP = 20
-COMPACT_MAX_TEXT = 90
 NAV_MAX_WORDS = 4
 DECLARATION_MAX = 100
 # Block classes outside the content.
@@ -42,12 +41,6 @@ def is_link_only(text_outside_links: Column) -> Column:
     return normalize_ws(text_outside_links).rlike(LINK_ONLY)
 
 
-def outside_links(html: Column) -> Column:
-    """Text of an HTML fragment outside its in-corpus links; other links count as text."""
-    no_links = F.regexp_replace(html, r'(?s)<a\b[^>]*\bhref="(?![A-Za-z][A-Za-z0-9+.\-]*:)[^"]*"[^>]*>.*?</a>', "")
-    return normalize_ws(F.regexp_replace(no_links, r"<[^>]*>", ""))
-
-
 def drop_nav_paragraphs(blocks: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
     """Blocks without short paragraphs around a single link to one of ``targets``.
 
@@ -87,12 +80,6 @@ def member_tables(cells: DataFrame) -> DataFrame:
     )
 
 
-def compact_items(items: DataFrame, by: list[str], limit: int = COMPACT_MAX_TEXT) -> DataFrame:
-    """Per list: every item is one short paragraph. Items: (…by, n_paras, text)."""
-    fits = (F.col("n_paras") == 1) & (F.length("text") <= limit)
-    return items.groupBy(*by).agg(F.bool_and(fits).alias("compact"))
-
-
 def drop_marker_spans(spans: DataFrame, marker: str = MORE_MARKER) -> DataFrame:
     return spans.filter(~((F.col("kind") == "span") & F.startswith(F.col("text"), F.lit(marker))))
 

@@ -439,11 +439,6 @@ def canonical_html(html: Column) -> Column:
     return _by_page(html, lambda page: markup.canonical(markup.parse(page)))
 
 
-def exact_text(html: Column) -> Column:
-    """Text of a page by the parser."""
-    return _by_page(html, lambda page: text_of(markup.parse(page)))
-
-
 def exact_code_to_backticks(html: Column) -> Column:
     """Text of a page by the parser, with each outermost ``<code>`` in backticks."""
     return _by_page(html, lambda page: text_of(markup.parse(page), "`"))
