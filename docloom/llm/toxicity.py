@@ -1,24 +1,29 @@
-"""Toxicity from class-conditional Kneser-Ney models of character n-grams.
+"""Toxicity from class-conditional Kneser-Ney models of characters.
 
-One model of toxic and one of ordinary learning documents give each n-gram of a text a likelihood;
-the score is their calibrated difference per n-gram, over the whole text and over its most toxic
-stretch. As in Kneser-Ney smoothing an n-gram counts by the number of different documents it occurs
-in, every count is discounted, and the discounted mass backs off to counts shared by both classes:
-an expression that is rare in either says little.
+One model of toxic and one of ordinary learning documents give every character of a text, after the
+``ORDER - 1`` before it, a probability; the score is the calibrated difference of the log-likelihoods per
+character, over the whole text and over its most toxic stretch. Per class c, n-gram h w and order:
 
-    P(g | class) = max(n_class(g) - D, 0) / N_class + D * kinds_class / N_class * P(g)
+    P(w | h) = max(N(h w) - D, 0) / N(h .) + D * kinds(h .) / N(h .) * P(w | h without its first character)
 
-All learning documents are counted, in Spark, and every counted n-gram keeps its own difference; one
-never counted takes the difference of the two backoff weights. Up to ``GRAMS`` counted n-grams are
-sent to the tasks as a whole. More stay a table: texts are dealt into blocks of about ``BLOCK``
-characters, each block's different n-grams are joined with the table, and a block is scored together
-with its part of it.
+At the highest order N(h w) is the number of the class's documents that hold h w; below, it is the number of
+different characters found before h w, as Kneser and Ney count. The orders up to ``SHARED`` are
+counted over both classes together: an expression rare in either is smoothed by the same counts, and
+where only they speak, the classes do not differ. At the bottom stands an equal share for every
+known character and one more.
+
+All learning documents are counted, in Spark, and every n-gram counts. What scoring needs of an n-gram is
+one number for its own probabilities and one for its weight as a history, each the log of toxic over
+ordinary. Up to ``GRAMS`` n-grams are sent to the tasks as a whole. More stay a table: texts are dealt
+into blocks of about ``BLOCK`` characters, each block's different n-grams are joined with the
+table, and a block is scored together with its part of it.
 
 A quarter of the learning rows (by id hash) is not counted but calibrates the score.
 
-Defined cases: a null or empty text has difference 0; labels that are null or without a document are
-not learned from; several labels of a document count as toxic if one is; without learning rows of
-both classes every score is near 0 (near 1 if all rows are toxic); repeated rows each get their row.
+Defined cases: a null or empty text, or one shorter than an n-gram, has difference 0; labels that are null
+or without a document are not learned from; several labels of a document count as toxic if one is;
+without learning rows of both classes every score is near 0 (near 1 if all rows are toxic); repeated
+rows each get their row; n-grams are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +41,9 @@ from docloom.llm.common import crc_mod, cut, hash60
 from docloom.llm.decontaminate import normalised
 from docloom.llm.members import only
 
-SIZE = 5
+ORDER = 5
+# Orders up to this one are counted over both classes.
+SHARED = 3
 # Most n-grams of a model that is sent to the tasks; a larger one is joined.
 GRAMS = 1 << 20
 # Characters of the texts that share a part of a joined model; a longer text is a block of its own.
@@ -44,113 +51,216 @@ BLOCK = 4 << 20
 DISCOUNT = 0.75
 THRESHOLD = 0.7
 # N-grams a task counts before it hands them on.
-PENDING = 1 << 21
-# Width of the stretch whose likelihood is looked at beside the whole text's, in n-grams.
+PENDING = 1 << 20
+# Width of the stretch whose likelihood is looked at beside the whole text's, in characters.
 STRETCH = 12
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Model:
-    """Sorted n-gram keys, their log-likelihood differences, that of all others, and the calibration.
+    """The n-grams that decide, and the calibration.
 
-    Keys and differences of a model too large to send are in ``table`` (``key, difference``) instead.
+    ``grams``: keys, each one's log of its probability toxic over ordinary, and the same of the weight it
+    leaves to shorter ones as a history; or they are in ``table`` (``key, own, history``) if too many to send.
     """
 
-    keys: np.ndarray
-    differences: np.ndarray
-    other: float
+    grams: tuple[np.ndarray, np.ndarray, np.ndarray]
     fit: tuple[float, ...] = (0.0, 0.0, 0.0)
     table: DataFrame | None = None
 
 
-def grams(text: str | None, size: int = SIZE) -> np.ndarray:
-    """Hashed character n-grams of a text in lower case without punctuation, words between spaces."""
+def characters(text: str | None) -> np.ndarray:
+    """A text in lower case without punctuation, words between spaces, as code points."""
     data = normalised(text)
-    points = np.frombuffer(f" {data.decode()} ".encode("utf-32-le"), "<u4").astype(np.uint64) if data else ()
-    total = np.zeros(max(0, len(points) - size + 1), np.uint64)
-    for k in range(size if len(total) else 0):
-        total = (total ^ points[k : k + len(total)]) * _FACTOR
+    return np.frombuffer(f" {data.decode()} ".encode("utf-32-le"), "<u4").astype(np.uint64) if data else np.empty(0, np.uint64)
+
+
+def grams(points: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all n-grams of ``size`` characters, other ones for every size; 0 stands for the empty one."""
+    n = max(0, len(points) - size + 1)
+    total = np.full(n, size, np.uint64)
+    for k in range(size if n else 0):
+        total = (total ^ points[k : k + n]) * _FACTOR
         total ^= total >> np.uint64(29)
     return total.view(np.int64)
 
 
+_TYPES = pa.schema([("size", pa.int32()), *((c, pa.int64()) for c in ("key", "history", "suffix", "n0", "n1"))])
+_TYPES_SQL = "size int, key long, history long, suffix long, n0 long, n1 long"
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, n0, n1``: ordinary and toxic documents of this task that hold an n-gram."""
-    held: list[list[np.ndarray]] = [[], []]
+    """The n-grams of all sizes, what is left without their last and first character, and how many ordinary
+    and toxic documents of this task hold them."""
+    held: list[list[list[np.ndarray]]] = []
     n = 0
 
-    def made() -> pa.RecordBatch:
-        keys = np.unique(np.concatenate([*held[0], *held[1]]))
-        out = [keys]
-        for own in held:
-            count = np.zeros(len(keys), np.int64)
-            if own:
-                found, times = np.unique(np.concatenate(own), return_counts=True)
-                count[np.searchsorted(keys, found)] = times
-            out.append(count)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "n0", "n1"])
+    def made() -> Iterator[pa.RecordBatch]:
+        for size in range(1, ORDER + 1):
+            parts = [np.concatenate(x) for x in zip(*(own[size - 1] for own in held), strict=True)]
+            keys, first, place = np.unique(parts[0], return_index=True, return_inverse=True)
+            n0, n1 = (np.bincount(place, parts[3] == c, len(keys)).astype(np.int64) for c in (0, 1))
+            columns = [np.full(len(keys), size), keys, parts[1][first], parts[2][first], n0, n1]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _TYPES, strict=True)], schema=_TYPES)
 
     for batch in batches:
         for text, toxic in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            own = np.unique(grams(text))
-            held[toxic].append(own)
-            n += len(own)
+            points = characters(text)
+            if len(points) < ORDER:
+                continue
+            own, shorter = [], np.zeros(len(points) + 1, np.int64)
+            for size in range(1, ORDER + 1):
+                found = grams(points, size)
+                keys, first = np.unique(found, return_index=True)
+                own.append([keys, shorter[first], shorter[first + 1], np.full(len(keys), toxic)])
+                shorter = found
+                n += len(keys)
+            held.append(own)
             if n > PENDING:
-                yield made()
-                held, n = [[], []], 0
-    if n:
-        yield made()
+                yield from made()
+                held, n = [], 0
+    if held:
+        yield from made()
+
+
+def probabilities(learn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The Kneser-Ney models of rows ``text, toxic`` (0 or 1).
+
+    The first table has every n-gram's ``size, key, history, suffix`` and probabilities ``p0, p1`` after
+    its history; the second, per ``size`` and ``history``, the weights ``l0, l1`` left to the shorter history.
+    """
+    types = learn.select("text", "toxic").mapInArrow(_counted, _TYPES_SQL)
+    types = cut(types.groupBy("size", "key").agg(*(F.first(c).alias(c) for c in ("history", "suffix")), *(F.sum(c).alias(c) for c in ("n0", "n1"))))
+    # different characters before an n-gram, in either class and in both
+    before = types.where("size > 1").groupBy((F.col("size") - 1).alias("size"), F.col("suffix").alias("key")).agg(
+        *(F.count_if(F.col(f"n{c}") > 0).alias(f"b{c}") for c in (0, 1)), F.count("*").alias("b")
+    )
+    counts = types.join(before, ["size", "key"], "left")
+    for c in (0, 1):
+        number = F.when(F.col("size") == ORDER, F.col(f"n{c}")).when(F.col("size") > SHARED, F.col(f"b{c}")).otherwise(F.col("b"))
+        counts = counts.withColumn(f"c{c}", F.coalesce(number, F.lit(0)))
+    counts = cut(counts.select("size", "key", "history", "suffix", "c0", "c1"))
+    sums = counts.groupBy("size", "history").agg(
+        *(F.sum(f"c{c}").alias(f"s{c}") for c in (0, 1)), *(F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}") for c in (0, 1))
+    )
+    left = [F.when(F.col(f"s{c}") > 0, DISCOUNT * F.col(f"k{c}") / F.col(f"s{c}")).otherwise(1.0).alias(f"l{c}") for c in (0, 1)]
+    weights = cut(sums.select("size", "history", "s0", "s1", *left))
+    own = [F.when(F.col(f"s{c}") > 0, F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"s{c}")).otherwise(0.0).alias(f"a{c}") for c in (0, 1)]
+    parts = counts.join(weights, ["size", "history"]).select("size", "key", "history", "suffix", *own, "l0", "l1")
+    letters = counts.where("size = 1").count() + 1
+    lower, every = None, []
+    for size in range(1, ORDER + 1):
+        rows = parts.where(F.col("size") == size)
+        if lower is None:
+            rows = rows.withColumns({"q0": F.lit(1.0 / letters), "q1": F.lit(1.0 / letters)})
+        else:
+            rows = rows.join(lower.select(F.col("key").alias("suffix"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), "suffix")
+        found = [(F.col(f"a{c}") + F.col(f"l{c}") * F.col(f"q{c}")).alias(f"p{c}") for c in (0, 1)]
+        lower = cut(rows.select("size", "key", "history", "suffix", *found))
+        every.append(lower)
+    whole = every[0]
+    for other in every[1:]:
+        whole = whole.unionByName(other)
+    return whole, weights.select("size", "history", "l0", "l1")
 
 
 def count(learn: DataFrame, most: int = GRAMS) -> Model:
     """The model of rows ``text, toxic`` (0 or 1), without its calibration."""
-    counted = learn.select("text", "toxic").mapInArrow(_counted, "key long, n0 long, n1 long")
-    counted = cut(counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    whole = counted.agg(
-        *(F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n0", "n1")),
-        *(F.count(F.when(F.col(c) > 0, 1)).cast("double").alias(f"k{c}") for c in ("n0", "n1")),
-        F.count("*").cast("double").alias("k"),
-    ).first()
-    back = [DISCOUNT * max(whole[f"kn{side}"], 1) / max(whole[f"n{side}"], 1) for side in (0, 1)]
-    total = whole["n0"] + whole["n1"] + 0.5 * whole["k"] + 1
-    shared = (F.col("n0") + F.col("n1") + 0.5) / total
-    p = [F.greatest(F.col(f"n{side}") - DISCOUNT, F.lit(0.0)) / max(whole[f"n{side}"], 1) + back[side] * shared for side in (0, 1)]
-    table = counted.select("key", F.log(p[1] / p[0]).alias("difference"))
-    other = float(np.log(back[1] / back[0]))
-    if whole["k"] > most:
-        return Model(np.empty(0, np.int64), np.empty(0), other, table=table)
-    kept = table.toPandas().sort_values("key")
-    return Model(kept["key"].to_numpy(np.int64), kept["difference"].to_numpy(np.float64), other)
-
-
-def measures(model: Model, text: str | None) -> tuple[float, float]:
-    """Difference per n-gram of the whole text, and of its most toxic stretch."""
-    keys = grams(text)
-    if not len(keys):
-        return 0.0, 0.0
-    d = np.full(len(keys), model.other)
-    if len(model.keys):
-        at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-        d = np.where(model.keys[at] == keys, model.differences[at], model.other)
-    total = np.concatenate([[0.0], np.cumsum(d)])
-    width = min(STRETCH, len(d))
-    return float(total[-1] / len(d)), float((total[width:] - total[:-width]).max() / width)
+    found, weights = probabilities(learn)
+    # below, both classes have the same probabilities and the same weights
+    own = found.where(F.col("size") > SHARED).select("key", F.log(F.col("p1") / F.col("p0")).alias("own"))
+    history = weights.where(F.col("size") > SHARED).select(F.col("history").alias("key"), F.log(F.col("l1") / F.col("l0")).alias("history"))
+    table = cut(own.join(history, "key", "full").select("key", *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("own", "history"))))
+    if table.count() > most:
+        return Model((np.empty(0, np.int64), np.empty(0), np.empty(0)), table=table)
+    kept = table.toPandas()
+    return Model(tuple(kept[c].to_numpy() for c in ("key", "own", "history")))
+
+
+class Lookup:
+    """Places of keys in an array, by buckets of their lowest bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, int(len(keys)).bit_length() + 1)
+        self.mask = np.int64((1 << bits) - 1)
+        slot = keys & self.mask
+        self.order = np.argsort(slot, kind="stable")
+        self.keys = np.append(keys[self.order], 0)
+        count = np.bincount(slot, minlength=1 << bits)
+        self.start = np.concatenate([[0], np.cumsum(count)])
+        self.most = int(count.max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of every key, or -1."""
+        slot = keys & self.mask
+        low, high = self.start[slot], self.start[slot + 1]
+        out = np.full(len(keys), -1)
+        open_ = np.flatnonzero(low < high)
+        for k in range(self.most):
+            at = low[open_] + k
+            good = self.keys[at] == keys[open_]
+            out[open_[good]] = self.order[at[good]]
+            open_ = open_[~good]
+            open_ = open_[low[open_] + k + 1 < high[open_]]
+            if not len(open_):
+                break
+        return out
+
+
+class Scorer:
+    """Differences of texts by the n-grams of a model."""
+
+    def __init__(self, keys: np.ndarray, own: np.ndarray, history: np.ndarray):
+        self.lookup = Lookup(keys)
+        # the last entry is that of an n-gram never counted
+        self.own, self.history = np.append(own, np.nan), np.append(history, np.nan)
+
+    def differences(self, points: np.ndarray) -> np.ndarray:
+        """Per character from the ``ORDER``-th on: log-likelihood toxic less ordinary.
+
+        The longest counted n-gram that ends here gives its own; each longer history that was counted adds
+        what its weight differs.
+        """
+        n = max(0, len(points) - ORDER + 1)
+        out = np.zeros(n)
+        left = np.arange(n)  # places not decided yet, by the start of their longest n-gram
+        for size in range(ORDER, SHARED, -1):
+            if not len(left):
+                break
+            ends = left + ORDER - size
+            found = self.own[self.lookup.find(grams(points, size)[ends])]
+            known = ~np.isnan(found)
+            out[left[known]] += found[known]
+            left = left[~known]
+            weight = self.history[self.lookup.find(grams(points, size - 1)[left + ORDER - size])]
+            out[left] += np.where(np.isnan(weight), 0.0, weight)
+        return out
+
+    def measures(self, text: str | None) -> tuple[float, float]:
+        """Difference per character of the whole text, and of its most toxic stretch."""
+        d = self.differences(characters(text))
+        if not len(d):
+            return 0.0, 0.0
+        total = np.concatenate([[0.0], np.cumsum(d)])
+        width = min(STRETCH, len(d))
+        return float(total[-1] / len(d)), float((total[width:] - total[:-width]).max() / width)
 
 
 _MEASURES = pa.schema([("key", pa.int64()), ("mean", pa.float64()), ("stretch", pa.float64())])
 
 
-def _measure_rows(model: Model, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-    found = [measures(model, text) for text in texts.to_pylist()]
+def _measure_rows(scorer: Scorer, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    found = [scorer.measures(text) for text in texts.to_pylist()]
     mean, stretch = zip(*found, strict=True) if found else ((), ())
     return pa.RecordBatch.from_arrays([keys, pa.array(mean, pa.float64()), pa.array(stretch, pa.float64())], schema=_MEASURES)
 
 
 def _sent(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            yield _measure_rows(shared.value, batch.column(0), batch.column(1))
+            yield _measure_rows(scorer, batch.column(0), batch.column(1))
 
     return run
 
@@ -189,7 +299,8 @@ def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield made()
                 held = []
             last = block
-            held.append(np.unique(grams(text)))
+            points = characters(text)
+            held.append(np.unique(np.concatenate([grams(points, size) for size in range(SHARED, ORDER + 1)])))
     if held:
         yield made()
 
@@ -199,12 +310,11 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
     # stored, so that every reading of a text sees the same block
     dealt = cut(rows.mapInArrow(_blocks(BLOCK), "block long, key long, text string"))
     wanted = dealt.select("block", "text").mapInArrow(_block_grams, "block long, gram long")
-    parts = wanted.join(model.table.withColumnRenamed("key", "gram"), "gram").select("block", "gram", "difference")
-    other = model.other
+    parts = wanted.join(model.table.withColumnRenamed("key", "gram"), "gram").select("block", "gram", "own", "history")
 
     def run(texts: pa.Table, part: pa.Table) -> pa.Table:
         keys, first = np.unique(part["gram"].to_numpy(), return_index=True)
-        own = Model(keys.astype(np.int64), part["difference"].to_numpy()[first], other)
+        own = Scorer(keys.astype(np.int64), *(part[c].to_numpy().astype(np.float64)[first] for c in ("own", "history")))
         slices = texts.select(["key", "text"]).to_batches()
         return pa.Table.from_batches([_measure_rows(own, x.column(0), x.column(1)) for x in slices], _MEASURES)
 
@@ -217,7 +327,8 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
     rows = rows.toDF("key", "text").select(F.col("key").cast("long"), "text")
     if model.table is not None:
         return _joined(rows, model)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    # plain arrays, which a task can read without this package
+    shared = rows.sparkSession.sparkContext.broadcast(model.grams)
     return rows.mapInArrow(_sent(shared), "key long, mean double, stretch double")
 
 
