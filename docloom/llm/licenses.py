@@ -18,8 +18,13 @@ from docloom.llm.common import cut
 
 # Pattern and replacement, applied in this order to the lower-cased text.
 # All are understood alike by Java and RE2.
+# Line ends stand twice in it, so that a rule can take the one before and the one behind its line.
+# The first three drop copyright notices: a line with a year, a line that starts like a notice, and of a
+# line that runs on only the notice itself, up to its full stop.
 REWRITES = (
-    (r"(^|\n)[^\n]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*", "\n"),
+    (r"(^|\n)[^\n]{0,100}(copyright|\(c\)|©)[^\n]{0,60}[0-9]{4}[^\n]{0,120}(\n|$)", "\n"),
+    (r"(^|\n)[^\n\p{L}\p{N}]{0,20}copyright[ \t]*(\(c\)|©)[^\n]{0,120}(\n|$)", "\n"),
+    (r"(copyright|\(c\)|©)[^\n.]{0,60}[0-9]{4}[^\n.]{0,100}\.", " "),
     (r"(^|\n)[^\n\p{L}\p{N}]*all rights reserved[^\n\p{L}\p{N}]*(\n|$)", "\n"),
     (r"^\s*[^\n]{0,50}licen[sc]e[^\n]{0,20}\n", "\n"),
     (r"[^\p{L}\p{N}]+", " "),
@@ -32,6 +37,9 @@ REWRITES = (
     (r"\bhttps\b", "http"),
 )
 
+# The rules before this one drop lines.
+LINE_RULES = 5
+
 # Known licence texts, without their copyright lines.
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -84,6 +92,33 @@ software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+# The three-clause text has one clause more.
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace(
+    "THIS SOFTWARE IS PROVIDED",
+    """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED""",
+    1,
+)
+
+# Sha-256 of the canonical form of longer texts, as their publishers set them.
+DIGESTS = {
+    "Apache-2.0": "b07988e5bc6ec9ad4dcd4a9bb1965b6c282f4dee11ef190b6296d973c5eac787",
+    "Artistic-1.0": "4eaaa9e33aeef0af0ff83ab5edac0ad421a1da9cc861c564630460107b4b772c",
+    "BSD-3-Clause": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "ee4f004efcecdf9d9069648b3868636b6aed9a7d8fa7a8319d5d5b4ac94ae44d",
+    "GFDL-1.2": "b8fc1476fcb02a8c859046708b4843944af8ef9ae2f634b9f46b5a633388f9f3",
+    "GFDL-1.3": "e907f46bdc7f3e8e6160d770fd1642b01fb33d2f98ef7b09c8988fbe26f79fae",
+    "GPL-1.0": "9132a605811c9f9a51621da0e0708f46e408e3507a3c1a9d16a5f48291082b8c",
+    "GPL-2.0": "29507662ad31f55a5ac02f26a5d8cca21add440b2dff4a9ce97e458a0ca43f7f",
+    "GPL-3.0": "8394e8f7a40729568e1c7744bb8ecb1d4c6369aed25abec058ca5b360e3ac0f4",
+    "LGPL-2.0": "f17ebefdba4ae01060494f3396c1bc854578b6eaafaa6fe8abcf7a94e7fc2a6e",
+    "LGPL-2.1": "50866b22e296e073a398813dc84c4c9dec94ed1ee7d617c063eb6851a562b9d4",
+    "LGPL-3.0": "e1c7b25e9116bcad127297bbfb82e6a89822822ba6bfa3af9eae995aad877765",
+    "MPL-1.1": "230fe947d78b8bad1873e0f0e7c86da0d2b4fbb6c2a1b64292044310b8de3ad2",
+    "MPL-2.0": "1624e7d4b3bfc7f29cd0fe25fcccb8c9803fe1bd3a0ab3655dfb199abb585817",
+}
+
 # How notices name a licence. A notice is a phrase and a name.
 PHRASES = (
     "licensed under",
@@ -116,7 +151,7 @@ SIGNS = r"licen[sc]e|released under|distributed under|available under|rights res
 
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text."""
-    out = F.lower(F.coalesce(text, F.lit("")))
+    out = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit("\n\n"))
     for pattern, new in REWRITES:
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)
@@ -125,7 +160,7 @@ def canonical(text: Column) -> Column:
 def plain(text: Column) -> Column:
     """The canonical form of a notice line: as ``canonical``, but no line is dropped."""
     out = F.lower(text)
-    for pattern, new in REWRITES[3:]:
+    for pattern, new in REWRITES[LINE_RULES:]:
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)
 
@@ -136,8 +171,9 @@ def digest(form: Column) -> Column:
 
 def known_texts(spark: SparkSession) -> DataFrame:
     """``digest, license`` of the known licence texts."""
-    rows = spark.createDataFrame([(k, v) for k, v in TEXTS.items()], "license string, text string")
-    return rows.select(digest(canonical(F.col("text"))).alias("digest"), "license")
+    rows = spark.createDataFrame(list(TEXTS.items()), "license string, text string")
+    longer = spark.createDataFrame([(d, k) for k, d in DIGESTS.items()], "digest string, license string")
+    return rows.select(digest(canonical(F.col("text"))).alias("digest"), "license").unionByName(longer)
 
 
 def notices() -> list[tuple[str, str]]:
@@ -192,7 +228,7 @@ def scan(docs: DataFrame, texts: DataFrame | None = None, lines: DataFrame | Non
 
 
 def _sql_form(column: str, rewrites: tuple) -> str:
-    out = f"lower({column})"
+    out = f"lower({column})" if rewrites != REWRITES else f"replace(lower({column}), chr(10), chr(10) || chr(10))"
     for pattern, new in rewrites:
         out = f"regexp_replace({out}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
     return f"trim({out})"
@@ -204,14 +240,15 @@ def _literal(text: str) -> str:
 
 ORACLE_SQL = f"""
 WITH t AS (SELECT * FROM (VALUES {", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in TEXTS.items())}) v(license, text)),
-kt AS (SELECT sha256({_sql_form("text", REWRITES)}) AS digest, license FROM t),
+kt AS (SELECT sha256({_sql_form("text", REWRITES)}) AS digest, license FROM t
+       UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{k}')" for k, d in DIGESTS.items())}) v(digest, license)),
 kn AS (SELECT * FROM (VALUES {", ".join(f"({_literal(f)}, {_literal(n)})" for f, n in notices())}) v(form, license)),
 d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (
   SELECT r, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) x
-  JOIN kn ON kn.form = {_sql_form("line", REWRITES[3:])}
+  JOIN kn ON kn.form = {_sql_form("line", REWRITES[LINE_RULES:])}
   WHERE regexp_matches(lower(line), '{SIGNS}') GROUP BY r),
 g AS (SELECT r, doc_id, sha256({_sql_form("text", REWRITES)}) AS digest FROM d)
 SELECT doc_id, g.digest, kt.license, coalesce(notices, '') AS notices
