@@ -19,7 +19,7 @@ def cut_pages(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["h6_6_html_to_text", "h6_7_page_metadata", "k1_html_blocks", "k1_html_blocks_sql"])
+@pytest.mark.parametrize("name", ["h6_6_html_to_text", "h6_7_page_metadata", "k1_html_blocks", "k1_html_blocks_sql", "k1_html_headings"])
 def test_query_on_cut_pages(spark, cut_pages, name):
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW pages AS FROM '{cut_pages}/pages.parquet/*.parquet'")
