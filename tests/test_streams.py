@@ -121,6 +121,17 @@ def test_latency_windows_keep_one_sketch_each(spark, tmp_path):
         assert below <= 0.95 * len(own) + slack and through >= 0.95 * len(own) - slack
 
 
+def test_latency_windows_give_the_exact_percentile(spark, sf):
+    """The query answers with the percentile itself, as linearly interpolated between the rows of a window."""
+    from docloom.plans.streams import latency_windows
+
+    found = {r.window_start: r.p95 for r in latency_windows(spark, sf).collect()}
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600
+    rows = spark.read.parquet(f"{sf}/events.parquet").groupBy(hour.alias("w")).agg(F.percentile("value", 0.95).alias("p95"))
+    expected = {r.w: r.p95 for r in rows.collect()}
+    assert found and all(abs(p95 - expected[w]) < 1e-8 for w, p95 in found.items())
+
+
 def _hourly(n):
     for hour in (0, 1):
         rows = [i for i in range(n) if i % 7200 // 3600 == hour]
