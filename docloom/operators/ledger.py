@@ -17,7 +17,7 @@ from docloom.functions.costs import (
     input_bound,
     max_tokens_for,
 )
-from docloom.operators.ordered import WIDTH, chunk_of, running_totals, sorted_ordinal, with_ordinal
+from docloom.operators.ordered import TEXT_WIDTH, WIDTH, chunk_of, running_totals, sorted_ordinal, with_ordinal
 
 # How a failed attempt is accounted.
 FAILURES = (
@@ -93,7 +93,7 @@ def failure_class(outcome: Column, status: Column) -> Column:
 
 def number_batches(pending: DataFrame, order: str, size: int = BATCH_SIZE) -> DataFrame:
     """Batch number and place in the batch of every pending item, by a unique whole-number order."""
-    numbered = with_ordinal(pending, [], order, "_seq")
+    numbered = with_ordinal(pending, [], order, "_seq", TEXT_WIDTH)
     return numbered.select(
         *pending.columns,
         F.expr(f"(_seq - 1) div {size}").alias("batch_id"),

@@ -1,7 +1,7 @@
 """Order-dependent building blocks that never put one large group into one task.
 
 A group may hold a third of the table, so ``Window.partitionBy(group)`` is only used on groups
-of at most ``GROUP_ROWS`` rows (counted, not assumed). Larger groups are cut into chunks by a
+of at most ``GROUP_ROWS`` rows (counted, not assumed; ``2 * width`` if that is less). Larger groups are cut into chunks by a
 unique whole-number order key: one chunk holds at most ``width`` rows of a group. A window runs
 inside each chunk, and per-chunk totals supply what all earlier chunks contribute. The totals
 are combined in further levels of the same kind, each bounded by ``WIDTH``, so that sparse
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from docloom.session import cut
 
 WIDTH = 1 << 16
+# For rows that carry whole texts: a task's window then holds some megabytes.
+TEXT_WIDTH = 1 << 12
 # Levels above the chunks: 16 bits of a 64-bit order key each.
 LEVELS = 2
 # Rows of one group that one task may hold.
@@ -52,11 +54,12 @@ def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def _marked(df: DataFrame, by: Sequence[str], order: str, width: int, *more: Column) -> DataFrame:
     """Rows with their group and, in large groups only, their chunk (null elsewhere)."""
     grouped = df.select("*", group_key(by).alias(_GROUP), *more)
+    most = min(GROUP_ROWS, 2 * width)
     if not by:
-        large = grouped.agg(F.count(F.lit(1))).scalar() > GROUP_ROWS
+        large = grouped.agg(F.count(F.lit(1))).scalar() > most
         return grouped.withColumn("_large", large).withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
-    sizes = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > GROUP_ROWS)
-    # At most one group per GROUP_ROWS rows of the table; Spark broadcasts them if they are few.
+    sizes = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most)
+    # At most one group per ``most`` rows of the table; Spark broadcasts them if they are few.
     large = sizes.select(_GROUP, F.lit(True).alias("_large"))
     return grouped.join(large, _GROUP, "left").withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
 

@@ -282,6 +282,8 @@ def score_in_waves(
         F.array_sort(F.collect_list(text)).alias("items"), F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("text")).alias("bytes")
     )
     queue = cut(queue.select("batch_id", "items", max_tokens_for(F.col("entries")).alias("out"), input_bound(F.col("bytes")).alias("in")))
+    # waves are chosen by these numbers alone: a task that sorts or sums them holds no texts
+    numbers = queue.select("batch_id", "out", "in")
     root = scratch_path(spark, "waves")
     requests = used_out = used_in = waves = 0
     deadline, stop = clock() + caps.time_limit_s, None
@@ -304,7 +306,8 @@ def score_in_waves(
             yield pd.DataFrame(out, columns=columns)
 
     while True:
-        left = queue.join(sent().where("not short").select("batch_id"), "batch_id", "left_anti")
+        done_ids = sent().where("not short").select("batch_id")
+        left = numbers.join(done_ids, "batch_id", "left_anti")
         head = left.orderBy("batch_id").limit(wave)
         n = head.count()
         if stop or not n:
@@ -324,14 +327,14 @@ def score_in_waves(
         placed = head.withColumns({"_n": F.row_number().over(W.orderBy("batch_id")), **{f"_{c}": x for c, x in upto.items()}})
         for calls in (allowed, 1):
             fits = f"_n * {calls} <= {free} and _out * {calls} <= {caps.max_output - used_out} and _in * {calls} <= {caps.max_input - used_in}"
-            chosen = cut(placed.where(fits).withColumn("allowed", F.lit(calls)).select("batch_id", "items", "out", "in", "allowed"))
+            chosen = cut(placed.where(fits).withColumn("allowed", F.lit(calls)).select("batch_id", "allowed"))
             if not chosen.isEmpty():
                 break
         else:
             first = head.first()
             stop = "max_output" if first["out"] > caps.max_output - used_out else "max_input"
             break
-        tasks = chosen.repartition(max_parallel, "batch_id").mapInPandas(run, _WAVE_SCHEMA)
+        tasks = queue.join(chosen, "batch_id").repartition(max_parallel, "batch_id").mapInPandas(run, _WAVE_SCHEMA)
         tasks.write.parquet(f"{root}/wave={waves}")
         waves += 1
         done = spark.read.schema(_WAVE_SCHEMA).parquet(f"{root}/wave={waves - 1}").agg(
@@ -344,7 +347,7 @@ def score_in_waves(
         elif stop_on_failure and done["failure"] is not None:
             stop = done["failure"]
     finished = sent().where("not short").select(F.explode("rows").alias("r")).select("r.*")
-    skipped = left.select(F.explode("items").alias("i")).select(
+    skipped = queue.join(done_ids, "batch_id", "left_anti").select(F.explode("items").alias("i")).select(
         F.col("i.key").alias("key"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("boolean").alias("breaking"),
         F.lit(None).cast("string").alias("breaking_reason"), F.lit("skipped").alias("status"), F.lit(f"run stopped: {stop}").alias("reason"),
         F.lit(0).alias("attempts"),

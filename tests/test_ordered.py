@@ -157,3 +157,17 @@ def test_quantiles_have_the_same_bits_with_any_slices(table):
         return {r.grp: (r.n, r.a, r.b, r.c) for r in found}
 
     assert bits(2) == bits(9) == bits(128)
+
+
+def test_rows_with_texts_take_small_windows(spark):
+    """No task's window holds all texts of a large table: batches are numbered in chunks."""
+    from docloom.operators import ledger
+
+    n = 3 * ordered.TEXT_WIDTH
+    rows = spark.range(n).selectExpr("id * 7 AS ord", "CAST(id AS STRING) AS text")
+    parts = ordered._marked(rows, [], "ord", ordered.TEXT_WIDTH)
+    held = parts.groupBy(ordered._GROUP, ordered._CHUNK).count().agg(F.max("count")).first()[0]
+    assert held <= ordered.TEXT_WIDTH
+    found = ledger.number_batches(rows, "ord")
+    assert "_t__seq" in found._jdf.queryExecution().analyzed().toString()
+    assert found.where("batch_id <> (ord div 7) div 40 OR place <> (ord div 7) % 40").isEmpty() and found.count() == n
