@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 def percent_encode(s: Column) -> Column:
     """``/ % \\``, control and non-ASCII characters as upper-case UTF-8 ``%XX``."""
-    def one(char: Column) -> Column:
-        escaped = F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "%$1")
-        return F.when(char.rlike(r"^[/%\\\x00-\x1f\x7f]$") | char.rlike(r"^[^\x00-\x7f]"), escaped).otherwise(char)
+    coded = r"[/%\\\x00-\x1f\x7f-\x{10ffff}]+"
 
-    # Splitting by code point keeps characters outside the basic plane in one piece.
-    chars = F.regexp_extract_all(s, F.lit(r"(?s)."), F.lit(0))
-    return F.array_join(F.transform(chars, one), "")
+    def one(t: Column) -> Column:
+        # all coded runs of a text at once, parted by blanks, which are never coded themselves
+        runs = F.array_join(F.regexp_extract_all(t, F.lit(coded), F.lit(0)), " ")
+        escaped = F.split(F.regexp_replace(F.hex(F.encode(runs, "UTF-8")), "(..)", "%$1"), "%20", -1)
+        between = F.split(t, coded, -1)
+        return F.array_join(F.zip_with(between, escaped, lambda kept, run: F.concat(kept, F.coalesce(run, F.lit("")))), "")
+
+    # a list of one, so that what ``s`` is made by is evaluated once
+    return F.transform(F.array(s), one)[0]
 
 
 def sanitize_name(s: Column) -> Column:

@@ -150,3 +150,12 @@ def test_retry_rules(spark):
 def test_money(spark):
     assert apply(spark, [0.0004, 0.05, 1.234], costs.about_usd, "x double") == ["under $0.001", "about $0.050", "about $1.23"]
     assert apply(spark, [0.441], costs.round_up_cents, "x double") == [0.45]
+
+
+def test_percent_encoding_works_on_whole_runs(spark):
+    """No step is taken per character: runs are cut and coded together."""
+    texts = ["", None, "a/b", "//", "é日\U0001f600x\n %", " é é ", "\x00a\x7f~", "plain"]
+    coded = ["".join("".join(f"%{b:02X}" for b in c.encode()) if c in "/%\\" or not 32 <= ord(c) <= 126 else c for c in t) if t is not None else None for t in texts]
+    assert apply(spark, texts, names.percent_encode) == coded
+    plan = spark.createDataFrame([("a",)], "s string").select(names.percent_encode(F.col("s")))._jdf.queryExecution().analyzed().toString()
+    assert "(?s)." not in plan
