@@ -21,7 +21,7 @@ from pyspark.sql.functions import udtf
 from docloom.functions import markup
 from docloom.functions.links import resolve_href
 from docloom.functions.markup import HEADINGS, Node, text_of
-from docloom.session import spread
+from docloom.session import cut, spread
 
 # Main containers, admonition classes, containers left out.
 MAIN = ("div.section", "div.chapter", "article")
@@ -427,11 +427,8 @@ def release_entries(pages: DataFrame, heading: str, key: str = "page_id") -> Dat
 
 
 def _by_page(html: Column, of_page: Callable[[str], str]) -> Column:
-    @F.pandas_udf(T.StringType())
-    def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: None if page is None else of_page(page))
-
-    return convert(html)
+    """Row by row: a worker holds some hundred pages, not an Arrow batch of ten thousand and its results."""
+    return F.udf(lambda page: None if page is None else of_page(page), T.StringType(), useArrow=False)(html)
 
 
 def canonical_html(html: Column) -> Column:
@@ -446,6 +443,6 @@ def exact_code_to_backticks(html: Column) -> Column:
 
 def markup_duplicates(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Content hash of the canonical markup and how many pages share it."""
-    hashed = pages.select(key, F.sha2(canonical_html(F.col("html")), 256).alias("fingerprint"))
+    hashed = cut(pages.select(key, F.sha2(canonical_html(F.col("html")), 256).alias("fingerprint")))  # pages are parsed once
     counts = hashed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_pages"), F.min(key).alias("first_page"))
     return hashed.join(counts, "fingerprint")

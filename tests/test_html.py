@@ -99,3 +99,13 @@ def test_parser_columns(spark):
     ).collect()
     assert tuple(row[0]) == ("Use `ab` & c", "<p>Use <code>a<code>b</code></code> &amp;  c</p>")
     assert tuple(row[1]) == (None, None)
+
+
+def test_canonical_markup_takes_pages_row_by_row(spark):
+    """No Arrow batch of ten thousand pages is held by a worker."""
+    pages = spark.createDataFrame([(1, "<p>a<br>"), (2, None), (3, "<p>a<br></p>")], "page_id long, html string")
+    found = pages.select("page_id", html.canonical_html(F.col("html")).alias("c"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+    assert {r.page_id: r.c for r in found.collect()} == {1: "<p>a<br/></p>", 2: None, 3: "<p>a<br/></p>"}
+    assert {r.page_id: r.n_pages for r in html.markup_duplicates(pages.where("html is not null")).collect()} == {1: 2, 3: 2}
