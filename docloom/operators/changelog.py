@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import quantity
 from docloom.functions.versions import format_version, version_literal
-from docloom.operators.ordered import chunk_of, neighbour_values, sorted_ordinal, with_ordinal
+from docloom.operators.ordered import TEXT_WIDTH, chunk_of, neighbour_values, sorted_ordinal, with_ordinal
 
 # Groups of a diff, in display order, with their headings.
 GROUPS = (
@@ -139,7 +139,7 @@ def group_entries(diff: DataFrame, order: str = "entry_no") -> DataFrame:
     """
     dims = group_dimension(diff.sparkSession)
     grouped = diff.withColumn("grp", diff_group(F.col("category"), F.col("breaking")))
-    placed = with_ordinal(grouped, ["grp"], order)
+    placed = with_ordinal(grouped, ["grp"], order, width=TEXT_WIDTH)
     # Six fixed rows: the dimension is the broadcast side.
     ranked = placed.join(F.broadcast(dims), "grp", "left").withColumn("grp_rank", F.coalesce("grp_rank", F.lit(7))).withColumn(
         "heading", F.coalesce("heading", F.initcap("grp"))

@@ -59,8 +59,9 @@ def _marked(df: DataFrame, by: Sequence[str], order: str, width: int, *more: Col
         large = grouped.agg(F.count(F.lit(1))).scalar() > most
         return grouped.withColumn("_large", large).withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
     sizes = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most)
-    # At most one group per ``most`` rows of the table; Spark broadcasts them if they are few.
-    large = sizes.select(_GROUP, F.lit(True).alias("_large"))
+    # At most one group per ``most`` rows of the table. They are sent to the rows: a shuffle by group would also
+    # serve the window over chunks, and bring a whole group to one task.
+    large = F.broadcast(sizes.select(_GROUP, F.lit(True).alias("_large")))
     return grouped.join(large, _GROUP, "left").withColumn(_CHUNK, F.when(F.col("_large"), chunk_of(order, width)))
 
 

@@ -171,3 +171,18 @@ def test_rows_with_texts_take_small_windows(spark):
     found = ledger.number_batches(rows, "ord")
     assert "_t__seq" in found._jdf.queryExecution().analyzed().toString()
     assert found.where("batch_id <> (ord div 7) div 40 OR place <> (ord div 7) % 40").isEmpty() and found.count() == n
+
+
+def test_a_large_group_is_spread_over_tasks(spark):
+    """Rows of one group go to tasks by chunk: no shuffle by the group alone comes before the window."""
+    n = 16 * ordered.TEXT_WIDTH
+    rows = spark.range(0, n, 1, 4).selectExpr("'one' AS grp", "id AS ord", "repeat('x', 20) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ordered.with_ordinal(rows, ["grp"], "ord", width=ordered.TEXT_WIDTH)
+        held = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.bool_and(F.col("seq") == F.col("ord") + 1).alias("ok")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.n for r in held) == n and all(r.ok for r in held)
+    if ordered.GROUP_ROWS <= n:
+        assert max(r.n for r in held) < n
