@@ -147,3 +147,13 @@ def test_no_python_in_the_plan(spark, sf, capsys):
     rows_of.release_entries(given, "(x)").explain()
     printed = capsys.readouterr().out
     assert "Physical Plan" in printed and not any(x in printed for x in ("MapInArrow", "EvalPython", "MapInPandas", "PythonUDF"))
+
+
+def test_a_task_gets_a_bounded_share_of_the_pages(spark):
+    """Twice the markup is dealt to twice the tasks, and adaptive execution does not put them together."""
+    given = spark.range(400).selectExpr("id AS page_id", "concat('<p>', repeat('word ', 20000)) AS html")
+    dealt = rows_of._dealt(given)
+    assert dealt.rdd.getNumPartitions() >= 400 * 100_000 // rows_of.TASK_BYTES
+    assert rows_of._dealt(given.limit(0)).count() == 0
+    wide = rows_of._dealt(given.union(given.selectExpr("page_id + 400", "html")).union(given.selectExpr("page_id + 800", "html")))
+    assert wide.rdd.getNumPartitions() >= 3 * 400 * 100_000 // rows_of.TASK_BYTES
