@@ -157,3 +157,10 @@ def test_a_task_gets_a_bounded_share_of_the_pages(spark):
     assert rows_of._dealt(given.limit(0)).count() == 0
     wide = rows_of._dealt(given.union(given.selectExpr("page_id + 400", "html")).union(given.selectExpr("page_id + 800", "html")))
     assert wide.rdd.getNumPartitions() >= 3 * 400 * 100_000 // rows_of.TASK_BYTES
+
+
+def test_words_are_gathered_without_a_shuffle_of_their_own(spark, sf):
+    from docloom.plans import corpus
+
+    plan = corpus.block_text(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(page_id" in plan and "block_no" not in plan.split("hashpartitioning(")[1].split(")")[0]
