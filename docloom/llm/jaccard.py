@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, hold_only
+from docloom.llm.common import cut, give_back, hold_only
 from docloom.llm.members import components, only, without
 from docloom.llm.words import slices, split
 
@@ -50,6 +50,9 @@ HEAVY_TASK = 1 << 12
 CLASSES = 128
 # Words and classes a Python worker remembers.
 REMEMBERED = 1 << 18
+# What a task holds at a time besides its Arrow batch: bytes of text cut into shingles, rows given or compared.
+TEXT_BYTES = 1 << 20
+ROWS = 1 << 10
 # Rounds after the first: all but the last compare neighbours, the last one whatever is still apart.
 STEPS = 4
 NEIGHBOURS = 6
@@ -101,7 +104,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """``shingles`` of every text of a column, from arrays of words of many texts."""
     column = column.fill_null("")
-    for low, high in slices(column):
+    for low, high in slices(column, TEXT_BYTES):
         parts = split(column.slice(low, high - low), lower=True)
         coded = parts.words.dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -140,7 +143,7 @@ class _Frequent:
     def add(self, h: np.ndarray) -> None:
         self.held.append(h)
         self.n += len(h)
-        if self.n > 1 << 21:
+        if self.n > 1 << 20:
             self.settle()
 
     def settle(self) -> None:
@@ -172,6 +175,11 @@ def _set_rows(size: int, percent: int):
     """Sets with their smallest hashes, once per class and task: twice what a prefix needs, since frequent
     shingles, not known yet, do not belong in it."""
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SETS, strict=True)], schema=_SETS
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_only("jaccard", _forget)
         frequent, seen, given = _Frequent(), set(), set()
@@ -194,17 +202,16 @@ def _set_rows(size: int, percent: int):
                         seen.clear()
                     seen.add(digest)
                     frequent.add(h)
+                if len(rows) == ROWS:
+                    yield made(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SETS, strict=True)], schema=_SETS
-                )
+                yield made(rows)
         frequent.settle()
         top = sorted(frequent.counts.items(), key=lambda x: -x[1])[:HEAVY_TASK]
         if top:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*((k, n, 0, 0, None, True, None) for k, n in top), strict=True), _SETS, strict=True)],
-                schema=_SETS,
-            )
+            yield made([(k, n, 0, 0, None, True, None) for k, n in top])
+        give_back()
 
     return run
 
@@ -260,6 +267,7 @@ def _prefix_rows(heavy, size: int, percent: int, stored: bool):
                     held, n_held = [], 0
         if held:
             yield made()
+        give_back()
 
     return run
 
@@ -292,11 +300,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
         last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != tb:
-                    last = (tb, shingles(tb, size))
-                keep.append(similar(shingles(ta, size), last[1], percent))
+            for low in range(0, len(batch), ROWS):
+                some = batch.slice(low, ROWS)
+                for ta, tb in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                    if last[0] != tb:
+                        last = (tb, shingles(tb, size))
+                    keep.append(similar(shingles(ta, size), last[1], percent))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        _forget()
+        give_back()
 
     return cut(both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct())
 
