@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import by_rows, hold_only
+from docloom.llm.common import by_rows, give_back, hold_only
 
 RATE = 0.05
 MIN_BYTES = 24
@@ -181,8 +181,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_
         def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 matcher = _matcher(block, rate)
-                clean = [next(matcher.find(t), None) is None for t in batch.column(place).to_pylist()]
+                clean = [next(matcher.find(t.as_py()), None) is None for t in batch.column(place)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
+            give_back()
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

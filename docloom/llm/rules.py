@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import by_rows, window_ids, word_ids
+from docloom.llm.common import by_rows, give_back, window_ids, word_ids
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -173,10 +173,12 @@ def keep_good(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [dict(zip(MEASURES, measure_text(t), strict=True)) for t in batch.column(place).to_pylist()]
+            # one text at a time becomes a Python string
+            found = [dict(zip(MEASURES, measure_text(t.as_py()), strict=True)) for t in batch.column(place)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, kind)], [*batch.schema.names, own]
             )
+        give_back()
 
     measures = T.StructType([T.StructField(name, T.LongType()) for name in MEASURES])
     rows = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(own, measures)]))

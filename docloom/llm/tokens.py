@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docloom.llm.common import as_batch, hold_only, scratch_path
+from docloom.llm.common import LARGE_ROWS, as_batch, give_back, hold_only, scratch_path
 from docloom.llm.words import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 # A block is closed by the document that fills it.
 BLOCK_IDS = 1 << 16
-# Bytes of text encoded together.
-SLICE_BYTES = 8 << 20
+# Bytes of text encoded together; arrays of some fifteen times as much are held for them.
+SLICE_BYTES = 1 << 20
 # Pre-tokens remembered by one Python worker; beyond them it starts anew.
 REMEMBERED = 1 << 19
 
@@ -281,12 +281,14 @@ def write_ids(
                         held, index, n_block, at, n = [], [], n_block + 1, at + n, 0
         if index:
             yield closed()
+        held, index = [], []
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first()
     )
-    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.options(**LARGE_ROWS).parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -312,6 +314,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = ids[doc["first_id"] - first : doc["first_id"] - first + doc["n_ids"]]
                 rows.append((part, doc["doc_id"], doc["first_id"], doc["n_ids"], zlib.crc32(own.tobytes())))
             yield as_batch(rows, _READ)
+    give_back()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
