@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import LARGE_ROWS, cut, give_back
 from docloom.llm.tries import ROOT, Trie, build, step
 from docloom.llm.words import slices, split
 from docloom.operators.ordered import top_k
@@ -43,8 +43,8 @@ LONGEST = 5
 TOP = 2000
 MOST_WORDS = 1 << 20
 MOST_PHRASES = 1 << 21
-# Bytes of text taken together.
-BLOCK_BYTES = 4 << 20
+# Bytes of text taken together; what a task holds besides its Arrow batch follows it.
+BLOCK_BYTES = 2 << 20
 # Overlapping pairs that a task holds before it passes on what it has.
 HELD_PAIRS = 1 << 20
 # A task passes on pairs that it met so often, where that is safe.
@@ -88,6 +88,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                      words.take(pa.array(codes % max(1, len(words)))).cast(pa.string()), pa.array(n)],
                     schema=_COUNTED,
                 )
+        give_back()
 
     rows = _rows(docs).mapInArrow(count, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -117,6 +118,7 @@ def encode(docs: DataFrame, words: list[str]) -> DataFrame:
                         [pa.array([lang]), pa.array([np.count_nonzero(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary())],
                         schema=_CODED,
                     )
+        give_back()
 
     return _rows(docs).mapInArrow(number, "lang string, m long, ids binary")
 
@@ -194,10 +196,12 @@ def walk(blocks: DataFrame, trie: Trie, roots: dict[str, int], depth: int, total
                     yield rows(1, numbers[lang], part // wide, part % wide, counts[k : k + (1 << 16)], share - 1)
 
         for batch in batches:
-            for lang, words, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, words, ids in zip(*batch.columns, strict=True):
+                lang, words = lang.as_py(), words.as_py()
                 if lang not in starts:
                     continue
-                states = states_at(own, starts[lang], np.frombuffer(ids, np.int32), depth)
+                # read where they lie: a batch may hold the ids of all texts of a task
+                states = states_at(own, starts[lang], np.frombuffer(ids.as_buffer(), np.int32), depth)
                 if depth > 1:
                     reached += np.bincount(states, minlength=len(reached))
                 if pairs:
@@ -211,6 +215,8 @@ def walk(blocks: DataFrame, trie: Trie, roots: dict[str, int], depth: int, total
         for k in range(0, len(slots), 1 << 16):
             part = slots[k : k + (1 << 16)]
             yield rows(0, 0, own.node[part], np.zeros(len(part), int), reached[part], 0)
+        del own, arrays, reached, slots
+        give_back()
 
     return blocks.select("lang", "m", "ids").mapInArrow(run, _SEEN_SQL)
 
@@ -246,7 +252,7 @@ def count_phrases(docs: DataFrame, counts: DataFrame, least: int = LEAST, longes
     parent = np.concatenate([np.zeros(len(langs), np.int64), np.array([place[g] for g in found["lang"]], np.int64)])
     symbol = np.concatenate([np.arange(1, len(langs) + 1), np.array([number[w] for w in found["word"]], np.int64)])
     f = np.concatenate([np.zeros(len(langs) + 1, np.int64), np.array(found["n"], np.int64)])
-    blocks = cut(encode(docs, words))
+    blocks = cut(encode(docs, words), **LARGE_ROWS)
     totals = {r["lang"]: r["m"] for r in blocks.groupBy("lang").agg(F.sum("m").alias("m")).where("m > 0").collect()}
     sizes = [0, len(langs) + 1, len(parent) + 1]
     for depth in range(1, longest + 1):
@@ -299,6 +305,7 @@ def _spelled(spark, langs: list[str], words: list[str], parent: np.ndarray, symb
                 out.append((names[node - 1], " ".join(reversed(own)), len(own), int(counts[k])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
+        give_back()
 
     return spark.range(len(langs) + 1, len(f)).mapInArrow(spell, "lang string, phrase string, words int, f long")
 
