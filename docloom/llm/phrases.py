@@ -4,13 +4,15 @@ Everything is per language. A phrase of up to ``longest`` words is counted where
 other inside a piece (a stretch without ``STOPS``). Counting goes by phrase length:
 
 1. words are counted in Spark; texts are written once as word numbers (rare words and ends of pieces are 0);
-2. the phrases known to be frequent, and the candidates one word longer, are a double-array trie that
-   every task gets; numpy moves the states of all places of a block of texts through it together, a
-   level at a time, and counts the states reached; Spark sums those counts over tasks;
-3. in the same pass a task notes which frequent phrases overlap in all but one word: only such pairs can be
-   frequent (Apriori). While tasks are few, it keeps to itself pairs that it met once: a pair that all
-   tasks keep cannot reach the least count, and what silent tasks may hold is added before a pair is
-   refused. So the next candidates miss no frequent phrase, and step 2 gives their exact counts.
+2. the frequent phrases of one length are a double-array trie that every task gets; numpy moves the
+   states of all places of a block of texts through it together, a level at a time;
+3. two frequent phrases at neighbouring places overlap in all but one word and so make a phrase one word
+   longer. A task sums its pairs and gives all of them as arrays, dealt by a hash of the pair; Spark
+   brings each share of the pairs together, where their counts are added. A phrase is frequent only if
+   both its parts are (Apriori), so these are its exact counts and the next trie.
+
+At most one pair leaves a task for every word that it reads: none is held back until it was met more
+often, so what is passed on follows the input whatever the number of tasks.
 
 The trie and the word numbers are sent to tasks while they have at most ``MOST_WORDS`` words and
 ``MOST_PHRASES`` phrases (some 150 MB together). Beyond that ``count_shuffled`` counts all phrases by
@@ -47,15 +49,15 @@ MOST_PHRASES = 1 << 21
 BLOCK_BYTES = 2 << 20
 # Overlapping pairs that a task holds before it passes on what it has.
 HELD_PAIRS = 1 << 20
-# A task passes on pairs that it met so often, where that is safe.
-MOST_SHARE = 2
+# Pairs are summed in shares that get about so many words' pairs each.
+SHARE_WORDS = 1 << 21
 
 _COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 _CODED = pa.schema([("lang", pa.string()), ("m", pa.int64()), ("ids", pa.binary())])
-# kind 0: node a was reached n times; 1: node a was followed by node b, n times, by a task that passes
-# on from b's share + 1 times (cover); 2: the share of a task in the language of node a
-_SEEN = pa.schema([("kind", pa.int8()), ("lang", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("cover", pa.int64())])
-_SEEN_SQL = "kind byte, lang int, a int, b int, n long, cover long"
+# codes of what was met and how often (longs), of one share
+_MET = pa.schema([("share", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
+_MET_SQL = "share int, codes binary, counts binary"
+_OFTEN = pa.schema([("code", pa.int64()), ("n", pa.int64())])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -139,93 +141,92 @@ def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-class _Pairs:
-    """A task's counts of neighbouring states, per language, passed on by its share of the least count."""
+class _Met:
+    """A task's counts of codes."""
 
-    def __init__(self, least: int, totals: dict[str, int]):
-        self.least, self.totals = least, totals
-        self.held: dict[str, tuple[list, list]] = {}
-        self.words: dict[str, int] = {}
+    def __init__(self, shares: int):
+        self.shares = shares
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
         self.kept = 0
-        self.full = False
 
-    def add(self, lang: str, codes: np.ndarray, words: int) -> None:
-        own = self.held.setdefault(lang, ([], []))
-        self.words[lang] = self.words.get(lang, 0) + words
+    def add(self, codes: np.ndarray) -> bool:
+        """Whether so much is held that it should be passed on."""
         found, n = np.unique(codes, return_counts=True)
-        own[0].append(found)
-        own[1].append(n)
+        self.codes.append(found)
+        self.counts.append(n)
         self.kept += len(found)
-        if self.kept > HELD_PAIRS:
-            for lists in self.held.values():
-                lists[0][:], lists[1][:] = map(list, zip(_summed(*lists)))
-            self.kept = sum(len(lists[0][0]) for lists in self.held.values())
-            self.full = self.kept > HELD_PAIRS // 2
-
-    def passed_on(self) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
-        """Per language: the least count passed on, pair codes and counts; forgets them."""
-        for lang, lists in self.held.items():
-            # in some task a frequent pair is met at least its share of the least count often
-            share = max(1, min(MOST_SHARE, -(-self.least * self.words[lang] // self.totals[lang])))
-            codes, counts = _summed(*lists)
-            yield lang, share, codes[counts >= share], counts[counts >= share]
-        self.held, self.words, self.kept, self.full = {}, {}, 0, False
+        if self.kept <= HELD_PAIRS:
+            return False
+        self.codes, self.counts = map(list, zip(_summed(self.codes, self.counts)))
+        self.kept = len(self.codes[0])
+        return self.kept > HELD_PAIRS // 2
+
+    def passed_on(self) -> Iterator[pa.RecordBatch]:
+        """All codes and counts, by shares; forgets them."""
+        if self.codes:
+            codes, counts = _summed(self.codes, self.counts)
+            mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            share = (mixed % np.uint64(self.shares)).astype(np.int32)
+            order = np.argsort(share, kind="stable")
+            own, first = np.unique(share[order], return_index=True)
+            bounds = [*first.tolist(), len(order)]
+            for k, low, high in zip(own.tolist(), bounds, bounds[1:], strict=False):
+                part = order[low:high]
+                columns = [k], [codes[part].tobytes()], [counts[part].astype(np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MET, strict=True)], schema=_MET)
+        self.codes, self.counts, self.kept = [], [], 0
 
 
 def walk(blocks: DataFrame, trie: Trie, roots: dict[str, int], depth: int, totals: dict[str, int], least: int, pairs: bool) -> DataFrame:
-    """One pass over the numbered texts: counts of the phrases of ``depth`` words, and pairs for the next."""
-    sent = blocks.sparkSession.sparkContext.broadcast((*trie, roots, totals))
+    """One pass over the numbered texts: how often tasks met pairs of neighbouring phrases of ``depth`` words.
+
+    The code of a pair is the first phrase's node times the number of nodes plus the second's. Without
+    ``pairs``, phrases themselves are counted, their nodes being the codes. ``totals`` are the words of
+    each language; one of fewer than ``least`` is left out, as it has no phrase that often.
+    """
+    large = {lang: root for lang, root in roots.items() if totals[lang] >= least}
+    shares = max(8, -(-sum(totals.values()) // SHARE_WORDS))
+    sent = blocks.sparkSession.sparkContext.broadcast((*trie, large))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *arrays, starts, sums = sent.value
+        *arrays, starts = sent.value
         own = Trie(*arrays)
-        reached = np.zeros(len(own.base), np.int64)
-        seen, numbers = _Pairs(least, sums), {lang: k for k, lang in enumerate(starts)}
-        wide = len(own.slot)
-
-        def rows(kind, lang, a, b, n, cover) -> pa.RecordBatch:
-            size = len(a)
-            columns = [np.full(size, kind), np.full(size, lang), a, b, n, np.full(size, cover)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEEN, strict=True)], schema=_SEEN)
-
-        def passed_on() -> Iterator[pa.RecordBatch]:
-            for lang, share, codes, counts in seen.passed_on():
-                yield rows(2, numbers[lang], np.zeros(1, int), np.zeros(1, int), np.array([share - 1]), 0)
-                for k in range(0, len(codes), 1 << 16):
-                    part = codes[k : k + (1 << 16)]
-                    yield rows(1, numbers[lang], part // wide, part % wide, counts[k : k + (1 << 16)], share - 1)
-
+        met, wide = _Met(shares), len(own.slot)
         for batch in batches:
-            for lang, words, ids in zip(*batch.columns, strict=True):
-                lang, words = lang.as_py(), words.as_py()
+            for lang, ids in zip(batch.column("lang"), batch.column("ids"), strict=True):
+                lang = lang.as_py()
                 if lang not in starts:
                     continue
                 # read where they lie: a batch may hold the ids of all texts of a task
                 states = states_at(own, starts[lang], np.frombuffer(ids.as_buffer(), np.int32), depth)
-                if depth > 1:
-                    reached += np.bincount(states, minlength=len(reached))
                 if pairs:
                     both = np.flatnonzero((states[:-1] > 0) & (states[1:] > 0))
-                    seen.add(lang, own.node[states[both]].astype(np.int64) * wide + own.node[states[both + 1]], words)
-                    if seen.full:
-                        yield from passed_on()
-        yield from passed_on()
-        reached[0] = 0
-        slots = np.flatnonzero(reached)
-        for k in range(0, len(slots), 1 << 16):
-            part = slots[k : k + (1 << 16)]
-            yield rows(0, 0, own.node[part], np.zeros(len(part), int), reached[part], 0)
-        del own, arrays, reached, slots
+                    codes = own.node[states[both]].astype(np.int64) * wide + own.node[states[both + 1]]
+                else:
+                    codes = own.node[states[states > 0]].astype(np.int64)
+                if met.add(codes):
+                    yield from met.passed_on()
+        yield from met.passed_on()
+        del own, arrays, met
         give_back()
 
-    return blocks.select("lang", "m", "ids").mapInArrow(run, _SEEN_SQL)
+    return blocks.select("lang", "ids").mapInArrow(run, _MET_SQL)
 
 
-def _candidates(seen: DataFrame, least: int) -> DataFrame:
-    """Pairs that may reach ``least``: their known counts and what silent tasks may hold."""
-    silent = seen.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("most"))
-    known = seen.where("kind = 1").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"), F.sum("cover").alias("cover"))
-    return known.join(silent, "lang").where(F.col("n") + F.col("most") - F.col("cover") >= least).select("a", "b")
+def often_met(met: DataFrame, least: int) -> DataFrame:
+    """``code, n`` of what all tasks of ``walk`` together met ``least`` times or more."""
+
+    def add(share: pa.Table) -> pa.Table:
+        codes = [np.frombuffer(x.as_buffer(), np.int64) for x in share.column("codes")]
+        counts = [np.frombuffer(x.as_buffer(), np.int64) for x in share.column("counts")]
+        code, n = _summed(codes, counts)
+        made = pa.table([code[n >= least], n[n >= least]], schema=_OFTEN)
+        del codes, counts, code, n
+        give_back()
+        return made
+
+    return met.groupBy("share").applyInArrow(add, "code long, n long")
 
 
 def _numpy(rows: DataFrame) -> dict[str, np.ndarray]:
@@ -254,37 +255,17 @@ def count_phrases(docs: DataFrame, counts: DataFrame, least: int = LEAST, longes
     f = np.concatenate([np.zeros(len(langs) + 1, np.int64), np.array(found["n"], np.int64)])
     blocks = cut(encode(docs, words), **LARGE_ROWS)
     totals = {r["lang"]: r["m"] for r in blocks.groupBy("lang").agg(F.sum("m").alias("m")).where("m > 0").collect()}
-    sizes = [0, len(langs) + 1, len(parent) + 1]
-    for depth in range(1, longest + 1):
+    for depth in range(1, longest):
         trie = build(parent, symbol)
         roots = {lang: int(trie.slot[place[lang]]) for lang in langs if lang in totals}
-        seen = cut(walk(blocks, trie, roots, depth, totals, least, pairs=depth < longest))
-        keep = np.ones(len(parent) + 1, bool)
-        if depth > 1:
-            reached = _numpy(seen.where("kind = 0").groupBy("a").agg(F.sum("n").alias("n")))
-            new = np.zeros(len(parent) + 1, np.int64)
-            new[reached["a"]] = reached["n"]
-            low = sizes[-2]
-            f = np.concatenate([f, new[low:]])
-            keep[low:] = f[low:] >= least
-        if depth < longest:
-            pairs = cut(_candidates(seen, least))
-            if len(parent) + pairs.count() > MOST_PHRASES:
-                return None
-            pair = _numpy(pairs)
-            # both overlapping parts must be frequent
-            good = keep[pair["a"]] & keep[pair["b"]]
-            a, b = pair["a"][good], pair["b"][good]
-        names = np.cumsum(keep) - 1
-        if depth < longest:
-            order = np.lexsort((b, a))
-            grown = names[a[order]], symbol[b[order] - 1]
-        parent, symbol, f = names[parent[keep[1:]]], symbol[keep[1:]], f[keep]
-        sizes[-1] = len(f)
-        if depth == longest or not len(grown[0]):
+        longer = cut(often_met(walk(blocks, trie, roots, depth, totals, least, pairs=True), least))
+        if len(parent) + longer.count() > MOST_PHRASES:
+            return None
+        made = _numpy(longer.orderBy("code"))
+        if not len(made["code"]):
             break
-        parent, symbol = np.concatenate([parent, grown[0]]), np.concatenate([symbol, grown[1]])
-        sizes.append(len(parent) + 1)
+        a, b = np.divmod(made["code"], len(trie.slot))
+        parent, symbol, f = np.concatenate([parent, a]), np.concatenate([symbol, symbol[b - 1]]), np.concatenate([f, made["n"]])
     return _spelled(spark, langs, words, parent, symbol, f)
 
 
