@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ END_ID = 2
 # A block is closed by the document that fills it.
 BLOCK_IDS = 1 << 16
 # Bytes of text encoded together; arrays of some fifteen times as much are held for them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 # Pre-tokens remembered by one Python worker; beyond them it starts anew.
 REMEMBERED = 1 << 19
 
@@ -151,14 +152,17 @@ class Encoder:
         first, *rest = self.found(" " + piece)
         return [first[1:], *rest]
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
+    def _numbers(self, pieces: np.ndarray) -> np.ndarray:
         """The numbers of different pieces that follow a space."""
         if len(self.known) + len(self.inner) > REMEMBERED:
             self._forget()
         known = self.known
-        new = [p for p in pieces if p not in known]
-        plain = [p for p in new if p.isalpha()]
-        others = [p for p in new if not p.isalpha()]
+        numbers = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(numbers < 0)
+        new = pieces[unknown].tolist()
+        plain, others = [], []
+        for p in new:
+            (plain if p.isalpha() else others).append(p)
         cut_up = [self._cut_up(p) for p in others]
         self._learn([*plain, *(t[0] for t in cut_up)], known, " ")
         self._learn([t for own in cut_up for t in own[1:]], self.inner, "")
@@ -168,7 +172,8 @@ class Encoder:
             flat = [n for k in several for n in (known[cut_up[k][0]], *map(self.inner.__getitem__, cut_up[k][1:]))]
             ids, size = _taken(self.ids, self.starts, np.array(flat))
             known.update(zip([others[k] for k in several], self._add(ids, np.add.reduceat(size, np.cumsum(count) - count)), strict=True))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        numbers[unknown] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        return numbers
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         import pyarrow.compute as pc
@@ -197,7 +202,7 @@ class Encoder:
         used = np.zeros(len(different), bool)
         used[place[later]] = True
         numbers = np.zeros(len(different), np.int64)
-        numbers[used] = self._numbers(different.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        numbers[used] = self._numbers(different.filter(pa.array(used)).to_numpy(zero_copy_only=False))
         texts = column.filter(pa.array(whole)).to_pylist()
         alone = self._whole([h for h, full in zip(heads, whole.tolist(), strict=True) if not full])
         entire = self._whole(texts)
