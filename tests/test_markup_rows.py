@@ -164,3 +164,11 @@ def test_words_are_gathered_without_a_shuffle_of_their_own(spark, sf):
 
     plan = corpus.block_text(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(page_id" in plan and "block_no" not in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
+def test_entries_are_found_without_moving_pages_again(spark):
+    """Pages are dealt once; no join reads or shuffles them again."""
+    found = rows_of.release_entries(pages(spark, "<h3>Release 1.2.0</h3><ul><li>one<ul><li>two</ul></ul>"), r"^Release (\S+)$")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(page_id" in plan
+    assert [(list(r.path), r.text) for r in found.orderBy("path").collect()] == [([0], "one"), ([0, 0], "two")]
