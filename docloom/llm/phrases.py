@@ -4,8 +4,8 @@ Everything is per language. A phrase of up to ``longest`` words is counted where
 other inside a piece (a stretch without ``STOPS``). Counting goes by phrase length:
 
 1. words are counted in Spark; texts are written once as word numbers (rare words and ends of pieces are 0);
-2. the frequent phrases of one length are a double-array trie that every task gets; numpy moves the
-   states of all places of a block of texts through it together, a level at a time;
+2. the frequent phrases of one length are a trie that every task gets; numpy moves the states of all
+   places of a block of texts through it together, a level at a time;
 3. two frequent phrases at neighbouring places overlap in all but one word and so make a phrase one word
    longer. A task sums its pairs and gives all of them as arrays, dealt by a hash of the pair; Spark
    brings each share of the pairs together, where their counts are added. A phrase is frequent only if
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import LARGE_ROWS, cut, give_back
-from docloom.llm.tries import ROOT, Trie, build, step
+from docloom.llm.tries import Trie, build, step
 from docloom.llm.words import slices, split
 from docloom.operators.ordered import top_k
 
@@ -125,9 +125,15 @@ def encode(docs: DataFrame, words: list[str]) -> DataFrame:
     return _rows(docs).mapInArrow(number, "lang string, m long, ids binary")
 
 
-def states_at(trie: Trie, start: int, ids: np.ndarray, depth: int) -> np.ndarray:
-    """The state of the ``depth`` symbols from every place on, all places moved level by level."""
-    states = step(trie, np.full(len(ids), start, np.int32), ids)
+def first_states(trie: Trie, start: int) -> np.ndarray:
+    """The state reached from ``start`` by every symbol."""
+    symbols = np.arange(int(trie.symbols[0]))
+    return step(trie, np.full(len(symbols), start, np.int32), symbols)
+
+
+def states_at(trie: Trie, first: np.ndarray, ids: np.ndarray, depth: int) -> np.ndarray:
+    """The state of the ``depth`` symbols from every place on, all places moved level by level; ``first``: ``first_states``."""
+    states = first[ids]
     for level in range(1, depth):
         states = step(trie, states[: max(0, len(ids) - level)], ids[level:])
     return states
@@ -192,14 +198,16 @@ def walk(blocks: DataFrame, trie: Trie, roots: dict[str, int], depth: int, total
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         *arrays, starts = sent.value
         own = Trie(*arrays)
-        met, wide = _Met(shares), len(own.slot)
+        met, wide, firsts = _Met(shares), len(own.slot), {}
         for batch in batches:
             for lang, ids in zip(batch.column("lang"), batch.column("ids"), strict=True):
                 lang = lang.as_py()
                 if lang not in starts:
                     continue
+                if lang not in firsts:
+                    firsts[lang] = first_states(own, starts[lang])
                 # read where they lie: a batch may hold the ids of all texts of a task
-                states = states_at(own, starts[lang], np.frombuffer(ids.as_buffer(), np.int32), depth)
+                states = states_at(own, firsts[lang], np.frombuffer(ids.as_buffer(), np.int32), depth)
                 if pairs:
                     both = np.flatnonzero((states[:-1] > 0) & (states[1:] > 0))
                     codes = own.node[states[both]].astype(np.int64) * wide + own.node[states[both + 1]]
@@ -208,7 +216,7 @@ def walk(blocks: DataFrame, trie: Trie, roots: dict[str, int], depth: int, total
                 if met.add(codes):
                     yield from met.passed_on()
         yield from met.passed_on()
-        del own, arrays, met
+        del own, arrays, met, firsts
         give_back()
 
     return blocks.select("lang", "ids").mapInArrow(run, _MET_SQL)

@@ -1,8 +1,9 @@
-"""Double-array tries over whole-number symbols, walked by numpy at many places at once.
+"""Tries over whole-number symbols as hash tables, made and walked by numpy at many places at once.
 
-A state is a slot. The child of state ``s`` by symbol ``c`` is slot ``base[s] + c`` if ``check`` of that
-slot is ``s``; otherwise there is none, which is state ``DEAD``. Symbols count from 1; symbol 0 leads
-nowhere.
+The state of a node is its number and one; no node is state ``DEAD``. A table of at least twice as many
+places as nodes holds every node's state under its parent's state and its symbol, at the first free place
+from that key's hash on. Making it takes time in proportion to the nodes, whatever their shape. Symbols
+count from 1; symbol 0 leads nowhere.
 """
 
 from __future__ import annotations
@@ -12,79 +13,54 @@ from typing import NamedTuple
 import numpy as np
 
 DEAD, ROOT = 0, 1
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Trie(NamedTuple):
-    base: np.ndarray
-    check: np.ndarray
-    # node number of every slot (-1: none) and slot of every node; node 0 is the root
+    # state of the parent times the number of symbols, and the symbol (-1: free), with the child's state
+    key: np.ndarray
+    child: np.ndarray
+    symbols: np.ndarray
+    # node number of every state (-1: none) and state of every node; node 0 is the root
     node: np.ndarray
     slot: np.ndarray
 
 
-def step(trie: Trie, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """The states reached from ``states`` by ``symbols``, all at once."""
-    to = trie.base[states] + symbols
-    return np.where(trie.check[to] == states, to, DEAD)
+def _places(key: np.ndarray, size: int) -> np.ndarray:
+    """Where to look first; ``size`` is a power of two."""
+    return (key.astype(np.uint64) * _FACTOR >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def _fit(free: np.ndarray, symbols: np.ndarray, low: int) -> int:
-    """The first base from ``low`` on at which all ``symbols`` meet free slots, or -1."""
-    span, wide = int(symbols[-1]), 256
-    while low + span < len(free):
-        bases = np.arange(low, min(low + wide, len(free) - span))
-        for s in symbols[:6]:
-            bases = bases[free[bases + s]]
-        for k in range(0, len(bases), 64):
-            some = bases[k : k + 64]
-            good = free[some[:, None] + symbols[None, 6:]].all(axis=1)
-            if good.any():
-                return int(some[good.argmax()])
-        low, wide = low + wide, min(wide * 2, 1 << 16)
-    return -1
+def step(trie: Trie, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The states reached from ``states`` by ``symbols``, all at once."""
+    wide, size = int(trie.symbols[0]), len(trie.key)
+    out = np.zeros(len(states), np.int32)
+    live = np.flatnonzero((states > DEAD) & (symbols > 0) & (symbols < wide))
+    key = states[live].astype(np.int64) * wide + symbols[live]
+    at = _places(key, size)
+    while len(live):
+        held = trie.key[at]
+        hit = held == key
+        out[live[hit]] = trie.child[at[hit]]
+        on = np.flatnonzero(~hit & (held >= 0))
+        live, key, at = live[on], key[on], (at[on] + 1) & (size - 1)
+    return out
 
 
 def build(parent: np.ndarray, symbol: np.ndarray) -> Trie:
-    """The trie of nodes 1, 2, ...: node ``k + 1`` hangs below node ``parent[k]`` by ``symbol[k]``.
-
-    Nodes of several children are placed where all their slots are free, larger ones first; the
-    others fill what is left.
-    """
-    n, most = len(parent) + 1, int(symbol.max(initial=0))
-    order = np.lexsort((symbol, parent))
-    owners, first, count = np.unique(parent[order], return_index=True, return_counts=True)
-    free = np.ones(most + 2 * n + 2, bool)
-    free[:2] = False
-    offset = np.zeros(n, np.int64)
-    start, size = 0, 0
-    for g in np.argsort(-count, kind="stable"):
-        if count[g] < 2:
-            break
-        own = symbol[order[first[g] : first[g] + count[g]]]
-        if int(count[g]).bit_length() != size:
-            # smaller sets of children may fit in holes that larger ones did not
-            size, start = int(count[g]).bit_length(), 0
-        at = _fit(free, own, start)
-        if at < 0:
-            at = len(free) - int(own[0])
-            free = np.concatenate([free, np.ones(most + len(free) // 2, bool)])
-        free[at + own] = False
-        offset[owners[g]] = at
-        # a rarely successful search goes on where it ended
-        start = max(start, at - 64 * int(count[g]))
-    single = count == 1
-    lone = symbol[order[first[single]]]
-    open_slots = np.flatnonzero(free[most:]) + most
-    if len(open_slots) < len(lone):
-        free = np.concatenate([free, np.ones(len(lone), bool)])
-        open_slots = np.flatnonzero(free[most:]) + most
-    offset[owners[single]] = open_slots[: len(lone)] - lone
-    slot = np.empty(n, np.int64)
-    slot[0] = ROOT
-    slot[1:] = offset[parent] + symbol
-    length = int(max(offset.max(), slot.max())) + most + 1
-    base, check, node = np.zeros(length, np.int32), np.full(length, -1, np.int32), np.full(length, -1, np.int32)
-    base[slot] = offset
-    check[slot[1:]] = slot[parent]
-    node[slot] = np.arange(n)
-    return Trie(base, check, node, slot.astype(np.int32))
+    """The trie of nodes 1, 2, ...: node ``k + 1`` hangs below node ``parent[k]`` by ``symbol[k]``."""
+    n = len(parent) + 1
+    wide = int(symbol.max(initial=0)) + 1
+    size = 1 << max(3, (2 * n - 1).bit_length())
+    own = (parent.astype(np.int64) + 1) * wide + symbol
+    key, child = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    left, at = np.arange(n - 1), _places(own, size)
+    while len(left):
+        free = key[at] < 0
+        key[at[free]] = own[left[free]]
+        # of several at one free place, the last one got it
+        done = free & (key[at] == own[left])
+        child[at[done]] = left[done] + 2
+        left, at = left[~done], (at[~done] + 1) & (size - 1)
+    node = np.arange(-1, n, dtype=np.int32)
+    return Trie(key, child, np.array([wide]), node, np.arange(1, n + 1, dtype=np.int32))
