@@ -220,10 +220,38 @@ _PREFIX = pa.schema([("shingle", pa.int64()), ("parts", pa.int32()), ("doc", pa.
 _PREFIX_SQL = "shingle long, parts int, doc long, n int, pos int"
 
 
+def _counts(h: np.ndarray, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each shingle was met, 0 if it is not one of the frequent ones."""
+    if not len(values):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+    return np.where(values[at] == h, counts[at], 0)
+
+
+def _too_few(h: np.ndarray, count: np.ndarray, n: int, percent: int) -> bool:
+    """Whether the least hashes ``h`` of a set of ``n`` hold too many frequent shingles to fill its prefix."""
+    return len(h) < n and np.count_nonzero(count == 0) < prefix_length(n, percent)
+
+
+def _short_rows(heavy, percent: int):
+    """Ids of the stored sets (doc, n, least) whose least hashes are too few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = heavy.value
+        for batch in batches:
+            keys, sizes, least = (c.to_pylist() for c in batch.columns)
+            sets = ((np.frombuffer(x, np.uint64), n) for x, n in zip(least, sizes, strict=True))
+            short = [_too_few(h, _counts(h, values, counts), n, percent) for h, n in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, s in zip(keys, short, strict=True) if s], pa.int64())], ["doc_id"])
+        give_back()
+
+    return run
+
+
 def _prefix_rows(heavy, size: int, percent: int, stored: bool):
     """Prefix shingles of every set: (doc, n, least) if ``stored``, else (doc, text).
 
-    A stored set whose least hashes hold too many frequent shingles gives a row without a shingle.
+    A stored set whose least hashes hold too many frequent shingles gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,10 +274,8 @@ def _prefix_rows(heavy, size: int, percent: int, stored: bool):
                 if not n:
                     continue
                 length = prefix_length(n, percent)
-                at = np.minimum(np.searchsorted(values, h), len(values) - 1) if len(values) else None
-                count = np.where(values[at] == h, counts[at], 0) if at is not None else np.zeros(len(h), np.int64)
-                if len(h) < n and np.count_nonzero(count == 0) < length:
-                    held.append((np.zeros(1, np.int64), np.zeros(1, np.int32), np.array([key]), np.array([n], np.int32), np.full(1, -1, np.int32)))
+                count = _counts(h, values, counts)
+                if _too_few(h, count, n, percent):
                     continue
                 first = np.lexsort((h, count))[:length] if count.any() else np.arange(length)
                 held.append(
@@ -279,6 +305,36 @@ def _fits(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Colu
     return length & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _grouped(prefix: DataFrame, percent: int) -> DataFrame:
+    """Prefix rows with the row before (``prev``) and the first one (``head``) of their shingle, by size.
+
+    Of a shingle in one part, only rows stay that may pass ``_fits`` with another one: most shingles that
+    documents share by chance, ever more as documents grow in number, belong to documents of other sizes.
+    """
+    # one part of a shingle holds about PART_ROWS rows, however frequent the shingle is
+    order = W.partitionBy("shingle", _part("doc", 0)).orderBy("n", "doc")
+    at = F.struct("doc", "n", "pos")
+
+    # a and b pass if percent * n_b <= reach(a) and percent * n_a <= reach(b)
+    def reach(n: Column, pos: Column) -> Column:
+        return 100 * n.cast("long") - (100 + percent) * pos.cast("long")
+
+    own, size = reach(F.col("n"), F.col("pos")), percent * F.col("n").cast("long")
+    groups = prefix.select(
+        "*",
+        F.lag(at).over(order).alias("prev"),
+        F.first(at).over(order).alias("head"),
+        F.lead(F.struct("n", "pos"), 1).over(order).alias("x"),
+        F.lead("n", 2).over(order).alias("y"),
+        F.max(own).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("most"),
+    )
+    before = (F.col("most") >= size) & (percent * F.col("head.n").cast("long") <= own)
+    after = (percent * F.col("x.n").cast("long") <= own) & (size <= reach(F.col("x.n"), F.col("x.pos")))
+    later = percent * F.col("y").cast("long") <= own
+    fits = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)) | F.coalesce(later, F.lit(False))
+    return groups.where((F.col("parts") > 1) | fits).drop("x", "y", "most")
+
+
 def _suffix_fits(na: Column, sa: Column, nb: Column, sb: Column, percent: int) -> Column:
     """Sets that differ too much in the sizes of hash classes cannot overlap enough."""
     apart = F.aggregate(
@@ -339,21 +395,13 @@ def link(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     same = nodes.join(first, "doc_id").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b"))
 
     least = sets.where("least is not null").select("doc_id", "n", "least")
-    stored = cut(least.mapInArrow(_prefix_rows(heavy, size, percent, True), _PREFIX_SQL))
     # sets with many frequent shingles are read from their texts again; rows that share an id all are
-    again = only(docs, cut(stored.where("pos < 0").select(F.col("doc").alias("doc_id")).distinct()), "doc_id")
-    again = again.select("doc_id", "text").mapInArrow(_prefix_rows(heavy, size, percent, False), _PREFIX_SQL)
-    prefix = stored.where("pos >= 0").union(again)
-    order = W.partitionBy("shingle", _part("doc", 0)).orderBy("n", "doc")
+    short = cut(least.mapInArrow(_short_rows(heavy, percent), "doc_id long").distinct())
+    again = only(docs, short, "doc_id").select("doc_id", "text")
+    again = again.mapInArrow(_prefix_rows(heavy, size, percent, False), _PREFIX_SQL)
+    prefix = least.mapInArrow(_prefix_rows(heavy, size, percent, True), _PREFIX_SQL).union(again)
+    groups = cut(_grouped(prefix, percent))
     at = F.struct("doc", "n", "pos")
-    # one part of a shingle holds about PART_ROWS rows, however frequent the shingle is
-    groups = prefix.select(
-        "*",
-        F.lag(at).over(order).alias("prev"),
-        F.lead("doc").over(order).alias("next"),
-        F.first(at).over(order).alias("head"),
-    )
-    groups = cut(groups.where("prev is not null or next is not null or parts > 1").drop("next"))
     # the first rows of the parts are paired along the shingle
     heads = groups.where("prev is null and parts > 1")
     across = W.partitionBy("shingle").orderBy("n", "doc")
