@@ -311,8 +311,19 @@ def _grouped(prefix: DataFrame, percent: int) -> DataFrame:
     Of a shingle in one part, only rows stay that may pass ``_fits`` with another one: most shingles that
     documents share by chance, ever more as documents grow in number, belong to documents of other sizes.
     """
+
+    def packed(high: Column, low: Column) -> Column:
+        return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+    # rows are moved as four numbers, before what the window needs is made of them
     # one part of a shingle holds about PART_ROWS rows, however frequent the shingle is
-    order = W.partitionBy("shingle", _part("doc", 0)).orderBy("n", "doc")
+    share, spot = packed(F.col("parts"), _part("doc", 0)), packed(F.col("n"), F.col("pos"))
+    moved = prefix.select(share.alias("share"), "shingle", "doc", spot.alias("spot")).repartition("shingle", "share")
+    prefix = moved.select(
+        "share", "shingle", F.shiftright("share", 32).cast("int").alias("parts"), "doc",
+        F.shiftright("spot", 32).cast("int").alias("n"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"),
+    )
+    order = W.partitionBy("shingle", "share").orderBy("n", "doc")
     at = F.struct("doc", "n", "pos")
 
     # a and b pass if percent * n_b <= reach(a) and percent * n_a <= reach(b)
@@ -332,7 +343,7 @@ def _grouped(prefix: DataFrame, percent: int) -> DataFrame:
     after = (percent * F.col("x.n").cast("long") <= own) & (size <= reach(F.col("x.n"), F.col("x.pos")))
     later = percent * F.col("y").cast("long") <= own
     fits = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)) | F.coalesce(later, F.lit(False))
-    return groups.where((F.col("parts") > 1) | fits).drop("x", "y", "most")
+    return groups.where((F.col("parts") > 1) | fits).drop("share", "x", "y", "most")
 
 
 def _suffix_fits(na: Column, sa: Column, nb: Column, sb: Column, percent: int) -> Column:

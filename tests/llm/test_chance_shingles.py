@@ -31,3 +31,11 @@ def test_only_rows_that_may_link_stay(spark):
         pairs = {s for s, own in by_shingle.items() if len(own) < 3}
         assert {x for x in kept if x[0] in pairs} == {x for x in needed if x[0] in pairs}
         assert len(kept) < 0.8 * len(rows)
+
+
+def test_rows_are_moved_once_and_narrow(spark):
+    given = spark.createDataFrame([(1, 1, 1, 10, 0)], "shingle long, parts int, doc long, n int, pos int")
+    plan = jaccard._grouped(given, 80)._jdf.queryExecution().executedPlan()
+    lines = plan.toString().split("\n")
+    at = [k for k, line in enumerate(lines) if "Exchange " in line]
+    assert len(at) == 1 and "struct" not in "\n".join(lines[at[0] :])
